@@ -100,7 +100,7 @@ txn_event AS (
   SELECT CAST(event_id AS VARCHAR) AS txn_id,
          concat('C', user_id) AS card_id, value AS amount,
          concat('M', json_extract_string(props, '$.k')) AS merchant_id,
-         epoch_ms(ts) AS timestamp,
+         epoch_us(ts) // 1000 AS timestamp,
          ts AS event_time,
          'USD' AS currency, 'US' AS country_code,
          CASE event_type WHEN 'click' THEN 'MOBILE' WHEN 'error' THEN 'ATM'
