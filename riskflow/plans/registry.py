@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the catalog modules registers their queries
-    from riskflow.plans import catalog_core, catalog_features  # noqa: F401
+    from riskflow.plans import catalog_audit, catalog_core, catalog_features  # noqa: F401

@@ -115,9 +115,11 @@ BASE_TIME = "1995-01-01 00:00:00"
 
 
 def step_time(step: Column) -> Column:
-    """Event time of a ledger step: 1995-01-01 00:00 UTC plus ``step`` hours."""
-    return F.timestamp_seconds(F.unix_seconds(F.lit(BASE_TIME).cast("timestamp"))
-                               + step.cast("long") * 3600)
+    """Event time of a ledger step: 1995-01-01 00:00 (UTC wall clock) plus ``step`` hours.
+
+    Computed on TIMESTAMP_NTZ so the result does not depend on the session zone.
+    """
+    return F.timestamp_add("HOUR", step, F.lit(BASE_TIME).cast("timestamp_ntz"))
 
 
 def messages(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
