@@ -169,15 +169,20 @@ ML_PROB_SQL = "((row_id * 37) % 1000) / 1000e0"
 
 
 def scores(spark: SparkSession, sf_dir: str, ledger: DataFrame | None = None) -> DataFrame:
-    """Labelled scores with forced ties (rounded to 2 digits)."""
+    """Labelled scores with forced ties: 0.7 * stand-in + 0.3 * label, to 2 digits.
+
+    Rounded half-up in exact integer arithmetic (prob * 10000 is an integer),
+    so every engine produces the same scores.
+    """
     led = ledger if ledger is not None else txn_ledger(spark, sf_dir)
-    prob = F.round(ml_prob_standin(F.col("row_id")) * 0.7 + F.col("isFraud") * 0.3, 2)
+    m = (F.col("row_id") * 37 % 1000) * 7 + F.col("isFraud") * 3000
+    prob = F.floor((m + 50) / 100) / F.lit(100.0)
     return led.select("row_id", F.col("isFraud").alias("y"), prob.alias("prob"))
 
 
 SCORES_SQL = """
 scores AS (
-  SELECT row_id, isFraud AS y, round(((row_id * 37) % 1000) / 1000e0 * 0.7e0 + isFraud * 0.3e0, 2) AS prob
+  SELECT row_id, isFraud AS y, floor((((row_id * 37) % 1000) * 7 + isFraud * 3000 + 50) / 100) / 100e0 AS prob
   FROM txn_ledger
 )"""
 
