@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.operators.ordered import running
+from riskflow.session import cut_lineage
 
 # Monitored features, bucket count, empty-bin share, thresholds.
 MONITORED = ["amount", "velocity", "merchant_risk"]
@@ -86,10 +87,12 @@ def psi_by_feature(reference: DataFrame, current: DataFrame, features: list[str]
                    buckets: int = BUCKETS) -> DataFrame:
     """(feature, psi) for the features present in both inputs."""
     feats = [f for f in (features or MONITORED) if f in reference.columns and f in current.columns]
-    ref = long_form(reference, feats).withColumn("sample", F.lit("e"))
-    cur = long_form(current, feats).withColumn("sample", F.lit("a"))
-    edges = bin_edges(ref, buckets)   # one row per feature: broadcast-safe
-    both = ref.unionByName(cur).join(F.broadcast(edges), "feature")
+    lf = long_form(reference, feats).withColumn("sample", F.lit("e")).unionByName(
+        long_form(current, feats).withColumn("sample", F.lit("a")))
+    # narrow (feature, value, sample) table, read three times below: materialise once
+    lf = cut_lineage(lf)
+    edges = bin_edges(lf.filter(F.col("sample") == "e"), buckets)   # one row per feature: broadcast-safe
+    both = lf.join(F.broadcast(edges), "feature")
     both = both.select("feature", "sample",
                        F.size(F.filter("inner", lambda e: e <= F.col("value"))).alias("bin"))
     cnt = both.groupBy("feature", "sample", "bin").agg(F.count(F.lit(1)).alias("c"))
