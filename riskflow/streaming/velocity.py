@@ -55,7 +55,9 @@ def parsed_events(decoded: DataFrame, watermark: str = WATERMARK) -> DataFrame:
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
     """Malformed JSON, missing required fields or negative amounts, with the error text."""
-    err = (F.when(F.col("data").isNull(), F.lit("Malformed JSON"))
+    # from_json yields an all-null struct (not a null struct) for malformed text
+    malformed = F.col("data").isNull() | F.coalesce(*[F.col(f"data.{f.name}").cast("string") for f in TXN_EVENT.fields]).isNull()
+    err = (F.when(malformed, F.lit("Malformed JSON"))
            .when(F.col("data.card_id").isNull() | F.col("data.amount").isNull() | F.col("data.merchant_id").isNull(),
                  F.concat(F.lit("Missing fields: "), F.concat_ws(", ", *[
                      F.when(F.col(f"data.{c}").isNull(), F.lit(c)) for c in REQUIRED])))
