@@ -48,8 +48,8 @@ def quantile_probs(buckets: int = BUCKETS) -> list[float]:
     return [i * 100 / buckets / 100 for i in range(buckets + 1)]
 
 
-def exact_quantiles(long: DataFrame, probs: list[float]) -> DataFrame:
-    """(feature, i, q) : NumPy-linear percentile ``probs[i]`` of each feature's values."""
+def quantile_arrays(long: DataFrame, probs: list[float]) -> DataFrame:
+    """(feature, qs) : NumPy-linear percentiles ``probs`` of each feature's values, as one array."""
     spark = long.sparkSession
     dv = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
     dv = running(dv, ["feature"], [F.col("value")], [_value_block(F.col("value"))],
@@ -57,30 +57,36 @@ def exact_quantiles(long: DataFrame, probs: list[float]) -> DataFrame:
     n = dv.groupBy("feature").agg(F.sum("c").alias("n"))
     p = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "i int, p double")
     pos = n.crossJoin(F.broadcast(p)).select(
-        "feature", "i", ((F.col("n") - 1) * F.col("p")).alias("pos"))
-    pos = pos.select("feature", "i", "pos", (F.floor("pos") + 1).alias("k_lo"))
-    pos = pos.join(n, "feature").select(
-        "feature", "i", "pos", "k_lo", F.least(F.col("k_lo") + 1, F.col("n")).alias("k_hi"))
-    wanted = pos.select(F.col("feature").alias("_wf"), "i", F.col("k_lo").alias("k"), F.lit("lo").alias("side")) \
-        .unionByName(pos.select(F.col("feature").alias("_wf"), "i", F.col("k_hi").alias("k"), F.lit("hi").alias("side")))
+        F.col("feature").alias("_wf"), "i", ((F.col("n") - 1) * F.col("p")).alias("pos"), "n")
+    lo = F.floor("pos") + 1
+    wanted = (pos.select("_wf", "i", "pos", lo.alias("k"), F.lit(0).alias("side"))
+              .unionByName(pos.select("_wf", "i", "pos", F.least(lo + 1, F.col("n")).alias("k"),
+                                      F.lit(1).alias("side"))))
     # `wanted` has 2 * len(probs) rows per feature: a proven small side.
     hit = dv.join(F.broadcast(wanted), (F.col("feature") == F.col("_wf"))
-                  & (F.col("k") > F.col("cum") - F.col("c")) & (F.col("k") <= F.col("cum")), "inner") \
-        .select("feature", "i", "side", "value")
-    piv = hit.groupBy("feature", "i").agg(F.max(F.when(F.col("side") == "lo", F.col("value"))).alias("lo"),
-                                          F.max(F.when(F.col("side") == "hi", F.col("value"))).alias("hi"))
-    g = pos.select("feature", "i", (F.col("pos") - F.floor("pos")).alias("d")).join(piv, ["feature", "i"])
-    diff = F.col("hi") - F.col("lo")
-    q = F.when(F.col("d") < 0.5, F.col("lo") + diff * F.col("d")).otherwise(F.col("hi") - diff * (1 - F.col("d")))
-    return g.select("feature", "i", q.alias("q"))
+                  & (F.col("k") > F.col("cum") - F.col("c")) & (F.col("k") <= F.col("cum")), "inner")
+    g = hit.groupBy("feature").agg(
+        F.array_sort(F.collect_list(F.struct("i", "side", "value", "pos"))).alias("_h"))
+
+    def q_at(i: int):
+        lo_v = F.element_at("_h", 2 * i + 1)["value"]
+        hi_v = F.element_at("_h", 2 * i + 2)["value"]
+        pos_i = F.element_at("_h", 2 * i + 1)["pos"]
+        d = pos_i - F.floor(pos_i)
+        diff = hi_v - lo_v
+        return F.when(d < 0.5, lo_v + diff * d).otherwise(hi_v - diff * (1 - d))
+    return g.select("feature", F.array(*[q_at(i) for i in range(len(probs))]).alias("qs"))
+
+
+def exact_quantiles(long: DataFrame, probs: list[float]) -> DataFrame:
+    """(feature, i, q) long form of :func:`quantile_arrays`."""
+    return quantile_arrays(long, probs).select("feature", F.posexplode("qs").alias("i", "q"))
 
 
 def bin_edges(reference_long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(feature, inner) : the ``buckets - 1`` inner edges per feature, ascending."""
-    q = exact_quantiles(reference_long, quantile_probs(buckets))
-    inner = q.filter((F.col("i") > 0) & (F.col("i") < buckets))
-    return inner.groupBy("feature").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("inner"))
+    q = quantile_arrays(reference_long, quantile_probs(buckets))
+    return q.select("feature", F.slice("qs", 2, buckets - 1).alias("inner"))
 
 
 def psi_by_feature(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
@@ -89,23 +95,26 @@ def psi_by_feature(reference: DataFrame, current: DataFrame, features: list[str]
     feats = [f for f in (features or MONITORED) if f in reference.columns and f in current.columns]
     lf = long_form(reference, feats).withColumn("sample", F.lit("e")).unionByName(
         long_form(current, feats).withColumn("sample", F.lit("a")))
-    # narrow (feature, value, sample) table, read three times below: materialise once
+    # narrow (feature, value, sample) table, read twice below: materialise once
     lf = cut_lineage(lf)
     edges = bin_edges(lf.filter(F.col("sample") == "e"), buckets)   # one row per feature: broadcast-safe
-    both = lf.join(F.broadcast(edges), "feature")
-    both = both.select("feature", "sample",
-                       F.size(F.filter("inner", lambda e: e <= F.col("value"))).alias("bin"))
+    both = lf.join(F.broadcast(edges), "feature").select(
+        "feature", "sample", F.size(F.filter("inner", lambda e: e <= F.col("value"))).alias("bin"))
     cnt = both.groupBy("feature", "sample", "bin").agg(F.count(F.lit(1)).alias("c"))
-    tot = both.groupBy("feature", "sample").agg(F.count(F.lit(1)).alias("n"))
-    grid = edges.select("feature", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bin"))
-    grid = grid.crossJoin(F.broadcast(tot.select("sample").distinct()))
-    share = (grid.join(cnt, ["feature", "sample", "bin"], "left").join(tot, ["feature", "sample"], "left")
-             .select("feature", "sample", "bin",
-                     (F.coalesce(F.col("c"), F.lit(0)) / F.col("n")).alias("s")))
-    share = share.withColumn("s", F.when(F.col("s") == 0, F.lit(EMPTY_SHARE)).otherwise(F.col("s")))
-    w = share.groupBy("feature", "bin").agg(F.max(F.when(F.col("sample") == "e", F.col("s"))).alias("e"),
-                                            F.max(F.when(F.col("sample") == "a", F.col("s"))).alias("a"))
-    return w.groupBy("feature").agg(F.sum((F.col("a") - F.col("e")) * F.log(F.col("a") / F.col("e"))).alias("psi"))
+    # at most 2 * buckets counts per feature: finish the formula in one grouped pass
+    per = cnt.groupBy("feature").agg(
+        F.map_from_entries(F.collect_list(F.struct(F.concat("sample", F.col("bin").cast("string")), "c")))
+        .alias("m"),
+        F.sum(F.when(F.col("sample") == "e", F.col("c"))).alias("ne"),
+        F.sum(F.when(F.col("sample") == "a", F.col("c"))).alias("na"))
+
+    def share(sample: str, b, n):
+        c = F.coalesce(F.element_at("m", F.concat(F.lit(sample), b.cast("string"))), F.lit(0))
+        return F.when(c == 0, F.lit(EMPTY_SHARE)).otherwise(c / n)
+    terms = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)),
+                        lambda b: (share("a", b, F.col("na")) - share("e", b, F.col("ne")))
+                        * F.log(share("a", b, F.col("na")) / share("e", b, F.col("ne"))))
+    return per.select("feature", F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x).alias("psi"))
 
 
 def drift_status(psi: DataFrame) -> DataFrame:

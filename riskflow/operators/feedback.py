@@ -37,20 +37,21 @@ RISK_CUTOFF = 0.2
 DEFAULT_BLOCK_ROWS = 50_000
 DEFAULT_WARMUP = 300
 
-_OUT = T.StructType([
-    T.StructField("_key", T.StringType()),
-    T.StructField("_fb", T.LongType()),
-    T.StructField("_pos", T.LongType()),
-    T.StructField("_ghost", T.IntegerType()),
-    T.StructField("_risk", T.DoubleType()),
-    T.StructField("_flag", T.IntegerType()),
-])
+HELPERS = ["_key", "_fb", "_pos", "_ghost", "_hi_risky", "_hi_safe"]
 
 
-def _make_fold(history: int, cutoff: float):
+def _out_schema(fields: list[T.StructField]) -> T.StructType:
+    return T.StructType(fields + [T.StructField("_ghost", T.IntegerType()),
+                                  T.StructField("_risk", T.DoubleType()),
+                                  T.StructField("_flag", T.IntegerType())])
+
+
+def _make_fold(history: int, cutoff: float, out_cols: list[str]):
+    """Fold one (merchant, block) group; rows travel whole so no join back is needed."""
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({c: pd.Series(dtype=object) for c in out_cols})
         if not (pdf["_ghost"] == 0).any():
-            return pd.DataFrame({c.name: pd.Series(dtype=object) for c in _OUT.fields})
+            return empty
         pdf = pdf.sort_values("_pos", kind="stable")
         init = pdf["_init"].iloc[0] if "_init" in pdf.columns else None
         hist: list[int] = []
@@ -58,8 +59,6 @@ def _make_fold(history: int, cutoff: float):
             hist = [1 if ch == "1" else 0 for ch in init][-history:]
         ones = sum(hist)
         head = 0  # ring start inside `hist` once it is full
-        pos = pdf["_pos"].to_numpy()
-        ghost = pdf["_ghost"].to_numpy()
         hr = pdf["_hi_risky"].to_numpy()
         hs = pdf["_hi_safe"].to_numpy()
         risk = [0.0] * len(pdf)
@@ -77,9 +76,8 @@ def _make_fold(history: int, cutoff: float):
                 hist[head] = f
                 head = (head + 1) % history
             ones += f
-        out = pd.DataFrame({"_key": pdf["_key"].to_numpy(), "_fb": pdf["_fb"].to_numpy(), "_pos": pos,
-                            "_ghost": ghost.astype("int32"), "_risk": risk, "_flag": flag})
-        out["_flag"] = out["_flag"].astype("int32")
+        out = pdf.assign(_risk=risk, _flag=pd.Series(flag, index=pdf.index, dtype="int32"),
+                         _ghost=pdf["_ghost"].astype("int32"))[out_cols]
         # keep real rows and only the ghost rows that form the assumed start state
         g = out[out["_ghost"] == 1]
         return pd.concat([out[out["_ghost"] == 0], g.tail(history)], ignore_index=True)
@@ -101,41 +99,48 @@ def feedback_fold(df: DataFrame, key: str, hi_risky: str, hi_safe: str,
     """Return ``df`` plus ``merchant_risk_online`` (double) and ``judged_high`` (int)."""
     if block_rows < history or warmup < history:
         raise ValueError("block_rows and warmup must be at least `history`")
-    spark = df.sparkSession
     d = running(df, [key], [F.col(c) for c in order], [time_block(F.col(order[0]), block_steps)],
                 position="_pos")
     d = d.withColumns({"_key": F.col(key).cast("string"),
-                       "_fb": F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("long")})
-    d = cut_lineage(d)
-    slim = d.select("_key", "_fb", "_pos", F.col(hi_risky).cast("boolean").alias("_hi_risky"),
-                    F.col(hi_safe).cast("boolean").alias("_hi_safe"))
-    ghosts = (slim.filter(((F.col("_pos") - 1) % block_rows) >= block_rows - warmup)
-              .withColumn("_fb", F.col("_fb") + 1))
-    rows = slim.withColumn("_ghost", F.lit(0)).unionByName(ghosts.withColumn("_ghost", F.lit(1)))
-    fold = _make_fold(history, cutoff)
-    res = rows.groupBy("_key", "_fb").applyInPandas(fold, _OUT)
-    res = cut_lineage(res)
-    used = _state_bits(res.filter("_ghost = 1"), ["_key", "_fb"])
-    real = res.filter("_ghost = 0").drop("_ghost")
+                       "_fb": F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("long"),
+                       "_hi_risky": F.col(hi_risky).cast("boolean"), "_hi_safe": F.col(hi_safe).cast("boolean"),
+                       "_ghost": F.lit(0)})
+    schema = _out_schema([f for f in d.schema.fields if f.name != "_ghost"])
+    out_cols = [f.name for f in schema.fields]
+    fold = _make_fold(history, cutoff, out_cols)
+
+    def finish(real: DataFrame) -> DataFrame:
+        return (real.withColumnRenamed("_risk", "merchant_risk_online").withColumnRenamed("_flag", "judged_high")
+                .drop(*HELPERS))
+
+    # Cheap pre-check (reads only the key column, partial aggregation): when no merchant
+    # has more than one block, every block starts from the true empty state.
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= block_rows:
+        return finish(d.groupBy("_key", "_fb").applyInPandas(fold, schema))
+
+    ghosts = (d.filter(((F.col("_pos") - 1) % block_rows) >= block_rows - warmup)
+              .withColumns({"_fb": F.col("_fb") + 1, "_ghost": F.lit(1)}))
+    res = cut_lineage(d.unionByName(ghosts).groupBy("_key", "_fb").applyInPandas(fold, schema))
+    used = _state_bits(res.filter("_ghost = 1").select("_key", "_fb", "_pos", "_flag"), ["_key", "_fb"])
+    real = res.filter("_ghost = 0")
 
     rounds = 0
     while True:
         tail = _state_bits(
             real.filter(((F.col("_pos") - 1) % block_rows) >= block_rows - history)
-                .withColumn("_fb", F.col("_fb") + 1), ["_key", "_fb"]).withColumnRenamed("_bits", "_true")
+                .select("_key", (F.col("_fb") + 1).alias("_fb"), "_pos", "_flag"), ["_key", "_fb"]) \
+            .withColumnRenamed("_bits", "_true")
         bad = (used.join(tail, ["_key", "_fb"], "inner").filter(F.col("_bits") != F.col("_true"))
                .select("_key", "_fb", F.col("_true").alias("_init")))
         bad = cut_lineage(bad)
         if bad.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
             break
         rounds += 1
-        redo = (slim.join(bad, ["_key", "_fb"], "inner").withColumn("_ghost", F.lit(0)))
-        fixed = redo.groupBy("_key", "_fb").applyInPandas(fold, _OUT).drop("_ghost")
+        redo = d.join(bad, ["_key", "_fb"], "inner")
+        fixed = redo.groupBy("_key", "_fb").applyInPandas(fold, schema)
         real = cut_lineage(real.join(bad.select("_key", "_fb"), ["_key", "_fb"], "left_anti")
                            .unionByName(fixed))
         used = cut_lineage(used.join(bad.select("_key", "_fb"), ["_key", "_fb"], "left_anti")
                            .unionByName(bad.select("_key", "_fb", F.col("_init").alias("_bits"))))
-
-    out = d.join(real.select("_key", "_pos", F.col("_risk").alias("merchant_risk_online"),
-                             F.col("_flag").alias("judged_high")), ["_key", "_pos"], "inner")
-    return out.drop("_key", "_fb", "_pos")
+    return finish(real)

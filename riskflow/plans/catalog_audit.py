@@ -212,3 +212,24 @@ query("A2_velocity_5m", sql=_vel_sql("5 minutes", "5m", ", count(DISTINCT mercha
     _vel("5m"))
 query("A3_velocity_1h", sql=_vel_sql("1 hour", "1h", ", round(max(amount), 6) AS amount_max_1h, "
                                      "count(DISTINCT merchant_id) AS unique_merchants_1h"))(_vel("1h"))
+
+
+@query("F20_round4_scores", sql=audit_sql("""
+SELECT transaction_id, behavioral_score, final_risk_score, ml_probability FROM records"""))
+def q_f20(spark, sf):
+    return records_with_step(spark, sf).select("transaction_id", "behavioral_score", "final_risk_score",
+                                               "ml_probability")
+
+
+@query("F27_json_metadata", sql=audit_sql("""
+SELECT transaction_id, coalesce(nameOrig, 'UNKNOWN') AS nameOrig, coalesce(nameDest, 'UNKNOWN') AS nameDest,
+       type, reasons_text FROM records"""))
+def q_f27(spark, sf):
+    rec = records_with_step(spark, sf)
+    js = F.to_json("reasons")                                   # stored as JSON text
+    back = F.from_json(js, "array<string>")                     # decoded on read
+    return rec.select("transaction_id",
+                      F.coalesce(F.get_json_object("metadata", "$.nameOrig"), F.lit("UNKNOWN")).alias("nameOrig"),
+                      F.coalesce(F.get_json_object("metadata", "$.nameDest"), F.lit("UNKNOWN")).alias("nameDest"),
+                      F.get_json_object("metadata", "$.type").alias("type"),
+                      F.array_join(back, "|").alias("reasons_text"))

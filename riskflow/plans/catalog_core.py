@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import scored_ledger_ctes
-from riskflow.sources.views import txn_ledger, with_sql
+from riskflow.sources.views import ML_PROB_SQL, ml_prob_standin, txn_ledger, with_sql
 from riskflow.operators.scoring import score_transactions
 
 
@@ -31,3 +31,22 @@ def q_w12(spark: SparkSession, sf_dir: str) -> DataFrame:
                     r6("final_risk_score"), "risk_level", "action", "confidence_score",
                     F.array_join("indicators", "|").alias("indicators_text"),
                     F.array_join("reasons", "|").alias("reasons_text"), "pattern_summary")
+
+
+# F14/F17/F18/F19 are columns of the same scoring plan
+for _name in ["F14_heuristic_score", "F17_indicators", "F18_reasons_summary", "F19_confidence_score"]:
+    query(_name, sql=with_sql(*scored_ledger_ctes(), body=SCORED_COLS_SQL, recursive=True))(q_w12)
+
+
+HYBRID_SQL = with_sql(*scored_ledger_ctes(ml_prob=ML_PROB_SQL), body=SCORED_COLS_SQL.replace(
+    "SELECT row_id,", "SELECT row_id, 'Hybrid' AS scoring_mode,"), recursive=True)
+
+
+@query("F15_hybrid_scoring", sql=HYBRID_SQL)
+def q_f15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    led = txn_ledger(spark, sf_dir).withColumn("ml_prob", ml_prob_standin(F.col("row_id")))
+    d = score_transactions(led, ml_prob="ml_prob")
+    return d.select("row_id", "scoring_mode", "nameOrig", "nameDest", "burst", r6("merchant_risk"),
+                    r6("behavioral_score"), r6("final_risk_score"), "risk_level", "action", "confidence_score",
+                    F.array_join("indicators", "|").alias("indicators_text"),
+                    F.array_join("reasons", "|").alias("reasons_text"), "pattern_summary")

@@ -33,4 +33,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the catalog modules registers their queries
-    from riskflow.plans import catalog_analytics, catalog_audit, catalog_core, catalog_features, catalog_models, catalog_sequences  # noqa: F401
+    from riskflow.plans import catalog_analytics, catalog_audit, catalog_core, catalog_features, catalog_models, catalog_sequences, catalog_streams  # noqa: F401
