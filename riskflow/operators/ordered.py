@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskflow.session import cut_lineage
+
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
 
@@ -30,6 +32,29 @@ def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataF
     return out.drop(*[f"__r_{c}" for c in cols])
 
 
+def _non_null(df: DataFrame, col: Column | str, name: str) -> tuple[DataFrame, list[str]]:
+    """Replace a grouping column by (isnull flag, value-or-default) so plain equi-joins keep nulls.
+
+    Plain equality lets the join reuse the existing hash partitioning; a null-safe
+    ``<=>`` join would re-shuffle both sides on derived expressions.
+    """
+    c = F.col(col) if isinstance(col, str) else col
+    d = df.withColumn(f"{name}_v", c)
+    dt = d.schema[f"{name}_v"].dataType.simpleString()
+    if dt == "string":
+        default = F.lit("")
+    elif dt in ("boolean",):
+        default = F.lit(False)
+    elif dt in ("tinyint", "smallint", "int", "bigint", "float", "double") or dt.startswith("decimal"):
+        default = F.lit(0).cast(dt)
+    else:
+        d = d.withColumn(f"{name}_v", F.col(f"{name}_v").cast("string"))
+        default = F.lit("")
+    d = d.withColumns({f"{name}_n": F.col(f"{name}_v").isNull(),
+                       f"{name}_v": F.coalesce(F.col(f"{name}_v"), default)})
+    return d, [f"{name}_n", f"{name}_v"]
+
+
 def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Column],
             sums: dict[str, Column] | None = None, position: str | None = "_pos",
             lag_of: Column | None = None, lag_names: tuple[str, str] = ("_lag1", "_lag2"),
@@ -40,13 +65,22 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
     before rows of a later block within the same key).
     """
     sums = sums or {}
-    bn = [f"_blk{i}" for i in range(len(block))]
-    d = df.withColumns({n: b for n, b in zip(bn, block)})
+    d = df
+    kcols: list[str] = []
+    for i, k in enumerate(keys):
+        d, kc = _non_null(d, k, f"_k{i}")
+        kcols += kc
+    bcols: list[str] = []
+    border: list[Column] = []
+    for i, b in enumerate(block):
+        d, bc = _non_null(d, b, f"_blk{i}")
+        bcols += bc
+        border += [F.col(bc[0]).desc(), F.col(bc[1])]      # nulls first, as in the row order
     if sums:
         d = d.withColumns({f"_sv_{n}": c for n, c in sums.items()})
     if lag_of is not None:
         d = d.withColumn("_lagsrc", lag_of)
-    w = Window.partitionBy(*keys, *bn).orderBy(*order)
+    w = Window.partitionBy(*kcols, *bcols).orderBy(*order)
     run = w.rowsBetween(UNB, CUR)
     cols = {"_rn": F.row_number().over(w)}
     for n in sums:
@@ -56,12 +90,16 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
         cols["_il2"] = F.lag("_lagsrc", 2).over(w)
     d = d.withColumns(cols)
 
+    # The rows feed both the block summary and the final join; materialise them once
+    # (reliable checkpoint into spark.checkpoint.dir) instead of recomputing the
+    # upstream plan and the (key, block) shuffle for the summary branch.
+    d = cut_lineage(d)
     aggs = [F.max("_rn").alias("_bc")]
     aggs += [F.sum(f"_sv_{n}").alias(f"_bt_{n}") for n in sums]
     if lag_of is not None:
         aggs += [F.max_by("_lagsrc", "_rn").alias("_last1"), F.max_by("_il1", "_rn").alias("_last2")]
-    summ = d.groupBy(*keys, *bn).agg(*aggs)
-    ws = Window.partitionBy(*keys).orderBy(*bn)
+    summ = d.groupBy(*kcols, *bcols).agg(*aggs)
+    ws = Window.partitionBy(*kcols).orderBy(*border)
     before = ws.rowsBetween(UNB, -1)
     off = {"_oc": F.coalesce(F.sum("_bc").over(before), F.lit(0))}
     for n in sums:
@@ -70,9 +108,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
         off["_pl1"] = F.lag("_last1", 1).over(ws)
         off["_pl2"] = F.when(F.lag("_bc", 1).over(ws) >= 2, F.lag("_last2", 1).over(ws)) \
                        .otherwise(F.lag("_last1", 2).over(ws))
-    summ = summ.select(*keys, *bn, *[c.alias(n) for n, c in off.items()])
+    summ = summ.select(*kcols, *bcols, *[c.alias(n) for n, c in off.items()])
 
-    d = _null_safe_join(d, summ, [*keys, *bn])
+    d = d.join(summ, [*kcols, *bcols], "inner")
     out = {}
     if position:
         out[position] = (F.col("_oc") + F.col("_rn")).cast("long")
@@ -83,9 +121,9 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
         out[lag_names[1]] = (F.when(F.col("_rn") >= 3, F.col("_il2"))
                              .when(F.col("_rn") == 2, F.col("_pl1")).otherwise(F.col("_pl2")))
     d = d.withColumns(out)
-    temps = [c for c in d.columns if c.startswith("_blk") or c.startswith("_sv_") or c.startswith("_rs_")
-             or c.startswith("_ot_") or c in ("_rn", "_oc", "_bc", "_lagsrc", "_il1", "_il2", "_pl1", "_pl2")]
-    return d.drop(*temps)
+    temps = [c for c in d.columns if c.startswith(("_blk", "_k", "_sv_", "_rs_", "_ot_"))
+             or c in ("_rn", "_oc", "_bc", "_lagsrc", "_il1", "_il2", "_pl1", "_pl2")]
+    return d.drop(*[t for t in temps if t not in df.columns])
 
 
 def time_block(step: Column, width: int) -> Column:
