@@ -40,8 +40,8 @@ def long_form(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _value_block(v: Column) -> Column:
-    """Monotone bucket of a double (sign * 16 * log2(1+|v|)), for blocked running counts."""
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 16)).cast("long")
+    """Monotone bucket of a double (256 buckets per octave of |v|, signed), for blocked running counts."""
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 256)).cast("long")
 
 
 def quantile_probs(buckets: int = BUCKETS) -> list[float]:

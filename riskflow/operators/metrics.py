@@ -18,7 +18,7 @@ PRECISION_RANGE = (0.70, 0.85)
 F1_EPS = 1e-8
 DEFAULT_THRESHOLD = 0.5
 THRESHOLD_CAP = 0.8
-SCORE_BUCKETS = 1024
+SCORE_BUCKETS = 65536
 
 
 def class_balance(df: DataFrame, y: str = "y") -> DataFrame:

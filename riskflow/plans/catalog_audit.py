@@ -9,6 +9,7 @@ from riskflow.operators import audit as AU
 from riskflow.operators import velocity as VE
 from riskflow.operators.scoring import score_transactions
 from riskflow.plans.registry import query
+from riskflow.session import cut_lineage
 from riskflow.plans.sqlparts import scored_ledger_ctes
 from riskflow.sources.views import EVENT_SQL, step_time, txn_event, txn_ledger, with_sql
 
@@ -17,8 +18,9 @@ OVERLAP_STEPS = 24 * 30     # the next batch re-sends 30 days
 
 
 def records_with_step(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored records table: scored ledger, materialised once (read by several branches)."""
     scored = score_transactions(txn_ledger(spark, sf))
-    return AU.to_records(scored, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id")))
+    return cut_lineage(AU.to_records(scored, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id"))))
 
 
 RECORDS_SQL = """

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,15 @@ HISTORY = 100
 RISK_CUTOFF = 0.2
 
 
+def _one_frame(pdfs: Iterator[pd.DataFrame], order_cols) -> pd.DataFrame:
+    """All rows of the key in this micro-batch, in processing order (cheap for the common 1-row case)."""
+    chunks = list(pdfs)
+    pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
+    if len(pdf) > 1:
+        pdf = pdf.sort_values(list(order_cols), kind="stable")
+    return pdf
+
+
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType(list(schema.fields) + list(fields))
 
@@ -35,12 +45,10 @@ def user_state(stream: DataFrame, prob: str | None = None, order_cols: tuple[str
     """W10/W11 with keyed state: adds ``burst`` and ``historical_risk_score``."""
     out_schema = _with(stream.schema, T.StructField("burst", T.IntegerType()),
                        T.StructField("historical_risk_score", T.DoubleType()))
-    cols = [f.name for f in stream.schema.fields]
-
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         hist: list[float] = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order_cols), kind="stable")
-        probs = pdf[prob].fillna(0.0).to_numpy() if prob else [0.0] * len(pdf)
+        pdf = _one_frame(pdfs, order_cols)
+        probs = pdf[prob].fillna(0.0).tolist() if prob else [0.0] * len(pdf)
         burst, score = [], []
         for p in probs:
             burst.append(len(hist))
@@ -49,10 +57,7 @@ def user_state(stream: DataFrame, prob: str | None = None, order_cols: tuple[str
             if len(hist) > history:
                 hist.pop(0)
         state.update((hist,))
-        out = pdf[cols].copy()
-        out["burst"] = pd.Series(burst, dtype="int32").to_numpy()
-        out["historical_risk_score"] = score
-        yield out
+        yield pdf.assign(burst=np.asarray(burst, dtype="int32"), historical_risk_score=score)
 
     return stream.groupBy("nameOrig").applyInPandasWithState(
         fn, out_schema, T.StructType([T.StructField("h", T.ArrayType(T.DoubleType()))]),
@@ -65,13 +70,11 @@ def merchant_state(stream: DataFrame, hi_risky: str = "_hi_r", hi_safe: str = "_
     """W12 with keyed state: adds ``merchant_risk`` from the merchant's last verdicts, then records this one."""
     out_schema = _with(stream.schema, T.StructField("merchant_risk", T.DoubleType()),
                        T.StructField("judged_high", T.IntegerType()))
-    cols = [f.name for f in stream.schema.fields]
-
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flags: list[int] = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(pdfs), ignore_index=True).sort_values(list(order_cols), kind="stable")
+        pdf = _one_frame(pdfs, order_cols)
         risk, judged = [], []
-        for hr, hs in zip(pdf[hi_risky].to_numpy(), pdf[hi_safe].to_numpy()):
+        for hr, hs in zip(pdf[hi_risky].tolist(), pdf[hi_safe].tolist()):
             r = sum(flags) / len(flags) if flags else 0.0
             f = int(hr) if r > cutoff else int(hs)
             risk.append(r)
@@ -80,10 +83,7 @@ def merchant_state(stream: DataFrame, hi_risky: str = "_hi_r", hi_safe: str = "_
             if len(flags) > history:
                 flags.pop(0)
         state.update((flags,))
-        out = pdf[cols].copy()
-        out["merchant_risk"] = risk
-        out["judged_high"] = pd.Series(judged, dtype="int32").to_numpy()
-        yield out
+        yield pdf.assign(merchant_risk=risk, judged_high=np.asarray(judged, dtype="int32"))
 
     return stream.groupBy("nameDest").applyInPandasWithState(
         fn, out_schema, T.StructType([T.StructField("f", T.ArrayType(T.IntegerType()))]),
@@ -169,22 +169,28 @@ def start_scoring(spark, source: DataFrame, stage_path: str, checkpoint_dir: str
 
 
 def audit_writer(records_path: str, alerts_path: str, logs_path: str, to_records):
-    """foreachBatch body for S7-S9: dedup against the stored records, then append all three tables."""
+    """foreachBatch body for S7-S9, idempotent per micro-batch.
+
+    Each epoch writes its own ``epoch=<id>`` partition with overwrite, and
+    deduplicates only against earlier epochs, so a retried batch (e.g. after an
+    executor or driver failure between the three writes) rewrites exactly the
+    same rows instead of losing alerts or duplicating records.
+    """
     from riskflow.operators import audit as AU
+    from riskflow.session import cut_lineage
 
     def write(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         rec = to_records(batch)
         try:
-            existing = spark.read.parquet(records_path).select("transaction_id")
+            existing = (spark.read.parquet(records_path).filter(F.col("epoch") < epoch_id)
+                        .select("transaction_id"))
         except Exception:  # noqa: BLE001 - first batch: nothing stored yet
             existing = None
-        new = AU.append_records(rec, existing)
-        # materialise once (reliable checkpoint) so the three writes see the same rows
-        from riskflow.session import cut_lineage
-        new = cut_lineage(new)
-        new.write.mode("append").parquet(records_path)
-        AU.alerts_of(new).write.mode("append").parquet(alerts_path)
-        AU.behavioral_logs(new).write.mode("append").parquet(logs_path)
+        new = cut_lineage(AU.append_records(rec, existing))   # the three writes see the same rows
+        part = f"epoch={epoch_id}"
+        new.write.mode("overwrite").parquet(f"{records_path}/{part}")
+        AU.alerts_of(new).write.mode("overwrite").parquet(f"{alerts_path}/{part}")
+        AU.behavioral_logs(new).write.mode("overwrite").parquet(f"{logs_path}/{part}")
 
     return write
