@@ -44,12 +44,18 @@ def _any_contains(text: Column, words: list[str]) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    """F1/F2: first number (commas removed) times its suffix; 0.0 if none or unparsable."""
-    value = _number(F.regexp_extract(text, AMOUNT_RE, 1))
-    suffix = F.regexp_extract(text, AMOUNT_RE, 2)
-    mult = F.lit(1.0)
-    for s, m in SUFFIX_MULTIPLIER.items():
-        mult = F.when(suffix == s, F.lit(m)).otherwise(mult)
+    """F1/F2: first number (commas removed) times its suffix; 0.0 if none or unparsable.
+
+    The unanchored search runs once (``regexp_substr``); the number and the
+    suffix are then read from that short match.  The optional currency prefix
+    holds no digits or commas, so the number in the match is the pattern's
+    first group, and a suffix can only sit at the end of the match.
+    """
+    whole = F.regexp_substr(text, F.lit(AMOUNT_RE))
+    value = _number(F.regexp_extract(whole, r"[\d,]+(?:\.\d+)?", 0))
+    suffix = F.regexp_extract(whole, r"(k|lakh|million)$", 1)
+    mults = F.create_map(*[x for k, v in SUFFIX_MULTIPLIER.items() for x in (F.lit(k), F.lit(v))])
+    mult = F.coalesce(F.try_element_at(mults, suffix), F.lit(1.0))
     return F.coalesce(value * mult, F.lit(0.0))
 
 

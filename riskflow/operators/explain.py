@@ -31,7 +31,7 @@ TOP_N = 5
 def reason_text(feature: Column, contribution: Column) -> Column:
     """reason for a feature, only for positive contributions."""
     m = F.create_map(*[x for k, v in REASON_CODES.items() for x in (F.lit(k), F.lit(v))])
-    return F.when(contribution > 0, F.coalesce(F.element_at(m, feature), F.lit(DEFAULT_REASON)))
+    return F.when(contribution > 0, F.coalesce(F.try_element_at(m, feature), F.lit(DEFAULT_REASON)))
 
 
 def linear_contributions(df: DataFrame, coef: dict[str, float], means: dict[str, float] | DataFrame) -> Column:
