@@ -18,7 +18,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.session import cut_lineage
 
 UNB = Window.unboundedPreceding
 CUR = Window.currentRow
@@ -80,6 +79,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
         d = d.withColumns({f"_sv_{n}": c for n, c in sums.items()})
     if lag_of is not None:
         d = d.withColumn("_lagsrc", lag_of)
+    pre = d
     w = Window.partitionBy(*kcols, *bcols).orderBy(*order)
     run = w.rowsBetween(UNB, CUR)
     cols = {"_rn": F.row_number().over(w)}
@@ -90,15 +90,17 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
         cols["_il2"] = F.lag("_lagsrc", 2).over(w)
     d = d.withColumns(cols)
 
-    # The rows feed both the block summary and the final join; materialise them once
-    # (reliable checkpoint into spark.checkpoint.dir) instead of recomputing the
-    # upstream plan and the (key, block) shuffle for the summary branch.
-    d = cut_lineage(d)
-    aggs = [F.max("_rn").alias("_bc")]
-    aggs += [F.sum(f"_sv_{n}").alias(f"_bt_{n}") for n in sums]
-    if lag_of is not None:
+    # Block summary.  Without lags it is aggregated from the input rows: that branch
+    # reads only the key, block and summed columns and combines map-side, so its
+    # shuffle is one small row per (key, block) and map task.  Lags need the last two
+    # rows of each block, which come from the windowed rows.
+    if lag_of is None:
+        aggs = [F.count(F.lit(1)).alias("_bc")] + [F.sum(f"_sv_{n}").alias(f"_bt_{n}") for n in sums]
+        summ = pre.groupBy(*kcols, *bcols).agg(*aggs)
+    else:
+        aggs = [F.max("_rn").alias("_bc")] + [F.sum(f"_sv_{n}").alias(f"_bt_{n}") for n in sums]
         aggs += [F.max_by("_lagsrc", "_rn").alias("_last1"), F.max_by("_il1", "_rn").alias("_last2")]
-    summ = d.groupBy(*kcols, *bcols).agg(*aggs)
+        summ = d.groupBy(*kcols, *bcols).agg(*aggs)
     ws = Window.partitionBy(*kcols).orderBy(*border)
     before = ws.rowsBetween(UNB, -1)
     off = {"_oc": F.coalesce(F.sum("_bc").over(before), F.lit(0))}
