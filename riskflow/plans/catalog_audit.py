@@ -119,9 +119,10 @@ def q_j1(spark, sf):
     return _alerts_out(AU.fetch_alerts(AU.alerts_of(rec), rec, 50))
 
 
-query("L2_alerts_capped", sql=audit_sql(J1_BODY))(
-    lambda spark, sf: _alerts_out(AU.fetch_alerts(AU.alerts_of(records_with_step(spark, sf)),
-                                                  records_with_step(spark, sf), 500)))
+@query("L2_alerts_capped", sql=audit_sql(J1_BODY))
+def q_l2(spark, sf):
+    rec = records_with_step(spark, sf)
+    return _alerts_out(AU.fetch_alerts(AU.alerts_of(rec), rec, 500))   # asks for 500, gets the cap of 50
 
 
 @query("J2_alerts_left_lookup", sql=audit_sql(J1_BODY))
