@@ -14,9 +14,12 @@ DRIFT_CUTOFF_STEP = 28000
 DRIFT_FACTOR = 1.5
 
 
-def drift_frames(spark: SparkSession, sf: str, drifting: bool = False) -> tuple[DataFrame, DataFrame]:
+def drift_frames(spark: SparkSession, sf: str, drifting: bool = False,
+                 with_features: bool = True) -> tuple[DataFrame, DataFrame]:
     led = txn_ledger(spark, sf)
-    feats = FE.merchant_features(led.withColumn("velocity", F.try_divide(F.col("amount"), F.col("oldbalanceOrg") + 1)))
+    feats = led.withColumn("velocity", F.try_divide(F.col("amount"), F.col("oldbalanceOrg") + 1))
+    if with_features:
+        feats = FE.merchant_features(feats)
     ref = feats.filter(F.col("step") < DRIFT_CUTOFF_STEP)
     cur = feats.filter(F.col("step") >= DRIFT_CUTOFF_STEP)
     if drifting:
@@ -152,7 +155,7 @@ SELECT round(e1, 6) AS rate_reference, round(a1, 6) AS rate_current, round(a1 -
        round(((1 - a1) - (1 - e1)) * ln((1 - a1) / (1 - e1)) + (a1 - e1) * ln(a1 / e1), 6) AS target_psi
 FROM r"""))
 def q_a20(spark, sf):
-    ref, cur = drift_frames(spark, sf, False)
+    ref, cur = drift_frames(spark, sf, False, with_features=False)
     t = DR.target_drift(ref, cur)
     return t.select(*[F.round(c, 6).alias(c) for c in t.columns])
 
@@ -166,7 +169,7 @@ sh AS (
 SELECT 'type' AS feature, round(sum((CASE WHEN a = 0 THEN 1e-8 ELSE a END - CASE WHEN e = 0 THEN 1e-8 ELSE e END)
        * ln(CASE WHEN a = 0 THEN 1e-8 ELSE a END / CASE WHEN e = 0 THEN 1e-8 ELSE e END)), 6) AS psi FROM sh"""))
 def q_a21(spark, sf):
-    ref, cur = drift_frames(spark, sf, False)
+    ref, cur = drift_frames(spark, sf, False, with_features=False)
     return DR.category_psi(ref, cur, "type").select("feature", F.round("psi", 6).alias("psi"))
 
 
