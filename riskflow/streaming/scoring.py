@@ -40,12 +40,22 @@ def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType(list(schema.fields) + list(fields))
 
 
+def _timeout_conf(idle_timeout_ms: int | None) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
+
+
 def user_state(stream: DataFrame, prob: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
-               history: int = HISTORY) -> DataFrame:
-    """W10/W11 with keyed state: adds ``burst`` and ``historical_risk_score``."""
+               history: int = HISTORY, idle_timeout_ms: int | None = None) -> DataFrame:
+    """W10/W11 with keyed state: adds ``burst`` and ``historical_risk_score``.
+
+    ``idle_timeout_ms`` drops the history of users idle that long (default: kept forever).
+    """
     out_schema = _with(stream.schema, T.StructField("burst", T.IntegerType()),
                        T.StructField("historical_risk_score", T.DoubleType()))
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         hist: list[float] = list(state.get[0]) if state.exists else []
         pdf = _one_frame(pdfs, order_cols)
         probs = pdf[prob].fillna(0.0).tolist() if prob else [0.0] * len(pdf)
@@ -57,20 +67,25 @@ def user_state(stream: DataFrame, prob: str | None = None, order_cols: tuple[str
             if len(hist) > history:
                 hist.pop(0)
         state.update((hist,))
+        if idle_timeout_ms:
+            state.setTimeoutDuration(idle_timeout_ms)
         yield pdf.assign(burst=np.asarray(burst, dtype="int32"), historical_risk_score=score)
 
     return stream.groupBy("nameOrig").applyInPandasWithState(
         fn, out_schema, T.StructType([T.StructField("h", T.ArrayType(T.DoubleType()))]),
-        "append", GroupStateTimeout.NoTimeout)
+        "append", _timeout_conf(idle_timeout_ms))
 
 
 def merchant_state(stream: DataFrame, hi_risky: str = "_hi_r", hi_safe: str = "_hi_s",
                    order_cols: tuple[str, ...] = ("step", "row_id"), history: int = HISTORY,
-                   cutoff: float = RISK_CUTOFF) -> DataFrame:
+                   cutoff: float = RISK_CUTOFF, idle_timeout_ms: int | None = None) -> DataFrame:
     """W12 with keyed state: adds ``merchant_risk`` from the merchant's last verdicts, then records this one."""
     out_schema = _with(stream.schema, T.StructField("merchant_risk", T.DoubleType()),
                        T.StructField("judged_high", T.IntegerType()))
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         flags: list[int] = list(state.get[0]) if state.exists else []
         pdf = _one_frame(pdfs, order_cols)
         risk, judged = [], []
@@ -83,11 +98,13 @@ def merchant_state(stream: DataFrame, hi_risky: str = "_hi_r", hi_safe: str = "_
             if len(flags) > history:
                 flags.pop(0)
         state.update((flags,))
+        if idle_timeout_ms:
+            state.setTimeoutDuration(idle_timeout_ms)
         yield pdf.assign(merchant_risk=risk, judged_high=np.asarray(judged, dtype="int32"))
 
     return stream.groupBy("nameDest").applyInPandasWithState(
         fn, out_schema, T.StructType([T.StructField("f", T.ArrayType(T.IntegerType()))]),
-        "append", GroupStateTimeout.NoTimeout)
+        "append", _timeout_conf(idle_timeout_ms))
 
 
 def verdict_inputs(df: DataFrame, prob: str | None = None, intents: str | None = None,
@@ -126,21 +143,24 @@ def finish_scores(df: DataFrame, prob: str | None = None, intents: str | None =
 
 
 def user_stage(stream: DataFrame, prob: str | None = None, intents: str | None = None,
-               night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id")) -> DataFrame:
+               night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
+               idle_timeout_ms: int | None = None) -> DataFrame:
     """T9 part 1: user state, then the two candidate verdicts per row."""
-    return verdict_inputs(user_state(stream, prob, order_cols), prob, intents, night)
+    return verdict_inputs(user_state(stream, prob, order_cols, idle_timeout_ms=idle_timeout_ms), prob, intents, night)
 
 
 def merchant_stage(stream: DataFrame, prob: str | None = None, intents: str | None = None,
-                   night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id")) -> DataFrame:
+                   night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
+                   idle_timeout_ms: int | None = None) -> DataFrame:
     """T9 part 2: merchant state (feedback), then the final scores."""
-    return finish_scores(merchant_state(stream, order_cols=order_cols), prob, intents, night)
+    return finish_scores(merchant_state(stream, order_cols=order_cols, idle_timeout_ms=idle_timeout_ms),
+                         prob, intents, night)
 
 
 def start_scoring(spark, source: DataFrame, stage_path: str, checkpoint_dir: str, sink=None,
                   out_path: str | None = None, prob: str | None = None, intents: str | None = None,
                   night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
-                  available_now: bool = False, trigger: str = "30 seconds"):
+                  available_now: bool = False, trigger: str = "30 seconds", idle_timeout_ms: int | None = None):
     """Two chained queries (Spark allows one keyed-state operator per query).
 
     Query 1 writes user-enriched rows to ``stage_path``; query 2 streams them
@@ -151,13 +171,18 @@ def start_scoring(spark, source: DataFrame, stage_path: str, checkpoint_dir: str
     def trig(w):
         return w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
 
-    stage = user_stage(source, prob, intents, night, order_cols)
+    if available_now:
+        # a processing-time state timeout keeps an availableNow query from finishing;
+        # bounded replays (tests, backfills) keep all state instead
+        idle_timeout_ms = None
+
+    stage = user_stage(source, prob, intents, night, order_cols, idle_timeout_ms)
     q1 = trig(stage.writeStream.format("parquet").outputMode("append")
               .option("checkpointLocation", f"{checkpoint_dir}/user_stage")).start(stage_path)
     if available_now:
         q1.awaitTermination()
     s2 = spark.readStream.schema(stage.schema).parquet(stage_path)
-    scored = merchant_stage(s2, prob, intents, night, order_cols)
+    scored = merchant_stage(s2, prob, intents, night, order_cols, idle_timeout_ms)
     w2 = scored.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint_dir}/merchant_stage")
     if sink is not None:
         q2 = trig(w2.foreachBatch(sink)).start()

@@ -98,3 +98,9 @@ def test_audit_sink_is_idempotent(spark, scratch):
     high = scored.filter("risk_level = 'High'").count()
     assert spark.read.parquet(f"{scratch}/al").count() == high
     assert spark.read.parquet(f"{scratch}/log").count() == 200
+
+
+def test_idle_timeout_config():
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    assert SS._timeout_conf(None) == GroupStateTimeout.NoTimeout
+    assert SS._timeout_conf(3_600_000) == GroupStateTimeout.ProcessingTimeTimeout
