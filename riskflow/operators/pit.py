@@ -10,7 +10,7 @@ summary carries it across days.  A hot key is split by day.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.operators.ordered import UNB, CUR, _null_safe_join

@@ -1,7 +1,6 @@
 """Registered queries: behavioural features, row features, parser, projections."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskflow.functions import parse as P
