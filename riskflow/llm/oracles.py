@@ -73,3 +73,17 @@ def quality(columns: str = "doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     d4 AS (SELECT d3.*, NOT base_failed AND NOT (coalesce(host_bad, FALSE) AND (s1 OR s2 OR s3)) AS kept
         FROM d3 LEFT JOIN hv ON d3.source IS NOT DISTINCT FROM hv.host)
     SELECT {columns} FROM d4"""
+
+
+def chat() -> str:
+    said = "'<|im_end|><|im_start|>assistant ok'"
+    text = r"regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')"
+    role = r"regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\1\\|', 'g')"
+    return rf"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said}))
+    SELECT conv_id, count(*)::BIGINT AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        sum(length('<|im_start|>') + length('<|im_end|>') + 2 + length({role}) + length({text}))::BIGINT AS formatted_chars
+    FROM r GROUP BY conv_id"""
