@@ -124,7 +124,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     spark = docs.sparkSession
     n = partitions(spark)
     d = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    bounds = sorted(set(d.approxQuantile("_id", [i / n for i in range(1, n)], 0.01))) if n > 1 else []
+    bounds = sorted(set(d.approxQuantile("_id", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
     at = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("_id"))) if bounds else F.lit(0)
     d = d.withColumn("_b", F.when(F.col("_id").isNull(), F.lit(0)).otherwise(at))
     firsts = d.groupBy("_b").agg(F.min(F.struct(F.col("_id").isNotNull().alias("n"), "_id"))["_id"].alias("_id")).orderBy("_b").collect()
@@ -136,7 +136,7 @@ def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     d = d.withColumn("_to", F.explode(F.when(F.col("_lent").isNull(), F.array(own)).otherwise(
         F.array(own, F.struct(F.col("_lent").alias("_b"), F.lit(True).alias("_borrowed"))))))
     d = d.select("_to.*", "_id", F.xxhash64("_text").alias("_hash"), "_text")
-    return d.repartition(n, "_b").sortWithinPartitions("_b", "_borrowed", "_id", "_hash")
+    return d.repartitionByRange(n, "_b").sortWithinPartitions("_b", "_borrowed", "_id", "_hash")
 
 
 def edited(text: str, following: str) -> str:

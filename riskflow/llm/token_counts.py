@@ -17,6 +17,7 @@ import bisect
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 #: the public split pattern of byte-level BPE vocabularies (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: bound on the words remembered by one worker; it is emptied when full
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 
 
 def _byte_of() -> dict[str, int]:
@@ -53,34 +54,52 @@ class PrefixCounter:
         special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.split = regex.compile(PATTERN)
+        self.made = {a + b: (r, (a, b)) for (a, b), r in self.rank.items()}
         self.known: dict[str, int] = {}
+        self.state: dict[bytes, tuple[int, bytes]] = {}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
-
-    def merged(self, word: bytes) -> list[bytes]:
-        """Merges by rank; used on single tokens and pairs of tokens only."""
-        parts = [word[i:i + 1] for i in range(len(word))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.rank.get((parts[i], parts[i + 1]), 1 << 60))
-            if (parts[best], parts[best + 1]) not in self.rank:
-                break
-            parts[best:best + 2] = [parts[best] + parts[best + 1]]
-        return parts
+        self.spines: dict[bytes, tuple[list, list]] = {}
+
+    def _spine(self, token: bytes, right: bool) -> list[tuple[bytes, int, int]]:
+        """(part, rank that makes it, rank that uses it up) along the right or left edge of a token's merges."""
+        out, used = [], 1 << 60
+        while True:
+            made, parts = self.made.get(token, (-1, None))
+            out.append((token, made, used))
+            if parts is None:
+                return out
+            token, used = parts[1 if right else 0], made
 
     def stay_apart(self, a: bytes, b: bytes) -> bool:
-        """Whether the tokens a, b are the encoding of a + b (a may be empty)."""
-        if (a, b) not in self.apart:
-            if len(self.apart) >= 4 * REMEMBERED:
+        """Whether the tokens a, b are the encoding of a + b: no merge reaches over the border.
+
+        Merges run by rank, from the left; parts x, y at the border merge if
+        their merge's turn comes while both are there.
+        """
+        known = self.apart.get((a, b))
+        if known is None:
+            if len(self.apart) >= REMEMBERED:
                 self.apart.clear()
-            self.apart[a, b] = self.merged(a + b) == ([a, b] if a else [b])
-        return self.apart[a, b]
+            for t in (a, b):
+                if t not in self.spines:
+                    self.spines[t] = self._spine(t, True), self._spine(t, False)
+            known = True
+            for x, made_x, used_x in self.spines[a][0]:
+                for y, made_y, used_y in self.spines[b][1]:
+                    k = self.rank.get((x, y))
+                    if k is not None and max(k, made_x, made_y) < used_x and (max(k, made_x, made_y) < used_y or k == used_y):
+                        known = False
+            self.apart[a, b] = known
+        return known
 
     def prefixes(self, word: bytes) -> list[int]:
         """Counts at every prefix of a pretoken, from 0 to its length."""
         last, counts = [b""], [0]
+        tokens, apart = self.tokens, self.stay_apart
         for i in range(1, len(word) + 1):
             for n in range(min(i, self.longest), 0, -1):
                 t = word[i - n:i]
-                if t in self.tokens and self.stay_apart(last[i - n], t):
+                if t in tokens and (n == i or apart(last[i - n], t)):
                     last.append(t)
                     counts.append(counts[i - n] + 1)
                     break
@@ -88,14 +107,37 @@ class PrefixCounter:
                 raise ValueError("the vocabulary lacks single bytes")
         return counts
 
+    def _last(self, word: bytes) -> tuple[int, bytes]:
+        """(count, last token) of a short pretoken; words share the table of their prefixes."""
+        state, tokens, apart = self.state, self.tokens, self.stay_apart
+        i = len(word) - 1
+        while i and word[:i] not in state:
+            i -= 1
+        for i in range(i + 1, len(word) + 1):
+            p = word[:i]
+            for n in range(min(i, self.longest), 0, -1):
+                t = p[i - n:]
+                if t in tokens:
+                    if n == i:
+                        state[p] = 1, t
+                        break
+                    count, last = state.get(p[:i - n]) or self._last(p[:i - n])
+                    if apart(last, t):
+                        state[p] = count + 1, t
+                        break
+        return state[word]
+
     def count(self, word: str) -> int:
         n = self.known.get(word)
         if n is None:
-            n = self.prefixes(word.encode())[-1]
+            raw = word.encode()
+            if len(raw) > 64:
+                return self.prefixes(raw)[-1]
+            if len(self.state) >= 2 * REMEMBERED:
+                self.state.clear()
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            if len(word) <= 64:
-                self.known[word] = n
+            n = self.known[word] = self._last(raw)[0]
         return n
 
     def _plain(self, text: str) -> Iterator[tuple[str, bool]]:
@@ -108,25 +150,17 @@ class PrefixCounter:
         if at < len(text):
             yield text[at:], False
 
-    def total(self, text: str) -> int:
-        n, known = 0, self.known.get
-        for part, special in self._plain(text):
-            if special:
-                n += 1
-            else:
-                for w in self.split.findall(part):
-                    n += known(w) or self.count(w)
-        return n
-
     def table(self, text: str) -> tuple[list[int], list[int]]:
         """(ends, counts): code point end of every pretoken, tokens up to it."""
-        ends, counts, at, n = [], [], 0, 0
+        sizes, counts, known = [], [], self.known.get
         for part, special in self._plain(text):
-            for w in [part] if special else self.split.findall(part):
-                at, n = at + len(w), n + (1 if special else self.count(w))
-                ends.append(at)
-                counts.append(n)
-        return ends, counts
+            found = [part] if special else self.split.findall(part)
+            sizes += map(len, found)
+            counts += [1] if special else [known(w) or self.count(w) for w in found]
+        return list(accumulate(sizes)), list(accumulate(counts))
+
+    def total(self, text: str) -> int:
+        return self.table(text)[1][-1] if text else 0
 
     def at(self, text: str, table: tuple[list[int], list[int]], cut: int) -> int:
         """Exact count of text[:cut]: the table up to the last safe end, and the prefix of what follows."""
@@ -165,7 +199,8 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
     tokens.  tables: also ends and counts, the prefix table.  path is the
     vocabulary file, which every worker reads once.
     """
-    keep = [c for c in dict.fromkeys(keep) if c in docs.columns]
+    made = ["n_bytes", "n_tokens"] + ["cut"] * (budget is not None) + ["ends", "counts"] * tables
+    keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c not in made]
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
     fields = [f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + ["n_bytes long", "n_tokens long"]
     fields += ["cut long"] * (budget is not None) + ["ends array<int>", "counts array<int>"] * tables
@@ -175,16 +210,18 @@ def count_tokens(docs: DataFrame, path: str, keep: list[str], text: str = "text"
         for b in batches:
             texts = b.pop("_text")
             b["n_bytes"] = [len(t.encode()) for t in texts]
-            if tables:
-                made = [c.table(t) for t in texts]
-                b["n_tokens"] = [x[1][-1] if x[1] else 0 for x in made]
-            else:
-                b["n_tokens"] = [c.total(t) for t in texts]
-            if budget is not None:
-                b["cut"] = [len(t) if n <= budget else c.cut(t, made[i] if tables else c.table(t), budget)
-                            for i, (t, n) in enumerate(zip(texts, b["n_tokens"], strict=True))]
-            if tables:
-                b["ends"], b["counts"] = [x[0] for x in made], [x[1] for x in made]
-            yield pd.DataFrame(b)
+            out = {k: [] for k in ("n_tokens", "cut", "ends", "counts")}
+            for t in texts:  # one text at a time: a table is larger than its text
+                ends, counts = c.table(t)
+                out["n_tokens"].append(counts[-1] if counts else 0)
+                if budget is not None:
+                    out["cut"].append(c.cut(t, (ends, counts), budget))
+                if tables:
+                    out["ends"].append(ends)
+                    out["counts"].append(counts)
+            for k, column in out.items():
+                if len(column) == len(texts):
+                    b[k] = column
+            yield b[[*keep, *made]]
 
     return src.mapInPandas(run, ", ".join(fields))
