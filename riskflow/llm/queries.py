@@ -6,12 +6,13 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat_trees, fingerprints, mixing, oracles, quality_rules, simhash, token_counts, url_filters
+from riskflow.llm import chat_trees, fingerprints, mixing, oracles, quality_rules, sentence_pieces, simhash, token_counts, url_filters
 from riskflow.llm.common import table
 
 #: verdict, host, path prefix
@@ -30,6 +31,29 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.filter_urls(pages, labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict", "template")
 
 
+def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded_digests(table(spark, sf_dir, "documents"))
+
+
+def encoded_digests(docs: DataFrame) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), n_viterbi, decoded_sha256, exact round trip."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    d = sentence_pieces.encode(docs.select("doc_id", "text"), path, ["doc_id", "text"])
+
+    def digest(batches):
+        model = sentence_pieces.pieces(path)
+        for b in batches:
+            out = []
+            for i, text, ids, n in zip(b["doc_id"], b["text"], b["ids"], b["n_viterbi"], strict=True):
+                back = model.decode(ids)
+                out.append((i, len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(), n,
+                            hashlib.sha256(back.encode()).hexdigest(), back == text.replace(sentence_pieces.SPACE, " ")))
+            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "n_viterbi", "decoded_sha256", "exact"])
+
+    return d.mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, n_viterbi long, decoded_sha256 string, exact boolean")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=3)
     return d.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -83,7 +107,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("cut").alias("cut_1024"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op5_simhash, op6_chat_formatting, op7_quality_rules, op8_mixing, op9_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op4_sentence_pieces, op5_simhash, op6_chat_formatting, op7_quality_rules, op8_mixing, op9_fingerprints,
                                    op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES),
