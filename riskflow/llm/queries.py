@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat_trees, fingerprints, mixing, oracles, quality_rules, sentence_pieces, simhash, substring_dedup, token_counts, url_filters
+from riskflow.llm import chat_trees, fingerprints, mixing, oracles, quality_rules, sentence_pieces, simhash, substring_dedup, suffix_dedup, token_counts, url_filters
 from riskflow.llm.common import table
 
 #: verdict, host, path prefix
@@ -36,6 +36,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"), ["doc_id"])
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded_digests(table(spark, sf_dir, "documents"))
 
@@ -112,7 +117,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("cut").alias("cut_1024"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_substring_dedup, op4_sentence_pieces, op5_simhash, op6_chat_formatting, op7_quality_rules, op8_mixing, op9_fingerprints,
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_substring_dedup, op3_suffix_dedup, op4_sentence_pieces, op5_simhash, op6_chat_formatting, op7_quality_rules, op8_mixing, op9_fingerprints,
                                    op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from llm_tables import DOC
 
-from riskflow.llm import queries, substring_dedup
+from riskflow.llm import queries, substring_dedup, suffix_dedup
 
 
 def _windows(texts, ids):
@@ -81,3 +81,62 @@ def test_word_hashes_tell_words_and_places():
     assert len(np.unique(substring_dedup.word_hashes([b"a b ab ba aa aaa \x00 \x00\x00"])[0])) == 8
 
 
+
+
+def _bytes(texts, ids):
+    raw = [(t or "").encode() for t in texts]
+    least = {}
+    for i, r in zip(ids, raw, strict=True):
+        for s in range(len(r) - 49):
+            least[r[s:s + 50]] = min(least.get(r[s:s + 50], 1 << 62), i)
+    out = []
+    for i, r in zip(ids, raw, strict=True):
+        keep = [True] * len(r)
+        for s in range(len(r) - 49):
+            if least[r[s:s + 50]] < i:
+                keep[s:s + 50] = [False] * 50
+        spans = sum(1 for j, k in enumerate(keep) if not k and (j == 0 or keep[j - 1]))
+        out.append((len(r), keep.count(False), spans, hashlib.sha256(bytes(b for b, k in zip(r, keep, strict=True) if k)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_byte_windows(spark, folder, small, monkeypatch):
+    if small:
+        for name, n in (("CHUNK", 1000), ("SHARD", 300), ("MERGE", 2000)):
+            monkeypatch.setattr(suffix_dedup, name, n)
+    texts = corpus(3) + ["\x00" * 120, "a\x00" * 70, "é" * 60, "zé" * 45, "y" * 49, "y" * 50, "y" * 51, "aab" * 40 + "c" * 60]
+    ids = list(range(len(texts)))
+    random.Random(8).shuffle(ids)
+    rows = [(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)]
+    d = folder(documents=(rows, DOC))
+    if small:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        got = {r["doc_id"]: r for r in queries.QUERIES["op3_suffix_dedup"](spark, d).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(texts)
+    for i, want in zip(ids, _bytes(texts, ids), strict=True):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+
+
+def test_merged_transforms_are_in_order():
+    rng = random.Random(9)
+    strings = ["".join(rng.choices("ab\x00", k=rng.randint(1, 30))).encode() for _ in range(60)] * 2
+    shards = [strings[:50], strings[50:51], strings[51:]]
+    made = [suffix_dedup.transform(s) for s in shards]
+    for s, (_, string, offset) in zip(shards, made, strict=True):
+        suffixes = [(bytes(b + 1 for b in s[i][o:]), i) for i, o in zip(string, offset, strict=True)]
+        assert suffixes == sorted(suffixes)
+    for depth in (1, 3, 8):
+        z, interval = suffix_dedup.merge([m[0] for m in made], [len(s) for s in shards], depth)
+        at, seen = [0] * 3, []
+        for k in z:
+            string, offset = made[k][1][at[k]], made[k][2][at[k]]
+            at[k] += 1
+            seen.append(shards[k][string][offset:offset + depth])
+        assert seen == sorted(seen)
+        whole = [i for i, s in enumerate(seen) if len(s) == depth]
+        for a, b in zip(whole, whole[1:], strict=False):
+            assert (interval[a] == interval[b]) == (seen[a] == seen[b])
