@@ -199,14 +199,14 @@ def links(fps: DataFrame, radius: int, tree: int = TREE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
-                    radius: int = 3) -> DataFrame:
-    """doc_id, fp and component_id, the least doc_id that links reach."""
-    d = settle(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text", shingle),
-               "simhash")
+                    radius: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, keep columns, fp, root (a fingerprint that names the component) and component_id, the least doc_id that links reach."""
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_body"), *keep)
+    d = settle(fingerprints(d, ["doc_id", *keep], "_body", shingle), "simhash")
     per = settle(d.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(per.select("fp"), radius))
     joined = per.join(roots, per["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     joined = settle(joined, "simhash-roots")
     ids = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = joined.join(ids, "root").select("fp", "component_id")
-    return d.join(of, "fp").select("doc_id", "fp", "component_id")
+    of = joined.join(ids, "root").select("fp", "root", "component_id")
+    return d.join(of, "fp").select("doc_id", *keep, "fp", "root", "component_id")

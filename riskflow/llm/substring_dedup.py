@@ -278,7 +278,7 @@ def _cut(window: int):
                     keep = np.cumsum(step) == 0
                 kept = b" ".join([w for w, k in zip(found, keep.tolist(), strict=False) if k])
                 removed = len(found) - int(keep[:len(found)].sum())
-                out.append((len(found), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed else None))
+                out.append((len(found), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed else text))
             b = b.drop(columns=["_text", "spans"])
             for k, c in enumerate(("n_words", "n_removed", "kept_sha256", "kept_text")):
                 b[c] = pd.Series([r[k] for r in out], index=b.index, dtype=object if k > 1 else "int64")
@@ -288,7 +288,11 @@ def _cut(window: int):
 
 
 def dedup_substrings(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """keep columns, n_words, n_removed, kept_sha256 and kept_text (null where nothing was removed).
+    """keep columns, n_words, n_removed, kept_sha256 and kept_text.
+
+    kept_text is the text unchanged where nothing is removed (empty for null),
+    else the kept words joined by one space; kept_sha256 is always of the words
+    joined by one space.
 
     Texts are shuffled once, for opening stretches and for cutting alike; the
     records of the graph are shuffled once by node, the opened windows once.

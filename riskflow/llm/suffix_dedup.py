@@ -36,9 +36,11 @@ from riskflow.llm.substring_dedup import _INVERSE, _LAST, _P, _Q, _powers, _sign
 WINDOW = 50
 GRAM = 28
 #: bytes of text hashed at once, of a shard, and of shards merged at once
-CHUNK = 1 << 20
-SHARD = 1 << 18
-MERGE = 1 << 21
+CHUNK = 1 << 17
+SHARD = 1 << 17
+MERGE = 1 << 20
+#: records of a task compared before the shuffle
+LOCAL = 400_000
 #: bits of an anchor hash that the first pass compares
 BITS = 40
 
@@ -62,22 +64,28 @@ def _roll(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def _least(x: np.ndarray, n: int) -> np.ndarray:
-    """Place of the least of every n consecutive entries, the first of equals."""
-    size = len(x) - n + 1
-    best, done = x.copy(), 1
+    """Place of a least of every n (up to 64) consecutive entries.
+
+    The low bits of the hashes give way to the place, so one sliding minimum
+    by doubling finds both; which of equal entries it is does not matter here.
+    """
+    place = np.arange(len(x), dtype=np.uint64)
+    best, done, size = (x & ~np.uint64(63)) | (place & np.uint64(63)), 1, len(x) - n + 1
     while done * 2 <= n:
         best = np.minimum(best[:len(best) - done], best[done:])
         done *= 2
     best = np.minimum(best[:size], best[n - done:n - done + size])
-    place = np.full(size, -1, dtype=np.int64)
-    left = np.arange(size)
-    for k in range(n):
-        hit = x[left + k] == best[left]
-        place[left[hit]] = left[hit] + k
-        left = left[~hit]
-        if not len(left):
-            break
-    return place
+    return (place[:size] + ((best - place[:size]) & np.uint64(63))).astype(np.int64)
+
+
+_KEPT: list[np.ndarray] = []
+
+
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the hash base and of its inverse; those for a usual chunk are kept."""
+    if not _KEPT:
+        _KEPT[:] = _powers(_P, 2 * CHUNK), _powers(_INVERSE, 2 * CHUNK)
+    return (_KEPT[0][:n], _KEPT[1][:n]) if n <= len(_KEPT[0]) else (_powers(_P, n), _powers(_INVERSE, n))
 
 
 def stretches(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
@@ -99,21 +107,24 @@ def stretches(texts: list[bytes], window: int = WINDOW, gram: int = GRAM):
     low = at[new]
     high = at[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])]
     mixed = joined * _Q
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * _powers(_P, len(joined)), dtype=np.uint64)])
-    content = (sums[high + window] - sums[low]) * _powers(_INVERSE, len(joined))[low]
+    power, inverse = _tables(len(joined))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * power, dtype=np.uint64)])
+    content = (sums[high + window] - sums[low]) * inverse[low]
     shape = (high - low).astype(np.uint64) * _Q + (least[low] - low).astype(np.uint64) * _P
     return text[low], low - bounds[text[low]], high - bounds[text[low]], node[least[low]], mix(content + mix(shape + np.uint64(1)))
 
 
-def _chunks(texts: list[bytes]):
-    at, size = 0, 0
+def _chunks(texts):
+    """(first, last, bytes of each) of runs of texts of about CHUNK bytes."""
+    at, size, held = 0, 0, []
     for i, t in enumerate(texts):
-        size += len(t)
+        held.append(t.encode())
+        size += len(held[-1])
         if size >= CHUNK:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+            yield at, i + 1, held
+            at, size, held = i + 1, 0, []
+    if held:
+        yield at, at + len(held), held
 
 
 # ---- 1. anchors that occur again -------------------------------------------------
@@ -132,13 +143,22 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 def _anchor_sets(ranges: int):
     def run(batches):
-        found = []
+        found, docs = [], []
         for b in batches:
-            texts = [t.encode() for t in b["_text"]]
-            for i, j in _chunks(texts):
-                found.append(stretches(texts[i:j])[3] >> np.uint64(64 - BITS))
+            doc = b["doc"].to_numpy()
+            for i, j, raw in _chunks(b["_text"]):
+                text, _, _, k1, _ = stretches(raw)
+                found.append(k1 >> np.uint64(64 - BITS))
+                docs.append(doc[i:j][text])
         if found:
-            h, n = np.unique(np.concatenate(found), return_counts=True)
+            h, doc = np.concatenate(found), np.concatenate(docs)
+            del found, docs
+            order = np.argsort(h)
+            h, doc = h[order], doc[order]
+            new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
+            # seen in another document of the split already
+            n = (np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)) + 1 if len(h) else new
+            h = h[new]
             at = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << BITS) // ranges + 1))
             rows = [(r, _pack(x), np.packbits(c > 1).tobytes()) for r, (x, c) in enumerate(zip(np.split(h, at), np.split(n, at), strict=True)) if len(x)]
             yield pd.DataFrame(rows, columns=["range", "hashes", "again"])
@@ -189,22 +209,28 @@ def _records(pair):
     again = np.sort(np.concatenate([_unpack(x) for x in again])) if again else np.zeros(0, np.uint64)
     if not len(again):
         return
-    texts = [t.encode() for _, _, t in rows]
     doc, th = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int32)
-    held = []
-    for i, j in _chunks(texts):
-        text, low, high, k1, k2 = stretches(texts[i:j])
-        h = k1 >> np.uint64(64 - BITS)
-        at = np.minimum(np.searchsorted(again, h), len(again) - 1)
-        keep = again[at] == h
-        held.append([c[keep] for c in (doc[i:j][text], th[i:j][text], low, high, k1, k2)])
-    if held:
+
+    def packed(held):
         cols = _settle_local([np.concatenate(c) for c in zip(*held, strict=True)])
-        for i in range(0, len(cols[0]), 200_000):
+        for i in range(0, len(cols[0]), 100_000):
             out = io.BytesIO()
-            np.savez(out, *[c[i:i + 200_000] for c in cols])
+            np.savez(out, *[c[i:i + 100_000] for c in cols])
             yield (bytearray(out.getvalue()),)
 
+    held, size = [], 0
+    for i, j, raw in _chunks(t for _, _, t in rows):
+        text, low, high, k1, k2 = stretches(raw)
+        h = k1 >> np.uint64(64 - BITS)
+        keep = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h
+        held.append([c[keep] for c in (doc[i:j][text], th[i:j][text], low, high, k1, k2)])
+        size += int(keep.sum())
+        if size >= LOCAL:
+            yield from packed(held)
+            held, size = [], 0
+    if held:
+        yield from packed(held)
+
 
 def _unpack_records(batches):
     names = [f.split()[0] for f in _FOUND.split(", ")]
@@ -218,8 +244,8 @@ def _judge(window: int):
     """Sorted records -> repeats (open false) and, at anchors with several kinds of stretch, those of the least document (open true)."""
     def run(batches):
         last = None  # (k1, k2, least doc) of the last record
-        waiting: list[pd.DataFrame] = []  # its anchor's records while there is one kind of stretch
-        branching = False
+        waiting: list[pd.DataFrame] = []  # its anchor's records until kinds and documents are several
+        seen = (0, 0, 0)  # its kinds, least and largest document
         for b in batches:
             parts = [b[b["repeat"]].assign(open=False)]
             b = b[~b["repeat"]]
@@ -236,17 +262,22 @@ def _judge(window: int):
                 repeat = doc > least
                 parts.append(b[repeat].assign(open=False))
                 node = np.cumsum(new1)
+                node -= node[0] == 1  # 0: the anchor that the batch before ended in, or the first
                 kinds = np.bincount(node[new2], minlength=node[-1] + 1)
-                several = kinds >= 2
-                if node[0] == 0:  # goes on from the batch before
-                    several[0] = branching or kinds[0] >= 1
+                starts = np.flatnonzero(np.diff(node, prepend=-1))
+                low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
+                if not new1[0]:  # goes on from the batch before
+                    kinds[0] += seen[0]
+                    low[0], high[0] = min(low[0], seen[1]), max(high[0], seen[2])
+                several = (kinds >= 2) & (low != high)  # strings of one document do not remove each other
+                if not new1[0]:
                     if several[0]:
                         parts += [w.assign(open=True) for w in waiting]
                         waiting = []
                 parts.append(b[~repeat & several[node]].assign(open=True))
-                branching = bool(several[node[-1]])
+                seen = int(kinds[-1]), int(low[-1]), int(high[-1])
                 tail = b[~repeat & ~several[node] & (node == node[-1])]
-                waiting = ([] if node[-1] > 0 else waiting) + ([tail] if len(tail) else [])
+                waiting = ([] if new1.any() else waiting) + ([tail] if len(tail) else [])
                 last = (int(k1[-1]), int(k2[-1]), int(least[-1]))
             out = pd.concat(parts)
             yield pd.DataFrame({"k1": out["k1"], "doc": out["doc"], "th": out["th"], "low": out["low"],
@@ -257,59 +288,76 @@ def _judge(window: int):
 
 # ---- 3. shards, their transforms, and the merge ------------------------------------
 
-def transform(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(transform, string, offset) of a shard's suffixes in order; ends sort first, by string.
+class Shard:
+    """The suffixes of some strings in order, ends first and by string, with their transform by byte pairs.
 
-    Bytes are raised by one, so 0 is the end of a string.
+    Bytes are raised by one, so 0 is the end of a string.  pair holds the two
+    bytes before a suffix, longer the place of the suffix that these lengthen
+    it to; suffixes of less than two bytes are heads, which nothing leads to.
     """
-    text = np.frombuffer(b"".join(s + b"\xff" for s in strings), dtype=np.uint8) + np.uint8(1)  # 0xff wraps to 0
-    size = np.array([len(s) + 1 for s in strings])
-    string = np.repeat(np.arange(len(strings)), size)
-    offset = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-    left = np.repeat(size, size) - offset  # bytes to the end, the end included
-    # ranks by one byte, ends apart, then by twice as many bytes in each round
-    rank = np.where(text == 0, string, text.astype(np.int64) + len(strings))
-    longest, have = int(size.max()), 1
-    while True:
-        follow = np.where(left > have, np.concatenate([rank[have:], np.zeros(min(have, len(rank)), np.int64)])[:len(rank)] + 1, 0)
-        key = rank * (int(rank.max()) + 2) + follow
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), dtype=np.int64)
-        new[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(new) - 1
-        have *= 2
-        if have >= longest or new.all():
-            break
-    before = np.where(offset > 0, np.roll(text, 1), 0).astype(np.uint8)
-    return before[order], string[order], offset[order]
-
 
-def merge(shards: list[np.ndarray], ends: list[int], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave of the shards' suffixes by their first depth bytes: (shard of every place, interval number).
-
-    shards: transforms; ends: strings in each, whose ends sort first.  A round
-    moves every place to where the suffix one byte longer stands: a stable
-    count over the bytes of the transform.  Neighbours stay in one interval
-    while their bytes agree.
+    def __init__(self, strings: list[bytes]):
+        text = np.frombuffer(b"".join(s + b"\xff" for s in strings), dtype=np.uint8) + np.uint8(1)  # 0xff wraps to 0
+        size = np.array([len(s) + 1 for s in strings])
+        string = np.repeat(np.arange(len(strings)), size)
+        offset = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+        left = np.repeat(size, size) - offset  # bytes to the end, the end included
+        # ranks by one byte, ends apart, then by twice as many bytes in each round
+        rank = np.where(text == 0, string, text.astype(np.int64) + len(strings))
+        longest, have = int(size.max()), 1
+        while True:
+            follow = np.zeros(len(rank), np.int64)
+            follow[:-have] = rank[have:] + 1
+            key = rank * (int(rank.max()) + 2) + np.where(left > have, follow, 0)
+            order = np.argsort(key)
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[order[1:]] != key[order[:-1]]
+            rank[order] = np.cumsum(new) - 1
+            have *= 2
+            if have >= longest or new.all():
+                break
+        wide = np.concatenate([text, np.zeros(1, np.uint8)]).astype(np.uint16)
+        first = (wide[:-1] << 8) | np.where(text == 0, 0, wide[1:])  # the first two bytes of every suffix
+        self.string, self.offset = string[order], offset[order]
+        self.leads = self.offset >= 2
+        at = np.maximum(order - 2, 0)
+        self.pair, self.longer = first[at].astype(np.uint16), rank[at]
+        self.heads = np.flatnonzero(left[order] <= 2)
+        self.head_pair = first[order[self.heads]].astype(np.uint16)
+
+
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the shards laid end to end, interval number) of every suffix, in order of the first depth (even) bytes.
+
+    The interleave starts as one shard after the other.  In a round every
+    suffix moves to where the one two bytes longer stands: a stable count over
+    the byte pairs, which keeps each shard's own order.  Neighbours stay in one
+    interval while their bytes agree; the round that parts them is their common
+    prefix.
     """
-    z = np.repeat(np.arange(len(shards), dtype=np.int32), [len(s) for s in shards])
-    heads = np.repeat(np.arange(len(shards), dtype=np.int32), ends)
-    every = np.concatenate(shards)
-    interval = np.zeros(len(z), dtype=np.int64)
-    for _ in range(depth):
-        # the transform in the order of the interleave: every shard's own order is kept
-        byte = np.empty(len(z), dtype=np.uint8)
-        byte[np.argsort(z, kind="stable")] = every
-        order = np.argsort(byte, kind="stable")[len(heads):]
-        new = np.ones(len(z), dtype=bool)
-        b, i = byte[order], interval[order]
-        new[len(heads) + 1:] = (b[1:] != b[:-1]) | (i[1:] != i[:-1])
-        z = np.concatenate([heads, z[order]])
-        interval = np.cumsum(new) - 1
+    base = np.cumsum([0, *(len(s.string) for s in shards)])
+    pair = np.concatenate([s.pair for s in shards])
+    leads = np.concatenate([s.leads for s in shards])
+    longer = np.concatenate([s.longer + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
+    heads = np.concatenate([s.heads + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
+    head_pair = np.concatenate([s.head_pair for s in shards])
+    place = np.arange(base[-1], dtype=np.int32)
+    interval = np.zeros(len(place), dtype=np.int32)
+    for _ in range(0, depth, 2):
+        go = leads[place]
+        moving = place[go]
+        key = np.concatenate([head_pair, pair[moving]])
+        order = np.argsort(key, kind="stable")
+        # heads are intervals of their own
+        was = np.concatenate([np.arange(-len(heads), 0, dtype=np.int32), interval[go]])[order]
+        key = key[order]
+        place = np.concatenate([heads, longer[moving]])[order]
+        new = np.ones(len(place), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (was[1:] != was[:-1])
+        interval = np.cumsum(new, dtype=np.int32) - np.int32(1)
         if new.all():
             break
-    return z, interval
+    return place, interval
 
 
 def repeated(strings: list[bytes], docs: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -320,12 +368,10 @@ def repeated(strings: list[bytes], docs: np.ndarray, window: int) -> tuple[np.nd
         if size >= SHARD or i == len(strings) - 1:
             parts.append((at, i + 1))
             at, size = i + 1, 0
-    made = [transform(strings[i:j]) for i, j in parts]
-    z, interval = merge([m[0] for m in made], [j - i for i, j in parts], window)
-    place = np.argsort(z, kind="stable")  # places of the shards' suffixes one after the other
-    string, offset = np.empty(len(z), np.int64), np.empty(len(z), np.int64)
-    string[place] = np.concatenate([m[1] + i for m, (i, _) in zip(made, parts, strict=True)])
-    offset[place] = np.concatenate([m[2] for m in made])
+    made = [Shard(strings[i:j]) for i, j in parts]
+    place, interval = merge(made, window)
+    string = np.concatenate([m.string + i for m, (i, _) in zip(made, parts, strict=True)])[place]
+    offset = np.concatenate([m.offset for m in made])[place]
     starts = np.flatnonzero(np.diff(interval, prepend=-1))
     least = np.minimum.reduceat(docs[string], starts)[interval]
     hit = docs[string] > least
