@@ -22,6 +22,7 @@ import re
 from functools import lru_cache
 
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,12 +58,18 @@ class Pieces:
         # ASCII characters that no longer piece contains stand alone, and a piece has spaces only in front
         joined = {c for p, _, _ in self.table if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        self.pattern = f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else "")
-        self.split = re.compile(self.pattern)
+        self.split = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        # where no piece joins letters with others, words part there without changing the encoding
+        self.part = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
+        if any(self.part.match(p).end() != len(p) for p, _, _ in self.table):
+            self.part = regex.compile(".+", regex.S)
 
     def words(self, text: str) -> list[str]:
         return self.split.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
+    def atoms(self, word: str) -> list[str]:
+        return self.part.findall(word)
+
     def fold(self, word: str) -> list[int]:
         """The merge fold in plain Python, for words too long for the lattice."""
         n = len(word)
@@ -107,79 +114,79 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
+def _key(j: Column, i: Column) -> Column:
+    return j * (LONG + 1) + i
+
+
 def lattice(words: DataFrame, spark: SparkSession, model: Pieces) -> DataFrame:
-    """words: word (distinct) -> word, edges: array of (j, i, score, id), one per substring in the table.
+    """words: word (distinct) -> word, edges: array of (key, value (score, id)), one per substring in the table.
 
-    Keeps the partitioning by word; a character outside the table has an edge
-    with a null id.  The piece table is bounded by the model and broadcast.
+    key orders edges by end, then start.  Keeps the partitioning by word; a
+    character outside the table has an edge with a null id.  The piece table is
+    bounded by the model and broadcast.
     """
     table = F.broadcast(spark.createDataFrame(pd.DataFrame(model.table, columns=["piece", "id", "score"]), "piece string, id int, score double"))
     n = F.length("word")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(model.longest), n - i)),
-        lambda k: F.struct(i.alias("i"), (i + k).alias("j"), F.substring(F.col("word"), i + 1, k).alias("piece")))))
-    d = words.filter(n.between(1, LONG)).select("word", F.explode(spans).alias("s")).select("word", "s.i", "s.j", "s.piece")
-    d = d.join(table, "piece", "left").filter("id is not null or j = i + 1")
-    return d.groupBy("word").agg(F.collect_list(F.struct("j", "i", F.coalesce("score", F.lit(UNKNOWN)).alias("score"), "id")).alias("edges"))
+    d = words.filter(n.between(1, LONG)).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    d = d.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("i")))).alias("k"))
+    d = d.select("word", _key(F.col("i") + F.col("k"), F.col("i")).alias("key"), "k", F.substring("word", F.col("i") + 1, F.col("k")).alias("piece"))
+    d = d.join(table, "piece", "left").filter("id is not null or k = 1")
+    value = F.struct(F.coalesce("score", F.lit(UNKNOWN)).alias("score"), "id")
+    return d.groupBy("word").agg(F.collect_list(F.struct("key", value.alias("value"))).alias("edges"))
 
 
-def _key(i: Column, j: Column) -> Column:
-    return i * (LONG + 1) + j
+def _ids(cuts: Column, m: Column) -> Column:
+    """Ids of the edges between neighbouring cuts."""
+    return F.transform(F.slice(cuts, 2, F.size(cuts) - 1), lambda j, k: F.element_at(m, _key(j, F.get(cuts, k)))["id"])
 
 
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Cuts of the word after merging the best adjacent pair again and again, the left one of equals."""
-    start = F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.map_from_entries(
-        F.transform(edges, lambda e: F.struct(_key(e["i"], e["j"]), e["score"]))).alias("m"))
+    """Ids after merging the best adjacent pair again and again, the left one of equals."""
+    start = F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.map_from_entries(edges).alias("m"), F.lit(False).alias("done"))
 
     def step(acc: Column, _: Column) -> Column:
         cuts = acc["cuts"]
         joins = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts) - 2, F.lit(0))), lambda mid, k: F.struct(
-            F.element_at(acc["m"], _key(F.get(cuts, k), F.get(cuts, k + 2))).alias("score"), (-F.get(cuts, k)).alias("at"), mid.alias("mid")))
-        best = F.array_max(F.filter(joins, lambda x: x["score"].isNotNull()))
-        return F.struct(F.coalesce(F.array_remove(cuts, best["mid"]), cuts).alias("cuts"), acc["m"].alias("m"))
+            F.element_at(acc["m"], _key(F.get(cuts, k + 2), F.get(cuts, k)))["score"].alias("score"), (-F.get(cuts, k)).alias("at"), mid.alias("mid")))
+        best = F.struct(F.array_max(F.filter(joins, lambda x: x["score"].isNotNull()))["mid"].alias("mid"))
+        after = F.transform(F.array(best), lambda b: F.struct(
+            F.coalesce(F.array_remove(cuts, b["mid"]), cuts).alias("cuts"), acc["m"].alias("m"), b["mid"].isNull().alias("done")))
+        return F.when(acc["done"], acc).otherwise(F.get(after, F.lit(0)))
 
-    return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: acc["cuts"])
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: _ids(acc["cuts"], acc["m"]))
 
 
 def viterbi_fold(edges: Column) -> Column:
-    """Cuts of the path with the highest sum of scores; of equal paths the one whose last piece starts first."""
-    start = F.array(F.struct(F.lit(0.0).alias("score"), F.array(F.lit(0)).alias("cuts")))
+    """Ids of the path with the highest sum of scores; of equal paths the one whose last piece starts first."""
+    start = F.array(F.struct(F.lit(0.0).alias("score"), F.slice(F.array(F.lit(0)), 1, 0).alias("ids")))
 
     def step(best: Column, e: Column) -> Column:
-        before = F.get(best, e["i"])
-        here = F.struct((before["score"] + e["score"]).alias("score"), F.concat(before["cuts"], F.array(e["j"])).alias("cuts"))
-        old = F.get(best, e["j"])
+        before, old = F.get(best, e["key"] % (LONG + 1)), F.get(best, F.floor(e["key"] / (LONG + 1)).cast("int"))
+        here = F.struct((before["score"] + e["value"]["score"]).alias("score"), F.concat(before["ids"], F.array(e["value"]["id"])).alias("ids"))
         return F.when(old.isNull(), F.concat(best, F.array(here))) \
             .when(here["score"] > old["score"], F.concat(F.slice(best, 1, F.size(best) - 1), F.array(here))).otherwise(best)
 
-    return F.aggregate(F.sort_array(edges), start, step, lambda best: F.element_at(best, -1)["cuts"])
+    return F.aggregate(F.sort_array(edges), start, step, lambda best: F.element_at(best, -1)["ids"])
 
 
 def encode_words(words: DataFrame, spark: SparkSession, model: Pieces, fold: str) -> DataFrame:
-    """word -> ids (null for a character outside the table), n_viterbi."""
+    """word -> ids (null for a character outside the table)."""
     d = lattice(words, spark, model)
-    n = F.length("word")
-    viterbi = viterbi_fold(F.col("edges"))
-    cuts = merge_fold(F.col("edges"), n) if fold == "merges" else viterbi
-    d = d.select("word", "edges", cuts.alias("cuts"), (F.size(viterbi) - 1).alias("n_viterbi"))
-    # the chosen pieces are the edges between neighbouring cuts, in order
-    spans = F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts")), lambda a, b: _key(a, b))
-    picked = F.filter(F.sort_array("edges"), lambda e: F.array_contains(spans, _key(e["i"], e["j"])))
-    return d.select("word", F.transform(picked, lambda e: e["id"]).alias("ids"), "n_viterbi")
+    ids = merge_fold(F.col("edges"), F.length("word")) if fold == "merges" else viterbi_fold(F.col("edges"))
+    return d.select("word", ids.alias("ids"))
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold: str | None = None) -> DataFrame:
-    """keep columns, ids (array of int) and n_viterbi of every whole text.
+    """keep columns and ids (array of int) of every whole text.
 
     fold: viterbi or merges; by default what the model's type asks for.
     """
     spark = docs.sparkSession
     model = pieces(path)
     fold = fold or ("merges" if model.merges else "viterbi")
-    keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c not in ("ids", "n_viterbi")]
+    keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c != "ids"]
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>", "n_viterbi long"])
+    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"])
     rows = src.rdd
     n_splits = rows.getNumPartitions()
     if not n_splits:
@@ -190,7 +197,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
         for b in batches:
             for t in b["_text"]:
                 seen.update(m.words(t))
-        yield pd.DataFrame({"word": list(seen)}, dtype=object)
+        yield pd.DataFrame({"word": list({a for w in seen for a in m.atoms(w)})}, dtype=object)
 
     # one shuffle by word serves the distinct words and the way back to the splits
     pairs = src.mapInPandas(words_of, "word string").withColumn("split", F.spark_partition_id()) \
@@ -201,14 +208,14 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
     def dictionary(part):
         m = pieces(path)
         out = {}
-        for word, ids, n in part:
+        for word, ids in part:
             if None in ids:  # the byte pieces of characters outside the table
                 cut, at = [], 0
                 for i in ids:
                     cut += [i] if i is not None else m.fallback(word[at])
                     at += m.size[i] if i is not None else 1
                 ids = cut
-            out[word] = (ids, n)
+            out[word] = ids
         return [out]
 
     def texts(part):
@@ -216,18 +223,24 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
 
     def run(pair):
         m = pieces(path)
-        part, known = pair
+        part, atoms = pair
+        known = {}
         for *kept, t in part:
-            ids, n = [], 0
+            ids = []
             for w in m.words(t):
                 hit = known.get(w)
                 if hit is None:
-                    if len(w) <= LONG:
-                        raise ValueError("the splits of the input changed between two reads")
-                    hit = known[w] = (found := m.fold(w), len(found))
-                ids += hit[0]
-                n += hit[1]
-            yield (*kept, ids, n)
-
-    zipped = rows.mapPartitions(texts).zip(back.select("word", "ids", "n_viterbi").rdd.mapPartitions(dictionary))
+                    hit = []
+                    for a in m.atoms(w):
+                        if len(a) > LONG:
+                            hit += m.fold(a)
+                        elif a in atoms:
+                            hit += atoms[a]
+                        else:
+                            raise ValueError("the splits of the input changed between two reads")
+                    known[w] = hit
+                ids += hit
+            yield (*kept, ids)
+
+    zipped = rows.mapPartitions(texts).zip(back.select("word", "ids").rdd.mapPartitions(dictionary))
     return spark.createDataFrame(zipped.flatMap(run), schema)
