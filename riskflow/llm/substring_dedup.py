@@ -242,9 +242,9 @@ def _open(window: int):
     def run(batches):
         for b in batches:
             rows = []
-            for doc, th, text, asked in zip(b["doc"], b["th"], b["_text"], b["asked"], strict=True):
+            for doc, th, text, lows, highs in zip(b["doc"], b["th"], b["_text"], b["lows"], b["highs"], strict=True):
                 h, _ = word_hashes([text.encode()])
-                at = np.unique(np.concatenate([np.arange(s["low"], s["high"] + 1) for s in asked]))
+                at = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(lows, highs, strict=True)]))
                 # two hashes of the window, the second over the words' hashes mixed once more
                 pick = at[:, None] + np.arange(window)
                 words = h[pick]
@@ -268,18 +268,18 @@ def _cut(window: int):
     def run(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b["_text"], b["spans"], strict=True):
+            for text, lows, highs in zip(b["_text"], b["lows"], b["highs"], strict=True):
                 found = text.encode().split()
                 keep = np.ones(len(found) + 1, dtype=np.int64)
-                if spans is not None and len(spans):
+                if lows is not None:
                     step = np.zeros(len(found) + 1, dtype=np.int64)
-                    np.add.at(step, [s["low"] for s in spans], 1)
-                    np.add.at(step, [s["high"] for s in spans], -1)
+                    np.add.at(step, lows, 1)
+                    np.add.at(step, highs, -1)
                     keep = np.cumsum(step) == 0
                 kept = b" ".join([w for w, k in zip(found, keep.tolist(), strict=False) if k])
                 removed = len(found) - int(keep[:len(found)].sum())
                 out.append((len(found), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed else text))
-            b = b.drop(columns=["_text", "spans"])
+            b = b.drop(columns=["_text", "lows", "highs"])
             for k, c in enumerate(("n_words", "n_removed", "kept_sha256", "kept_text")):
                 b[c] = pd.Series([r[k] for r in out], index=b.index, dtype=object if k > 1 else "int64")
             yield b
@@ -308,14 +308,14 @@ def dedup_substrings(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", t
     judged = settle(records.repartition(p, "k1").sortWithinPartitions("k1", "k2", "doc", "th", "low")
                     .mapInPandas(_judge(window), "doc long, th int, low int, high int, open boolean"), "stretches")
     texts = base.repartition(p, "doc", "th")  # shared by both joins below
-    asked = judged.filter("open").groupBy("doc", "th").agg(F.collect_list(F.struct("low", "high")).alias("asked"))
-    opened = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "asked").mapInPandas(_open(window), _FOUND)
+    asked = judged.filter("open").groupBy("doc", "th").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    opened = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "lows", "highs").mapInPandas(_open(window), _FOUND)
     single = opened.repartition(p, "k1").sortWithinPartitions("k1", "k2", "doc", "th", "low") \
         .mapInPandas(_judge(window), "doc long, th int, low int, high int, open boolean").filter("not open").drop("open")
     spans = judged.filter("not open").drop("open").unionByName(single) \
-        .groupBy("doc", "th").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    out = texts.join(spans, ["doc", "th"], "left").select("_keep", "_text", "spans")
+        .groupBy("doc", "th").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    out = texts.join(spans, ["doc", "th"], "left").select("_keep", "_text", "lows", "highs")
     fields = docs.select(*keep).schema
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in keep]
                        + ["n_words long", "n_removed long", "kept_sha256 string", "kept_text string"])
-    return out.select("_keep.*", "_text", "spans").mapInPandas(_cut(window), schema)
+    return out.select("_keep.*", "_text", "lows", "highs").mapInPandas(_cut(window), schema)

@@ -18,27 +18,27 @@ least hash, so anchors route the suffixes:
 Defined cases: null texts are empty; rows that share a doc_id do not remove
 from each other; null ids come last; documents shorter than a window keep all;
 an empty table gives an empty result.  The table must be read from files, as
-its splits are read twice.
+its splits are read twice; a task reads the anchors of its split from the
+shared folder.
 """
 from __future__ import annotations
 
 import hashlib
-import io
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import partitions, settle
+from riskflow.llm.common import partitions, read_split, settle, settle_splits
 from riskflow.llm.substring_dedup import _INVERSE, _LAST, _P, _Q, _powers, _signed, mix
 
 WINDOW = 50
 GRAM = 28
 #: bytes of text hashed at once, of a shard, and of shards merged at once
 CHUNK = 1 << 17
-SHARD = 1 << 17
-MERGE = 1 << 20
+SHARD = 1 << 16
+MERGE = 1 << 18
 #: records of a task compared before the shuffle
 LOCAL = 400_000
 #: bits of an anchor hash that the first pass compares
@@ -143,8 +143,9 @@ def _unpack(blob: bytes) -> np.ndarray:
 
 def _anchor_sets(ranges: int):
     def run(batches):
-        found, docs = [], []
+        found, docs, split = [], [], None
         for b in batches:
+            split = b["_split"].iloc[0] if len(b) else split
             doc = b["doc"].to_numpy()
             for i, j, raw in _chunks(b["_text"]):
                 text, _, _, k1, _ = stretches(raw)
@@ -160,8 +161,8 @@ def _anchor_sets(ranges: int):
             n = (np.minimum.reduceat(doc, new) != np.maximum.reduceat(doc, new)) + 1 if len(h) else new
             h = h[new]
             at = np.searchsorted(h, np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << BITS) // ranges + 1))
-            rows = [(r, _pack(x), np.packbits(c > 1).tobytes()) for r, (x, c) in enumerate(zip(np.split(h, at), np.split(n, at), strict=True)) if len(x)]
-            yield pd.DataFrame(rows, columns=["range", "hashes", "again"])
+            rows = [(r, split, _pack(x), np.packbits(c > 1).tobytes()) for r, (x, c) in enumerate(zip(np.split(h, at), np.split(n, at), strict=True)) if len(x)]
+            yield pd.DataFrame(rows, columns=["range", "split", "hashes", "again"])
 
     return run
 
@@ -203,41 +204,35 @@ def _settle_local(cols):
 _FOUND = "k1 long, k2 long, repeat boolean, doc long, th int, low int, high int"
 
 
-def _records(pair):
-    """One split with its repeated anchors -> its records as one packed row per part."""
-    rows, again = pair
-    again = np.sort(np.concatenate([_unpack(x) for x in again])) if again else np.zeros(0, np.uint64)
-    if not len(again):
-        return
-    doc, th = np.array([r[0] for r in rows], dtype=np.int64), np.array([r[1] for r in rows], dtype=np.int32)
-
-    def packed(held):
+def _records(path: str):
+    """The stretches around the repeated anchors of a split, which its task reads from the shared folder."""
+    def found(held):
         cols = _settle_local([np.concatenate(c) for c in zip(*held, strict=True)])
-        for i in range(0, len(cols[0]), 100_000):
-            out = io.BytesIO()
-            np.savez(out, *[c[i:i + 100_000] for c in cols])
-            yield (bytearray(out.getvalue()),)
-
-    held, size = [], 0
-    for i, j, raw in _chunks(t for _, _, t in rows):
-        text, low, high, k1, k2 = stretches(raw)
-        h = k1 >> np.uint64(64 - BITS)
-        keep = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h
-        held.append([c[keep] for c in (doc[i:j][text], th[i:j][text], low, high, k1, k2)])
-        size += int(keep.sum())
-        if size >= LOCAL:
-            yield from packed(held)
-            held, size = [], 0
-    if held:
-        yield from packed(held)
+        return pd.DataFrame(dict(zip((f.split()[0] for f in _FOUND.split(", ")), cols, strict=True)))
 
+    def run(batches):
+        split, again, held, size = None, np.zeros(0, np.uint64), [], 0
+        for b in batches:
+            if len(b) and b["_split"].iloc[0] != split:
+                split = b["_split"].iloc[0]
+                rows = read_split(path, split)
+                again = np.sort(np.concatenate([_unpack(x.as_py()) for x in rows["hashes"]])) if rows is not None else again[:0]
+            if not len(again):
+                continue
+            doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
+            for i, j, raw in _chunks(b["_text"]):
+                text, low, high, k1, k2 = stretches(raw)
+                h = k1 >> np.uint64(64 - BITS)
+                keep = again[np.minimum(np.searchsorted(again, h), len(again) - 1)] == h
+                held.append([c[keep] for c in (doc[i:j][text], th[i:j][text], low, high, k1, k2)])
+                size += int(keep.sum())
+                if size >= LOCAL:
+                    yield found(held)
+                    held, size = [], 0
+        if held:
+            yield found(held)
 
-def _unpack_records(batches):
-    names = [f.split()[0] for f in _FOUND.split(", ")]
-    for b in batches:
-        for blob in b["packed"]:
-            with np.load(io.BytesIO(blob)) as f:
-                yield pd.DataFrame({c: f[f"arr_{i}"] for i, c in enumerate(names)})
+    return run
 
 
 def _judge(window: int):
@@ -293,7 +288,7 @@ class Shard:
 
     Bytes are raised by one, so 0 is the end of a string.  pair holds the two
     bytes before a suffix, longer the place of the suffix that these lengthen
-    it to; suffixes of less than two bytes are heads, which nothing leads to.
+    it to.
     """
 
     def __init__(self, strings: list[bytes]):
@@ -302,61 +297,53 @@ class Shard:
         string = np.repeat(np.arange(len(strings)), size)
         offset = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
         left = np.repeat(size, size) - offset  # bytes to the end, the end included
-        # ranks by one byte, ends apart, then by twice as many bytes in each round
-        rank = np.where(text == 0, string, text.astype(np.int64) + len(strings))
-        longest, have = int(size.max()), 1
+        wide = np.concatenate([text, np.zeros(3, np.uint8)]).astype(np.int64)
+        live = [np.where(left > k, wide[k:len(text) + k], 0) for k in range(4)]
+        # ranks by four bytes, ends apart, then by twice as many bytes in each round
+        key = (live[0] << 24 | live[1] << 16 | live[2] << 8 | live[3]) * (len(strings) + 1) + np.where(left <= 4, string + 1, 0)
+        rank, longest, have = np.empty(len(key), np.int64), int(size.max()), 4
         while True:
-            follow = np.zeros(len(rank), np.int64)
-            follow[:-have] = rank[have:] + 1
-            key = rank * (int(rank.max()) + 2) + np.where(left > have, follow, 0)
             order = np.argsort(key)
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[order[1:]] != key[order[:-1]]
             rank[order] = np.cumsum(new) - 1
-            have *= 2
             if have >= longest or new.all():
                 break
-        wide = np.concatenate([text, np.zeros(1, np.uint8)]).astype(np.uint16)
-        first = (wide[:-1] << 8) | np.where(text == 0, 0, wide[1:])  # the first two bytes of every suffix
+            follow = np.zeros(len(rank), np.int64)
+            follow[:-have] = rank[have:] + 1
+            key = rank * (int(rank.max()) + 2) + np.where(left > have, follow, 0)
+            have *= 2
         self.string, self.offset = string[order], offset[order]
         self.leads = self.offset >= 2
         at = np.maximum(order - 2, 0)
-        self.pair, self.longer = first[at].astype(np.uint16), rank[at]
-        self.heads = np.flatnonzero(left[order] <= 2)
-        self.head_pair = first[order[self.heads]].astype(np.uint16)
+        self.pair, self.longer = (live[0] << 8 | live[1])[at].astype(np.uint16), rank[at]
 
 
 def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place in the shards laid end to end, interval number) of every suffix, in order of the first depth (even) bytes.
+    """(place in the shards laid end to end, interval number) of every suffix of depth (even) bytes or more, in their order.
 
     The interleave starts as one shard after the other.  In a round every
     suffix moves to where the one two bytes longer stands: a stable count over
-    the byte pairs, which keeps each shard's own order.  Neighbours stay in one
-    interval while their bytes agree; the round that parts them is their common
-    prefix.
+    the byte pairs, which keeps each shard's own order.  After round r the
+    suffixes of 2r bytes or more are in the order of their first 2r bytes;
+    neighbours stay in one interval while their bytes agree, and the round that
+    parts them is their common prefix.
     """
     base = np.cumsum([0, *(len(s.string) for s in shards)])
     pair = np.concatenate([s.pair for s in shards])
     leads = np.concatenate([s.leads for s in shards])
     longer = np.concatenate([s.longer + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
-    heads = np.concatenate([s.heads + b for s, b in zip(shards, base, strict=False)]).astype(np.int32)
-    head_pair = np.concatenate([s.head_pair for s in shards])
     place = np.arange(base[-1], dtype=np.int32)
     interval = np.zeros(len(place), dtype=np.int32)
     for _ in range(0, depth, 2):
         go = leads[place]
         moving = place[go]
-        key = np.concatenate([head_pair, pair[moving]])
+        key = pair[moving]
         order = np.argsort(key, kind="stable")
-        # heads are intervals of their own
-        was = np.concatenate([np.arange(-len(heads), 0, dtype=np.int32), interval[go]])[order]
-        key = key[order]
-        place = np.concatenate([heads, longer[moving]])[order]
+        was, key, place = interval[go][order], key[order], longer[moving[order]]
         new = np.ones(len(place), dtype=bool)
         new[1:] = (key[1:] != key[:-1]) | (was[1:] != was[:-1])
         interval = np.cumsum(new, dtype=np.int32) - np.int32(1)
-        if new.all():
-            break
     return place, interval
 
 
@@ -370,6 +357,8 @@ def repeated(strings: list[bytes], docs: np.ndarray, window: int) -> tuple[np.nd
             at, size = i + 1, 0
     made = [Shard(strings[i:j]) for i, j in parts]
     place, interval = merge(made, window)
+    if not len(place):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     string = np.concatenate([m.string + i for m, (i, _) in zip(made, parts, strict=True)])[place]
     offset = np.concatenate([m.offset for m in made])[place]
     starts = np.flatnonzero(np.diff(interval, prepend=-1))
@@ -408,28 +397,28 @@ def _slices(batches):
     """The bytes of the asked stretches."""
     for b in batches:
         rows = []
-        for doc, th, text, asked in zip(b["doc"], b["th"], b["_text"], b["asked"], strict=True):
+        for doc, th, text, k1s, lows, highs in zip(*(b[c] for c in ("doc", "th", "_text", "k1s", "lows", "highs")), strict=True):
             raw = text.encode()
-            rows += [(s["k1"], doc, th, s["low"], raw[s["low"]:s["high"]]) for s in asked]
+            rows += [(k, doc, th, i, raw[i:j]) for k, i, j in zip(k1s, lows, highs, strict=True)]
         yield pd.DataFrame(rows, columns=["k1", "doc", "th", "low", "part"])
 
 
 def _cut(batches):
     for b in batches:
         out = []
-        for text, spans in zip(b["_text"], b["spans"], strict=True):
+        for text, lows, highs in zip(b["_text"], b["lows"], b["highs"], strict=True):
             raw = np.frombuffer(text.encode(), dtype=np.uint8)
             keep = np.ones(len(raw), dtype=bool)
             n = 0
-            if spans is not None and len(spans):
+            if lows is not None:
                 step = np.zeros(len(raw) + 1, dtype=np.int64)
-                np.add.at(step, [s["low"] for s in spans], 1)
-                np.add.at(step, [s["high"] for s in spans], -1)
+                np.add.at(step, lows, 1)
+                np.add.at(step, highs, -1)
                 keep = np.cumsum(step)[:-1] == 0
                 n = int((np.diff(keep.astype(np.int8), prepend=1) == -1).sum())
             kept = raw[keep].tobytes()
             out.append((len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
-        b = b.drop(columns=["_text", "spans"])
+        b = b.drop(columns=["_text", "lows", "highs"])
         for k, c in enumerate(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")):
             b[c] = pd.Series([r[k] for r in out], index=b.index, dtype=object if k > 2 else "int64")
         yield b
@@ -443,27 +432,21 @@ def dedup_bytes(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text:
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     body = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(doc.alias("doc"), F.hash(F.xxhash64(body)).alias("th"), body.alias("_text"), F.struct(*keep).alias("_keep"))
-    slim = base.select("doc", "th", "_text")
-    rows = slim.rdd
-    n_splits = rows.getNumPartitions()
-    if n_splits:
-        sets = slim.mapInPandas(_anchor_sets(p), "range int, hashes binary, again binary").withColumn("split", F.spark_partition_id())
-        again = sets.repartitionById(p, F.col("range")).mapInPandas(_seen_again, "split int, hashes binary").repartitionById(n_splits, F.col("split"))
-        zipped = rows.mapPartitions(lambda part: [[tuple(r) for r in part]]) \
-            .zip(again.select("hashes").rdd.mapPartitions(lambda part: [[bytes(r[0]) for r in part]]))
-        records = spark.createDataFrame(zipped.flatMap(_records), "packed binary").mapInPandas(_unpack_records, _FOUND)
-    else:
-        records = spark.createDataFrame([], _FOUND)
+    slim = base.select("doc", "th", "_text", F.spark_partition_id().alias("_split"))
+    sets = slim.mapInPandas(_anchor_sets(p), "range int, split int, hashes binary, again binary")
+    again = sets.repartitionById(p, F.col("range")).mapInPandas(_seen_again, "split int, hashes binary")
+    path = settle_splits(again, slim.rdd.getNumPartitions(), "anchors")
+    records = slim.mapInPandas(_records(path), _FOUND)
     judged = settle(records.repartition(p, "k1").sortWithinPartitions("k1", "k2", "doc", "th", "low")
                     .mapInPandas(_judge(window), "k1 long, doc long, th int, low int, high int, open boolean"), "byte-stretches")
     texts = base.repartition(p, "doc", "th")  # shared by both joins below
-    asked = judged.filter("open").groupBy("doc", "th").agg(F.collect_list(F.struct("k1", "low", "high")).alias("asked"))
-    parts = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "asked") \
+    asked = judged.filter("open").groupBy("doc", "th").agg(F.collect_list("k1").alias("k1s"), F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    parts = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "k1s", "lows", "highs") \
         .mapInPandas(_slices, "k1 long, doc long, th int, low int, part binary")
     found = parts.repartition(p, "k1").sortWithinPartitions("k1").mapInPandas(_compare(window), "doc long, th int, low int, high int")
     spans = judged.filter("not open").select("doc", "th", "low", "high").unionByName(found) \
-        .groupBy("doc", "th").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
+        .groupBy("doc", "th").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     fields = docs.select(*keep).schema
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in keep]
                        + ["n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", "kept binary"])
-    return texts.join(spans, ["doc", "th"], "left").select("_keep.*", "_text", "spans").mapInPandas(_cut, schema)
+    return texts.join(spans, ["doc", "th"], "left").select("_keep.*", "_text", "lows", "highs").mapInPandas(_cut, schema)
