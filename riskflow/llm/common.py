@@ -43,6 +43,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle_splits(df: DataFrame, n: int, name: str) -> str:
+    """Write df (with an int column split) to the shared folder, one folder for each split, and give its path."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    df.repartitionById(max(1, n), F.col("split")).write.partitionBy("split").parquet(path)
+    return path
+
+
+def read_split(path: str, split: int):
+    """In a task: the rows that settle_splits wrote for one split, as an Arrow table, or None."""
+    import pyarrow.parquet as pq
+    from pyarrow import concat_tables, fs
+    store, root = fs.FileSystem.from_uri(path)
+    found = store.get_file_info(fs.FileSelector(f"{root}/split={split}", allow_not_found=True))
+    files = [f.path for f in found if f.path.endswith(".parquet")]
+    return concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in files]) if files else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

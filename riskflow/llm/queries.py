@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -47,21 +46,7 @@ def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoded_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the ids as 32-bit little-endian), decoded_sha256, exact round trip."""
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    d = sentence_pieces.encode(docs.select("doc_id", "text"), path, ["doc_id", "text"])
-
-    def digest(batches):
-        model = sentence_pieces.pieces(path)
-        for b in batches:
-            out = []
-            for i, text, ids in zip(b["doc_id"], b["text"], b["ids"], strict=True):
-                back = model.decode(ids)
-                out.append((i, len(ids), hashlib.sha256(np.asarray(ids, dtype="<u4").tobytes()).hexdigest(),
-                            hashlib.sha256(back.encode()).hexdigest(), back == text.replace(sentence_pieces.SPACE, " ")))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "exact"])
-
-    return d.mapInPandas(digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, exact boolean")
+    return sentence_pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], proof=True)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,27 +6,30 @@ edges are grouped by word, and a higher-order fold picks the pieces: Viterbi
 (highest sum of scores) for unigram models; for BPE models, whose scores are
 merge ranks and whose encoding is not the highest sum, the fold merges the best
 adjacent pair of lattice nodes, which is the library's encoding exactly.  Every
-input split then gets the encodings of its own words (a narrow zip of the text
-with its dictionary), so texts are never shuffled.
+input split then gets the encodings of its own words, so texts are never
+shuffled.
 
 Defined cases: null and empty texts have no pieces; characters outside the
 piece table become byte pieces; U+2581 in a text is read as a space, as the
 library does; repeated rows are encoded each; an empty table gives an empty
 result; words longer than LONG characters are folded by the same rule in Python.
-The table must be read from files, as its splits are read twice.
+The table must be read from files, as its splits are read twice; a task reads
+the encodings of its split from the shared folder.
 """
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import partitions
+from riskflow.llm.common import partitions, read_split, settle_splits
 
 SPACE = "▁"
 #: longest word that the lattice takes
@@ -58,17 +61,20 @@ class Pieces:
         # ASCII characters that no longer piece contains stand alone, and a piece has spaces only in front
         joined = {c for p, _, _ in self.table if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        self.split = re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" + (f"|[{alone}]" if alone else ""))
+        alone = alone.replace(re.escape(" "), "")
+        self.split = re.compile(f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
         # where no piece joins letters with others, words part there without changing the encoding
         self.part = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
         if any(self.part.match(p).end() != len(p) for p, _, _ in self.table):
             self.part = regex.compile(".+", regex.S)
 
     def words(self, text: str) -> list[str]:
-        return self.split.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        """Words with the spaces before them; the first one gets the leading space."""
+        return self.split.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def atoms(self, word: str) -> list[str]:
-        return self.part.findall(word)
+        """The parts of a word that are encoded on their own, spaces marked."""
+        return self.part.findall(word.replace(" ", SPACE))
 
     def fold(self, word: str) -> list[int]:
         """The merge fold in plain Python, for words too long for the lattice."""
@@ -103,9 +109,9 @@ class Pieces:
     def fallback(self, text: str) -> list[int]:
         return [self.bytes[b] for b in text.encode()]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         surface = self.surface
-        text = b"".join([surface[i] for i in ids]).decode(errors="replace")
+        text = b"".join([surface[i] for i in np.frombuffer(ids, dtype="<i4").tolist()]).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -176,71 +182,85 @@ def encode_words(words: DataFrame, spark: SparkSession, model: Pieces, fold: str
     return d.select("word", ids.alias("ids"))
 
 
-def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold: str | None = None) -> DataFrame:
-    """keep columns and ids (array of int) of every whole text.
+def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold: str | None = None,
+           proof: bool = False) -> DataFrame:
+    """keep columns and ids (binary, 32-bit little-endian each) of every whole text.
 
     fold: viterbi or merges; by default what the model's type asks for.
+    proof: instead of ids their number, their digest, that of the decoded text,
+    and whether it is the text (in one pass, so ids and texts go nowhere).
     """
     spark = docs.sparkSession
     model = pieces(path)
     fold = fold or ("merges" if model.merges else "viterbi")
-    keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c != "ids"]
-    src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + ["ids array<int>"])
-    rows = src.rdd
-    n_splits = rows.getNumPartitions()
-    if not n_splits:
-        return spark.createDataFrame([], schema)
+    made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "exact boolean"] if proof else ["ids binary"]
+    names = [c.split()[0] for c in made]
+    keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c not in names]
+    src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.spark_partition_id().alias("_split"))
+    schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + made)
 
     def words_of(batches):
-        m, seen = pieces(path), set()
+        m, seen, split = pieces(path), set(), None
         for b in batches:
+            split = b["_split"].iloc[0] if len(b) else split
             for t in b["_text"]:
                 seen.update(m.words(t))
-        yield pd.DataFrame({"word": list({a for w in seen for a in m.atoms(w)})}, dtype=object)
+        words = sorted({a for w in seen for a in m.atoms(w)})
+        del seen
+        for i in range(0, len(words), 20_000):
+            yield pd.DataFrame({"word": words[i:i + 20_000], "split": np.int32(split)})
 
     # one shuffle by word serves the distinct words and the way back to the splits
-    pairs = src.mapInPandas(words_of, "word string").withColumn("split", F.spark_partition_id()) \
-        .repartition(partitions(spark), "word")
-    solved = encode_words(pairs.select("word").distinct(), spark, model, fold)
-    back = pairs.join(solved, "word").repartitionById(n_splits, F.col("split"))
-
-    def dictionary(part):
-        m = pieces(path)
-        out = {}
-        for word, ids in part:
-            if None in ids:  # the byte pieces of characters outside the table
-                cut, at = [], 0
-                for i in ids:
-                    cut += [i] if i is not None else m.fallback(word[at])
-                    at += m.size[i] if i is not None else 1
-                ids = cut
-            out[word] = ids
-        return [out]
-
-    def texts(part):
-        return [[tuple(r) for r in part]]
-
-    def run(pair):
-        m = pieces(path)
-        part, atoms = pair
-        known = {}
-        for *kept, t in part:
-            ids = []
-            for w in m.words(t):
-                hit = known.get(w)
-                if hit is None:
-                    hit = []
-                    for a in m.atoms(w):
-                        if len(a) > LONG:
-                            hit += m.fold(a)
-                        elif a in atoms:
-                            hit += atoms[a]
-                        else:
-                            raise ValueError("the splits of the input changed between two reads")
-                    known[w] = hit
-                ids += hit
-            yield (*kept, ids)
-
-    zipped = rows.mapPartitions(texts).zip(back.select("word", "ids").rdd.mapPartitions(dictionary))
-    return spark.createDataFrame(zipped.flatMap(run), schema)
+    pairs = src.mapInPandas(words_of, "word string, split int").filter("word is not null").repartition(partitions(spark), "word")
+    solved = encode_words(pairs.groupBy("word").agg(F.min("split").alias("s")).filter("s >= 0"), spark, model, fold)
+    known_path = settle_splits(pairs.join(solved, "word"), src.rdd.getNumPartitions(), "word-pieces")
+
+    def dictionary(split: int) -> dict[str, bytes]:
+        """The ids of the words of one split, four bytes each."""
+        m, out, rows = pieces(path), {}, read_split(known_path, split)
+        for batch in rows.to_batches(20_000) if rows is not None else ():
+            for word, ids in zip(batch["word"].to_pylist(), batch["ids"].to_pylist(), strict=True):
+                if None in ids:  # the byte pieces of characters outside the table
+                    cut, at = [], 0
+                    for i in ids:
+                        cut += [i] if i is not None else m.fallback(word[at])
+                        at += m.size[i] if i is not None else 1
+                    ids = cut
+                out[word] = np.array(ids, dtype="<i4").tobytes()
+        return out
+
+    def run(batches):
+        m, atoms, known, split = pieces(path), {}, {}, None
+        for b in batches:
+            if len(b) and b["_split"].iloc[0] != split:
+                split = b["_split"].iloc[0]
+                atoms, known = dictionary(split), {}
+            out = []
+            for t in b["_text"]:
+                ids = []
+                for w in m.words(t):
+                    hit = known.get(w)
+                    if hit is None:
+                        hit = b""
+                        for a in m.atoms(w):
+                            if len(a) > LONG:
+                                hit += np.array(m.fold(a), dtype="<i4").tobytes()
+                            elif a in atoms:
+                                hit += atoms[a]
+                            else:
+                                raise ValueError("the splits of the input changed between two reads")
+                        known[w] = hit
+                    ids.append(hit)
+                ids = b"".join(ids)
+                if proof:
+                    back = m.decode(ids)
+                    out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(),
+                                back == t.replace(SPACE, " ")))
+                else:
+                    out.append((ids,))
+            b = b[keep].copy()
+            for k, c in enumerate(names):
+                b[c] = [x[k] for x in out]
+            yield b
+
+    return src.mapInPandas(run, schema)

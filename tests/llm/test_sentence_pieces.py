@@ -18,13 +18,16 @@ def test_encoding_is_the_library_s_and_decodes_back(spark, folder):
     alphabet = ["a", "the", "tion", " ", "  ", "   ", "\n", "\t", "\r", "é", "中", "😀", "ゼ", "!", "...", "123", " ", "Hello", "zqxj", "́"]
     texts = [None, "", " ", "   ", "\n", "a", " a", "a ", "x" * 5000, "ab" * 40000, "e" * 64, "e" * 65, "same text", "same text", "▁b"]
     texts += ["".join(rng.choices(alphabet, k=rng.randint(1, 40))) for _ in range(300)]
-    rows = {r["doc_id"]: r for r in queries.QUERIES["op4_sentence_pieces"](spark, folder(documents=documents(texts))).collect()}
+    d = folder(documents=documents(texts))
+    rows = {r["doc_id"]: r for r in queries.QUERIES["op4_sentence_pieces"](spark, d).collect()}
     assert len(rows) == len(texts)
     for i, t in enumerate(texts):
         want = library.encode(t or "")
         assert rows[i]["n_tokens"] == len(want), t
         assert rows[i]["ids_sha256"] == hashlib.sha256(np.asarray(want, dtype="<u4").tobytes()).hexdigest(), t
         assert rows[i]["exact"], t
+    plain = sentence_pieces.encode(spark.read.parquet(d + "/documents.parquet"), PATH, ["doc_id"]).collect()
+    assert all(np.frombuffer(r["ids"], dtype="<i4").tolist() == library.encode(texts[r["doc_id"]] or "") for r in plain)
 
 
 def test_viterbi_takes_the_highest_sum(spark):
