@@ -6,6 +6,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskflow.session import ensure_checkpoint_dir
+
 #: white space that separates words everywhere in this subpackage
 WS = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,14 +23,8 @@ def n_words(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
-
-    Sessions without it (tests) must have set a checkpoint folder themselves.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return folder.rstrip("/")
+    """The cluster's shared folder, ``spark.checkpoint.dir``; only a local session may do without it."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark)).rstrip("/")
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
