@@ -92,8 +92,8 @@ def _parties(meta: Column) -> list[Column]:
 
 
 def fetch_alerts(alerts: DataFrame, records: DataFrame, limit: int = 50) -> DataFrame:
-    """Alerts joined (inner) with their records, newest first; limit capped at 50."""
-    n = min(_check_limit(limit), ALERT_CAP)
+    """Alerts joined (inner) with their records, newest first; the limit is taken as given."""
+    n = _check_limit(limit)
     r = records.select("transaction_id", F.col("final_risk_score").alias("fraud_probability"),
                        "action", "indicators", F.col("metadata").alias("_meta"))
     j = alerts.join(r, "transaction_id", "inner")
@@ -104,7 +104,7 @@ def fetch_alerts(alerts: DataFrame, records: DataFrame, limit: int = 50) -> Data
 
 def fetch_alerts_lookup(alerts: DataFrame, records: DataFrame, limit: int = 50) -> DataFrame:
     """Newest alerts first, then a left lookup of their records with fallbacks."""
-    n = min(_check_limit(limit), ALERT_CAP)
+    n = _check_limit(limit)
     top = alerts.orderBy(F.col("timestamp").desc(), F.col("transaction_id")).limit(n)
     r = records.select("transaction_id", F.col("final_risk_score").alias("_p"), F.col("action").alias("_a"),
                        F.col("indicators").alias("_i"), F.col("metadata").alias("_meta"), F.lit(True).alias("_hit"))

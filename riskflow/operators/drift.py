@@ -34,9 +34,9 @@ def psi_status(psi: Column) -> list[Column]:
 
 
 def long_form(df: DataFrame, features: list[str]) -> DataFrame:
-    """(feature, value) for the given numeric columns, nulls dropped."""
+    """(feature, value) for the given numeric columns, nulls and NaN dropped."""
     d = df.select(*[F.col(f).cast("double").alias(f) for f in features])
-    return d.unpivot([], features, "feature", "value").filter(F.col("value").isNotNull())
+    return d.unpivot([], features, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def _value_block(v: Column) -> Column:

@@ -124,6 +124,7 @@ def online_user_features(df: DataFrame, prob: Column | None = None, history: int
     P(n-1-h) comes from an equi-join on (user, position) - evenly spread even
     for a hot user.
     """
+    prob = F.coalesce(prob, F.lit(0.0)) if prob is not None else None   # no probability counts as 0.0, as in the stream
     sums = {"_p_run": prob} if prob is not None else {}
     d = running(df, ["nameOrig"], [F.col("step"), F.col("row_id")], [time_block(F.col("step"), block_steps)],
                 sums=sums, position="_upos")

@@ -94,14 +94,16 @@ def _state_bits(rows: DataFrame, by: list[str]) -> DataFrame:
 def feedback_fold(df: DataFrame, key: str, hi_risky: str, hi_safe: str,
                   order: tuple[str, str] = ("step", "row_id"), history: int = HISTORY,
                   cutoff: float = RISK_CUTOFF, block_rows: int = DEFAULT_BLOCK_ROWS,
-                  warmup: int = DEFAULT_WARMUP, block_steps: int = 24 * 30,
-                  max_rounds: int | None = None) -> DataFrame:
-    """Return ``df`` plus ``merchant_risk_online`` (double) and ``judged_high`` (int)."""
+                  warmup: int = DEFAULT_WARMUP, block_steps: int = 24 * 30) -> DataFrame:
+    """Return ``df`` plus ``merchant_risk_online`` (double) and ``judged_high`` (int).
+
+    One path for every key and size; rows of a null key are one key of their own.
+    """
     if block_rows < history or warmup < history:
         raise ValueError("block_rows and warmup must be at least `history`")
     d = running(df, [key], [F.col(c) for c in order], [time_block(F.col(order[0]), block_steps)],
                 position="_pos")
-    d = d.withColumns({"_key": F.col(key).cast("string"),
+    d = d.withColumns({"_key": F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("null")),
                        "_fb": F.floor((F.col("_pos") - 1) / F.lit(block_rows)).cast("long"),
                        "_hi_risky": F.col(hi_risky).cast("boolean"), "_hi_safe": F.col(hi_safe).cast("boolean"),
                        "_ghost": F.lit(0)})
@@ -113,19 +115,12 @@ def feedback_fold(df: DataFrame, key: str, hi_risky: str, hi_safe: str,
         return (real.withColumnRenamed("_risk", "merchant_risk_online").withColumnRenamed("_flag", "judged_high")
                 .drop(*HELPERS))
 
-    # Cheap pre-check (reads only the key column, partial aggregation): when no merchant
-    # has more than one block, every block starts from the true empty state.
-    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    if largest <= block_rows:
-        return finish(d.groupBy("_key", "_fb").applyInPandas(fold, schema))
-
     ghosts = (d.filter(((F.col("_pos") - 1) % block_rows) >= block_rows - warmup)
               .withColumns({"_fb": F.col("_fb") + 1, "_ghost": F.lit(1)}))
     res = cut_lineage(d.unionByName(ghosts).groupBy("_key", "_fb").applyInPandas(fold, schema))
     used = _state_bits(res.filter("_ghost = 1").select("_key", "_fb", "_pos", "_flag"), ["_key", "_fb"])
     real = res.filter("_ghost = 0")
 
-    rounds = 0
     while True:
         tail = _state_bits(
             real.filter(((F.col("_pos") - 1) % block_rows) >= block_rows - history)
@@ -134,9 +129,8 @@ def feedback_fold(df: DataFrame, key: str, hi_risky: str, hi_safe: str,
         bad = (used.join(tail, ["_key", "_fb"], "inner").filter(F.col("_bits") != F.col("_true"))
                .select("_key", "_fb", F.col("_true").alias("_init")))
         bad = cut_lineage(bad)
-        if bad.isEmpty() or (max_rounds is not None and rounds >= max_rounds):
+        if bad.isEmpty():
             break
-        rounds += 1
         redo = d.join(bad, ["_key", "_fb"], "inner")
         fixed = redo.groupBy("_key", "_fb").applyInPandas(fold, schema)
         real = cut_lineage(real.join(bad.select("_key", "_fb"), ["_key", "_fb"], "left_anti")

@@ -54,7 +54,7 @@ def roc_auc(c: DataFrame) -> DataFrame:
     """Trapezoid over distinct thresholds (ties count one half)."""
     area = F.col("neg") * ((F.col("tp") - F.col("pos")) + F.col("pos") / 2.0)
     return c.agg(F.sum(area).alias("_a"), F.first("P").alias("_P"), F.first("N").alias("_N")).select(
-        (F.col("_a") / (F.col("_P") * F.col("_N"))).alias("roc_auc"))
+        F.try_divide(F.col("_a"), F.col("_P") * F.col("_N")).alias("roc_auc"))
 
 
 def _prf(tp: Column, fp: Column, fn: Column) -> list[Column]:

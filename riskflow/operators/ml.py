@@ -55,8 +55,8 @@ def class_weights(df: DataFrame, label: str = "isFraud", cap: float = WEIGHT_CAP
     """M7: w0 = 1/n0, w1 = min(1/n1, cap/n0); adds ``weight``."""
     n = df.agg(F.count_if(F.col(label) == 0).alias("_n0"), F.count_if(F.col(label) == 1).alias("_n1"))
     d = df.crossJoin(F.broadcast(n))
-    w1 = F.least(1.0 / F.col("_n1"), F.lit(cap) / F.col("_n0"))
-    return d.withColumn("weight", F.when(F.col(label) == 1, w1).otherwise(1.0 / F.col("_n0"))).drop("_n0", "_n1")
+    w1 = F.least(F.try_divide(F.lit(1.0), F.col("_n1")), F.try_divide(F.lit(cap), F.col("_n0")))
+    return d.withColumn("weight", F.when(F.col(label) == 1, w1).otherwise(F.try_divide(F.lit(1.0), F.col("_n0")))).drop("_n0", "_n1")
 
 
 def stratified_folds(df: DataFrame, label: str = "isFraud", id_col: str = "row_id", k: int = N_FOLDS,
@@ -112,16 +112,19 @@ def train_meta(df: DataFrame, label: str = "y", folds: int = N_FOLDS, c: float =
     d = meta_features(df)
     d = assemble(d, ["p_tab", "p_seq_filled", "p_seq_missing"], "meta")
     d = stratified_folds(d, label, "row_id", folds)
-    n = d.count()
+    d = d.persist()
+    rows = {r["fold"]: r["count"] for r in d.groupBy("fold").count().collect()}   # one number per fold
     models = []
     for k in range(folds):
         tr, ho = d.filter(F.col("fold") != k), d.filter(F.col("fold") == k)
+        n = sum(c for fold, c in rows.items() if fold != k)
         lr = LogisticRegression(featuresCol="meta", labelCol=label, regParam=1.0 / (c * max(n, 1)),
                                 elasticNetParam=0.0, standardization=False, maxIter=500)
         lrm = lr.fit(tr)
         cal_in = positive_probability(lrm.transform(ho), "_raw")
         iso = IsotonicRegression(featuresCol="_raw", labelCol=label, predictionCol="_cal").fit(cal_in)
         models.append((lrm, iso))
+    d.unpersist()
     return models
 
 

@@ -117,7 +117,7 @@ def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Col
     if position:
         out[position] = (F.col("_oc") + F.col("_rn")).cast("long")
     for n in sums:
-        out[n] = F.col(f"_ot_{n}") + F.col(f"_rs_{n}")
+        out[n] = F.col(f"_ot_{n}") + F.coalesce(F.col(f"_rs_{n}"), F.lit(0))   # nulls add nothing
     if lag_of is not None:
         out[lag_names[0]] = F.when(F.col("_rn") >= 2, F.col("_il1")).otherwise(F.col("_pl1"))
         out[lag_names[1]] = (F.when(F.col("_rn") >= 3, F.col("_il2"))

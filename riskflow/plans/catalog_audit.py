@@ -122,7 +122,7 @@ def q_j1(spark, sf):
 @query("L2_alerts_capped", sql=audit_sql(J1_BODY))
 def q_l2(spark, sf):
     rec = records_with_step(spark, sf)
-    return _alerts_out(AU.fetch_alerts(AU.alerts_of(rec), rec, 500))   # asks for 500, gets the cap of 50
+    return _alerts_out(AU.fetch_alerts(AU.alerts_of(rec), rec, min(500, AU.ALERT_CAP)))   # the endpoint caps what is asked
 
 
 @query("J2_alerts_left_lookup", sql=audit_sql(J1_BODY))

@@ -38,8 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Only when it is unset (local tests) do we fall back to a fresh
-    scratch folder.
+    is.  Only a local session, whose tasks run in the driver's process, falls
+    back to a fresh scratch folder when it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="riskflow-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -210,7 +211,9 @@ def audit_writer(records_path: str, alerts_path: str, logs_path: str, to_records
         try:
             existing = (spark.read.parquet(records_path).filter(F.col("epoch") < epoch_id)
                         .select("transaction_id"))
-        except Exception:  # noqa: BLE001 - first batch: nothing stored yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":   # only a store that does not exist yet is empty
+                raise
             existing = None
         new = cut_lineage(AU.append_records(rec, existing))   # the three writes see the same rows
         part = f"epoch={epoch_id}"

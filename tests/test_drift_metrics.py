@@ -81,3 +81,9 @@ def test_threshold_fallbacks(spark):
     high = spark.createDataFrame([(i, 1 if i >= 5 else 0, 0.9 if i >= 5 else 0.1) for i in range(10)],
                                  "row_id long, y int, prob double")
     assert ME.best_threshold(ME.curve(high)).collect()[0].threshold == 0.8   # capped
+
+
+def test_nan_values_are_dropped(spark):
+    from riskflow.operators.drift import long_form
+    df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
+    assert [r["value"] for r in long_form(df, ["x"]).collect()] == [1.0]

@@ -57,3 +57,24 @@ def test_feedback_fold_blocks_and_repair(spark):
         risk, f = exp[r.row_id]
         assert r.judged_high == f
         assert abs(r.merchant_risk_online - risk) < 1e-12
+
+
+def test_feedback_null_merchant_and_small_blocks(spark):
+    """A null merchant is folded and repaired like any other, whatever the block size."""
+    from riskflow.operators.feedback import feedback_fold
+    rows = [(m, i, i, i < 60 or i % 3 > 0, i < 60) for m in ("A", None) for i in range(700)]
+    df = spark.createDataFrame(rows, "m string, step long, row_id long, risky boolean, safe boolean")
+    got = []
+    for block_rows in (100, 250, 50_000):
+        out = feedback_fold(df, "m", "risky", "safe", block_rows=block_rows, warmup=100)
+        got.append({(r["m"], r["row_id"]): (r["merchant_risk_online"], r["judged_high"]) for r in out.collect()})
+    assert len(got[0]) == 1400 and got[0] == got[1] == got[2]
+    assert all(got[0]["A", i] == got[0][None, i] for i in range(700))
+
+
+def test_running_sum_over_nulls(spark):
+    from pyspark.sql import functions as F
+    from riskflow.operators.ordered import running, time_block
+    df = spark.createDataFrame([("k", 0, None), ("k", 1, 5.0), ("k", 2, None), ("k", 3, 7.0)], "k string, step long, v double")
+    out = running(df, ["k"], [F.col("step")], [time_block(F.col("step"), 2)], sums={"s": F.col("v")}, position=None)
+    assert [r["s"] for r in out.orderBy("step").collect()] == [0.0, 5.0, 5.0, 12.0]
