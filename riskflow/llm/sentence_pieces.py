@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,8 @@ from riskflow.llm.common import partitions, read_split, settle_splits
 SPACE = "▁"
 #: longest word that the lattice takes
 LONG = 64
+#: words whose parts a worker remembers; emptied when full
+REMEMBERED = 100_000
 #: score of a character outside the piece table
 UNKNOWN = -1e6
 
@@ -195,23 +198,32 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
     fold = fold or ("merges" if model.merges else "viterbi")
     made = ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "exact boolean"] if proof else ["ids binary"]
     names = [c.split()[0] for c in made]
+    types = [{"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}[c.split()[1]] for c in made]
     keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c not in names]
     src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"), F.spark_partition_id().alias("_split"))
     schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + made)
 
     def words_of(batches):
-        m, seen, split = pieces(path), set(), None
+        m, seen, sent, split = pieces(path), set(), set(), None
+
+        def fresh():
+            """Parts of the words seen since the last call that this task has not sent yet."""
+            words = {a for w in seen for a in m.atoms(w)} - sent
+            seen.clear()
+            sent.update(words)
+            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "split": pa.array([split] * len(words), pa.int32())})
+
         for b in batches:
-            split = b["_split"].iloc[0] if len(b) else split
+            split = b["_split"][0].as_py() if len(b) else split
             for t in b["_text"]:
-                seen.update(m.words(t))
-        words = sorted({a for w in seen for a in m.atoms(w)})
-        del seen
-        for i in range(0, len(words), 20_000):
-            yield pd.DataFrame({"word": words[i:i + 20_000], "split": np.int32(split)})
+                seen.update(m.words(t.as_py()))
+                if len(seen) > REMEMBERED:
+                    yield fresh()
+        if seen:
+            yield fresh()
 
     # one shuffle by word serves the distinct words and the way back to the splits
-    pairs = src.mapInPandas(words_of, "word string, split int").filter("word is not null").repartition(partitions(spark), "word")
+    pairs = src.mapInArrow(words_of, "word string, split int").filter("word is not null").repartition(partitions(spark), "word")
     solved = encode_words(pairs.groupBy("word").agg(F.min("split").alias("s")).filter("s >= 0"), spark, model, fold)
     known_path = settle_splits(pairs.join(solved, "word"), src.rdd.getNumPartitions(), "word-pieces")
 
@@ -231,36 +243,37 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
 
     def run(batches):
         m, atoms, known, split = pieces(path), {}, {}, None
+
+        def encoded(w: str) -> bytes:
+            hit = b""
+            for a in m.atoms(w):
+                if len(a) > LONG:
+                    hit += np.array(m.fold(a), dtype="<i4").tobytes()
+                elif a in atoms:
+                    hit += atoms[a]
+                else:
+                    raise ValueError("the splits of the input changed between two reads")
+            if len(known) > REMEMBERED:
+                known.clear()
+            known[w] = hit
+            return hit
+
         for b in batches:
-            if len(b) and b["_split"].iloc[0] != split:
-                split = b["_split"].iloc[0]
-                atoms, known = dictionary(split), {}
+            if len(b) and b["_split"][0].as_py() != split:
+                split, atoms = b["_split"][0].as_py(), {}
+                known.clear()
+                atoms = dictionary(split)
             out = []
-            for t in b["_text"]:
-                ids = []
-                for w in m.words(t):
-                    hit = known.get(w)
-                    if hit is None:
-                        hit = b""
-                        for a in m.atoms(w):
-                            if len(a) > LONG:
-                                hit += np.array(m.fold(a), dtype="<i4").tobytes()
-                            elif a in atoms:
-                                hit += atoms[a]
-                            else:
-                                raise ValueError("the splits of the input changed between two reads")
-                        known[w] = hit
-                    ids.append(hit)
-                ids = b"".join(ids)
+            for t in b["_text"]:  # text by text: a batch is never turned into Python objects as a whole
+                t = t.as_py()
+                ids = b"".join([known.get(w) or encoded(w) for w in m.words(t)])
                 if proof:
                     back = m.decode(ids)
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(),
                                 back == t.replace(SPACE, " ")))
                 else:
                     out.append((ids,))
-            b = b[keep].copy()
-            for k, c in enumerate(names):
-                b[c] = [x[k] for x in out]
-            yield b
+            columns = [b[c] for c in keep] + [pa.array([x[k] for x in out], types[k]) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
 
-    return src.mapInPandas(run, schema)
+    return src.mapInArrow(run, schema)
