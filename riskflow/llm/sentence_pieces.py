@@ -33,8 +33,10 @@ from pyspark.sql import functions as F
 from riskflow.llm.common import partitions, read_split, settle_splits
 
 SPACE = "▁"
-#: longest word that the lattice takes
-LONG = 64
+#: longest word that the lattice takes (its cuts fit a positive long)
+LONG = 62
+#: id of a character outside the table in a packed edge
+NO_ID = (1 << 24) - 1
 #: words whose parts a worker remembers; emptied when full
 REMEMBERED = 100_000
 #: score of a character outside the piece table
@@ -55,6 +57,7 @@ class Pieces:
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
         self.merges = spec.model_type == spec.BPE
         self.table = [(p.piece, i, p.score) for i, p in enumerate(model.pieces) if p.type == kind.NORMAL]
+        self.ranks = [r - 1 for r in pd.Series([-s for _, _, s in self.table]).rank(method="dense").astype(int)]
         self.ids = {p: (i, s) for p, i, s in self.table}
         self.longest = max(len(p) for p, _, _ in self.table)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
@@ -123,46 +126,70 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _key(j: Column, i: Column) -> Column:
-    return j * (LONG + 1) + i
-
-
 def lattice(words: DataFrame, spark: SparkSession, model: Pieces) -> DataFrame:
-    """words: word (distinct) -> word, edges: array of (key, value (score, id)), one per substring in the table.
+    """words: word (distinct) -> word, i, k, id, score, rank; one row per substring [i, i + k) in the table.
 
-    key orders edges by end, then start.  Keeps the partitioning by word; a
-    character outside the table has an edge with a null id.  The piece table is
-    bounded by the model and broadcast.
+    Keeps the partitioning by word; a character outside the table has a row with
+    null id.  The piece table is bounded by the model and broadcast.
     """
-    table = F.broadcast(spark.createDataFrame(pd.DataFrame(model.table, columns=["piece", "id", "score"]), "piece string, id int, score double"))
+    table = F.broadcast(spark.createDataFrame(pd.DataFrame(model.table, columns=["piece", "id", "score"]).assign(rank=model.ranks),
+                                              "piece string, id int, score double, rank int"))
     n = F.length("word")
     d = words.filter(n.between(1, LONG)).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     d = d.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("i")))).alias("k"))
-    d = d.select("word", _key(F.col("i") + F.col("k"), F.col("i")).alias("key"), "k", F.substring("word", F.col("i") + 1, F.col("k")).alias("piece"))
-    d = d.join(table, "piece", "left").filter("id is not null or k = 1")
-    value = F.struct(F.coalesce("score", F.lit(UNKNOWN)).alias("score"), "id")
-    return d.groupBy("word").agg(F.collect_list(F.struct("key", value.alias("value"))).alias("edges"))
+    d = d.select("word", "i", "k", F.substring("word", F.col("i") + 1, F.col("k")).alias("piece"))
+    return d.join(table, "piece", "left").filter("id is not null or k = 1")
+
+
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
+
+
+def _field(edge: Column, shift: int, bits: int) -> Column:
+    return F.shiftright(edge, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
 
 
-def _ids(cuts: Column, m: Column) -> Column:
-    """Ids of the edges between neighbouring cuts."""
-    return F.transform(F.slice(cuts, 2, F.size(cuts) - 1), lambda j, k: F.element_at(m, _key(j, F.get(cuts, k)))["id"])
+def packed_edge() -> Column:
+    """A lattice row as one long, ordered by rank, then start: rank, start, end, id (NO_ID for null)."""
+    i = F.col("i").cast("long")
+    return F.shiftleft(F.coalesce("rank", F.lit(0)).cast("long"), 36) + F.shiftleft(i, 30) + F.shiftleft(i + F.col("k"), 24) \
+        + F.coalesce("id", F.lit(NO_ID))
 
 
 def merge_fold(edges: Column, n: Column) -> Column:
-    """Ids after merging the best adjacent pair again and again, the left one of equals."""
-    start = F.struct(F.sequence(F.lit(0), n).alias("cuts"), F.map_from_entries(edges).alias("m"), F.lit(False).alias("done"))
+    """Ids after merging the best adjacent pair again and again, the left one of equals.
+
+    The cuts of a word are the bits of a long.  An edge joins an adjacent pair
+    when both its ends are cuts and one cut lies inside; edges are in the order
+    in which they are preferred, so the first such edge is the best.
+    """
+    def masks(e: Column) -> Column:
+        a, b = _field(e, 30, 6), _field(e, 24, 6)
+        return F.struct(_bit(a).bitwiseOR(_bit(b)).alias("ends"), (_bit(b) - _bit(a + 1)).alias("inner"))
+
+    def placed(x: Column, cuts: Column) -> Column:
+        return cuts.bitwiseAND(x["ends"]) == x["ends"]
+
+    joins = F.filter(F.transform(F.sort_array(edges), masks), lambda x: x["inner"] != 0)
+    start = F.struct(((_bit(n) - 1).bitwiseOR(_bit(n))).alias("cuts"), joins.alias("joins"), F.lit(False).alias("done"))
 
     def step(acc: Column, _: Column) -> Column:
         cuts = acc["cuts"]
-        joins = F.transform(F.slice(cuts, 2, F.greatest(F.size(cuts) - 2, F.lit(0))), lambda mid, k: F.struct(
-            F.element_at(acc["m"], _key(F.get(cuts, k + 2), F.get(cuts, k)))["score"].alias("score"), (-F.get(cuts, k)).alias("at"), mid.alias("mid")))
-        best = F.struct(F.array_max(F.filter(joins, lambda x: x["score"].isNotNull()))["mid"].alias("mid"))
+        best = F.get(F.filter(acc["joins"], lambda x: placed(x, cuts) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)), F.lit(0))["inner"]
         after = F.transform(F.array(best), lambda b: F.struct(
-            F.coalesce(F.array_remove(cuts, b["mid"]), cuts).alias("cuts"), acc["m"].alias("m"), b["mid"].isNull().alias("done")))
+            cuts.bitwiseAND(F.bitwise_not(F.coalesce(b, F.lit(0).cast("long")))).alias("cuts"), acc["joins"].alias("joins"), b.isNull().alias("done")))
         return F.when(acc["done"], acc).otherwise(F.get(after, F.lit(0)))
 
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda acc: _ids(acc["cuts"], acc["m"]))
+    def chosen(e: Column, cuts: Column) -> Column:
+        a, b = _field(e, 30, 6), _field(e, 24, 6)
+        inner = _bit(b) - _bit(a + 1)
+        return cuts.bitwiseAND(_bit(a).bitwiseOR(_bit(b)).bitwiseOR(inner)) == _bit(a).bitwiseOR(_bit(b))
+
+    def ids(acc: Column) -> Column:
+        path = F.transform(F.filter(edges, lambda e: chosen(e, acc["cuts"])), lambda e: e.bitwiseAND(F.lit((1 << 36) - 1).cast("long")))
+        return F.transform(F.sort_array(path), lambda e: F.nullif(_field(e, 0, 24), F.lit(NO_ID)))
+
+    return F.aggregate(F.sequence(F.lit(1), n), start, step, ids)
 
 
 def viterbi_fold(edges: Column) -> Column:
@@ -180,8 +207,15 @@ def viterbi_fold(edges: Column) -> Column:
 
 def encode_words(words: DataFrame, spark: SparkSession, model: Pieces, fold: str) -> DataFrame:
     """word -> ids (null for a character outside the table)."""
-    d = lattice(words, spark, model)
-    ids = merge_fold(F.col("edges"), F.length("word")) if fold == "merges" else viterbi_fold(F.col("edges"))
+    rows = lattice(words, spark, model)
+    if fold == "merges":
+        d = rows.groupBy("word").agg(F.collect_list(packed_edge()).alias("edges"))
+        ids = merge_fold(F.col("edges"), F.length("word"))
+    else:
+        end = F.col("i") + F.col("k")
+        value = F.struct(F.coalesce("score", F.lit(UNKNOWN)).alias("score"), "id")
+        d = rows.groupBy("word").agg(F.collect_list(F.struct((end * (LONG + 1) + F.col("i")).alias("key"), value.alias("value"))).alias("edges"))
+        ids = viterbi_fold(F.col("edges"))
     return d.select("word", ids.alias("ids"))
 
 
