@@ -37,6 +37,8 @@ SPACE = "▁"
 LONG = 62
 #: id of a character outside the table in a packed edge
 NO_ID = (1 << 24) - 1
+#: marks cuts that another pass must look at
+PENDING = -(1 << 63)
 #: words whose parts a worker remembers; emptied when full
 REMEMBERED = 100_000
 #: score of a character outside the piece table
@@ -57,7 +59,6 @@ class Pieces:
         kind = sentencepiece_model_pb2.ModelProto.SentencePiece.Type
         self.merges = spec.model_type == spec.BPE
         self.table = [(p.piece, i, p.score) for i, p in enumerate(model.pieces) if p.type == kind.NORMAL]
-        self.ranks = [r - 1 for r in pd.Series([-s for _, _, s in self.table]).rank(method="dense").astype(int)]
         self.ids = {p: (i, s) for p, i, s in self.table}
         self.longest = max(len(p) for p, _, _ in self.table)
         self.bytes = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == kind.BYTE}
@@ -74,6 +75,17 @@ class Pieces:
         if any(self.part.match(p).end() != len(p) for p, _, _ in self.table):
             self.part = regex.compile(".+", regex.S)
 
+    def ranked(self) -> pd.DataFrame:
+        """The table with rank (0 for the best score) and early: the piece is part of a two-part split of a better one."""
+        early = set()
+        for p, _, score in self.table:
+            for cut in range(1, len(p)):
+                for part, other in ((p[:cut], p[cut:]), (p[cut:], p[:cut])):
+                    if len(part) > 1 and part in self.ids and self.ids[part][1] <= score and (len(other) == 1 or other in self.ids):
+                        early.add(part)
+        d = pd.DataFrame(self.table, columns=["piece", "id", "score"])
+        return d.assign(rank=d["score"].rank(method="dense", ascending=False).astype(int) - 1, early=d["piece"].isin(early))
+
     def words(self, text: str) -> list[str]:
         """Words with the spaces before them; the first one gets the leading space."""
         return self.split.findall(" " + text.replace(SPACE, " ")) if text else []
@@ -127,16 +139,19 @@ def pieces(path: str) -> Pieces:
 
 
 def lattice(words: DataFrame, spark: SparkSession, model: Pieces) -> DataFrame:
-    """words: word (distinct) -> word, i, k, id, score, rank; one row per substring [i, i + k) in the table.
+    """words: word (distinct) -> word, i, k, id, score, rank, early; one row per substring [i, i + k) in the table.
 
     Keeps the partitioning by word; a character outside the table has a row with
     null id.  The piece table is bounded by the model and broadcast.
     """
-    table = F.broadcast(spark.createDataFrame(pd.DataFrame(model.table, columns=["piece", "id", "score"]).assign(rank=model.ranks),
-                                              "piece string, id int, score double, rank int"))
+    table = F.broadcast(spark.createDataFrame(model.ranked(), "piece string, id int, score double, rank int, early boolean"))
+    # a substring is no longer than the longest piece that starts with its first three characters
+    reach = pd.DataFrame([(p[:3], len(p)) for p, _, _ in model.table if len(p) > 2], columns=["begin", "reach"])
+    reach = F.broadcast(spark.createDataFrame(reach.groupby("begin", as_index=False).max(), "begin string, reach int"))
     n = F.length("word")
     d = words.filter(n.between(1, LONG)).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    d = d.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(model.longest), n - F.col("i")))).alias("k"))
+    d = d.withColumn("begin", F.substring("word", F.col("i") + 1, F.lit(3))).join(reach, "begin", "left")
+    d = d.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(2)), n - F.col("i")))).alias("k"))
     d = d.select("word", "i", "k", F.substring("word", F.col("i") + 1, F.col("k")).alias("piece"))
     return d.join(table, "piece", "left").filter("id is not null or k = 1")
 
@@ -145,49 +160,52 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), at)
 
 
-def _field(edge: Column, shift: int, bits: int) -> Column:
-    return F.shiftright(edge, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).cast("int")
+def _low(x: Column, bits: int) -> Column:
+    return x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
 
+def merge_edges(rows: DataFrame) -> DataFrame:
+    """Lattice rows -> word, joins (the longer pieces), singles (the characters); an edge is one long.
 
-def packed_edge() -> Column:
-    """A lattice row as one long, ordered by rank, then start: rank, start, end, id (NO_ID for null)."""
-    i = F.col("i").cast("long")
-    return F.shiftleft(F.coalesce("rank", F.lit(0)).cast("long"), 36) + F.shiftleft(i, 30) + F.shiftleft(i + F.col("k"), 24) \
-        + F.coalesce("id", F.lit(NO_ID))
+    Its bits are rank, start (6), end (6), early (1) and id (24), so edges sort by
+    rank, then start.
+    """
+    i, k = F.col("i").cast("long"), F.col("k")
+    at = F.shiftleft(i, 31) + F.shiftleft(i + k, 25) + F.coalesce("id", F.lit(NO_ID))
+    join = F.shiftleft(F.col("rank").cast("long"), 37) + F.when(F.col("early"), F.lit(1 << 24)).otherwise(F.lit(0)) + at
+    return rows.groupBy("word").agg(F.collect_list(F.when(k > 1, join)).alias("joins"), F.collect_list(F.when(k == 1, at)).alias("singles"))
 
 
-def merge_fold(edges: Column, n: Column) -> Column:
+def merge_fold(joins: Column, singles: Column, n: Column) -> Column:
     """Ids after merging the best adjacent pair again and again, the left one of equals.
 
     The cuts of a word are the bits of a long.  An edge joins an adjacent pair
-    when both its ends are cuts and one cut lies inside; edges are in the order
-    in which they are preferred, so the first such edge is the best.
+    when both its ends are cuts and one cut lies inside.  One pass over the edges
+    in the order of preference merges what can be merged; it stops after a merge
+    that may have made an earlier edge possible, and the next pass starts anew.
     """
-    def masks(e: Column) -> Column:
-        a, b = _field(e, 30, 6), _field(e, 24, 6)
-        return F.struct(_bit(a).bitwiseOR(_bit(b)).alias("ends"), (_bit(b) - _bit(a + 1)).alias("inner"))
+    def edge(e: Column) -> Column:
+        """ends: the bits of both ends, inner: those between them, again: PENDING for an early piece."""
+        a, b = _bit(_low(F.shiftright(e, 31), 6).cast("int")), _bit(_low(F.shiftright(e, 25), 6).cast("int"))
+        return F.struct(e.alias("order"), (a + b).alias("ends"), (b - a - a).alias("inner"),
+                        F.when(e.bitwiseAND(F.lit(1 << 24)) != 0, F.lit(PENDING)).otherwise(F.lit(0).cast("long")).alias("again"))
 
-    def placed(x: Column, cuts: Column) -> Column:
-        return cuts.bitwiseAND(x["ends"]) == x["ends"]
+    def one_pass(cuts: Column, edges: Column) -> Column:
+        def visit(cuts: Column, x: Column) -> Column:
+            fits = (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)
+            return F.when((cuts >= 0) & fits, cuts.bitwiseAND(F.bitwise_not(x["inner"])).bitwiseOR(x["again"])).otherwise(cuts)
+        return F.aggregate(edges, cuts, visit)
 
-    joins = F.filter(F.transform(F.sort_array(edges), masks), lambda x: x["inner"] != 0)
-    start = F.struct(((_bit(n) - 1).bitwiseOR(_bit(n))).alias("cuts"), joins.alias("joins"), F.lit(False).alias("done"))
+    start = F.struct((_bit(n) - 1).bitwiseOR(_bit(n)).bitwiseOR(F.lit(PENDING)).alias("cuts"), F.transform(F.sort_array(joins), edge).alias("joins"))
 
     def step(acc: Column, _: Column) -> Column:
-        cuts = acc["cuts"]
-        best = F.get(F.filter(acc["joins"], lambda x: placed(x, cuts) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)), F.lit(0))["inner"]
-        after = F.transform(F.array(best), lambda b: F.struct(
-            cuts.bitwiseAND(F.bitwise_not(F.coalesce(b, F.lit(0).cast("long")))).alias("cuts"), acc["joins"].alias("joins"), b.isNull().alias("done")))
-        return F.when(acc["done"], acc).otherwise(F.get(after, F.lit(0)))
-
-    def chosen(e: Column, cuts: Column) -> Column:
-        a, b = _field(e, 30, 6), _field(e, 24, 6)
-        inner = _bit(b) - _bit(a + 1)
-        return cuts.bitwiseAND(_bit(a).bitwiseOR(_bit(b)).bitwiseOR(inner)) == _bit(a).bitwiseOR(_bit(b))
+        return F.when(acc["cuts"] >= 0, acc).otherwise(F.struct(one_pass(_low(acc["cuts"], 63), acc["joins"]).alias("cuts"), acc["joins"].alias("joins")))
 
     def ids(acc: Column) -> Column:
-        path = F.transform(F.filter(edges, lambda e: chosen(e, acc["cuts"])), lambda e: e.bitwiseAND(F.lit((1 << 36) - 1).cast("long")))
-        return F.transform(F.sort_array(path), lambda e: F.nullif(_field(e, 0, 24), F.lit(NO_ID)))
+        whole = F.filter(acc["joins"], lambda x: acc["cuts"].bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"])
+        kept = F.filter(singles, lambda e: _low(F.call_function("shiftright", acc["cuts"], F.shiftright(e, 31).cast("int")), 2) == 3)
+        path = F.sort_array(F.concat(F.transform(whole, lambda x: _low(x["order"], 37)), kept))
+        return F.transform(path, lambda e: F.nullif(_low(e, 24).cast("int"), F.lit(NO_ID)))
 
     return F.aggregate(F.sequence(F.lit(1), n), start, step, ids)
 
@@ -209,8 +227,8 @@ def encode_words(words: DataFrame, spark: SparkSession, model: Pieces, fold: str
     """word -> ids (null for a character outside the table)."""
     rows = lattice(words, spark, model)
     if fold == "merges":
-        d = rows.groupBy("word").agg(F.collect_list(packed_edge()).alias("edges"))
-        ids = merge_fold(F.col("edges"), F.length("word"))
+        d = merge_edges(rows)
+        ids = merge_fold(F.col("joins"), F.col("singles"), F.length("word"))
     else:
         end = F.col("i") + F.col("k")
         value = F.struct(F.coalesce("score", F.lit(UNKNOWN)).alias("score"), "id")
