@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,8 +72,8 @@ class Pieces:
         alone = alone.replace(re.escape(" "), "")
         self.split = re.compile(f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
         # where no piece joins letters with others, words part there without changing the encoding
-        self.part = regex.compile(rf"{SPACE}*\p{{L}}+|{SPACE}*[^\p{{L}}{SPACE}]+|{SPACE}+")
-        if any(self.part.match(p).end() != len(p) for p, _, _ in self.table):
+        self.part = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
+        if any(self.part.match(p.replace(SPACE, " ")).end() != len(p) for p, _, _ in self.table):
             self.part = regex.compile(".+", regex.S)
 
     def ranked(self) -> pd.DataFrame:
@@ -91,11 +92,12 @@ class Pieces:
         return self.split.findall(" " + text.replace(SPACE, " ")) if text else []
 
     def atoms(self, word: str) -> list[str]:
-        """The parts of a word that are encoded on their own, spaces marked."""
-        return self.part.findall(word.replace(" ", SPACE))
+        """The parts of a word that are encoded on their own."""
+        return self.part.findall(word)
 
     def fold(self, word: str) -> list[int]:
         """The merge fold in plain Python, for words too long for the lattice."""
+        word = word.replace(" ", SPACE)
         n = len(word)
         right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         ends, alive, queue = list(range(1, n + 1)), [True] * n, []
@@ -260,10 +262,10 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
 
         def fresh():
             """Parts of the words seen since the last call that this task has not sent yet."""
-            words = {a for w in seen for a in m.atoms(w)} - sent
+            words = {a for w in seen - sent for a in m.atoms(w)} - sent
             seen.clear()
             sent.update(words)
-            return pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "split": pa.array([split] * len(words), pa.int32())})
+            return pa.RecordBatch.from_pydict({"word": pa.array([a.replace(" ", SPACE) for a in words], pa.string()), "split": pa.array([split] * len(words), pa.int32())})
 
         for b in batches:
             split = b["_split"][0].as_py() if len(b) else split
@@ -283,14 +285,21 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
         """The ids of the words of one split, four bytes each."""
         m, out, rows = pieces(path), {}, read_split(known_path, split)
         for batch in rows.to_batches(20_000) if rows is not None else ():
-            for word, ids in zip(batch["word"].to_pylist(), batch["ids"].to_pylist(), strict=True):
-                if None in ids:  # the byte pieces of characters outside the table
-                    cut, at = [], 0
-                    for i in ids:
-                        cut += [i] if i is not None else m.fallback(word[at])
-                        at += m.size[i] if i is not None else 1
-                    ids = cut
-                out[word] = np.array(ids, dtype="<i4").tobytes()
+            lists, marked = batch["ids"], batch["word"]
+            words = pc.replace_substring(marked, SPACE, " ").to_pylist()
+            at = lists.offsets.to_numpy()
+            ids = lists.values.slice(at[0], at[-1] - at[0])
+            at = at - at[0]
+            flat = pc.fill_null(ids, -1).to_numpy().astype("<i4").tobytes()
+            cuts = (at * 4).tolist()
+            out.update(zip(words, [flat[x:y] for x, y in zip(cuts, cuts[1:])], strict=True))
+            holes = np.flatnonzero(pc.is_null(ids).to_numpy(zero_copy_only=False))
+            for j in set((np.searchsorted(at, holes, side="right") - 1).tolist()):
+                word, whole, pos = marked[j].as_py(), [], 0  # the byte pieces of characters outside the table
+                for i in lists[j].as_py():
+                    whole += [i] if i is not None else m.fallback(word[pos])
+                    pos += m.size[i] if i is not None else 1
+                out[words[j]] = np.array(whole, dtype="<i4").tobytes()
         return out
 
     def run(batches):
@@ -318,7 +327,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
             out = []
             for t in b["_text"]:  # text by text: a batch is never turned into Python objects as a whole
                 t = t.as_py()
-                ids = b"".join([known.get(w) or encoded(w) for w in m.words(t)])
+                ids = b"".join([atoms.get(w) or known.get(w) or encoded(w) for w in m.words(t)])
                 if proof:
                     back = m.decode(ids)
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(),
