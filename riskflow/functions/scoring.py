@@ -157,6 +157,11 @@ def record_id(seed: Column) -> Column:
     return F.upper(F.substring(F.sha2(seed.cast("string"), 256), 1, 12))
 
 
+def record_key(seed: Column) -> Column:
+    """Full-width key under which the store tells records apart; record_id is its short, shown form."""
+    return F.upper(F.sha2(seed.cast("string"), 256))
+
+
 def random_record_id() -> Column:
     """F24 production variant: prefix of a random UUID."""
     return F.upper(F.substring(F.expr("uuid()"), 1, 12))

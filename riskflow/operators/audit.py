@@ -14,18 +14,30 @@ RAW_FIELDS = ["step", "amount", "type", "oldbalanceOrg", "newbalanceOrig", "oldb
               "nameOrig", "nameDest"]
 ALERT_CAP = 50
 HEALTH_ALERT_LIMIT = 100
+#: full-width key of a record; the 12-character transaction_id is what readers see
+KEY = "record_key"
+
+
+def store_key(*tables: DataFrame) -> str:
+    """KEY where every table has it, else transaction_id."""
+    return KEY if all(KEY in t.columns for t in tables) else "transaction_id"
 
 
 def to_records(scored: DataFrame, ts: Column, txn_id: Column, source: Column | str = "API_DIRECT",
-               ml_prob: str | None = None) -> DataFrame:
-    """Scored transactions -> stored record rows (one per transaction)."""
+               ml_prob: str | None = None, record_key: Column | None = None) -> DataFrame:
+    """Scored transactions -> stored record rows (one per transaction).
+
+    Without record_key the store tells records apart by transaction_id, which
+    then must be unique.
+    """
     src = F.lit(source) if isinstance(source, str) else source
     raw = [c for c in RAW_FIELDS if c in scored.columns]
     if "behavioral_intents" in scored.columns:
         raw.append("behavioral_intents")
     mlp = F.col(ml_prob) if ml_prob else F.lit(0.0)
+    key = [] if record_key is None else [record_key.alias(KEY)]
     return scored.select(
-        txn_id.alias("transaction_id"), ts.alias("timestamp"), src.alias("input_text"),
+        *key, txn_id.alias("transaction_id"), ts.alias("timestamp"), src.alias("input_text"),
         F.coalesce(F.col("amount"), F.lit(0.0)).alias("amount"),
         F.coalesce(F.col("type"), F.lit("UNKNOWN")).alias("type"),
         S.round4(mlp).alias("ml_probability"),
@@ -35,8 +47,9 @@ def to_records(scored: DataFrame, ts: Column, txn_id: Column, source: Column | s
         F.to_json(F.struct(*[F.col(c) for c in raw])).alias("metadata"))
 
 
-def first_write_wins(batch: DataFrame, key: str = "transaction_id", order: str = "timestamp") -> DataFrame:
+def first_write_wins(batch: DataFrame, key: str | None = None, order: str = "timestamp") -> DataFrame:
     """One row per key, the earliest in ``order`` (partial aggregation, no window)."""
+    key = key or store_key(batch)
     cols = batch.columns
     rest = [c for c in cols if c not in (key, order)]
     # the struct leads with the order column, so min() is the earliest row; the
@@ -45,8 +58,9 @@ def first_write_wins(batch: DataFrame, key: str = "transaction_id", order: str =
     return best.select(key, *[F.col(f"_r.{c}").alias(c) for c in [order] + rest]).select(*cols)
 
 
-def append_records(batch: DataFrame, existing: DataFrame | None, key: str = "transaction_id") -> DataFrame:
+def append_records(batch: DataFrame, existing: DataFrame | None, key: str | None = None) -> DataFrame:
     """Rows of ``batch`` that the store accepts: deduplicated, and not already stored."""
+    key = key or store_key(batch)
     new = first_write_wins(batch, key)
     if existing is not None:
         new = new.join(existing.select(key), key, "left_anti")
@@ -54,9 +68,9 @@ def append_records(batch: DataFrame, existing: DataFrame | None, key: str = "tra
 
 
 def alerts_of(records: DataFrame) -> DataFrame:
-    """Alert rows for High records (5 columns)."""
+    """Alert rows for High records (5 columns, and the store's key where records have one)."""
     return records.filter(F.col("risk_level") == S.LEVEL_HIGH).select(
-        "transaction_id", "timestamp", "amount", "risk_level", "reasons")
+        *[c for c in (KEY,) if c in records.columns], "transaction_id", "timestamp", "amount", "risk_level", "reasons")
 
 
 def behavioral_logs(records: DataFrame) -> DataFrame:
@@ -94,9 +108,10 @@ def _parties(meta: Column) -> list[Column]:
 def fetch_alerts(alerts: DataFrame, records: DataFrame, limit: int = 50) -> DataFrame:
     """Alerts joined (inner) with their records, newest first; the limit is taken as given."""
     n = _check_limit(limit)
-    r = records.select("transaction_id", F.col("final_risk_score").alias("fraud_probability"),
+    key = store_key(alerts, records)
+    r = records.select(key, F.col("final_risk_score").alias("fraud_probability"),
                        "action", "indicators", F.col("metadata").alias("_meta"))
-    j = alerts.join(r, "transaction_id", "inner")
+    j = alerts.join(r, key, "inner")
     return (j.select("transaction_id", "timestamp", "amount", "risk_level", "fraud_probability", "action",
                      "reasons", "indicators", *_parties(F.col("_meta")))
             .orderBy(F.col("timestamp").desc(), F.col("transaction_id")).limit(n))
@@ -106,9 +121,10 @@ def fetch_alerts_lookup(alerts: DataFrame, records: DataFrame, limit: int = 50)
     """Newest alerts first, then a left lookup of their records with fallbacks."""
     n = _check_limit(limit)
     top = alerts.orderBy(F.col("timestamp").desc(), F.col("transaction_id")).limit(n)
-    r = records.select("transaction_id", F.col("final_risk_score").alias("_p"), F.col("action").alias("_a"),
+    key = store_key(alerts, records)
+    r = records.select(key, F.col("final_risk_score").alias("_p"), F.col("action").alias("_a"),
                        F.col("indicators").alias("_i"), F.col("metadata").alias("_meta"), F.lit(True).alias("_hit"))
-    j = top.join(r, "transaction_id", "left")
+    j = top.join(r, key, "left")
     found = F.col("_hit").isNotNull()
     return j.select(
         "transaction_id", "timestamp", "amount", "risk_level", "reasons",

@@ -20,7 +20,8 @@ OVERLAP_STEPS = 24 * 30     # the next batch re-sends 30 days
 def records_with_step(spark: SparkSession, sf: str) -> DataFrame:
     """The stored records table: scored ledger, materialised once (read by several branches)."""
     scored = score_transactions(txn_ledger(spark, sf))
-    return cut_lineage(AU.to_records(scored, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id"))))
+    return cut_lineage(AU.to_records(scored, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id")),
+                                     record_key=S.record_key(F.col("row_id"))))
 
 
 RECORDS_SQL = """

@@ -210,7 +210,7 @@ def audit_writer(records_path: str, alerts_path: str, logs_path: str, to_records
         rec = to_records(batch)
         try:
             existing = (spark.read.parquet(records_path).filter(F.col("epoch") < epoch_id)
-                        .select("transaction_id"))
+                        .select(AU.store_key(rec)))
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":   # only a store that does not exist yet is empty
                 raise

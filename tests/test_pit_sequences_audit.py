@@ -67,3 +67,16 @@ def test_registry_promotion(spark):
     better = spark.createDataFrame([("m", 1, "r2", "Production")], "name string, version int, run_id string, stage string")
     v3 = sorted((r.version, r.stage) for r in RG.promote(better, runs, "m").collect())
     assert v3 == [(1, "Production"), (2, "Staging")]           # equal metric does not win
+
+
+def test_records_with_one_short_id_are_told_apart_by_their_key(spark):
+    cols = "record_key string, transaction_id string, timestamp timestamp, amount double, risk_level string, final_risk_score double, " \
+           "action string, reasons array<string>, indicators array<string>, metadata string"
+    t = dt.datetime(2024, 1, 1)
+    rows = [(k, "A", t, x, "High", x / 10, "BLOCK", [], [], "{}") for k, x in (("A1", 1.0), ("A2", 2.0), ("A2", 2.0))]
+    new = AU.append_records(spark.createDataFrame(rows, cols), spark.createDataFrame([("A3",)], "record_key string"))
+    assert sorted(r.record_key for r in new.collect()) == ["A1", "A2"]
+    shown = AU.fetch_alerts(AU.alerts_of(new), new, 100).collect()
+    assert sorted((r.amount, r.fraud_probability) for r in shown) == [(1.0, 0.1), (2.0, 0.2)]
+    looked_up = AU.fetch_alerts_lookup(AU.alerts_of(new), new, 100).collect()
+    assert sorted((r.amount, r.fraud_probability) for r in looked_up) == [(1.0, 0.1), (2.0, 0.2)]

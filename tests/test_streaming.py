@@ -88,7 +88,8 @@ def test_audit_sink_is_idempotent(spark, scratch):
     scored = score_transactions(led)
 
     def to_rec(b):
-        return AU.to_records(b, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id")))
+        return AU.to_records(b, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id")),
+                             record_key=S.record_key(F.col("row_id")))
     w = SS.audit_writer(f"{scratch}/rec", f"{scratch}/al", f"{scratch}/log", to_rec)
     w(scored.filter("row_id % 2 = 0"), 0)
     w(scored, 1)
