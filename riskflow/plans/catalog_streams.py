@@ -59,6 +59,37 @@ HAVING time_bucket(INTERVAL '1 minute', epoch_ms(timestamp)) + INTERVAL '1 minut
        <= (SELECT max(epoch_ms(timestamp)) FROM txn_event) - INTERVAL '2 minutes'"""))(q_t2)
 
 
+def _stream_window_sql(width: str, suffix: str, extra: str) -> str:
+    """Windows that the 2-minute watermark has passed at the end of the replay."""
+    bucket = f"time_bucket(INTERVAL '{width}', epoch_ms(timestamp))"
+    return with_sql(EVENT_SQL, body=f"""
+SELECT card_id, strftime({bucket} + INTERVAL '{width}', '%Y-%m-%dT%H:%M:%SZ') AS window_end_{suffix},
+       count(txn_id) AS txn_count_{suffix}, round(sum(amount), 6) AS amount_sum_{suffix}{extra},
+       count(DISTINCT merchant_id) AS unique_merchants_{suffix}
+FROM txn_event
+GROUP BY card_id, {bucket}
+HAVING {bucket} + INTERVAL '{width}' <= (SELECT max(epoch_ms(timestamp)) FROM txn_event) - INTERVAL '2 minutes'""")
+
+
+def _stream_velocity(spark, sf, velocity, suffix: str):
+    out, ck = scratch_path(spark, f"t2-{suffix}-out"), scratch_path(spark, f"t2-{suffix}-ck")
+    raw = SV.file_source(spark, _replay_events(spark, sf), KAFKA_LIKE)
+    SV.write_stream(velocity(SV.parsed_events(SV.decode(raw))), out, ck, available_now=True).awaitTermination()
+    r = spark.read.parquet(out)
+    sums = {c: F.round(c, 6) for c in r.columns if c.startswith("amount_")}
+    return r.withColumns({f"window_end_{suffix}": iso_utc(F.col(f"window_end_{suffix}")), **sums})
+
+
+@query("T2_stream_velocity_5m", sql=_stream_window_sql("5 minutes", "5m", ""))
+def q_t2_5m(spark, sf):
+    return _stream_velocity(spark, sf, SV.velocity_5m, "5m")
+
+
+@query("T2_stream_velocity_1h", sql=_stream_window_sql("1 hour", "1h", ", round(max(amount), 6) AS amount_max_1h"))
+def q_t2_1h(spark, sf):
+    return _stream_velocity(spark, sf, SV.velocity_1h, "1h")
+
+
 @query("T10_stream_dead_letters", sql=with_sql(EVENT_SQL, body="""
 SELECT 'x' AS error FROM txn_event WHERE card_id IS NULL OR merchant_id IS NULL OR amount IS NULL OR amount < 0"""))
 def q_t10(spark, sf):
