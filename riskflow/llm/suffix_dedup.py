@@ -14,6 +14,9 @@ least hash, so anchors route the suffixes:
    merges them by refining the interleave one byte a round.  The round in which
    two neighbours part is their common prefix; those still together after
    WINDOW rounds are the repeated intervals.  Suffixes are never sorted anew.
+   An anchor with more than CROWD stretches is not compared in one place: its
+   windows are keyed by their content, settled within their task first, and
+   judged as a stream like the stretches of step 2.
 
 Defined cases: null texts are empty; rows that share a doc_id do not remove
 from each other; null ids come last; documents shorter than a window keep all;
@@ -24,6 +27,7 @@ shared folder.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,6 +43,8 @@ GRAM = 28
 CHUNK = 1 << 17
 SHARD = 1 << 16
 MERGE = 1 << 18
+#: stretches of one anchor that are compared together; the windows of more go by their content
+CROWD = 2000
 #: records of a task compared before the shuffle
 LOCAL = 400_000
 #: bits of an anchor hash that the first pass compares
@@ -204,12 +210,13 @@ def _settle_local(cols):
 _FOUND = "k1 long, k2 long, repeat boolean, doc long, th int, low int, high int"
 
 
+def _found(held) -> pd.DataFrame:
+    cols = _settle_local([np.concatenate(c) for c in zip(*held, strict=True)])
+    return pd.DataFrame(dict(zip((f.split()[0] for f in _FOUND.split(", ")), cols, strict=True)))
+
+
 def _records(path: str):
     """The stretches around the repeated anchors of a split, which its task reads from the shared folder."""
-    def found(held):
-        cols = _settle_local([np.concatenate(c) for c in zip(*held, strict=True)])
-        return pd.DataFrame(dict(zip((f.split()[0] for f in _FOUND.split(", ")), cols, strict=True)))
-
     def run(batches):
         split, again, held, size = None, np.zeros(0, np.uint64), [], 0
         for b in batches:
@@ -227,22 +234,31 @@ def _records(path: str):
                 held.append([c[keep] for c in (doc[i:j][text], th[i:j][text], low, high, k1, k2)])
                 size += int(keep.sum())
                 if size >= LOCAL:
-                    yield found(held)
+                    yield _found(held)
                     held, size = [], 0
         if held:
-            yield found(held)
+            yield _found(held)
 
     return run
 
 
+REPEAT, OPEN, CROWDED = 0, 1, 2
+
+
 def _judge(window: int):
-    """Sorted records -> repeats (open false) and, at anchors with several kinds of stretch, those of the least document (open true)."""
+    """Sorted records -> repeats and, at anchors with several kinds of stretch, those of the least document (open, or crowded if more than CROWD)."""
     def run(batches):
         last = None  # (k1, k2, least doc) of the last record
-        waiting: list[pd.DataFrame] = []  # its anchor's records until kinds and documents are several
-        seen = (0, 0, 0)  # its kinds, least and largest document
+        waiting: list[pd.DataFrame] = []  # its anchor's records until it ends or is crowded
+        seen = (0, 0, 0, 0)  # its kinds, least and largest document, records that are no repeats
+
+        def made(parts):
+            out = pd.concat(parts)
+            return pd.DataFrame({"k1": out["k1"], "doc": out["doc"], "th": out["th"], "low": out["low"],
+                                 "high": out["high"] + np.int32(window), "state": out["state"]})
+
         for b in batches:
-            parts = [b[b["repeat"]].assign(open=False)]
+            parts = [b[b["repeat"]].assign(state=REPEAT)]
             b = b[~b["repeat"]]
             if len(b):
                 k1, k2, doc = b["k1"].to_numpy(), b["k2"].to_numpy(), b["doc"].to_numpy()
@@ -255,28 +271,37 @@ def _judge(window: int):
                 first = np.maximum.accumulate(np.where(new2, np.arange(len(b)), -1))
                 least = np.where(first >= 0, doc[np.maximum(first, 0)], last[2] if last is not None else 0)
                 repeat = doc > least
-                parts.append(b[repeat].assign(open=False))
+                parts.append(b[repeat].assign(state=REPEAT))
                 node = np.cumsum(new1)
                 node -= node[0] == 1  # 0: the anchor that the batch before ended in, or the first
                 kinds = np.bincount(node[new2], minlength=node[-1] + 1)
+                count = np.bincount(node[~repeat], minlength=node[-1] + 1)
                 starts = np.flatnonzero(np.diff(node, prepend=-1))
                 low, high = np.minimum.reduceat(doc, starts), np.maximum.reduceat(doc, starts)
                 if not new1[0]:  # goes on from the batch before
                     kinds[0] += seen[0]
                     low[0], high[0] = min(low[0], seen[1]), max(high[0], seen[2])
+                    count[0] += seen[3]
                 several = (kinds >= 2) & (low != high)  # strings of one document do not remove each other
-                if not new1[0]:
+                state = np.where(several & (count > CROWD), CROWDED, OPEN)
+                if new1[0]:
+                    if seen[0] >= 2 and seen[1] != seen[2]:
+                        parts += [w.assign(state=OPEN) for w in waiting]
+                    waiting = []
+                elif node[-1] > 0 or state[0] == CROWDED:
                     if several[0]:
-                        parts += [w.assign(open=True) for w in waiting]
-                        waiting = []
-                parts.append(b[~repeat & several[node]].assign(open=True))
-                seen = int(kinds[-1]), int(low[-1]), int(high[-1])
-                tail = b[~repeat & ~several[node] & (node == node[-1])]
-                waiting = ([] if new1.any() else waiting) + ([tail] if len(tail) else [])
+                        parts += [w.assign(state=state[0]) for w in waiting]
+                    waiting = []
+                wait = (node == node[-1]) & (state[-1] != CROWDED)
+                put = ~repeat & several[node] & ~wait
+                parts.append(b[put].assign(state=state[node[put]]))
+                if (wait & ~repeat).any():
+                    waiting.append(b[wait & ~repeat])
+                seen = int(kinds[-1]), int(low[-1]), int(high[-1]), int(count[-1])
                 last = (int(k1[-1]), int(k2[-1]), int(least[-1]))
-            out = pd.concat(parts)
-            yield pd.DataFrame({"k1": out["k1"], "doc": out["doc"], "th": out["th"], "low": out["low"],
-                                "high": out["high"] + np.int32(window), "open": out["open"]})
+            yield made(parts)
+        if waiting and seen[0] >= 2 and seen[1] != seen[2]:
+            yield made([w.assign(state=OPEN) for w in waiting])
 
     return run
 
@@ -376,31 +401,71 @@ def _compare(window: int):
                              "high": d["low"].to_numpy()[s] + (o + window).astype(np.int32)})
 
     def run(batches):
-        held, size = [], 0
+        held, size, windows = [], 0, None
+        batches = iter(batches)
         for b in batches:
-            held.append(b)
-            size += int(b["part"].str.len().sum())
+            crowded = b["crowded"].to_numpy()
+            if crowded.any():  # these come last
+                b, windows = b[~crowded], b[crowded]
+            if len(b):
+                held.append(b)
+                size += int(b["part"].str.len().sum())
             if size >= MERGE:
                 d = pd.concat(held, ignore_index=True)
                 rest = (d["k1"] == d["k1"].iloc[-1]).to_numpy()
-                if not rest.all():  # an anchor's stretches stay together
+                if not rest.all():  # an anchor's stretches, at most CROWD, stay together
                     yield solve(d[~rest])
                     held = [d[rest]]
                     size = int(d["part"][rest].str.len().sum())
+            if windows is not None:
+                break
         if held:
             yield solve(pd.concat(held, ignore_index=True))
+        if windows is not None:
+            for out in _judge(window)(chain([windows], batches)):
+                yield out.loc[out["state"] == REPEAT, ["doc", "th", "low", "high"]]
 
     return run
 
 
-def _slices(batches):
-    """The bytes of the asked stretches."""
-    for b in batches:
-        rows = []
-        for doc, th, text, k1s, lows, highs in zip(*(b[c] for c in ("doc", "th", "_text", "k1s", "lows", "highs")), strict=True):
-            raw = text.encode()
-            rows += [(k, doc, th, i, raw[i:j]) for k, i, j in zip(k1s, lows, highs, strict=True)]
-        yield pd.DataFrame(rows, columns=["k1", "doc", "th", "low", "part"])
+_PARTS = f"{_FOUND}, crowded boolean, part binary"
+
+
+def _slices(window: int):
+    """The bytes of the asked stretches; of crowded anchors instead the windows, keyed by their content."""
+    def windows(raws, where):
+        text, low, _, k1, k2 = stretches(raws, window, window)
+        doc, th, at = (np.array(c)[text] for c in zip(*where, strict=True))
+        return [doc, th, at + low, at + low, k1, k2]
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            rows, raws, where, n = [], [], [], 0
+            for doc, th, text, k1s, lows, highs, states in zip(*(b[c] for c in ("doc", "th", "_text", "k1s", "lows", "highs", "states")), strict=True):
+                raw = text.encode()
+                for k, i, j, s in zip(k1s, lows, highs, states, strict=True):
+                    if s == OPEN:
+                        rows.append((k, 0, False, doc, th, i, j - window, False, raw[i:j]))
+                        continue
+                    raws.append(raw[i:j])
+                    where.append((doc, th, i))
+                    n += j - i
+                    if n >= CHUNK:
+                        held.append(windows(raws, where))
+                        size += len(held[-1][0])
+                        raws, where, n = [], [], 0
+                    if size >= LOCAL:
+                        yield _found(held).assign(crowded=True, part=None)
+                        held, size = [], 0
+            if raws:
+                held.append(windows(raws, where))
+                size += len(held[-1][0])
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in _PARTS.split(", ")])
+        if held:
+            yield _found(held).assign(crowded=True, part=None)
+
+    return run
 
 
 def _cut(batches):
@@ -438,13 +503,14 @@ def dedup_bytes(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", text:
     path = settle_splits(again, slim.rdd.getNumPartitions(), "anchors")
     records = slim.mapInPandas(_records(path), _FOUND)
     judged = settle(records.repartition(p, "k1").sortWithinPartitions("k1", "k2", "doc", "th", "low")
-                    .mapInPandas(_judge(window), "k1 long, doc long, th int, low int, high int, open boolean"), "byte-stretches")
+                    .mapInPandas(_judge(window), "k1 long, doc long, th int, low int, high int, state int"), "byte-stretches")
     texts = base.repartition(p, "doc", "th")  # shared by both joins below
-    asked = judged.filter("open").groupBy("doc", "th").agg(F.collect_list("k1").alias("k1s"), F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    parts = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "k1s", "lows", "highs") \
-        .mapInPandas(_slices, "k1 long, doc long, th int, low int, part binary")
-    found = parts.repartition(p, "k1").sortWithinPartitions("k1").mapInPandas(_compare(window), "doc long, th int, low int, high int")
-    spans = judged.filter("not open").select("doc", "th", "low", "high").unionByName(found) \
+    asked = judged.filter(F.col("state") != REPEAT).groupBy("doc", "th") \
+        .agg(*(F.collect_list(c).alias(f"{c}s") for c in ("k1", "low", "high", "state")))
+    parts = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "k1s", "lows", "highs", "states") \
+        .mapInPandas(_slices(window), _PARTS)
+    found = parts.repartition(p, "k1").sortWithinPartitions("crowded", "k1", "k2", "doc", "th", "low").mapInPandas(_compare(window), "doc long, th int, low int, high int")
+    spans = judged.filter(F.col("state") == REPEAT).select("doc", "th", "low", "high").unionByName(found) \
         .groupBy("doc", "th").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
     fields = docs.select(*keep).schema
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in keep]

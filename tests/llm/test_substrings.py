@@ -136,3 +136,52 @@ def test_merged_transforms_are_in_order():
         seen = [s[i][o:o + depth] for s, i, o in (every[p] for p in place)]
         assert seen == sorted(seen)
         assert [a == b for a, b in zip(interval, interval[1:], strict=False)] == [a == b for a, b in zip(seen, seen[1:], strict=False)]
+
+
+def _crowded_texts(n):
+    """A phrase of under a window with other text on both sides, and one of over a window, in n documents each."""
+    rng = random.Random(11)
+    noise = lambda: "".join(rng.choices("abcdefghijklmnop", k=40))
+    short, long = "shared by the newsroom of the city", "".join(rng.choices("qrstuvwxyz", k=70))
+    return [noise() + short + noise() for _ in range(n)] + [noise() + long + noise() for _ in range(n)]
+
+
+def test_crowded_anchor_is_not_held_in_one_task(monkeypatch):
+    texts = _crowded_texts(400)
+    monkeypatch.setattr(suffix_dedup, "CROWD", 20)
+    together = []
+    repeated = suffix_dedup.repeated
+    monkeypatch.setattr(suffix_dedup, "repeated", lambda strings, docs, window: together.append(len(strings)) or repeated(strings, docs, window))
+    raw = [t.encode() for t in texts]
+    text, low, high, k1, k2 = suffix_dedup.stretches(raw)
+    anchors, n = np.unique(k1, return_counts=True)
+    keep = np.isin(k1, anchors[n > 1])
+    text, low, high, k1, k2 = (c[keep] for c in (text, low, high, k1, k2))
+    d = suffix_dedup._found([[text.astype(np.int64), np.zeros(len(text), np.int32), low, high, k1, k2]])
+    d = d.sort_values(["k1", "k2", "doc", "th", "low"])
+    judged = suffix_dedup.pd.concat(suffix_dedup._judge(50)(d[i:i + 7] for i in range(0, len(d), 7)))
+    spans = [judged[judged["state"] == suffix_dedup.REPEAT]]
+    asked = judged[judged["state"] != suffix_dedup.REPEAT].groupby("doc").agg(k1s=("k1", list), lows=("low", list), highs=("high", list), states=("state", list)).reset_index()
+    asked = asked.assign(th=0, _text=[texts[i] for i in asked["doc"]])
+    parts = suffix_dedup.pd.concat(suffix_dedup._slices(50)(asked[i:i + 9] for i in range(0, len(asked), 9)))
+    parts = parts.astype({"crowded": bool, "repeat": bool}).sort_values(["crowded", "k1", "k2", "doc", "th", "low"])
+    assert parts["crowded"].any()
+    spans += list(suffix_dedup._compare(50)(parts[i:i + 7] for i in range(0, len(parts), 7)))
+    assert not (parts[~parts["crowded"]].groupby("k1").size() > 20).any()
+    assert sum(together) <= (~parts["crowded"]).sum()
+    gone = [set() for _ in texts]
+    for i, a, b in zip(*(suffix_dedup.pd.concat(spans)[c] for c in ("doc", "low", "high")), strict=True):
+        gone[i] |= set(range(a, b))
+    assert [len(g) for g in gone] == [w[1] for w in _bytes(texts, range(len(texts)))]
+
+
+def test_crowded_byte_windows(spark, folder, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CROWD", 3)
+    monkeypatch.setattr(suffix_dedup, "LOCAL", 500)
+    texts = corpus(5) + _crowded_texts(60) + ["aab" * 40 + "c" * 60, "\x00" * 120]
+    ids = list(range(len(texts)))
+    random.Random(12).shuffle(ids)
+    d = folder(documents=([(i, t, "en", "s", 0) for i, t in zip(ids, texts, strict=True)], DOC))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op3_suffix_dedup"](spark, d).collect()}
+    for i, want in zip(ids, _bytes(texts, ids), strict=True):
+        assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
