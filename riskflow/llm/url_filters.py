@@ -2,9 +2,10 @@
 
 Rules decide first.  The rest is judged by templates: per host the path
 segments form a tree; a node with many distinct children, or children that are
-numbers, generalises them into a wildcard; sibling branches of one shape whose
-labelled rates do not differ statistically are merged; a template is rejected
-when its smoothed rate of bad labels is above a threshold.
+numbers, generalises them into a wildcard; sibling branches whose labelled
+rates do not differ statistically are merged on every level, with the others of
+their parent or among themselves; a template is rejected when its smoothed rate
+of bad labels is above a threshold.
 
 Defined cases: a null url or one without ``://`` has empty host and path and is
 judged by the empty template; pages without labels count for the shape of the
@@ -81,21 +82,49 @@ def templates(pages: DataFrame) -> DataFrame:
     return d.drop("_segs", "_seg")
 
 
+def _merge_level(d: DataFrame, depth: int) -> DataFrame:
+    """d (host, template, branch, labelled, bad) with the sibling branches of one level merged where their rates are alike.
+
+    Siblings differ in one literal segment.  Those near their pooled rate are
+    one branch; those above and those below it are pooled anew among
+    themselves, until every branch is near the rate of its group.
+    """
+    at = F.split("branch", "/")
+    seg = F.get(at, F.lit(depth))
+    literal = F.coalesce((seg != "") & ~seg.startswith("*"), F.lit(False))
+    shape = F.array_join(F.transform(at, lambda x, i: F.when(i == depth, F.lit("{}")).otherwise(x)), "/")
+    units = d.filter(literal).groupBy("host", "branch").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad")) \
+        .withColumn("shape", shape).withColumn("mark", F.lit("")).withColumn("open", F.lit(True))
+    while True:
+        going = units.filter("open")
+        pool = going.groupBy("host", "shape", "mark").agg(F.sum("labelled").alias("_lab"), F.sum("bad").alias("_bad"))
+        pooled = F.when(F.col("_lab") > 0, F.col("_bad") / F.col("_lab"))
+        off = F.coalesce(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - pooled, F.lit(0.0))
+        spread = F.coalesce(F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("labelled"), F.lit(1))), F.lit(0.0))
+        near = (F.col("labelled") == 0) | (F.abs(off) <= SIMILAR_Z * spread)
+        side = F.when(near, F.lit("")).when(off > 0, F.lit("+")).otherwise(F.lit("-"))
+        judged = going.join(pool, ["host", "shape", "mark"]).withColumn("_side", side) \
+            .select("host", "branch", "labelled", "bad", "shape", F.concat("mark", "_side").alias("mark"), (F.col("_side") != "").alias("open"))
+        units = settle(units.filter("not open").unionByName(judged), "url-siblings")
+        if units.filter("open").isEmpty():
+            break
+    # the mark stands in the merged segment, so groups of one parent stay apart on the levels above
+    to = F.array_join(F.transform(F.split("shape", "/"), lambda x, i: F.when(i == depth, F.concat(x, F.col("mark"))).otherwise(x)), "/")
+    return d.join(units.select("host", "branch", to.alias("_to")), ["host", "branch"], "left") \
+        .withColumn("branch", F.coalesce("_to", "branch")).drop("_to")
+
+
 def template_verdicts(counts: DataFrame, overall: float) -> DataFrame:
     """counts: host, template, n, labelled, bad -> plus branch (merged template), purity, rejected.
 
-    Siblings share the host and the shape that is left when their first
-    literal segment is open.
+    Siblings are merged level by level from the deepest, so merged branches
+    are compared as wholes on the levels above.
     """
-    shape = F.regexp_replace("template", r"^/[^*/][^/]*", "/{}")
-    d = counts.withColumn("_shape", shape)
-    pool = d.groupBy("host", "_shape").agg(F.sum("labelled").alias("_lab"), F.sum("bad").alias("_bad"))
-    d = d.join(pool, ["host", "_shape"])
-    pooled = F.when(F.col("_lab") > 0, F.col("_bad") / F.col("_lab"))
-    spread = F.sqrt(pooled * (1 - pooled) / F.greatest(F.col("labelled"), F.lit(1)))
-    near = F.when(F.col("labelled") == 0, F.lit(True)) \
-        .otherwise(F.abs(F.col("bad") / F.greatest(F.col("labelled"), F.lit(1)) - pooled) <= SIMILAR_Z * spread)
-    d = d.withColumn("branch", F.when(near, F.col("_shape")).otherwise(F.col("template")))
+    d = counts.withColumn("branch", F.col("template"))
+    levels = counts.select(F.posexplode(F.split("template", "/")).alias("level", "seg")) \
+        .filter((F.col("level") > 0) & (F.col("seg") != "") & ~F.col("seg").startswith("*")).select("level").distinct()
+    for depth in sorted((r["level"] for r in levels.collect()), reverse=True):
+        d = settle(_merge_level(d, depth), "url-branches")
     merged = d.groupBy("host", "branch").agg(F.sum("labelled").alias("branch_labelled"), F.sum("bad").alias("branch_bad"))
     rate = (F.col("branch_bad") + F.lit(PRIOR * overall)) / (F.col("branch_labelled") + F.lit(PRIOR))
     return d.select("host", "template", "n", "branch").join(merged, ["host", "branch"]) \

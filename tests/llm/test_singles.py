@@ -192,6 +192,23 @@ def test_url_templates_are_rejected_by_labels(spark):
     assert (rows[5000]["host"], rows[5000]["path"], rows[5001]["host"], rows[5008]["path"]) == ("", "", "", "")
 
 
+def _verdicts(spark, rows):
+    """rows: (url, bad or None for no label) -> verdict and template by url."""
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows) if b is not None], "key long, bad boolean")
+    got = {r["page_id"]: r for r in url_filters.filter_urls(pages, labels, []).collect()}
+    assert len(got) == len(rows)
+    return {u: (got[i]["verdict"], got[i]["template"]) for i, (u, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("prefix", ["", "/top/12"])
+def test_url_siblings_are_merged_among_themselves_on_every_level(spark, prefix):
+    section = lambda k, bad: [(f"x://h{prefix}/{'bg'[not bad]}{k % 7}{'' if k < 7 else 'abcdefg'[k // 7]}/{k}{i}", bad) for i in range(5)]
+    rows = sum((section(k, False) for k in range(40)), []) + sum((section(k, True) for k in range(10)), [])
+    got = _verdicts(spark, rows)
+    assert all(got[u][0] == ("block" if bad else "allow") for u, bad in rows)
+
+
 def test_sql(spark):
     import duckdb
     d = "/root/testdata/sf0.001"
