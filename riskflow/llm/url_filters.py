@@ -23,13 +23,16 @@ from riskflow.llm.common import settle
 
 #: segments deeper than this stay together as the last one
 DEPTH = 6
-#: a node with at least this many distinct children in at least this share of its rows generalises them
+#: a node with at least this many distinct children, for at least this share of the distinct paths below them,
+#: generalises them; hot children (more rows than PRIOR, and the share of them more than the child at that share
+#: of all children has) do not count and stay beside the wildcard
 MIN_CHILDREN = 8
 CHILD_SHARE = 0.3
 #: siblings within this many standard errors of their pooled rate are merged
 SIMILAR_Z = 2.0
 PRIOR = 20.0
 BAD_RATE = 0.5
+NUMBER = r"^[0-9]+(\.[A-Za-z][A-Za-z0-9]{0,5})?$"
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -59,27 +62,37 @@ def _wildcard(seg: Column) -> Column:
 def templates(pages: DataFrame) -> DataFrame:
     """pages (with host, path) plus template: the path with generalised segments.
 
-    One level of the tree per round; counts are combined before the shuffle,
-    and only the nodes that generalise are joined back, by (host, prefix).
+    One level of the tree of distinct paths per round; counts are combined
+    before the shuffle, and only the nodes that generalise and their hot
+    children are joined back, by (host, prefix).
     """
+    paths = settle(pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_rows")), "url-paths")
     segs = F.split(F.regexp_replace("path", r"^/", ""), "/", DEPTH)
-    d = pages.withColumn("_segs", segs).withColumn("template", F.lit(""))
+    d = paths.withColumn("_segs", segs).withColumn("template", F.lit(""))
     for depth in range(1, DEPTH + 1):
         seg = F.get("_segs", F.lit(depth - 1))
         d = d.withColumn("_seg", seg)
-        number = F.col("_seg").rlike(r"^[0-9]+(\.[A-Za-z][A-Za-z0-9]{0,5})?$")
+        number = F.col("_seg").rlike(NUMBER)
         child = d.filter(F.col("_seg").isNotNull() & (F.col("_seg") != "") & ~number) \
-            .groupBy("host", "template", "_seg").agg(F.count(F.lit(1)).alias("n"))
-        wide = child.groupBy("host", "template").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")) \
-            .filter((F.col("kinds") >= MIN_CHILDREN) & (F.col("kinds") >= CHILD_SHARE * F.col("n"))) \
-            .select(F.col("host").alias("_wh"), F.col("template").alias("_wt"), F.lit(True).alias("_wide"))
-        d = d.join(wide, (F.col("host") == F.col("_wh")) & (F.col("template") == F.col("_wt")), "left").drop("_wh", "_wt")
+            .groupBy(F.col("host").alias("_wh"), F.col("template").alias("_wt"), F.col("_seg").alias("_ws")) \
+            .agg(F.sum("_rows").alias("n"), F.count(F.lit(1)).alias("below"))
+        usual = child.groupBy("_wh", "_wt").agg(F.count(F.lit(1)).alias("kinds"), F.percentile("n", F.lit(CHILD_SHARE)).alias("usual")) \
+            .filter(F.col("kinds") >= MIN_CHILDREN).drop("kinds")
+        child = settle(child.join(usual, ["_wh", "_wt"]).withColumn(
+            "_hot", (F.col("n") > PRIOR) & (CHILD_SHARE * F.col("n") > F.col("usual"))), "url-children")
+        wide = child.filter("not _hot").groupBy("_wh", "_wt").agg(F.count(F.lit(1)).alias("kinds"), F.sum("below").alias("below")) \
+            .filter((F.col("kinds") >= MIN_CHILDREN) & (F.col("kinds") >= CHILD_SHARE * F.col("below"))) \
+            .select("_wh", "_wt", F.lit(True).alias("_wide"))
+        node = (F.col("host") == F.col("_wh")) & (F.col("template") == F.col("_wt"))
+        d = d.join(wide, node, "left").drop("_wh", "_wt")
+        d = d.join(child.filter("_hot").select("_wh", "_wt", "_ws", "_hot"), node & (F.col("_seg") == F.col("_ws")), "left") \
+            .withColumn("_wide", F.col("_wide") & F.col("_hot").isNull()).drop("_wh", "_wt", "_ws", "_hot")
         token = F.when(F.col("_seg") == "", F.lit("")) \
             .when(number | F.col("_wide"), _wildcard(F.col("_seg"))).otherwise(F.col("_seg"))
         d = d.withColumn("template", F.when(F.col("_seg").isNull(), F.col("template"))
                          .otherwise(F.concat(F.col("template"), F.lit("/"), token))).drop("_wide")
         d = settle(d, "url-level") if depth % 2 == 0 and depth < DEPTH else d
-    return d.drop("_segs", "_seg")
+    return pages.join(d.drop("_segs", "_seg", "_rows"), ["host", "path"])
 
 
 def _merge_level(d: DataFrame, depth: int) -> DataFrame:

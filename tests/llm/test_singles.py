@@ -209,6 +209,16 @@ def test_url_siblings_are_merged_among_themselves_on_every_level(spark, prefix):
     assert all(got[u][0] == ("block" if bad else "allow") for u, bad in rows)
 
 
+def test_recrawls_and_hot_children_do_not_stop_a_wildcard(spark):
+    slug = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    many = [(f"x://copies/buy/{slug(i)}?v={k}", True) for i in range(60) for k in range(5)]
+    hot = [(f"x://hot/buy/{slug(i)}", True) for i in range(200)] + [(f"x://hot/buy/index?v={k}", False) for k in range(600)]
+    good = [(f"x://other/read/{i}", False) for i in range(600)]
+    got = _verdicts(spark, many + hot + good)
+    assert all(got[u] == ("block", "/buy/*") for u, _ in many + hot[:200])
+    assert all(got[u] == ("allow", "/buy/index") for u, _ in hot[200:])
+
+
 def test_sql(spark):
     import duckdb
     d = "/root/testdata/sf0.001"
