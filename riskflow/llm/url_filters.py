@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from riskflow.llm.common import settle
 
-#: segments deeper than this stay together as the last one
+#: levels of the SQL twin; the operator goes on to the deepest path
 DEPTH = 6
 #: a node with at least this many distinct children, for at least this share of the distinct paths below them,
 #: generalises them; hot children (more rows than PRIOR, and the share of them more than the child at that share
@@ -67,9 +67,10 @@ def templates(pages: DataFrame) -> DataFrame:
     children are joined back, by (host, prefix).
     """
     paths = settle(pages.groupBy("host", "path").agg(F.count(F.lit(1)).alias("_rows")), "url-paths")
-    segs = F.split(F.regexp_replace("path", r"^/", ""), "/", DEPTH)
+    segs = F.split(F.regexp_replace("path", r"^/", ""), "/")
     d = paths.withColumn("_segs", segs).withColumn("template", F.lit(""))
-    for depth in range(1, DEPTH + 1):
+    deepest = paths.agg(F.max(F.size(segs))).first()[0] or 0
+    for depth in range(1, deepest + 1):
         seg = F.get("_segs", F.lit(depth - 1))
         d = d.withColumn("_seg", seg)
         number = F.col("_seg").rlike(NUMBER)
@@ -91,7 +92,14 @@ def templates(pages: DataFrame) -> DataFrame:
             .when(number | F.col("_wide"), _wildcard(F.col("_seg"))).otherwise(F.col("_seg"))
         d = d.withColumn("template", F.when(F.col("_seg").isNull(), F.col("template"))
                          .otherwise(F.concat(F.col("template"), F.lit("/"), token))).drop("_wide")
-        d = settle(d, "url-level") if depth % 2 == 0 and depth < DEPTH else d
+        if depth % 2 == 0 and depth < deepest:
+            d = settle(d, "url-level")
+            further = d.filter(F.size("_segs") > depth).groupBy("host", "template").agg(F.count(F.lit(1)).alias("n"))
+            if further.filter(F.col("n") >= MIN_CHILDREN).isEmpty():  # only numbers can still generalise
+                rest = F.transform(F.filter("_segs", lambda x, i: i >= depth),
+                                   lambda x: F.concat(F.lit("/"), F.when(x.rlike(NUMBER), _wildcard(x)).otherwise(x)))
+                d = d.withColumn("template", F.concat("template", F.array_join(rest, "")))
+                break
     return pages.join(d.drop("_segs", "_seg", "_rows"), ["host", "path"])
 
 

@@ -219,6 +219,15 @@ def test_recrawls_and_hot_children_do_not_stop_a_wildcard(spark):
     assert all(got[u] == ("allow", "/buy/index") for u, _ in hot[200:])
 
 
+def test_deep_paths_are_read_to_the_end(spark):
+    slug = lambda i: "".join("abcdefghij"[int(c)] for c in f"{i:03}")
+    rows = [(f"x://h/a/1/c/2/3/4/{w}/{slug(i)}/{i}.html", w == "bad") for w in ("bad", "good") for i in range(100)]
+    rows += [("x://h/" + "/".join(map(str, range(30))) + "/x/", None), ("x://h/a/1/c/2/3/4/7/8", None)]
+    got = _verdicts(spark, rows)
+    assert all(got[u] == ("block" if bad else "allow", f"/a/*/c/*/*/*/{'bad' if bad else 'good'}/*/*.html") for u, bad in rows[:200])
+    assert got[rows[200][0]][1] == "/*" * 30 + "/x/" and got[rows[201][0]][1] == "/a/*/c/*/*/*/*/*"
+
+
 def test_sql(spark):
     import duckdb
     d = "/root/testdata/sf0.001"
