@@ -26,6 +26,9 @@ from pyspark.sql import functions as F
 
 #: the public split pattern of byte-level BPE vocabularies (fixed value)
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: pretokens of which every prefix is one pretoken
+RUN = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+)")
+SPACE = regex.compile(r"\s+")
 #: bound on the words remembered by one worker; it is emptied when full
 REMEMBERED = 500_000
 
@@ -178,13 +181,38 @@ class PrefixCounter:
         ends, counts = table
         if not ends or counts[-1] <= budget:
             return len(text)
-        i = bisect.bisect_right(counts, budget)
-        # the next two pretokens can still have prefixes within the budget
-        for c in range(ends[min(i + 1, len(ends) - 1)], 0, -1):
-            if self.at(text, table, c) <= budget:
-                return c
+        # the pretoken over the budget and the one after it can still have prefixes within
+        for i in range(min(bisect.bisect_right(counts, budget) + 1, len(ends) - 1), -1, -1):
+            low = ends[i - 1] if i else 0
+            first, n, end = self._inside(text, table, i)
+            for c in range(ends[i], low, -1):
+                if (n[end - c] if c >= first else self.at(text, table, c)) <= budget:
+                    return c
         return 0
 
+    def _inside(self, text: str, table: tuple[list[int], list[int]], i: int) -> tuple[int, list[int], int]:
+        """(first, n, end): n[end - c] is the count of text[:c] for every c from first to the end of pretoken i, by one pass.
+
+        A prefix of a run of one class is itself one pretoken, and so is one of
+        a run of white space; first is past the end where no such run is.
+        """
+        ends, counts = table
+        j, end = i, ends[i]
+        w = text[ends[i - 1] if i else 0:end]
+        first = 2 if w[0] == " " else 1  # a space alone belongs to the white space before it
+        if SPACE.fullmatch(w):
+            while j > 0 and text[ends[j - 1] - 1].isspace():
+                j -= 1
+            w, first = text[ends[j - 1] if j else 0:end], 1
+            one = SPACE.fullmatch(w)
+        else:
+            one = RUN.fullmatch(w) and not (self.special and self.special.fullmatch(w))
+        if not one:
+            return end + 1, [], end
+        n, before = self.prefixes(w.encode()), counts[j - 1] if j else 0
+        at = accumulate(len(x.encode()) for x in w)
+        return end - len(w) + first, [before + n[k] for k in at][::-1], end
+
 
 @lru_cache(maxsize=2)
 def counter(path: str) -> PrefixCounter:

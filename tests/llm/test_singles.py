@@ -44,6 +44,20 @@ def test_every_prefix_and_budget(library):
             assert c.cut(t, table, budget) == max(i for i, n in enumerate(want) if n <= budget), (t, budget)
 
 
+@pytest.mark.parametrize("unit", ["ab", "中文é", " ", "\n\t", "!", "7"])
+def test_a_budget_inside_a_long_pretoken_takes_one_pass(unit, monkeypatch):
+    c = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json"))
+    passes, prefixes = [], c.prefixes
+    monkeypatch.setattr(c, "prefixes", lambda word: passes.append(len(word)) or prefixes(word))
+    for text in ("x " + unit * 60 + " y's", "x" + unit * 60 + "<|endoftext|>" + unit * 9):
+        table = c.table(text)
+        every = [c.at(text, table, i) for i in range(len(text) + 1)]
+        for budget in (1, 2, 5, every[40], every[-1] - 3, every[-1] - 1):
+            passes.clear()
+            assert c.cut(text, table, budget) == max(i for i, n in enumerate(every) if n <= budget), budget
+            assert len(passes) <= 12 + 5 * 13
+
+
 def _measures(text):
     w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
     grams = [tuple(w[i:i + 8]) for i in range(len(w) - 7)]
