@@ -43,9 +43,11 @@ def standard_scale(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def assemble(df: DataFrame, names: list[str] = MODEL_FEATURES, out: str = "features") -> DataFrame:
-    """fixed-order vector; missing columns and nulls become 0.0."""
-    cols = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"_v_{n}") if n in df.columns
-            else F.lit(0.0).alias(f"_v_{n}") for n in names]
+    """fixed-order vector; nulls become 0.0, a missing column is an error."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"columns missing from the model vector: {missing}")
+    cols = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias(f"_v_{n}") for n in names]
     d = df.select("*", *cols)
     va = VectorAssembler(inputCols=[f"_v_{n}" for n in names], outputCol=out)
     return va.transform(d).drop(*[f"_v_{n}" for n in names])

@@ -171,6 +171,7 @@ def _model_frame(spark, sf):
     d = FE.all_features(led).select("*", *model_extras(c("step"), c("type"), c("amount"), c("oldbalanceOrg"),
                                                        c("newbalanceOrig"), c("oldbalanceDest"), c("newbalanceDest")))
     d = d.withColumn("burst", F.least(F.col("txn_count") - 1, F.lit(100)))
+    d = d.withColumn("is_night", (c("step") % 24).between(0, 5).cast("int"))
     return ML.assemble(d)
 
 

@@ -87,3 +87,16 @@ def test_nan_values_are_dropped(spark):
     from riskflow.operators.drift import long_form
     df = spark.createDataFrame([(1.0,), (float("nan"),), (None,)], "x double")
     assert [r["value"] for r in long_form(df, ["x"]).collect()] == [1.0]
+
+
+def test_model_vector_has_the_night_and_no_missing_names(spark):
+    import pytest
+    from pyspark.ml.functions import vector_to_array
+
+    from riskflow.operators import ml
+    from riskflow.plans.catalog_models import _model_frame
+    at = ml.MODEL_FEATURES.index("is_night")
+    got = _model_frame(spark, "/root/testdata/sf0.001").select("step", vector_to_array("features")[at].alias("night")).collect()
+    assert all(r["night"] == (r["step"] % 24 <= 5) for r in got) and {r["night"] for r in got} == {0.0, 1.0}
+    with pytest.raises(ValueError, match="p_seq"):
+        ml.assemble(spark.range(1).selectExpr("0.5 as p_tab"), ["p_tab", "p_seq"])
