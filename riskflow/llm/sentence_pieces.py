@@ -126,6 +126,29 @@ class Pieces:
             a = ends[a]
         return out
 
+    def viterbi(self, word: str) -> list[int]:
+        """The Viterbi fold in plain Python, for words too long for the lattice."""
+        word = word.replace(" ", SPACE)
+        best, start = [0.0], [0]
+        for j in range(1, len(word) + 1):
+            top, at = None, j - 1
+            for i in range(max(0, j - self.longest), j):
+                hit = self.ids.get(word[i:j])
+                score = best[i] + (hit[1] if hit else UNKNOWN) if hit or i == j - 1 else None
+                if score is not None and (top is None or score > top):
+                    top, at = score, i
+            best.append(top)
+            start.append(at)
+        cuts, j = [], len(word)
+        while j:
+            cuts.append((start[j], j))
+            j = start[j]
+        out = []
+        for i, j in reversed(cuts):
+            hit = self.ids.get(word[i:j])
+            out += [hit[0]] if hit else self.fallback(word[i:j])
+        return out
+
     def fallback(self, text: str) -> list[int]:
         return [self.bytes[b] for b in text.encode()]
 
@@ -309,7 +332,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
             hit = b""
             for a in m.atoms(w):
                 if len(a) > LONG:
-                    hit += np.array(m.fold(a), dtype="<i4").tobytes()
+                    hit += np.array(m.viterbi(a) if fold == "viterbi" else m.fold(a), dtype="<i4").tobytes()
                 elif a in atoms:
                     hit += atoms[a]
                 else:

@@ -43,3 +43,22 @@ def test_viterbi_takes_the_highest_sum(spark):
                 if hit and (best[j] is None or best[i][0] + hit[1] > best[j][0]):
                     best[j] = (best[i][0] + hit[1], best[i][1] + 1)
         assert len(got[w]["ids"]) == best[-1][1], w
+
+
+def test_viterbi_takes_the_highest_sum_in_long_words(spark, folder):
+    model = sentence_pieces.pieces(PATH)
+    rng = random.Random(3)
+    lengths = [5, sentence_pieces.LONG - 2, sentence_pieces.LONG - 1, sentence_pieces.LONG, sentence_pieces.LONG + 1, 90, 300]
+    texts = ["".join(rng.choices("abtheinos", k=n)) for n in lengths for _ in range(3)]
+    docs = spark.read.parquet(folder(documents=documents(texts)) + "/documents.parquet")
+    rows = {f: {r["doc_id"]: np.frombuffer(r["ids"], dtype="<i4").tolist() for r in sentence_pieces.encode(docs, PATH, ["doc_id"], fold=f).collect()}
+            for f in ("viterbi", "merges")}
+    library = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    for k, t in enumerate(texts):
+        w = sentence_pieces.SPACE + t
+        best = [0.0] + [None] * len(w)
+        for j in range(1, len(w) + 1):
+            best[j] = max(best[i] + model.ids[w[i:j]][1] for i in range(j) if w[i:j] in model.ids)
+        scores = {i: s for _, i, s in model.table}
+        assert abs(sum(scores[i] for i in rows["viterbi"][k]) - best[-1]) < 1e-6 and model.decode(np.array(rows["viterbi"][k], "<i4").tobytes()) == t
+        assert rows["merges"][k] == library.encode(t)
