@@ -87,3 +87,52 @@ def chat() -> str:
         sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
         sum(length('<|im_start|>') + length('<|im_end|>') + 2 + length({role}) + length({text}))::BIGINT AS formatted_chars
     FROM r GROUP BY conv_id"""
+
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def divergence() -> str:
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+             regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+w AS (SELECT lang, source, row, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT row) >= 3),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY 1, 2, 3),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+g AS (SELECT d.lang, d.source, coalesce(any_value(v), 0) AS v, coalesce(any_value(cn.n), 0) AS n
+      FROM (SELECT DISTINCT lang, source FROM d) d LEFT JOIN v USING (lang)
+      LEFT JOIN (SELECT lang, source, sum(n) AS n FROM c GROUP BY 1, 2) cn USING (lang, source) GROUP BY 1, 2),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1::HUGEINT + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.n + g.v)::HUGEINT AS p
+      FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+ln AS (SELECT lang, sum(n) AS n FROM g GROUP BY 1),
+lp AS (SELECT p.lang, term, 1::HUGEINT + (1000000000::HUGEINT * (sum(p.n) + 1)::HUGEINT) // (any_value(ln.n) + any_value(v.v))::HUGEINT AS q
+       FROM p JOIN ln USING (lang) JOIN v USING (lang) GROUP BY 1, 2),
+pair AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+         FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+every AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+          LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+          UNION ALL SELECT p.lang, p.source, 'term', p.term, (((p - q) * (p - q)) // q)::BIGINT
+          FROM p JOIN lp ON lp.lang = p.lang AND lp.term = p.term WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 200"""
+
+
+def ranked() -> str:
+    def terms(c):
+        return rf"regexp_extract_all(translate(coalesce({c}, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {terms('text')} AS terms FROM documents),
+n AS (SELECT row, doc_id, len(terms)::BIGINT AS n FROM d WHERE len(terms) > 0),
+tot AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS len FROM n),
+tf AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(terms) AS term FROM d) GROUP BY 1, 2),
+df AS (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY 1),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM df, tot),
+q AS (SELECT item, any_value(item_id) AS item_id, term, count(*)::BIGINT AS q
+      FROM (SELECT row_number() OVER () AS item, item_id, unnest({terms('text')}) AS term FROM benchmark) GROUP BY item, term),
+s AS (SELECT q.item, any_value(q.item_id) AS item_id, n.row, any_value(n.doc_id) AS doc_id,
+        sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // len))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n ON n.row = tf.row, tot GROUP BY q.item, n.row)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10"""

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskflow.llm import chat_trees, fingerprints, mixing, oracles, packing, quality_rules, sentence_pieces, simhash, substring_dedup, suffix_dedup, token_counts, url_filters
+from riskflow.llm import chat_trees, divergence, fingerprints, mixing, oracles, packing, quality_rules, ranked_search, sentence_pieces, simhash, substring_dedup, suffix_dedup, token_counts, url_filters
 from riskflow.llm.common import table
 
 #: verdict, host, path prefix
@@ -102,15 +102,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), F.col("cut").alias("cut_1024"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ["doc_id"])
     return d.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_substring_dedup, op3_suffix_dedup, op4_sentence_pieces, op5_simhash, op6_chat_formatting, op7_quality_rules, op8_mixing, op9_fingerprints,
-                                   op10_token_counts, op13_packing)}
+                                   op10_token_counts, op11_source_divergence, op12_ranked_search, op13_packing)}
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": oracles.url_filters(URL_RULES),
     "op6_chat_formatting": oracles.chat(),
     "op7_quality_rules": oracles.quality(),
+    "op11_source_divergence": oracles.divergence(),
+    "op12_ranked_search": oracles.ranked(),
 }
