@@ -34,6 +34,7 @@ REPLY_HIGH = ("This transaction shows high-risk indicators and has been flagged
 REPLY_MEDIUM = "Unusual activity detected. Secondary verification is recommended. Action: %s."
 REPLY_LOW = "Transaction verified against baseline patterns. No immediate risk identified."
 HIGH_RISK_TYPES = ("TRANSFER", "CASH_OUT")
+MERCHANT_RISK_CUTOFF = 0.2
 
 
 def _has(intents: Column | None, name: str) -> Column:
@@ -57,7 +58,7 @@ def heuristic_terms(amount: Column, ttype: Column, old_balance: Column, burst: C
         F.when(F.upper(ttype).isin(*HIGH_RISK_TYPES), 0.2).otherwise(0.0),
         F.when(depletion(amt, F.coalesce(old_balance, F.lit(0.0))), 0.6).otherwise(0.0),
         F.when(burst > 3, 0.5).when(burst > 1, 0.3).otherwise(0.0),
-        F.when(merchant_risk > 0.2, 0.4).otherwise(0.0),
+        F.when(merchant_risk > MERCHANT_RISK_CUTOFF, 0.4).otherwise(0.0),
         F.when(_has(intents, "urgency"), 0.4).otherwise(0.0),
         F.when(_has(intents, "depletion"), 0.3).otherwise(0.0),
         F.when(F.coalesce(is_night, F.lit(0)) == 1, 0.1).otherwise(0.0) if is_night is not None
@@ -105,7 +106,7 @@ def indicators(amount: Column, ttype: Column, old_balance: Column, burst: Column
         F.when(amt > 500000, F.lit(IND_VOLUME)),
         F.when(ttype.isin(*HIGH_RISK_TYPES), F.lit(IND_CHANNEL)),
         F.when(burst > 3, F.lit(IND_BURST)),
-        F.when(merchant_risk > 0.2, F.lit(IND_MERCHANT)),
+        F.when(merchant_risk > MERCHANT_RISK_CUTOFF, F.lit(IND_MERCHANT)),
         F.when(_has(intents, "urgency"), F.lit(IND_URGENCY)),
         F.when(depletion(amt, F.coalesce(old_balance, F.lit(0.0))), F.lit(IND_DEPLETION)),
     ))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.ordered import running
+from riskflow.operators.ordered import prefix_scan
 from riskflow.session import cut_lineage
 
 # Monitored features, bucket count, empty-bin share, thresholds.
@@ -39,11 +39,6 @@ def long_form(df: DataFrame, features: list[str]) -> DataFrame:
     return d.unpivot([], features, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
-def _value_block(v: Column) -> Column:
-    """Monotone bucket of a double (256 buckets per octave of |v|, signed), for blocked running counts."""
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * 256)).cast("long")
-
-
 def quantile_probs(buckets: int = BUCKETS) -> list[float]:
     return [i * 100 / buckets / 100 for i in range(buckets + 1)]
 
@@ -52,8 +47,7 @@ def quantile_arrays(long: DataFrame, probs: list[float]) -> DataFrame:
     """(feature, qs) : NumPy-linear percentiles ``probs`` of each feature's values, as one array."""
     spark = long.sparkSession
     dv = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    dv = running(dv, ["feature"], [F.col("value")], [_value_block(F.col("value"))],
-                 sums={"cum": F.col("c")}, position=None)
+    dv = prefix_scan(dv, ["feature"], [F.col("value")], sums={"cum": F.col("c")}, position=None)
     n = dv.groupBy("feature").agg(F.sum("c").alias("n"))
     p = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "i int, p double")
     pos = n.crossJoin(F.broadcast(p)).select(

@@ -2,8 +2,8 @@
 
 Ordering: every ordered operator sorts by ``(step, row_id)`` (``row_id`` is the
 input order tie-break).  Running aggregates go through
-:func:`riskflow.operators.ordered.running`, which splits hot keys into time
-blocks so no key is ever processed by a single task.
+:func:`riskflow.operators.ordered.prefix_scan`, which lets a hot key lie across
+partitions, so no key is ever processed by a single task.
 """
 from __future__ import annotations
 
@@ -11,10 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskflow.functions.rowfeatures import one_hot, velocity
-from riskflow.operators.ordered import _null_safe_join, running, time_block
+from riskflow.operators.ordered import prefix_scan
 
-# Default block width for ordered operators: 30 days of hourly steps.
-DEFAULT_BLOCK_STEPS = 24 * 30
 ALPHA = 10
 
 
@@ -28,20 +26,22 @@ def first_pair_flag(df: DataFrame, a: str, b: str, order: tuple[str, str] = ("st
                     out: str = "_first_pair") -> DataFrame:
     """1 on the first row (in ``order``) of every (a, b) pair, else 0.
 
-    Pre-aggregated (partial min per map task), then joined back; a hot pair is
-    split by adaptive skew-join handling instead of landing in one window task.
+    A prefix scan over the pairs: the first row is the one at position 1, however
+    many partitions the rows of a hot pair fill.
     """
-    firsts = df.groupBy(a, b).agg(F.min(F.struct(*order)).alias("_fp"))
-    d = _null_safe_join(df, firsts, [a, b])
-    return d.withColumn(out, (F.struct(*order) == F.col("_fp")).cast("int")).drop("_fp")
+    d = prefix_scan(df, [a, b], [F.col(c) for c in order], position=out)
+    return d.withColumn(out, (F.col(out) == 1).cast("int"))
 
 
-def user_features(df: DataFrame, block_steps: int = DEFAULT_BLOCK_STEPS) -> DataFrame:
-    """W1 txn_count, W2 amt_sum, W3 time_gap, W4 burst_count, W5 unique_merchants, F12 velocity."""
+def user_features(df: DataFrame) -> DataFrame:
+    """W1 txn_count, W2 amt_sum, W3 time_gap, W4 burst_count, W5 unique_merchants, F12 velocity.
+
+    Two shuffles: one by (user, merchant) for W5, one by user for all the rest.
+    """
     d = first_pair_flag(df, "nameOrig", "nameDest")
-    d = running(d, ["nameOrig"], [F.col("step"), F.col("row_id")], [time_block(F.col("step"), block_steps)],
-                sums={"amt_sum": F.col("amount"), "unique_merchants": F.col("_first_pair")},
-                position="txn_count", lag_of=F.col("step"))
+    d = prefix_scan(d, ["nameOrig"], [F.col("step"), F.col("row_id")],
+                    sums={"amt_sum": F.col("amount"), "unique_merchants": F.col("_first_pair")},
+                    position="txn_count", lag_of=F.col("step"))
     return d.withColumns({
         "velocity": velocity(F.col("amount"), F.col("oldbalanceOrg")),
         "time_gap": F.coalesce(F.col("step") - F.col("_lag1"), F.lit(0)),
@@ -49,13 +49,12 @@ def user_features(df: DataFrame, block_steps: int = DEFAULT_BLOCK_STEPS) -> Data
     }).drop("_lag1", "_lag2", "_first_pair")
 
 
-def _merchant_order(order: str, block_steps: int) -> tuple[list[Column], list[Column]]:
+def _merchant_order(order: str) -> list[Column]:
     if order == "parity":
         # Rows of a merchant in (user, step) order: the order the offline code leaves behind.
-        return ([F.col("nameOrig"), F.col("step"), F.col("row_id")],
-                [F.col("nameOrig"), time_block(F.col("step"), block_steps)])
+        return [F.col("nameOrig"), F.col("step"), F.col("row_id")]
     if order == "event":
-        return [F.col("step"), F.col("row_id")], [time_block(F.col("step"), block_steps)]
+        return [F.col("step"), F.col("row_id")]
     raise ValueError(f"unknown order {order!r}")
 
 
@@ -64,13 +63,11 @@ def global_fraud_rate(df: DataFrame, label: str = "isFraud") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast("double")).alias("global_rate"))
 
 
-def merchant_features(df: DataFrame, alpha: float = ALPHA, order: str = "parity",
-                      block_steps: int = DEFAULT_BLOCK_STEPS) -> DataFrame:
+def merchant_features(df: DataFrame, alpha: float = ALPHA, order: str = "parity") -> DataFrame:
     """W6 merchant_frequency and W7 smoothed merchant_risk from earlier rows."""
-    ordr, blk = _merchant_order(order, block_steps)
-    d = running(df, ["nameDest"], ordr, blk, sums={"_fraud_run": F.col("isFraud")},
-                position="merchant_frequency")
-    g = global_fraud_rate(df)  # exactly one row: safe to broadcast
+    d = prefix_scan(df, ["nameDest"], _merchant_order(order), sums={"_fraud_run": F.col("isFraud")},
+                    position="merchant_frequency")
+    g = global_fraud_rate(d)  # exactly one row: safe to broadcast; of the scanned rows, so the input is read once
     d = d.crossJoin(F.broadcast(g))
     prior_sum = (F.col("_fraud_run") - F.col("isFraud")).cast("double")
     prior_cnt = F.col("merchant_frequency") - 1
@@ -95,16 +92,14 @@ def merchant_risk_from_train(df: DataFrame, train: DataFrame, alpha: float = ALP
     return d.withColumn("merchant_risk", F.coalesce(risk, F.lit(0.0))).drop("fraud_sum", "txn_cnt", "global_rate")
 
 
-def all_features(df: DataFrame, train: DataFrame | None = None, order: str = "parity",
-                 block_steps: int = DEFAULT_BLOCK_STEPS) -> DataFrame:
+def all_features(df: DataFrame, train: DataFrame | None = None, order: str = "parity") -> DataFrame:
     """Offline feature set: F10, W1-W5, F12, W5/W6, W7 or W8, then P11 (numeric nulls -> 0)."""
     d = encode_type(df)
-    d = user_features(d, block_steps)
+    d = user_features(d)
     if train is None:
-        d = merchant_features(d, order=order, block_steps=block_steps)
+        d = merchant_features(d, order=order)
     else:
-        ordr, blk = _merchant_order(order, block_steps)
-        d = running(d, ["nameDest"], ordr, blk, position="merchant_frequency")
+        d = prefix_scan(d, ["nameDest"], _merchant_order(order), position="merchant_frequency")
         d = merchant_risk_from_train(d, train)
     return fill_numeric_zero(d)
 
@@ -115,30 +110,21 @@ def fill_numeric_zero(df: DataFrame) -> DataFrame:
 
 
 # ----------------------------------------------------------------- online
-def online_user_features(df: DataFrame, prob: Column | None = None, history: int = 100,
-                         block_steps: int = DEFAULT_BLOCK_STEPS) -> DataFrame:
+def online_user_features(df: DataFrame, prob: Column | None = None, history: int = 100) -> DataFrame:
     """W10 ``burst`` (earlier txns of the user, capped) and W11 ``historical_risk_score``.
 
     W11 averages the model probability of the user's last ``history`` earlier
-    rows.  It uses prefix sums: sum(last h earlier) = P(n-1) - P(n-1-h), where
-    P(n-1-h) comes from an equi-join on (user, position) - evenly spread even
-    for a hot user.
+    rows; no probability counts as 0.0, as in the stream.  Both come from one
+    prefix scan, whose recent sums reach back over at most ``history`` rows, so
+    they lose no digits however many rows a user has.
     """
-    prob = F.coalesce(prob, F.lit(0.0)) if prob is not None else None   # no probability counts as 0.0, as in the stream
-    sums = {"_p_run": prob} if prob is not None else {}
-    d = running(df, ["nameOrig"], [F.col("step"), F.col("row_id")], [time_block(F.col("step"), block_steps)],
-                sums=sums, position="_upos")
-    d = d.withColumn("burst", F.least(F.col("_upos") - 1, F.lit(history)).cast("int"))
-    if prob is None:
-        return d.drop("_upos")
-    d = d.withColumn("_p_val", prob)
-    back = d.select(F.col("nameOrig").alias("_bk"), (F.col("_upos") + history + 1).alias("_bpos"),
-                    F.col("_p_run").alias("_p_back"))
-    d = d.join(back, (d["nameOrig"].eqNullSafe(back["_bk"])) & (d["_upos"] == back["_bpos"]), "left")
-    window_sum = F.col("_p_run") - F.col("_p_val") - F.coalesce(F.col("_p_back"), F.lit(0.0))
+    recent = {} if prob is None else {"_p_sum": (prob, history)}
+    d = prefix_scan(df, ["nameOrig"], [F.col("step"), F.col("row_id")], position="_upos", recent=recent)
     n_prev = F.least(F.col("_upos") - 1, F.lit(history))
-    hist = F.when(n_prev > 0, window_sum / n_prev).otherwise(F.lit(0.0))
-    return d.withColumn("historical_risk_score", hist).drop("_upos", "_p_run", "_p_val", "_bk", "_bpos", "_p_back")
+    d = d.withColumn("burst", n_prev.cast("int"))
+    if prob is not None:
+        d = d.withColumn("historical_risk_score", F.when(n_prev > 0, F.col("_p_sum") / n_prev).otherwise(F.lit(0.0)))
+    return d.drop("_upos", "_p_sum")
 
 
 # ----------------------------------------------------------------- W14

@@ -2,15 +2,15 @@
 
 All curve metrics start from one table with a row per distinct score:
 (score, pos, neg), built by partial aggregation.  Cumulative true/false
-positives from the top score down use the blocked running helper over score
-buckets, so no single task holds the whole curve.
+positives from the top score down are a prefix scan over the scores, so no
+single task holds the whole curve.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.ordered import running
+from riskflow.operators.ordered import prefix_scan
 
 # Threshold-search targets and fallbacks.
 RECALL_RANGE = (0.90, 0.95)
@@ -18,7 +18,6 @@ PRECISION_RANGE = (0.70, 0.85)
 F1_EPS = 1e-8
 DEFAULT_THRESHOLD = 0.5
 THRESHOLD_CAP = 0.8
-SCORE_BUCKETS = 65536
 
 
 def class_balance(df: DataFrame, y: str = "y") -> DataFrame:
@@ -32,11 +31,8 @@ def curve(df: DataFrame, y: str = "y", score: str = "prob") -> DataFrame:
     """Per distinct score (descending): pos, neg, cumulative tp/fp, precision, recall, and totals."""
     g = df.groupBy(F.col(score).alias("score")).agg(
         F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) != 1).alias("neg"))
-    # descending score order; scores are probabilities, so the bucket grid is fixed and monotone
-    desc_bucket = F.floor(-F.col("score") * SCORE_BUCKETS).cast("long")
-    c = running(g, [], [F.col("score").desc()], [desc_bucket],
-                sums={"tp": F.col("pos"), "fp": F.col("neg")}, position="rank_desc")
-    tot = g.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    c = prefix_scan(g, [], [F.col("score").desc()], sums={"tp": F.col("pos"), "fp": F.col("neg")}, position="rank_desc")
+    tot = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     c = c.crossJoin(F.broadcast(tot))
     return c.withColumns({
         "precision": F.col("tp") / (F.col("tp") + F.col("fp")),

@@ -13,7 +13,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.ordered import running
+from riskflow.operators.ordered import prefix_scan
 
 # Online model vector order and training settings.
 MODEL_FEATURES = [
@@ -65,8 +65,7 @@ def stratified_folds(df: DataFrame, label: str = "isFraud", id_col: str = "row_i
                      seed: int = SEED) -> DataFrame:
     """M4: fold = (rank within label in seeded hash order - 1) % k; fold sizes differ by at most 1."""
     h = F.xxhash64(F.col(id_col), F.lit(seed))
-    d = running(df.withColumn("_h", h), [label], [F.col("_h"), F.col(id_col)],
-                [F.floor(F.col("_h") / F.lit(2 ** 54)).cast("long")], position="_r")
+    d = prefix_scan(df.withColumn("_h", h), [label], [F.col("_h"), F.col(id_col)], position="_r")
     return d.withColumn("fold", ((F.col("_r") - 1) % k).cast("int")).drop("_h", "_r")
 
 

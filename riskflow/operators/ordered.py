@@ -1,133 +1,198 @@
-"""Skew-safe ordered aggregation per key.
+"""Distributed prefix scan: ordered aggregates per key in one pass over the rows.
 
 A plain ``Window.partitionBy(key)`` sends every row of a key to one task; if one
 key holds a third of the data, that task holds a third of the data.  Here the
-key is cut into *blocks* that follow the ordering (e.g. ``floor(step / W)``).
-Each (key, block) is windowed on its own, a small per-block summary gives the
-offsets of earlier blocks, and one join on (key, block) adds them back:
-
-    position(row)    = rows in earlier blocks   + row_number() within block
-    running_sum(row) = sum of earlier blocks    + running sum within block
-    lag_k(row)       = within-block lag, or the tail of the previous blocks
-
-The row side is shuffled once, by (key, block); the summary is an aggregate of
-the already partitioned rows (no extra exchange) and has one row per block.
+rows are range-partitioned once by (key, order) and sorted in their partitions,
+so a hot key simply lies across several partitions, in order.  Each partition
+scans its rows batch by batch (Arrow, vectorised) and adds one *carry* row: the
+totals of its last key.  The carries, one row for each partition, are combined
+in order and broadcast back; they are added to the rows of the first key of a
+partition only, the one that may have begun before.
+
+The scanned rows are written once to the shared checkpoint folder, because the
+carries must fit them: a later look at the input could be partitioned anew.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-
-UNB = Window.unboundedPreceding
-CUR = Window.currentRow
-
+import json
 
-def _null_safe_join(left: DataFrame, right: DataFrame, cols: list[str]) -> DataFrame:
-    r = right.select(*[F.col(c).alias(f"__r_{c}") for c in cols],
-                     *[c for c in right.columns if c not in cols])
-    cond = [left[c].eqNullSafe(r[f"__r_{c}"]) for c in cols]
-    out = left.join(r, cond, "inner")
-    return out.drop(*[f"__r_{c}" for c in cols])
-
-
-def _non_null(df: DataFrame, col: Column | str, name: str) -> tuple[DataFrame, list[str]]:
-    """Replace a grouping column by (isnull flag, value-or-default) so plain equi-joins keep nulls.
-
-    Plain equality lets the join reuse the existing hash partitioning; a null-safe
-    ``<=>`` join would re-shuffle both sides on derived expressions.
-    """
-    c = F.col(col) if isinstance(col, str) else col
-    d = df.withColumn(f"{name}_v", c)
-    dt = d.schema[f"{name}_v"].dataType.simpleString()
-    if dt == "string":
-        default = F.lit("")
-    elif dt in ("boolean",):
-        default = F.lit(False)
-    elif dt in ("tinyint", "smallint", "int", "bigint", "float", "double") or dt.startswith("decimal"):
-        default = F.lit(0).cast(dt)
-    else:
-        d = d.withColumn(f"{name}_v", F.col(f"{name}_v").cast("string"))
-        default = F.lit("")
-    d = d.withColumns({f"{name}_n": F.col(f"{name}_v").isNull(),
-                       f"{name}_v": F.coalesce(F.col(f"{name}_v"), default)})
-    return d, [f"{name}_n", f"{name}_v"]
-
-
-def running(df: DataFrame, keys: list[str], order: list[Column], block: list[Column],
-            sums: dict[str, Column] | None = None, position: str | None = "_pos",
-            lag_of: Column | None = None, lag_names: tuple[str, str] = ("_lag1", "_lag2"),
-            ) -> DataFrame:
-    """Add per-key running position / inclusive running sums / lags 1 and 2.
-
-    ``block`` must be monotone in ``order`` (rows of an earlier block sort
-    before rows of a later block within the same key).
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from riskflow.session import scratch_path
+
+_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def spread(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """df range-partitioned by (keys, order) and sorted in its partitions."""
+    by = [*map(F.col, keys), *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, *by).sortWithinPartitions(*by)
+
+
+def store(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared checkpoint folder and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Runs:
+    """Where runs of equal keys begin in the sorted batches of a partition."""
+
+    def __init__(self, keys: list[str]):
+        self.keys, self.begun = keys, 0
+        self.first: list | None = None
+        self.last: list | None = None
+
+    def of(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(new, head) of the rows: whether one begins a run, whether it belongs to the partition's first run."""
+        columns = [b.column(b.schema.get_field_index(k)) for k in self.keys]
+        new = np.zeros(b.num_rows, dtype=bool)
+        for c in columns:
+            one, other = c.slice(1), c.slice(0, len(c) - 1)
+            differ = pc.coalesce(pc.not_equal(one, other), pc.xor(pc.is_null(one), pc.is_null(other)))
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        first = [c[0].as_py() for c in columns]
+        new[0] = self.last is None or first != self.last
+        if self.first is None:
+            self.first = first
+        self.last = [c[-1].as_py() for c in columns]
+        run = np.cumsum(new) + self.begun
+        self.begun = int(run[-1])
+        return new, run == 1
+
+
+def text(value) -> str:
+    return json.dumps(value, default=str)
+
+
+def carry_batch(schema: pa.Schema, **values) -> pa.RecordBatch:
+    """One row of nulls but for the given columns."""
+    return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) if f.name in values else pa.nulls(1, f.type) for f in schema], schema=schema)
+
+
+def _scan(keys: list[str], kept: list[str], sums: list[str], lag: bool, recent: dict[str, int]):
+    def scan(batches):
+        runs, pid, schema = Runs(keys), TaskContext.get().partitionId(), None
+        n, totals, lags, tails = 0, {}, None, {k: np.empty(0) for k in recent}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = lambda c: b.column(b.schema.get_field_index(c))  # noqa: B023, E731
+            new, head = runs.of(b)
+            at = np.arange(b.num_rows)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            pos = np.where(start < 0, at + 1 + n, at - start + 1)
+            out = {c: column(c) for c in kept}
+            out |= {"_pid": pa.array(np.full(b.num_rows, pid, "i4")), "_head": pa.array(head), "_lpos": pa.array(pos)}
+            segment = np.cumsum(new)
+            for s in sums:
+                v = column(f"_s_{s}").to_numpy(zero_copy_only=False).copy()
+                if not new[0]:
+                    v[0] += totals[s]
+                run = pd.Series(v).groupby(segment, sort=False).cumsum().to_numpy()
+                totals[s] = run[-1].item()
+                out[f"_t_{s}"] = pa.array(run)
+            if lag:
+                v = column("_lagsrc")
+                lags = pa.nulls(2, v.type) if lags is None else lags
+                every = pa.concat_arrays([lags, v])
+                none = pa.scalar(None, v.type)
+                out["_l1"] = pc.if_else(pa.array(pos >= 2), every.slice(1, b.num_rows), none)
+                out["_l2"] = pc.if_else(pa.array(pos >= 3), every.slice(0, b.num_rows), none)
+                lags = every.slice(b.num_rows, 2)
+            for r, h in recent.items():
+                every = np.r_[np.zeros(h - len(tails[r])), tails[r], column(f"_r_{r}").to_numpy(zero_copy_only=False)]
+                total = np.r_[0.0, np.cumsum(every)]
+                many = np.minimum(pos - 1, h)
+                out[f"_w_{r}"] = pa.array(total[at + h] - total[at + h - many])
+                keep = min(int(pos[-1]), h)
+                tails[r] = every[len(every) - keep:]
+            n = int(pos[-1])
+            made = pa.RecordBatch.from_pydict(out | {"_carry": pa.nulls(b.num_rows, pa.string())})
+            schema = made.schema
+            yield made
+        if schema is not None:
+            yield carry_batch(schema, _pid=pid, _carry=text({
+                "one": runs.begun == 1, "first": runs.first, "last": runs.last, "n": n, "sums": [totals[s] for s in sums],
+                "lags": lags.to_pylist()[::-1][:min(n, 2)] if lag else [], "recent": {r: t.tolist() for r, t in tails.items()}}))
+    return scan
+
+
+def _incoming(carries: list[tuple[int, dict]], recent: dict[str, int]) -> list[tuple[int, dict]]:
+    """What each partition's first key brings along from earlier partitions."""
+    out, state = [], None
+    for pid, c in carries:
+        before = state if state is not None and state["last"] == c["first"] else None
+        if before:
+            out.append((pid, before))
+        state = c
+        if before and c["one"]:
+            state = c | {"n": before["n"] + c["n"], "sums": [a + b for a, b in zip(before["sums"], c["sums"])],
+                         "lags": (c["lags"] + before["lags"])[:2],
+                         "recent": {r: (before["recent"][r] + c["recent"][r])[-h:] for r, h in recent.items()}}
+    return out
+
+
+def prefix_scan(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None,
+                position: str | None = "_pos", lag_of: Column | None = None, lag_names: tuple[str, str] = ("_lag1", "_lag2"),
+                recent: dict[str, tuple[Column, int]] | None = None) -> DataFrame:
+    """df with, per key in the given order, the position, inclusive running sums, lags 1 and 2, and recent sums.
+
+    sums: nulls add nothing; integers add up as long, all else as double.
+    recent: name -> (column, h), the sum over the h rows before (fewer at the
+    beginning, 0 without any).  Rows of a null key are one key; no keys: all
+    rows are one.  Rows that tie in order keep an order of their own, the same in all results.
     """
-    sums = sums or {}
-    d = df
-    kcols: list[str] = []
-    for i, k in enumerate(keys):
-        d, kc = _non_null(d, k, f"_k{i}")
-        kcols += kc
-    bcols: list[str] = []
-    border: list[Column] = []
-    for i, b in enumerate(block):
-        d, bc = _non_null(d, b, f"_blk{i}")
-        bcols += bc
-        border += [F.col(bc[0]).desc(), F.col(bc[1])]      # nulls first, as in the row order
-    if sums:
-        d = d.withColumns({f"_sv_{n}": c for n, c in sums.items()})
-    if lag_of is not None:
-        d = d.withColumn("_lagsrc", lag_of)
-    pre = d
-    w = Window.partitionBy(*kcols, *bcols).orderBy(*order)
-    run = w.rowsBetween(UNB, CUR)
-    cols = {"_rn": F.row_number().over(w)}
-    for n in sums:
-        cols[f"_rs_{n}"] = F.sum(f"_sv_{n}").over(run)
-    if lag_of is not None:
-        cols["_il1"] = F.lag("_lagsrc", 1).over(w)
-        cols["_il2"] = F.lag("_lagsrc", 2).over(w)
-    d = d.withColumns(cols)
-
-    # Block summary.  Without lags it is aggregated from the input rows: that branch
-    # reads only the key, block and summed columns and combines map-side, so its
-    # shuffle is one small row per (key, block) and map task.  Lags need the last two
-    # rows of each block, which come from the windowed rows.
-    if lag_of is None:
-        aggs = [F.count(F.lit(1)).alias("_bc")] + [F.sum(f"_sv_{n}").alias(f"_bt_{n}") for n in sums]
-        summ = pre.groupBy(*kcols, *bcols).agg(*aggs)
-    else:
-        aggs = [F.max("_rn").alias("_bc")] + [F.sum(f"_sv_{n}").alias(f"_bt_{n}") for n in sums]
-        aggs += [F.max_by("_lagsrc", "_rn").alias("_last1"), F.max_by("_il1", "_rn").alias("_last2")]
-        summ = d.groupBy(*kcols, *bcols).agg(*aggs)
-    ws = Window.partitionBy(*kcols).orderBy(*border)
-    before = ws.rowsBetween(UNB, -1)
-    off = {"_oc": F.coalesce(F.sum("_bc").over(before), F.lit(0))}
-    for n in sums:
-        off[f"_ot_{n}"] = F.coalesce(F.sum(f"_bt_{n}").over(before), F.lit(0))
-    if lag_of is not None:
-        off["_pl1"] = F.lag("_last1", 1).over(ws)
-        off["_pl2"] = F.when(F.lag("_bc", 1).over(ws) >= 2, F.lag("_last2", 1).over(ws)) \
-                       .otherwise(F.lag("_last1", 2).over(ws))
-    summ = summ.select(*kcols, *bcols, *[c.alias(n) for n, c in off.items()])
-
-    d = d.join(summ, [*kcols, *bcols], "inner")
-    out = {}
-    if position:
-        out[position] = (F.col("_oc") + F.col("_rn")).cast("long")
-    for n in sums:
-        out[n] = F.col(f"_ot_{n}") + F.coalesce(F.col(f"_rs_{n}"), F.lit(0))   # nulls add nothing
-    if lag_of is not None:
-        out[lag_names[0]] = F.when(F.col("_rn") >= 2, F.col("_il1")).otherwise(F.col("_pl1"))
-        out[lag_names[1]] = (F.when(F.col("_rn") >= 3, F.col("_il2"))
-                             .when(F.col("_rn") == 2, F.col("_pl1")).otherwise(F.col("_pl2")))
-    d = d.withColumns(out)
-    temps = [c for c in d.columns if c.startswith(("_blk", "_k", "_sv_", "_rs_", "_ot_"))
-             or c in ("_rn", "_oc", "_bc", "_lagsrc", "_il1", "_il2", "_pl1", "_pl2")]
-    return d.drop(*[t for t in temps if t not in df.columns])
-
-
-def time_block(step: Column, width: int) -> Column:
-    """Monotone block id of an integer time column."""
-    return F.floor(step / F.lit(width)).cast("long")
+    sums, recent = sums or {}, recent or {}
+    width = {r: h for r, (_, h) in recent.items()}
+    work = df.withColumns({f"_s_{s}": c for s, c in sums.items()} | {f"_r_{r}": F.coalesce(c.cast("double"), F.lit(0.0)) for r, (c, _) in recent.items()}
+                          | ({} if lag_of is None else {"_lagsrc": lag_of})) if sums or recent or lag_of is not None else df
+    kind = {s: "long" if isinstance(work.schema[f"_s_{s}"].dataType, _INTEGERS) else "double" for s in sums}
+    work = work.withColumns({f"_s_{s}": F.coalesce(F.col(f"_s_{s}").cast(k), F.lit(0).cast(k)) for s, k in kind.items()}) if sums else work
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    fields += [T.StructField("_pid", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_lpos", T.LongType())]
+    fields += [T.StructField(f"_t_{s}", T.LongType() if k == "long" else T.DoubleType()) for s, k in kind.items()]
+    fields += [] if lag_of is None else [T.StructField(c, work.schema["_lagsrc"].dataType) for c in ("_l1", "_l2")]
+    fields += [T.StructField(f"_w_{r}", T.DoubleType()) for r in recent] + [T.StructField("_carry", T.StringType())]
+    scan = _scan(keys, df.columns, list(sums), lag_of is not None, width)
+    rows = store(spread(work, keys, order).mapInArrow(scan, T.StructType(fields)), "scan")
+
+    carries = sorted((r["_pid"], json.loads(r["_carry"])) for r in rows.filter("_carry IS NOT NULL").select("_pid", "_carry").collect())
+    came = _incoming(carries, width)   # at most one row for each partition
+    rows = rows.filter("_carry IS NULL").drop("_carry")
+    made = {} if position is None else {position: F.col("_lpos")}
+    made |= {s: F.col(f"_t_{s}") for s in sums} | ({} if lag_of is None else {lag_names[0]: F.col("_l1"), lag_names[1]: F.col("_l2")})
+    made |= {r: F.col(f"_w_{r}") for r in recent}
+    if came:
+        shape = [T.StructField("_pid", T.IntegerType()), T.StructField("_cn", T.LongType())]
+        shape += [T.StructField(f"_c_{s}", T.LongType() if k == "long" else T.DoubleType()) for s, k in kind.items()]
+        shape += [] if lag_of is None else [T.StructField(c, work.schema["_lagsrc"].dataType) for c in ("_c1", "_c2")]
+        shape += [T.StructField(f"_cr_{r}", T.ArrayType(T.DoubleType())) for r in recent]
+        table = []
+        for pid, c in came:
+            row = [pid, c["n"], *(float(v) if kind[s] == "double" else v for s, v in zip(sums, c["sums"]))]
+            row += [] if lag_of is None else (c["lags"] + [None, None])[:2]
+            row += [np.r_[0.0, np.cumsum(c["recent"][r][::-1])].tolist() for r in recent]  # sums of the last 0, 1, ... rows
+            table.append(tuple(row))
+        rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(table, T.StructType(shape))), "_pid", "left")
+        here = F.col("_head") & F.col("_cn").isNotNull()
+        if position is not None:
+            made[position] = F.col("_lpos") + F.when(here, F.col("_cn")).otherwise(F.lit(0))
+        for s in sums:
+            made[s] = F.col(f"_t_{s}") + F.when(here, F.col(f"_c_{s}")).otherwise(F.lit(0).cast(kind[s]))
+        if lag_of is not None:
+            made[lag_names[0]] = F.when(here & (F.col("_lpos") == 1), F.col("_c1")).otherwise(F.col("_l1"))
+            made[lag_names[1]] = F.when(here & (F.col("_lpos") == 1), F.col("_c2")).when(here & (F.col("_lpos") == 2), F.col("_c1")).otherwise(F.col("_l2"))
+        for r, h in width.items():
+            room = F.least(F.lit(h) + 1 - F.col("_lpos"), F.size(f"_cr_{r}") - 1).cast("int")
+            made[r] = F.col(f"_w_{r}") + F.when(here & (F.col("_lpos") <= h), F.get(f"_cr_{r}", room)).otherwise(F.lit(0.0))
+    return rows.withColumns(made).select(*df.columns, *made)

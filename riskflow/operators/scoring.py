@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskflow.functions import scoring as S
-from riskflow.operators.feedback import feedback_fold, DEFAULT_BLOCK_ROWS, DEFAULT_WARMUP
+from riskflow.operators.feedback import feedback_fold
 from riskflow.operators.features import online_user_features
 
 
@@ -26,8 +26,7 @@ def _total(terms: list[Column]) -> Column:
 
 
 def score_transactions(df: DataFrame, ml_prob: str | None = None, intents: str | None = None,
-                       night: str | None = None, block_rows: int = DEFAULT_BLOCK_ROWS,
-                       warmup: int = DEFAULT_WARMUP) -> DataFrame:
+                       night: str | None = None) -> DataFrame:
     """Score every row; adds burst, merchant_risk, behavioral_score, final score and texts."""
     prob = F.col(ml_prob) if ml_prob else None
     d = online_user_features(df, prob=prob)
@@ -44,7 +43,7 @@ def score_transactions(df: DataFrame, ml_prob: str | None = None, intents: str |
         "_hi_s": S.final_score(h_safe, prob) >= S.RISK_THRESHOLD_HIGH,
         "_hi_r": S.final_score(h_risky, prob) >= S.RISK_THRESHOLD_HIGH,
     })
-    d = feedback_fold(d, "nameDest", "_hi_r", "_hi_s", block_rows=block_rows, warmup=warmup)
+    d = feedback_fold(d, "nameDest", "_hi_r", "_hi_s")
     d = d.withColumnRenamed("merchant_risk_online", "merchant_risk").drop("_hi_s", "_hi_r", "judged_high")
     h = _total(terms(F.col("merchant_risk")))
     final = S.final_score(h, prob)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.operators.ordered import running, time_block
+from riskflow.operators.ordered import prefix_scan
 from riskflow.operators.validate import eligible_keys
 
 WINDOW = 10
@@ -25,8 +25,7 @@ def build_sequences(df: DataFrame, feature_cols: list[str], key: str = "nameDest
                     min_rows: int = MIN_ROWS, label: str = "isFraud", block_steps: int = 24 * 30) -> DataFrame:
     """(row_id, key, step, label, seq array<array<double>>, mask array<double>, seq_len int)."""
     d = eligible_keys(df, key, min_rows)
-    d = running(d, [key], [F.col("step"), F.col("row_id")], [time_block(F.col("step"), block_steps)],
-                position="_pos")
+    d = prefix_scan(d, [key], [F.col("step"), F.col("row_id")], position="_pos")
     feats = F.array(*[F.col(c).cast("double") for c in feature_cols])
     d = d.select(key, "_pos", "row_id", "step", F.col(label).alias("_label"), feats.alias("_f"),
                  F.explode(F.sequence(F.lit(0), F.lit(window))).alias("_j"))

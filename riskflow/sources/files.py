@@ -29,10 +29,17 @@ def read_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_feature_source(spark: SparkSession, path: str, key: str = "card_id", ts: str = "Time",
-                        fields: tuple[str, ...] = ("Amount", "V1", "Velocity_1H", "Amt_Rolling_Mean_1H")) -> DataFrame:
-    """Feature-view source file: entity key, typed event time, feature fields."""
+                        fields: tuple[str, ...] = ("Amount", "V1", "Velocity_1H", "Amt_Rolling_Mean_1H"),
+                        created: str | None = "created") -> DataFrame:
+    """Feature-view source file: entity key, typed event time and created time, feature fields.
+
+    created_ts is null in files without the created column; the as-of join (J4)
+    takes it to decide between rows of one key and time.
+    """
     df = read_snapshot(spark, path)
+    made = F.col(created) if created in df.columns else F.lit(None)
     return df.select(F.col(key).cast("string").alias(key), F.col(ts).cast("timestamp").alias("feature_ts"),
+                     made.cast("timestamp").alias("created_ts"),
                      *[F.col(f).cast("double").alias(f) for f in fields])
 
 

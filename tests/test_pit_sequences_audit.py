@@ -21,6 +21,20 @@ def test_asof_ttl_edges(spark):
     assert got == {"e1": 1.0, "e2": None, "e3": 3.0, "e4": None}
 
 
+def test_asof_ties_null_keys_and_created(spark):
+    t0 = dt.datetime(2024, 1, 31, 12, 0, 0)
+    day = dt.timedelta(days=1)
+    rows = [("a", t0, t0 + 2 * day, 1.0), ("a", t0, t0 + day, 9.0), ("b", t0, None, 5.0), ("b", t0, None, 6.0), (None, t0, t0, 7.0),
+            ("a", t0 - day, t0 + 5 * day, 8.0), ("c", None, t0, 3.0)]
+    feats = spark.createDataFrame(rows, "k string, fts timestamp, made timestamp, f double")
+    ev = spark.createDataFrame([("e1", "a", t0), ("e2", "b", t0 + day), ("e3", None, t0), ("e4", "c", t0), ("e5", "a", None), ("e6", "a", t0 - day)],
+                               "id string, k string, ts timestamp")
+    got = {r.id: r.f for r in asof_join(ev, feats, "k", "ts", "fts", ["f"], created="made").collect()}
+    assert got == {"e1": 1.0, "e2": 6.0, "e3": None, "e4": None, "e5": None, "e6": 8.0}
+    got = {r.id: r.f for r in asof_join(ev, feats, "k", "ts", "fts", ["f"]).collect()}
+    assert got["e1"] == 9.0
+
+
 def test_sequences_padding(spark):
     rows = [(i, "A" if i < 12 else ("B" if i < 14 else "C"), i, float(i), 0) for i in range(17)]
     df = spark.createDataFrame(rows, "row_id long, nameDest string, step int, amount double, isFraud int")
