@@ -193,7 +193,8 @@ def _sql_num(expr: str) -> str:
     return f"TRY_CAST(replace({expr}, ',', '') AS DOUBLE)"
 
 
-def _parser_sql() -> str:
+def parser_columns() -> dict[str, str]:
+    """SQL of the parsed columns over the lower-cased message t."""
     amt = (f"coalesce({_sql_num(f'regexp_extract(t, {chr(39)}{P.AMOUNT_RE}{chr(39)}, 1)')} * "
            f"CASE regexp_extract(t, '{P.AMOUNT_RE}', 2) WHEN 'k' THEN 1e3 WHEN 'lakh' THEN 1e5 "
            f"WHEN 'million' THEN 1e6 ELSE 1e0 END, 0e0)")
@@ -205,11 +206,18 @@ def _parser_sql() -> str:
              "WHEN contains(t, 'cash out') OR contains(t, 'withdraw') THEN 'CASH_OUT' "
              "WHEN contains(t, 'cash in') OR contains(t, 'deposit') THEN 'CASH_IN' "
              "WHEN contains(t, 'debit') THEN 'DEBIT' ELSE 'TRANSFER' END")
-    intents = ("array_to_string(list_filter(["
+    intents = ("list_filter(["
                "CASE WHEN contains(t, 'urgent') OR contains(t, 'quickly') OR contains(t, 'asap') OR contains(t, 'emergency') THEN 'urgency' END, "
                "CASE WHEN contains(t, 'all') OR contains(t, 'entire') OR contains(t, 'empty') OR contains(t, 'depletion') THEN 'depletion' END, "
                "CASE WHEN contains(t, 'multiple') OR contains(t, 'repeated') OR contains(t, 'several') THEN 'frequency' END"
-               "], lambda x: x IS NOT NULL), '|')")
+               "], lambda x: x IS NOT NULL)")
+    return {"amount": amt, "balance": bal, "type": ttype, "nameOrig": sender, "nameDest": receiver, "intents": intents}
+
+
+def _parser_sql() -> str:
+    c = parser_columns()
+    amt, bal, ttype, sender, receiver = (c[k] for k in ("amount", "balance", "type", "nameOrig", "nameDest"))
+    intents = f"array_to_string({c['intents']}, '|')"
     return with_sql(LEDGER_SQL, MESSAGES_SQL, "p AS (SELECT msg_id, lower(message) AS t FROM messages)", body=f"""
 SELECT msg_id, 1 AS step, round({amt}, 6) AS amount, {ttype} AS type, round({bal}, 6) AS oldbalanceOrg,
        round(greatest(0e0, {bal} - {amt}), 6) AS newbalanceOrig, 0e0 AS oldbalanceDest,

@@ -8,13 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskflow.functions import parse as P
+from riskflow.functions import scoring as S
 from riskflow.functions.scoring import iso_utc
+from riskflow.operators import audit as AU
+from riskflow.plans.catalog_features import parser_columns
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import scored_ledger_ctes
-from riskflow.plans.catalog_core import SCORED_COLS_SQL
 from riskflow.schemas import KAFKA_LIKE
 from riskflow.session import scratch_path
-from riskflow.sources.views import EVENT_SQL, txn_event, txn_ledger, with_sql
+from riskflow.sources.views import EVENT_SQL, LEDGER_SQL, MESSAGES_SQL, ML_PROB_SQL, messages, ml_prob_standin, txn_event, txn_ledger, with_sql
 from riskflow.streaming import scoring as SS
 from riskflow.streaming import velocity as SV
 
@@ -113,21 +116,87 @@ def q_t7(spark, sf):
                                           "merchant_id", "timestamp")
 
 
-@query("T9_stream_scoring", sql=with_sql(*scored_ledger_ctes(), body=SCORED_COLS_SQL, recursive=True))
-def q_t9(spark, sf):
-    led = txn_ledger(spark, sf)
-    src_path = scratch_path(spark, "t9-in")
-    led.write.parquet(src_path)
-    src = spark.readStream.schema(led.schema).parquet(src_path)
-    out = scratch_path(spark, "t9-out")
-    SS.start_scoring(spark, src, scratch_path(spark, "t9-stage"), scratch_path(spark, "t9-ck"), out_path=out,
-                     available_now=True)
-    d = spark.read.parquet(out)
+def _deliver(spark, parts, name: str, files: int = 4):
+    """A stream that delivers the parts one after the other, a micro-batch each."""
+    path = scratch_path(spark, name)
+    for i, part in enumerate(parts):
+        part.repartition(files).write.parquet(f"{path}/p{i}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
+
+
+#: steps between the three deliveries of a replay
+DELIVERIES = (15000, 30000)
+
+
+def _by_step(d, extra=()):
+    low, high = DELIVERIES
+    parts = [d.filter(F.col("step") < low), d.filter((F.col("step") >= low) & (F.col("step") < high)), d.filter(F.col("step") >= high)]
+    return [p.unionByName(extra[i]) if i < len(extra) and extra[i] is not None else p for i, p in enumerate(parts)]
+
+
+@query("T8_keyed_state_scoring", sql=with_sql(*scored_ledger_ctes(ml_prob=ML_PROB_SQL), body=f"""
+SELECT row_id, nameOrig, nameDest, burst, round(merchant_risk, 6) AS merchant_risk,
+       round(coalesce(avg({ML_PROB_SQL}) OVER (PARTITION BY nameOrig ORDER BY step, row_id ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), 0e0), 6)
+         AS historical_risk_score
+FROM scored""", recursive=True))
+def q_t8(spark, sf):
+    """User and merchant state over three micro-batches."""
+    led = txn_ledger(spark, sf).withColumn("ml_prob", ml_prob_standin(F.col("row_id")))
+    out = scratch_path(spark, "t8-out")
+    states = SS.merchant_state(SS.verdict_inputs(SS.user_state(_deliver(spark, _by_step(led), "t8-in"), "ml_prob"), "ml_prob"))
+    SS.start(states, scratch_path(spark, "t8-ck"), out_path=out, available_now=True)
     r6 = lambda c: F.round(c, 6).alias(c)
-    return d.select("row_id", "nameOrig", "nameDest", "burst", r6("merchant_risk"), r6("behavioral_score"),
-                    r6("final_risk_score"), "risk_level", "action", "confidence_score",
-                    F.array_join("indicators", "|").alias("indicators_text"),
-                    F.array_join("reasons", "|").alias("reasons_text"), "pattern_summary")
+    return spark.read.schema(states.schema).parquet(out).select("row_id", "nameOrig", "nameDest", "burst", r6("merchant_risk"), r6("historical_risk_score"))
+
 
+_SAID = parser_columns()
+MESSAGE_LEDGER = [LEDGER_SQL.replace("txn_ledger AS", "ledger0 AS", 1), MESSAGES_SQL.replace("SELECT row_id AS msg_id,", "SELECT row_id AS msg_id, step AS step0,").replace("FROM txn_ledger", "FROM ledger0"),
+                  "said AS (SELECT msg_id, step0, lower(message) AS t FROM messages)", f"""
+txn_ledger AS (SELECT msg_id AS row_id, step0 AS step, {_SAID['amount']} AS amount, {_SAID['type']} AS type, {_SAID['balance']} AS oldbalanceOrg,
+                      {_SAID['nameOrig']} AS nameOrig, {_SAID['nameDest']} AS nameDest, {_SAID['intents']} AS intents FROM said)"""]
 
-query("T8_keyed_state_scoring", sql=with_sql(*scored_ledger_ctes(), body=SCORED_COLS_SQL, recursive=True))(q_t9)
+
+@query("T9_stream_scoring", sql=with_sql(*scored_ledger_ctes(ml_prob=ML_PROB_SQL, base=MESSAGE_LEDGER, intents="intents"), body="""
+SELECT upper(sha256(CAST(row_id AS VARCHAR))) AS record_key, round(amount, 6) AS amount, type, round(final_risk_score, 4) AS final_risk_score,
+       'Hybrid' AS scoring_mode, risk_level, action, indicators_text, reasons_text, pattern_summary,
+       risk_level = 'High' AS alerted, nameOrig AS entity, nameDest AS merchant
+FROM scored""", recursive=True))
+def q_t9(spark, sf):
+    """Messages, some delivered twice: parse, keyed state, hybrid score; then records, alerts and logs as stored."""
+    led = txn_ledger(spark, sf)
+    said = messages(spark, sf, led).join(led.select(F.col("row_id").alias("msg_id"), "step"), "msg_id")
+    value = said.select("step", F.to_json(F.struct("msg_id", "message", ml_prob_standin(F.col("msg_id")).alias("ml_prob"),
+                                                   F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss").alias("event_time"))).alias("value"))
+    again = value.filter(F.col("step") % 10 == 0)
+    low, high = DELIVERIES
+    parts = _by_step(value, (None, again.filter(F.col("step") < low), again.filter(F.col("step") < high)))
+    stream = _deliver(spark, parts, "t9-in")
+    heard = stream.select(F.from_json("value", "msg_id long, message string, ml_prob double, event_time timestamp_ntz").alias("m")).select("m.*")
+    parsed = SS.first_writes(heard, "msg_id", ("event_time", "msg_id")) \
+        .select("msg_id", "event_time", "ml_prob", *[c for c in P.parse_message(F.col("message"))])
+    scored = SS.scoring_stream(parsed, "ml_prob", "behavioral_intents", order_cols=("event_time", "msg_id"))
+    records = AU.to_records(scored, ts=F.col("event_time"), txn_id=S.record_id(F.col("msg_id")), record_key=S.record_key(F.col("msg_id")), ml_prob="ml_prob")
+    store = {k: scratch_path(spark, f"t9-{k}") for k in ("records", "alerts", "logs")}
+    SS.start(records, scratch_path(spark, "t9-ck"), sink=SS.audit_writer(*store.values()), available_now=True)
+    kept = spark.read.parquet(store["records"])
+    alerts = spark.read.parquet(store["alerts"]).select(AU.KEY, F.lit(True).alias("alerted"))
+    logs = spark.read.parquet(store["logs"]).select("transaction_id", "entity", "merchant")
+    return kept.join(alerts, AU.KEY, "left").join(logs, "transaction_id").select(
+        AU.KEY, F.round("amount", 6).alias("amount"), "type", "final_risk_score", "scoring_mode", "risk_level", "action",
+        F.array_join("indicators", "|").alias("indicators_text"), F.array_join("reasons", "|").alias("reasons_text"), "pattern_summary",
+        F.coalesce("alerted", F.lit(False)).alias("alerted"), "entity", "merchant")
+
+
+@query("S7_stream_first_write_wins", sql=with_sql(LEDGER_SQL, body=f"""
+SELECT row_id, round(amount, 6) AS amount, CASE WHEN step < {DELIVERIES[0]} THEN 0 WHEN step < {DELIVERIES[1]} THEN 1 ELSE 2 END AS delivery FROM txn_ledger"""))
+def q_s7_stream(spark, sf):
+    """Every record comes again in each later delivery, with another amount; the store keeps the first."""
+    led = txn_ledger(spark, sf).select("row_id", "step", "amount")
+    low, high = DELIVERIES
+    later = led.withColumn("amount", F.col("amount") + 1)
+    parts = _by_step(led, (None, later.filter(F.col("step") < low), later.filter(F.col("step") < high)))
+    stream = _deliver(spark, [p.withColumn("delivery", F.lit(i)) for i, p in enumerate(parts)], "s7-in")
+    out = scratch_path(spark, "s7-out")
+    first = SS.first_writes(stream, "row_id", ("step", "row_id"))
+    SS.start(first, scratch_path(spark, "s7-ck"), out_path=out, available_now=True)
+    return spark.read.schema(first.schema).parquet(out).select("row_id", F.round("amount", 6).alias("amount"), "delivery")

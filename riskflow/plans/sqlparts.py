@@ -21,12 +21,16 @@ def heuristic_sql(merchant_term: str, burst: str = "burst", intents: str | None
       + 0.0e0))"""
 
 
-def scored_ledger_ctes(ml_prob: str | None = None) -> list[str]:
-    """CTEs ending in ``scored``: txn_ledger rows scored with the feedback fold."""
+def scored_ledger_ctes(ml_prob: str | None = None, base: list[str] | None = None, intents: str | None = None) -> list[str]:
+    """CTEs ending in ``scored``: txn_ledger rows scored with the feedback fold.
+
+    base: CTEs that end in a txn_ledger of their own; intents: its column of intents.
+    """
     fin = (lambda h: f"(0.5e0 * ({ml_prob}) + 0.5e0 * {h})") if ml_prob else (lambda h: h)
-    hs = heuristic_sql("0.0e0")
-    hr = heuristic_sql("0.4e0")
-    return [LEDGER_SQL, f"""
+    hs = heuristic_sql("0.0e0", intents=intents)
+    hr = heuristic_sql("0.4e0", intents=intents)
+    urgent = f"CASE WHEN list_contains({intents}, 'urgency') THEN 'Urgent social engineering markers' END," if intents else ""
+    return [*(base or [LEDGER_SQL]), f"""
 u AS (
   SELECT *, CAST(least(row_number() OVER (PARTITION BY nameOrig ORDER BY step, row_id) - 1, 100) AS INT) AS burst
   FROM txn_ledger
@@ -53,7 +57,7 @@ f AS (
 )""", f"""
 scored0 AS (
   SELECT u.*, f.risk AS merchant_risk,
-         {heuristic_sql("CASE WHEN f.risk > 0.2e0 THEN 0.4e0 ELSE 0.0e0 END")} AS behavioral_score
+         {heuristic_sql("CASE WHEN f.risk > 0.2e0 THEN 0.4e0 ELSE 0.0e0 END", intents=intents)} AS behavioral_score
   FROM u JOIN m ON u.row_id = m.row_id JOIN f ON f.nameDest = m.nameDest AND f.mpos = m.mpos
 )""", f"""
 scored AS (
@@ -65,7 +69,7 @@ scored AS (
             CASE WHEN amount > 500000 THEN 'Extreme transaction volume' END,
             CASE WHEN type IN ('TRANSFER', 'CASH_OUT') THEN 'High-risk transfer channel' END,
             CASE WHEN burst > 3 THEN 'Burst transaction pattern' END,
-            CASE WHEN merchant_risk > 0.2e0 THEN 'Suspicious merchant activity' END,
+            CASE WHEN merchant_risk > 0.2e0 THEN 'Suspicious merchant activity' END, {urgent}
             CASE WHEN oldbalanceOrg > 0 AND amount / oldbalanceOrg > 0.9e0 THEN 'Balance depletion pattern' END
          ], lambda x: x IS NOT NULL), '|') AS indicators_text,
          CASE WHEN {fin("behavioral_score")} < 0.3e0 THEN 'Verified sender profile|Typical transaction volume'

@@ -1,111 +1,135 @@
 """Stateful scoring stream.
 
 Per user: the last 100 model probabilities (``burst``, ``historical_risk_score``).
-Per merchant: the last 100 verdicts (``merchant_risk``, fed back).  Both are
-``applyInPandasWithState`` operators keyed by user and merchant; state lives in
-the checkpointed state store, not in process memory, so it survives restarts
-and executor loss.  Within a micro-batch rows of a key are taken in
-``order_cols`` order; across micro-batches in arrival order, as the online
-service does.  Records, alerts and behavioural logs are appended by one
-``foreachBatch`` (S7-S9).
+Per merchant: the last 100 verdicts (``merchant_risk``, fed back).  Per record:
+whether it was stored before (S7, first write wins).  All three are
+``transformWithStateInPandas`` operators on RocksDB, chained in one append
+query; state survives restarts and executor loss, and a time to live drops what
+was idle that long.
+
+The operators are keyed by a bucket of keys and hold one map entry for each key,
+so a micro-batch makes one call a bucket instead of one a key, and touches the
+entries of the keys it has.  Rows of a key are taken in ``order_cols`` order
+within a micro-batch and in arrival order across micro-batches, as the online
+service does; a row that arrives late is judged when it arrives.  The intake cap
+(T6) bounds a micro-batch and so what a call holds.
+
+Records, alerts and behavioural logs are appended by one ``foreachBatch``
+(S7-S9), which reads no earlier record.
 """
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskflow.functions import scoring as S
+from riskflow.operators.feedback import HISTORY, judge
 from riskflow.operators.scoring import _total
 
-HISTORY = 100
-RISK_CUTOFF = 0.2
+#: groups that keys are dealt to; fixed for the life of a checkpoint
+BUCKETS = 64
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-def _one_frame(pdfs: Iterator[pd.DataFrame], order_cols) -> pd.DataFrame:
-    """All rows of the key in this micro-batch, in processing order (cheap for the common 1-row case)."""
-    chunks = list(pdfs)
-    pdf = chunks[0] if len(chunks) == 1 else pd.concat(chunks, ignore_index=True)
-    if len(pdf) > 1:
-        pdf = pdf.sort_values(list(order_cols), kind="stable")
-    return pdf
-
-
-def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
-    return T.StructType(list(schema.fields) + list(fields))
+class KeyedState(StatefulProcessor):
+    """Runs ``fold(rows, state) -> (columns, state)`` for every key of a bucket, over rows in order.
 
+    fold gets the rows of one key of the micro-batch and what it returned last
+    for that key (None at first).
+    """
 
-def _timeout_conf(idle_timeout_ms: int | None) -> str:
-    return GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
+    def __init__(self, columns: list[str], key: str, order_cols: tuple[str, ...], state: T.StructType, fold: Callable,
+                 added: dict[str, str], ttl_ms: int | None):
+        self.columns, self.key, self.order, self.shape, self.fold, self.added, self.ttl = columns, key, list(order_cols), state, fold, added, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("held", T.StructType([T.StructField("key", T.StringType())]), self.shape, self.ttl)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frames = list(rows)
+        pdf = frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)
+        pdf = pdf.set_axis(self.columns, axis=1).drop(columns="_bucket")   # computed columns arrive in order, but without their names
+        pdf = pdf.sort_values(self.order, kind="stable", ignore_index=True)
+        codes, names = pd.factorize(pdf[self.key], use_na_sentinel=False)
+        by_key = np.argsort(codes, kind="stable")
+        ends = np.cumsum(np.bincount(codes, minlength=len(names)))
+        out = {c: np.empty(len(pdf), dtype=t) for c, t in self.added.items()}
+        for name, a, z in zip(names, [0, *ends[:-1].tolist()], ends.tolist()):
+            at = by_key[a:z]
+            entry = ("null" if pd.isna(name) else f"k{name}",)
+            held = self.held.getValue(entry)
+            made, state = self.fold(pdf, at, held)
+            for c, v in made.items():
+                out[c][at] = v
+            self.held.updateValue(entry, state)
+        yield pdf.assign(**out)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(stream: DataFrame, key: str, order_cols: tuple[str, ...], state: T.StructType, fold: Callable, added: dict[str, T.DataType],
+          ttl_ms: int | None = None, buckets: int = BUCKETS) -> DataFrame:
+    """stream plus the added columns, by one stateful operator."""
+    kinds = {T.IntegerType(): "int32", T.DoubleType(): "float64", T.BooleanType(): "bool"}
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in stream.schema.fields] + [T.StructField(c, t) for c, t in added.items()])
+    worker = KeyedState([*stream.columns, "_bucket"], key, order_cols, state, fold, {c: kinds[t] for c, t in added.items()}, ttl_ms)
+    dealt = stream.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int"))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(worker, shape, "append", "ProcessingTime" if ttl_ms else "None")
 
 
 def user_state(stream: DataFrame, prob: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
-               history: int = HISTORY, idle_timeout_ms: int | None = None) -> DataFrame:
+               history: int = HISTORY, ttl_ms: int | None = None) -> DataFrame:
     """W10/W11 with keyed state: adds ``burst`` and ``historical_risk_score``.
 
-    ``idle_timeout_ms`` drops the history of users idle that long (default: kept forever).
+    ``ttl_ms`` drops the history of users idle that long (default: kept
+    forever); it counts processing time, so it is for running queries, not for bounded replays.
     """
-    out_schema = _with(stream.schema, T.StructField("burst", T.IntegerType()),
-                       T.StructField("historical_risk_score", T.DoubleType()))
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        hist: list[float] = list(state.get[0]) if state.exists else []
-        pdf = _one_frame(pdfs, order_cols)
-        probs = pdf[prob].fillna(0.0).tolist() if prob else [0.0] * len(pdf)
-        burst, score = [], []
-        for p in probs:
-            burst.append(len(hist))
-            score.append(sum(hist) / len(hist) if hist else 0.0)
-            hist.append(float(p))
-            if len(hist) > history:
-                hist.pop(0)
-        state.update((hist,))
-        if idle_timeout_ms:
-            state.setTimeoutDuration(idle_timeout_ms)
-        yield pdf.assign(burst=np.asarray(burst, dtype="int32"), historical_risk_score=score)
-
-    return stream.groupBy("nameOrig").applyInPandasWithState(
-        fn, out_schema, T.StructType([T.StructField("h", T.ArrayType(T.DoubleType()))]),
-        "append", _timeout_conf(idle_timeout_ms))
+    def fold(pdf, at, held):
+        before = list(held[0]) if held else []
+        new = pdf[prob].to_numpy(dtype=float, na_value=0.0)[at] if prob else np.zeros(len(at))
+        every = np.r_[before, np.nan_to_num(new)]
+        total = np.r_[0.0, np.cumsum(every)]
+        i = np.arange(len(at)) + len(before)
+        n = np.minimum(i, history)
+        return {"burst": n, "historical_risk_score": (total[i] - total[i - n]) / np.maximum(n, 1)}, (every[-history:].tolist(),)
+
+    return keyed(stream, "nameOrig", order_cols, T.StructType([T.StructField("probs", T.ArrayType(T.DoubleType()))]), fold,
+                 {"burst": T.IntegerType(), "historical_risk_score": T.DoubleType()}, ttl_ms)
 
 
 def merchant_state(stream: DataFrame, hi_risky: str = "_hi_r", hi_safe: str = "_hi_s",
                    order_cols: tuple[str, ...] = ("step", "row_id"), history: int = HISTORY,
-                   cutoff: float = RISK_CUTOFF, idle_timeout_ms: int | None = None) -> DataFrame:
+                   cutoff: float = S.MERCHANT_RISK_CUTOFF, ttl_ms: int | None = None) -> DataFrame:
     """W12 with keyed state: adds ``merchant_risk`` from the merchant's last verdicts, then records this one."""
-    out_schema = _with(stream.schema, T.StructField("merchant_risk", T.DoubleType()),
-                       T.StructField("judged_high", T.IntegerType()))
-    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        flags: list[int] = list(state.get[0]) if state.exists else []
-        pdf = _one_frame(pdfs, order_cols)
-        risk, judged = [], []
-        for hr, hs in zip(pdf[hi_risky].tolist(), pdf[hi_safe].tolist()):
-            r = sum(flags) / len(flags) if flags else 0.0
-            f = int(hr) if r > cutoff else int(hs)
-            risk.append(r)
-            judged.append(f)
-            flags.append(f)
-            if len(flags) > history:
-                flags.pop(0)
-        state.update((flags,))
-        if idle_timeout_ms:
-            state.setTimeoutDuration(idle_timeout_ms)
-        yield pdf.assign(merchant_risk=risk, judged_high=np.asarray(judged, dtype="int32"))
-
-    return stream.groupBy("nameDest").applyInPandasWithState(
-        fn, out_schema, T.StructType([T.StructField("f", T.ArrayType(T.IntegerType()))]),
-        "append", _timeout_conf(idle_timeout_ms))
+    def fold(pdf, at, held):
+        risky, safe = (pdf[c].to_numpy(dtype=bool, na_value=False)[at] for c in (hi_risky, hi_safe))
+        risk, flag, end = judge(risky, safe, list(map(int, held[0])) if held else [], history, cutoff)
+        return {"merchant_risk": risk, "judged_high": flag}, ("".join(map(str, end)),)
+
+    return keyed(stream, "nameDest", order_cols, T.StructType([T.StructField("verdicts", T.StringType())]), fold,
+                 {"merchant_risk": T.DoubleType(), "judged_high": T.IntegerType()}, ttl_ms)
+
+
+def first_writes(stream: DataFrame, key: str, order_cols: tuple[str, ...], ttl_ms: int | None = None) -> DataFrame:
+    """S7 with keyed state: only the first row of every key passes, however often it is delivered.
+
+    ``ttl_ms`` bounds the state: a key may pass again once it was not seen for that long.
+    """
+    def fold(pdf, at, held):
+        first = np.zeros(len(at), dtype=bool)
+        first[0] = held is None
+        return {"_first": first}, (True,)
+
+    state = T.StructType([T.StructField("stored", T.BooleanType())])
+    return keyed(stream, key, order_cols, state, fold, {"_first": T.BooleanType()}, ttl_ms).filter("_first").drop("_first")
 
 
 def verdict_inputs(df: DataFrame, prob: str | None = None, intents: str | None = None,
@@ -143,81 +167,44 @@ def finish_scores(df: DataFrame, prob: str | None = None, intents: str | None =
     })
 
 
-def user_stage(stream: DataFrame, prob: str | None = None, intents: str | None = None,
-               night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
-               idle_timeout_ms: int | None = None) -> DataFrame:
-    """T9 part 1: user state, then the two candidate verdicts per row."""
-    return verdict_inputs(user_state(stream, prob, order_cols, idle_timeout_ms=idle_timeout_ms), prob, intents, night)
-
-
-def merchant_stage(stream: DataFrame, prob: str | None = None, intents: str | None = None,
-                   night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
-                   idle_timeout_ms: int | None = None) -> DataFrame:
-    """T9 part 2: merchant state (feedback), then the final scores."""
-    return finish_scores(merchant_state(stream, order_cols=order_cols, idle_timeout_ms=idle_timeout_ms),
-                         prob, intents, night)
-
-
-def start_scoring(spark, source: DataFrame, stage_path: str, checkpoint_dir: str, sink=None,
-                  out_path: str | None = None, prob: str | None = None, intents: str | None = None,
-                  night: str | None = None, order_cols: tuple[str, ...] = ("step", "row_id"),
-                  available_now: bool = False, trigger: str = "30 seconds", idle_timeout_ms: int | None = None):
-    """Two chained queries (Spark allows one keyed-state operator per query).
-
-    Query 1 writes user-enriched rows to ``stage_path``; query 2 streams them
-    through the merchant state and into ``sink`` (a foreachBatch function, e.g.
-    :func:`audit_writer`) or ``out_path``.  With ``available_now`` the two run
-    one after the other to completion (tests, backfills).
-    """
-    def trig(w):
-        return w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
-
-    if available_now:
-        # a processing-time state timeout keeps an availableNow query from finishing;
-        # bounded replays (tests, backfills) keep all state instead
-        idle_timeout_ms = None
-
-    stage = user_stage(source, prob, intents, night, order_cols, idle_timeout_ms)
-    q1 = trig(stage.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", f"{checkpoint_dir}/user_stage")).start(stage_path)
-    if available_now:
-        q1.awaitTermination()
-    s2 = spark.readStream.schema(stage.schema).parquet(stage_path)
-    scored = merchant_stage(s2, prob, intents, night, order_cols, idle_timeout_ms)
-    w2 = scored.writeStream.outputMode("append").option("checkpointLocation", f"{checkpoint_dir}/merchant_stage")
-    if sink is not None:
-        q2 = trig(w2.foreachBatch(sink)).start()
-    else:
-        q2 = trig(w2.format("parquet")).start(out_path)
+def scoring_stream(stream: DataFrame, prob: str | None = None, intents: str | None = None, night: str | None = None,
+                   order_cols: tuple[str, ...] = ("step", "row_id"), ttl_ms: int | None = None) -> DataFrame:
+    """User state, candidate verdicts, merchant state (feedback) and final scores of a stream of transactions."""
+    d = verdict_inputs(user_state(stream, prob, order_cols, ttl_ms=ttl_ms), prob, intents, night)
+    return finish_scores(merchant_state(d, order_cols=order_cols, ttl_ms=ttl_ms), prob, intents, night)
+
+
+def start(stream: DataFrame, checkpoint: str, sink=None, out_path: str | None = None, available_now: bool = False,
+          trigger: str = "30 seconds"):
+    """Start one append query into ``sink`` (a foreachBatch function, e.g. :func:`audit_writer`) or ``out_path``, on RocksDB."""
+    conf = stream.sparkSession.conf
+    before = conf.get(PROVIDER, None)
+    conf.set(PROVIDER, ROCKSDB)   # a query keeps the settings it started with
+    try:
+        w = stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
+        w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
+        q = w.foreachBatch(sink).start() if sink is not None else w.format("parquet").start(out_path)
+    finally:
+        conf.set(PROVIDER, before) if before else conf.unset(PROVIDER)
     if available_now:
-        q2.awaitTermination()
-    return [q1, q2]
+        q.awaitTermination()
+    return q
 
 
-def audit_writer(records_path: str, alerts_path: str, logs_path: str, to_records):
-    """foreachBatch body for S7-S9, idempotent per micro-batch.
+def audit_writer(records_path: str, alerts_path: str, logs_path: str):
+    """foreachBatch body for S7-S9 over records that :func:`first_writes` let pass.
 
-    Each epoch writes its own ``epoch=<id>`` partition with overwrite, and
-    deduplicates only against earlier epochs, so a retried batch (e.g. after an
-    executor or driver failure between the three writes) rewrites exactly the
-    same rows instead of losing alerts or duplicating records.
+    Each epoch writes its own ``epoch=<id>`` folder with overwrite, so a retried
+    batch (e.g. after a failure between the three writes) rewrites exactly the
+    same rows.  No earlier epoch is read, so a batch costs the same however
+    large the store is.
     """
     from riskflow.operators import audit as AU
-    from riskflow.session import cut_lineage
 
     def write(batch: DataFrame, epoch_id: int) -> None:
-        spark = batch.sparkSession
-        rec = to_records(batch)
-        try:
-            existing = (spark.read.parquet(records_path).filter(F.col("epoch") < epoch_id)
-                        .select(AU.store_key(rec)))
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":   # only a store that does not exist yet is empty
-                raise
-            existing = None
-        new = cut_lineage(AU.append_records(rec, existing))   # the three writes see the same rows
         part = f"epoch={epoch_id}"
-        new.write.mode("overwrite").parquet(f"{records_path}/{part}")
+        batch.write.mode("overwrite").parquet(f"{records_path}/{part}")
+        new = batch.sparkSession.read.schema(batch.schema).parquet(f"{records_path}/{part}")   # the rows just written feed the other two
         AU.alerts_of(new).write.mode("overwrite").parquet(f"{alerts_path}/{part}")
         AU.behavioral_logs(new).write.mode("overwrite").parquet(f"{logs_path}/{part}")
 

@@ -67,41 +67,65 @@ def test_late_row_is_dropped(spark, scratch):
     assert counts == [1, 2]      # a alone (late row dropped), b + b2; c's window still open
 
 
+def _deliveries(spark, scratch, parts, name="in"):
+    for k, part in enumerate(parts):
+        part.coalesce(1).write.parquet(f"{scratch}/{name}/p{k}")
+    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/{name}/*")
+
+
+COLUMNS = ["row_id", "burst", "merchant_risk", "final_risk_score", "risk_level", "reasons", "indicators"]
+
+
 def test_scoring_stream_equals_batch(spark, scratch):
     led = txn_ledger(spark, SF_SMALL)
-    for k, (lo, hi) in enumerate([(-10**9, 15000), (15000, 30000), (30000, 10**9)]):
-        led.filter((F.col("step") >= lo) & (F.col("step") < hi)).coalesce(1).write.parquet(f"{scratch}/in/p{k}")
-    src = spark.readStream.schema(led.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in/*")
-    SS.start_scoring(spark, src, f"{scratch}/stage", f"{scratch}/ck", out_path=f"{scratch}/out", available_now=True)
+    parts = [led.filter((F.col("step") >= lo) & (F.col("step") < hi)) for lo, hi in [(-10**9, 15000), (15000, 30000), (30000, 10**9)]]
+    SS.start(SS.scoring_stream(_deliveries(spark, scratch, parts)), f"{scratch}/ck", out_path=f"{scratch}/out", available_now=True)
     s = spark.read.parquet(f"{scratch}/out")
-    cols = ["row_id", "burst", "merchant_risk", "final_risk_score", "risk_level", "reasons", "indicators"]
     b = score_transactions(led)
     assert s.count() == b.count()
-    assert s.select(*cols).exceptAll(b.select(*cols)).count() == 0
+    assert s.select(*COLUMNS).exceptAll(b.select(*COLUMNS)).count() == 0
+
+
+def test_late_rows_are_judged_on_arrival(spark, scratch):
+    """Rows that arrive out of order are taken in arrival order across micro-batches, null users and merchants included."""
+    led = txn_ledger(spark, SF_SMALL).withColumns({
+        "nameOrig": F.when(F.col("row_id") % 5 > 0, "one user").otherwise(F.col("nameOrig")),
+        "nameDest": F.when(F.col("row_id") % 3 > 0, F.lit(None)).otherwise(F.col("nameDest"))})
+    late, early = led.filter("row_id % 4 = 0"), led.filter("row_id % 4 > 0")
+    SS.start(SS.scoring_stream(_deliveries(spark, scratch, [early, late])), f"{scratch}/ck", out_path=f"{scratch}/out", available_now=True)
+    s = spark.read.parquet(f"{scratch}/out")
+    b = score_transactions(led.withColumn("step", F.col("step") + F.when(F.col("row_id") % 4 == 0, 10**7).otherwise(0)))
+    assert s.count() == led.count()
+    assert s.select(*COLUMNS).exceptAll(b.select(*COLUMNS)).count() == 0
 
 
-def test_audit_sink_is_idempotent(spark, scratch):
+def test_state_survives_a_restart(spark, scratch):
+    led = txn_ledger(spark, SF_SMALL)
+    first, second = led.filter("step < 20000"), led.filter("step >= 20000")
+    for k, part in enumerate((first, second)):
+        part.coalesce(1).write.parquet(f"{scratch}/in/p{k}")
+        src = spark.readStream.schema(led.schema).parquet(f"{scratch}/in/*")
+        SS.start(SS.scoring_stream(src), f"{scratch}/ck", out_path=f"{scratch}/out", available_now=True)
+    s = spark.read.parquet(f"{scratch}/out")
+    assert s.count() == led.count() and s.select(*COLUMNS).exceptAll(score_transactions(led).select(*COLUMNS)).count() == 0
+
+
+def test_audit_sink_is_idempotent_and_reads_no_store(spark, scratch):
     from riskflow.functions import scoring as S
     from riskflow.operators import audit as AU
     from riskflow.sources.views import step_time
     led = txn_ledger(spark, SF_SMALL).limit(200)
-    scored = score_transactions(led)
-
-    def to_rec(b):
-        return AU.to_records(b, ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id")),
-                             record_key=S.record_key(F.col("row_id")))
-    w = SS.audit_writer(f"{scratch}/rec", f"{scratch}/al", f"{scratch}/log", to_rec)
-    w(scored.filter("row_id % 2 = 0"), 0)
-    w(scored, 1)
-    w(scored, 1)                      # retried epoch: same output, no duplicates
-    rec = spark.read.parquet(f"{scratch}/rec")
-    assert rec.count() == 200 and rec.select("transaction_id").distinct().count() == 200
-    high = scored.filter("risk_level = 'High'").count()
-    assert spark.read.parquet(f"{scratch}/al").count() == high
+    rec = AU.to_records(score_transactions(led), ts=step_time(F.col("step")), txn_id=S.record_id(F.col("row_id")),
+                        record_key=S.record_key(F.col("row_id")))
+    rec.coalesce(1).write.parquet(f"{scratch}/all")
+    rec = spark.read.parquet(f"{scratch}/all")
+    w = SS.audit_writer(f"{scratch}/rec", f"{scratch}/al", f"{scratch}/log")
+    parts = [rec.filter(F.hash(AU.KEY) % 2 == 0), rec, rec]          # delivered up to three times
+    first = SS.first_writes(_deliveries(spark, scratch, parts), AU.KEY, ("timestamp", AU.KEY))
+    SS.start(first, f"{scratch}/ck", sink=w, available_now=True)
+    assert spark.read.parquet(f"{scratch}/rec").count() == 200
+    w(rec.filter(F.hash(AU.KEY) % 2 != 0), 1)                           # a retried epoch writes the same rows
+    kept = spark.read.parquet(f"{scratch}/rec")
+    assert kept.count() == 200 and kept.select(AU.KEY).distinct().count() == 200
+    assert spark.read.parquet(f"{scratch}/al").count() == rec.filter("risk_level = 'High'").count()
     assert spark.read.parquet(f"{scratch}/log").count() == 200
-
-
-def test_idle_timeout_config():
-    from pyspark.sql.streaming.state import GroupStateTimeout
-    assert SS._timeout_conf(None) == GroupStateTimeout.NoTimeout
-    assert SS._timeout_conf(3_600_000) == GroupStateTimeout.ProcessingTimeTimeout
