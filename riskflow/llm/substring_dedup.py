@@ -15,8 +15,9 @@ third of all documents share is one record per task.
 
 Defined cases: null texts have no words; documents with fewer words than a
 window keep all; rows that share a doc_id are one document each, ordered by a
-hash of their text, and identical rows are judged alike; null ids come last; an
-empty table gives an empty result.
+hash of their text, and identical rows are judged alike; null ids come last; very
+long texts are hashed in overlapping pieces; columns of docs named like a
+result column are left out of keep; an empty table gives an empty result.
 """
 from __future__ import annotations
 
@@ -27,13 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import partitions, settle
+from riskflow.llm.common import partitions, read_split, settle, settle_splits
 
 WINDOW = 20
 KMER = 6
-#: bytes of text hashed at once, and records compared before the shuffle
-CHUNK = 2 << 20
-LOCAL = 400_000
+#: bytes of text hashed at once (about 30 bytes of arrays each), and records compared before the shuffle
+CHUNK = 128 << 10
+LOCAL = 200_000
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -129,19 +130,46 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-_FOUND = "k1 long, k2 long, doc long, th int, low int, high int"
-
-
-def _chunks(texts: list[bytes]):
-    """Runs (first, last) of texts of about CHUNK bytes."""
-    at, size = 0, 0
+_FOUND = "k1 long, k2 long, doc long, th long, low int, high int"
+_MADE = ("n_words", "n_removed", "kept_sha256", "kept_text", "_doc", "_th", "_text", "_split")
+_JUDGED = "doc long, th long, low int, high int, open boolean"
+
+
+def _pieces(text: bytes, window: int):
+    """(words before, bytes) of overlapping pieces of a text: every window lies in one, and only window - 1 words in two."""
+    start, before = 0, 0
+    while True:
+        if len(text) - start <= 2 * CHUNK:
+            yield before, text[start:]
+            return
+        end = start + CHUNK
+        while end < len(text) and not _SPACE[text[end]]:  # a word stays whole
+            end += 1
+        words = len(text[start:end].split())
+        if words < window:  # words too long for a window in a piece stay with what follows
+            yield before, text[start:]
+            return
+        yield before, text[start:end]
+        start, before = end, before + words - (window - 1)
+        for _ in range(window - 1):  # the next piece begins with the last window - 1 words
+            while _SPACE[text[start - 1]]:
+                start -= 1
+            while not _SPACE[text[start - 1]]:
+                start -= 1
+
+
+def _chunks(texts, window: int):
+    """(row, words before, bytes) lists of about CHUNK bytes, long texts in pieces."""
+    held, size = [], 0
     for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+        for before, piece in _pieces(t, window):
+            held.append((i, before, piece))
+            size += len(piece)
+            if size >= CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
 
 
 def _records(window: int):
@@ -166,11 +194,11 @@ def _records(window: int):
     def run(batches):
         held, size = [], 0
         for b in batches:
-            texts = [t.encode() for t in b["_text"]]
             doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
-            for i, j in _chunks(texts):
-                text, low, high, k1, k2 = stretches(*word_hashes(texts[i:j]), window)
-                held.append((doc[i:j][text], th[i:j][text], low, high, k1, k2))
+            for part in _chunks((t.encode() for t in b["_text"]), window):
+                text, low, high, k1, k2 = stretches(*word_hashes([t for _, _, t in part]), window)
+                row, before = np.array([i for i, _, _ in part]), np.array([n for _, n, _ in part])
+                held.append((doc[row[text]], th[row[text]], low + before[text], high + before[text], k1, k2))
                 size += len(text)
                 if size >= LOCAL:
                     yield settle_local(held)
@@ -237,13 +265,47 @@ def _same_as_first(b: pd.DataFrame, new2: np.ndarray, last) -> np.ndarray:
     return same
 
 
-def _open(window: int):
+def _all_hashes(text: bytes, window: int) -> np.ndarray:
+    """Hashes of all words of a text, piece by piece."""
+    out = []
+    for before, piece in _pieces(text, window):
+        h = word_hashes([piece])[0]
+        out.append(h[window - 1:] if before else h)
+    return np.concatenate(out)
+
+
+class _Spans:
+    """What the shared folder holds for the rows of a split, by (doc, th)."""
+
+    def __init__(self, path: str):
+        self.path, self.split, self.rows = path, None, {}
+
+    def of(self, split: int) -> dict:
+        if split != self.split:
+            t = read_split(self.path, split)
+            self.split, self.rows = split, {}
+            if t is not None:
+                for doc, th, lows, highs in zip(*(t[c].to_pylist() for c in ("doc", "th")), t["lows"], t["highs"], strict=True):
+                    self.rows[doc, th] = lows.values.to_numpy(), highs.values.to_numpy()
+        return self.rows
+
+
+def _asked(b: pd.DataFrame, path: str, found: _Spans):
+    """(doc, th, text, lows, highs) of the rows whose stretches are asked for, one of identical rows."""
+    rows = found.of(int(b["_split"].iloc[0])) if len(b) else {}
+    for doc, th, text in zip(b["doc"], b["th"], b["_text"], strict=True):
+        if (doc, th) in rows:
+            yield doc, th, text, *rows.pop((doc, th))
+
+
+def _open(window: int, path: str):
     """The windows of the asked stretches; of equal ones in a batch all but the first are repeats at once."""
     def run(batches):
+        found = _Spans(path)
         for b in batches:
             rows = []
-            for doc, th, text, lows, highs in zip(b["doc"], b["th"], b["_text"], b["lows"], b["highs"], strict=True):
-                h, _ = word_hashes([text.encode()])
+            for doc, th, text, lows, highs in _asked(b, path, found):
+                h = _all_hashes(text.encode(), window)
                 at = np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(lows, highs, strict=True)]))
                 # two hashes of the window, the second over the words' hashes mixed once more
                 pick = at[:, None] + np.arange(window)
@@ -256,7 +318,7 @@ def _open(window: int):
                 w1, w2, doc, th, low = (np.concatenate(c) for c in zip(*rows, strict=True))
                 order, repeat = first_of_kind(w1, w2, doc, th, low)
                 out = pd.DataFrame({"k1": _signed(w1[order]), "k2": pd.array(_signed(w2[order]), dtype="Int64"), "doc": doc[order],
-                                    "th": th[order].astype(np.int32), "low": low[order].astype(np.int32), "high": low[order].astype(np.int32)})
+                                    "th": th[order], "low": low[order].astype(np.int32), "high": low[order].astype(np.int32)})
                 out.loc[repeat, "k2"] = pd.NA
                 out.loc[repeat, "k1"] = out.loc[repeat, "doc"]
                 yield out
@@ -264,11 +326,14 @@ def _open(window: int):
     return run
 
 
-def _cut(window: int):
+def _cut(path: str):
     def run(batches):
+        spans = _Spans(path)
         for b in batches:
             out = []
-            for text, lows, highs in zip(b["_text"], b["lows"], b["highs"], strict=True):
+            rows = spans.of(int(b["_split"].iloc[0])) if len(b) else {}
+            for doc, th, text in zip(b["_doc"], b["_th"], b["_text"], strict=True):
+                lows, highs = rows.get((doc, th), (None, None))
                 found = text.encode().split()
                 keep = np.ones(len(found) + 1, dtype=np.int64)
                 if lows is not None:
@@ -279,7 +344,7 @@ def _cut(window: int):
                 kept = b" ".join([w for w, k in zip(found, keep.tolist(), strict=False) if k])
                 removed = len(found) - int(keep[:len(found)].sum())
                 out.append((len(found), removed, hashlib.sha256(kept).hexdigest(), kept.decode() if removed else text))
-            b = b.drop(columns=["_text", "lows", "highs"])
+            b = b.drop(columns=["_text", "_doc", "_th", "_split"])
             for k, c in enumerate(("n_words", "n_removed", "kept_sha256", "kept_text")):
                 b[c] = pd.Series([r[k] for r in out], index=b.index, dtype=object if k > 1 else "int64")
             yield b
@@ -294,28 +359,32 @@ def dedup_substrings(docs: DataFrame, keep: list[str], doc_id: str = "doc_id", t
     else the kept words joined by one space; kept_sha256 is always of the words
     joined by one space.
 
-    Texts are shuffled once, for opening stretches and for cutting alike; the
-    records of the graph are shuffled once by node, the opened windows once.
+    No text is shuffled: the records of the graph are, once by node, and the
+    opened windows; what is found goes back to the splits of the input through
+    the shared folder, one table for each split.
     """
     spark = docs.sparkSession
     p = partitions(spark)
-    keep = [c for c in dict.fromkeys(keep) if c in docs.columns]
+    keep = [c for c in dict.fromkeys(keep) if c in docs.columns and c not in _MADE]
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST))
     body = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(doc.alias("doc"), F.hash(F.xxhash64(body)).alias("th"), body.alias("_text"), F.struct(*keep).alias("_keep"))
-    slim = base.select("doc", "th", "_text")
+    base = docs.select(doc.alias("doc"), F.xxhash64(body).alias("th"), body.alias("_text"), F.struct(*keep).alias("_keep"), F.spark_partition_id().alias("_split"))
+    slim = base.select("doc", "th", "_text", "_split")
+    n = slim.rdd.getNumPartitions()
+    rows = settle(base.groupBy("doc", "th", "_split").agg(F.lit(1).alias("_")).drop("_"), "rows")
     records = slim.mapInPandas(_records(window), _FOUND)
     judged = settle(records.repartition(p, "k1").sortWithinPartitions("k1", "k2", "doc", "th", "low")
-                    .mapInPandas(_judge(window), "doc long, th int, low int, high int, open boolean"), "stretches")
-    texts = base.repartition(p, "doc", "th")  # shared by both joins below
+                    .mapInPandas(_judge(window), _JUDGED), "stretches")
     asked = judged.filter("open").groupBy("doc", "th").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    opened = texts.join(asked, ["doc", "th"]).select("doc", "th", "_text", "lows", "highs").mapInPandas(_open(window), _FOUND)
+    one = rows.groupBy("doc", "th").agg(F.min("_split").alias("split"))
+    path = settle_splits(asked.join(one, ["doc", "th"]), n, "asked")
+    opened = slim.mapInPandas(_open(window, path), _FOUND)
     single = opened.repartition(p, "k1").sortWithinPartitions("k1", "k2", "doc", "th", "low") \
-        .mapInPandas(_judge(window), "doc long, th int, low int, high int, open boolean").filter("not open").drop("open")
+        .mapInPandas(_judge(window), _JUDGED).filter("not open").drop("open")
     spans = judged.filter("not open").drop("open").unionByName(single) \
         .groupBy("doc", "th").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
-    out = texts.join(spans, ["doc", "th"], "left").select("_keep", "_text", "lows", "highs")
+    path = settle_splits(spans.join(rows, ["doc", "th"]).withColumnRenamed("_split", "split"), n, "spans")
     fields = docs.select(*keep).schema
     schema = ", ".join([f"`{c}` {fields[c].dataType.simpleString()}" for c in keep]
                        + ["n_words long", "n_removed long", "kept_sha256 string", "kept_text string"])
-    return out.select("_keep.*", "_text", "lows", "highs").mapInPandas(_cut(window), schema)
+    return base.select("_keep.*", F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_text", "_split").mapInPandas(_cut(path), schema)

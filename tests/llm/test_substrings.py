@@ -185,3 +185,21 @@ def test_crowded_byte_windows(spark, folder, monkeypatch):
     got = {r["doc_id"]: r for r in queries.QUERIES["op3_suffix_dedup"](spark, d).collect()}
     for i, want in zip(ids, _bytes(texts, ids), strict=True):
         assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == want, i
+
+
+def test_rows_of_one_id_with_colliding_short_hashes(spark, folder):
+    """Two texts whose 32-bit hashes agree, under one id, keep their own spans."""
+    long = " ".join(f"w{i}" for i in range(40)) + " v13919"
+    rows = [(None, long, "en", "a", 0), (None, "s250177", "en", "a", 0), (1, " ".join(f"w{i}" for i in range(40)), "en", "a", 0)]
+    out = {(r["n_words"], r["n_removed"]) for r in queries.op2_substring_dedup(spark, folder(documents=(rows, DOC))).collect()}
+    assert out == {(41, 40), (1, 0), (40, 0)}
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CHUNK", 64)
+    for text in (b" ".join(b"w%d" % (i * i) for i in range(200)), b"  a\n" * 100, b"x" * 400 + b" y" * 90, b"y " * 90 + b"x" * 400, b""):
+        whole = substring_dedup.word_hashes([text])[0]
+        assert substring_dedup._all_hashes(text, 5).tolist() == whole.tolist()
+        windows = [w for before, piece in substring_dedup._pieces(text, 5)
+                   for w in range(before, before + max(0, len(piece.split()) - 4))]
+        assert windows == list(range(max(0, len(whole) - 4)))
