@@ -63,11 +63,11 @@ def global_fraud_rate(df: DataFrame, label: str = "isFraud") -> DataFrame:
     return df.agg(F.avg(F.col(label).cast("double")).alias("global_rate"))
 
 
-def merchant_features(df: DataFrame, alpha: float = ALPHA, order: str = "parity") -> DataFrame:
-    """W6 merchant_frequency and W7 smoothed merchant_risk from earlier rows."""
+def merchant_features(df: DataFrame, alpha: float = ALPHA, order: str = "parity", prior: DataFrame | None = None) -> DataFrame:
+    """W6 merchant_frequency and W7 smoothed merchant_risk from earlier rows; prior: rows of the global rate, by default all."""
     d = prefix_scan(df, ["nameDest"], _merchant_order(order), sums={"_fraud_run": F.col("isFraud")},
                     position="merchant_frequency")
-    g = global_fraud_rate(d)  # exactly one row: safe to broadcast; of the scanned rows, so the input is read once
+    g = global_fraud_rate(d if prior is None else prior)  # exactly one row: safe to broadcast; of the scanned rows, so the input is read once
     d = d.crossJoin(F.broadcast(g))
     prior_sum = (F.col("_fraud_run") - F.col("isFraud")).cast("double")
     prior_cnt = F.col("merchant_frequency") - 1
@@ -92,12 +92,12 @@ def merchant_risk_from_train(df: DataFrame, train: DataFrame, alpha: float = ALP
     return d.withColumn("merchant_risk", F.coalesce(risk, F.lit(0.0))).drop("fraud_sum", "txn_cnt", "global_rate")
 
 
-def all_features(df: DataFrame, train: DataFrame | None = None, order: str = "parity") -> DataFrame:
+def all_features(df: DataFrame, train: DataFrame | None = None, order: str = "parity", prior: DataFrame | None = None) -> DataFrame:
     """Offline feature set: F10, W1-W5, F12, W5/W6, W7 or W8, then P11 (numeric nulls -> 0)."""
     d = encode_type(df)
     d = user_features(d)
     if train is None:
-        d = merchant_features(d, order=order)
+        d = merchant_features(d, order=order, prior=prior)
     else:
         d = prefix_scan(d, ["nameDest"], _merchant_order(order), position="merchant_frequency")
         d = merchant_risk_from_train(d, train)

@@ -4,12 +4,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskflow.functions import rowfeatures as RF
+from riskflow.operators import ensemble as EN
 from riskflow.operators import explain as EX
 from riskflow.operators import features as FE
 from riskflow.operators import metrics as ME
 from riskflow.operators import ml as ML
 from riskflow.operators import sequences as SQ
 from riskflow.plans.registry import query
+from riskflow.session import scratch_path
 from riskflow.sources.views import LEDGER_SQL, ML_PROB_SQL, ml_prob_standin, txn_ledger, with_sql
 
 # Stand-in linear model (deterministic, so the explanation queries have an oracle).
@@ -164,24 +166,43 @@ def q_a17(spark, sf):
     return base_probs(spark, sf).agg(F.round(ME.mean_ignoring_missing("p_seq"), 6).alias("p_seq_mean"))
 
 
-def _model_frame(spark, sf):
+def _model_columns(spark, sf):
+    """Model features by event order, with the training rows' fraud rate: no row knows a later one."""
     from riskflow.functions.rowfeatures import model_extras
     led = txn_ledger(spark, sf)
     c = F.col
-    d = FE.all_features(led).select("*", *model_extras(c("step"), c("type"), c("amount"), c("oldbalanceOrg"),
+    d = FE.all_features(led, order="event", prior=led.filter(c("step") <= SPLIT_STEP)).select("*", *model_extras(c("step"), c("type"), c("amount"), c("oldbalanceOrg"),
                                                        c("newbalanceOrig"), c("oldbalanceDest"), c("newbalanceDest")))
     d = d.withColumn("burst", F.least(F.col("txn_count") - 1, F.lit(100)))
-    d = d.withColumn("is_night", (c("step") % 24).between(0, 5).cast("int"))
-    return ML.assemble(d)
+    return d.withColumn("is_night", (c("step") % 24).between(0, 5).cast("int"))
+
+
+def _model_frame(spark, sf):
+    return ML.assemble(_model_columns(spark, sf))
+
+
+VECTOR_SQL = with_sql(LEDGER_SQL, f"""
+v AS (SELECT *, row_number() OVER u AS txn_count, sum(amount) OVER (u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS amt_sum,
+        coalesce(step - lag(step) OVER u, 0) AS time_gap, (coalesce(sum(isFraud) OVER (m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 10e0 * g)
+          / ((row_number() OVER m - 1) + 10e0) AS merchant_risk
+      FROM txn_ledger, (SELECT avg(isFraud) AS g FROM txn_ledger WHERE step <= {SPLIT_STEP}) gm
+      WINDOW u AS (PARTITION BY nameOrig ORDER BY step, row_id), m AS (PARTITION BY nameDest ORDER BY step, row_id))""", body="""
+SELECT row_id, 18 AS size, round(amount + oldbalanceOrg + newbalanceOrig + oldbalanceDest + newbalanceDest + step
+         + CASE type WHEN 'CASH_IN' THEN 0 WHEN 'CASH_OUT' THEN 1 WHEN 'DEBIT' THEN 2 WHEN 'PAYMENT' THEN 3 WHEN 'TRANSFER' THEN 4 ELSE -1 END
+         + txn_count + amt_sum + amount / (oldbalanceOrg + 1) + least(txn_count - 1, 100) + time_gap + merchant_risk
+         + (oldbalanceOrg - newbalanceOrig) + (newbalanceDest - oldbalanceDest)
+         + CAST(abs((oldbalanceOrg - newbalanceOrig) - amount) > 0.01e0 AS INT) + step % 24
+         + CAST(step % 24 BETWEEN 0 AND 5 AS INT), 3) AS vector_sum
+FROM v""")
 
 
-@query("F28_model_vector")
+@query("F28_model_vector", sql=VECTOR_SQL)
 def q_f28(spark, sf):
     d = _model_frame(spark, sf)
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("features")
     return d.select("row_id", F.size(arr).alias("size"),
-                    F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 4).alias("vector_sum"))
+                    F.round(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x), 3).alias("vector_sum"))
 
 
 @query("M3_gbt_train_score")
@@ -194,6 +215,70 @@ def q_m3(spark, sf):
     return ML.score(model, test, "ml_prob").select("row_id", "isFraud", F.round("ml_prob", 6).alias("ml_prob"))
 
 
+#: rounds of the registered fold models; M3 above trains with all of them
+FOLD_ROUNDS = 10
+
+
+def _fit_gbt(train):
+    return ML.train_gbt(ML.assemble(train), maxIter=FOLD_ROUNDS)
+
+
+def _score_gbt(model, d):
+    return ML.score(model, ML.assemble(d), "p_tab").drop("features")
+
+
+@query("M4_out_of_fold", sql=with_sql(LEDGER_SQL, body="SELECT row_id, 1::BIGINT AS times, TRUE AS in_range FROM txn_ledger"))
+def q_m4_oof(spark, sf):
+    """Out-of-fold probabilities of the boosted trees: every row once, by the model that did not see it."""
+    d, _ = EN.out_of_fold(_model_columns(spark, sf), _fit_gbt, _score_gbt)
+    return d.groupBy("row_id").agg(F.count(F.lit(1)).alias("times"), F.min(F.col("p_tab").between(0, 1)).alias("in_range"))
+
+
+@query("M3_early_stopping")
+def q_m3_stop(spark, sf):
+    """PR-AUC of every round on a held-out fifth of the training rows, and the round that is kept."""
+    d = _model_frame(spark, sf).filter(F.col("step") <= SPLIT_STEP)
+    held = F.xxhash64("row_id") % 5 == 0
+    model, by_round = EN.train_with_early_stopping(d.filter(~held), d.filter(held), maxIter=3 * FOLD_ROUNDS)
+    kept = model.getNumTrees
+    return spark.createDataFrame(by_round).select(F.col("round").cast("int"), F.round("pr_auc", 6).alias("pr_auc"), (F.col("round") == kept).alias("kept"))
+
+
+RESAMPLE_SQL = with_sql(LEDGER_SQL, """
+c AS (SELECT count(*) FILTER (WHERE isFraud = 0) AS n0, count(*) FILTER (WHERE isFraud = 1) AS n1 FROM txn_ledger)""", """
+w AS (SELECT isFraud, CASE WHEN isFraud = 1 THEN least(1e0 / n1, 10e0 / n0) ELSE 1e0 / n0 END AS weight, count(*) AS n
+      FROM txn_ledger, c GROUP BY ALL)""", """
+l AS (SELECT isFraud, weight * (SELECT sum(n) FROM w) / (SELECT sum(n * weight) FROM w) AS l FROM w)""", """
+cdf AS (SELECT isFraud, list_transform(range(0, CAST(l + 12 * sqrt(l) + 20 AS INT) + 1),
+          lambda k: list_sum(list_transform(range(0, k + 1), lambda j: exp(-l) * pow(l, j) / gamma(j + 1)))) AS cdf FROM l)""", body="""
+SELECT row_id, CAST(len(list_filter(cdf, lambda x: x <= CAST('0x' || substr(sha256('42:' || row_id), 1, 13) AS BIGINT) / 4503599627370496e0)) AS INT) AS copies
+FROM txn_ledger JOIN cdf USING (isFraud)""")
+
+
+@query("M7_weighted_resampling", sql=RESAMPLE_SQL)
+def q_m7_resample(spark, sf):
+    return EN.resample(txn_ledger(spark, sf)).select("row_id", "copies")
+
+
+@query("S12_ensemble_reload", sql=with_sql(LEDGER_SQL, body="SELECT row_id, TRUE AS same, TRUE AS in_range FROM txn_ledger"))
+def q_s12(spark, sf):
+    """The ensemble saved and loaded gives every row the score that it had."""
+    bp = base_probs(spark, sf)
+    ensemble = EN.CalibratedEnsemble.train(bp)
+    path = scratch_path(spark, "ensemble")
+    ensemble.save(path)
+    again = EN.CalibratedEnsemble.load(path).transform(ensemble.transform(bp).withColumnRenamed("ensemble_prob", "before"))
+    return again.select("row_id", (F.col("ensemble_prob") == F.col("before")).alias("same"), F.col("ensemble_prob").between(0, 1).alias("in_range"))
+
+
+@query("M11_batch_scoring_trained", sql=with_sql(LEDGER_SQL, body=f"SELECT row_id, TRUE AS in_range FROM txn_ledger WHERE step > {SPLIT_STEP}"))
+def q_m11_trained(spark, sf):
+    """A model trained on the earlier rows scores the later ones."""
+    d = _model_columns(spark, sf)
+    model = _fit_gbt(d.filter(F.col("step") <= SPLIT_STEP))
+    return _score_gbt(model, d.filter(F.col("step") > SPLIT_STEP)).select("row_id", F.col("p_tab").between(0, 1).alias("in_range"))
+
+
 @query("M11_batch_scoring_no_model", sql=with_sql(LEDGER_SQL, body="SELECT row_id, 0e0 AS ml_prob FROM txn_ledger"))
 def q_m11(spark, sf):
     return ML.score(None, txn_ledger(spark, sf).select("row_id"), "ml_prob")
