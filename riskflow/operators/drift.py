@@ -14,9 +14,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riskflow.operators.ordered import prefix_scan
-from riskflow.session import cut_lineage
+from riskflow.operators.ordered import prefix_scan, store
 
 # Monitored features, bucket count, empty-bin share, thresholds.
 MONITORED = ["amount", "velocity", "merchant_risk"]
@@ -45,9 +45,13 @@ def quantile_probs(buckets: int = BUCKETS) -> list[float]:
 
 def quantile_arrays(long: DataFrame, probs: list[float]) -> DataFrame:
     """(feature, qs) : NumPy-linear percentiles ``probs`` of each feature's values, as one array."""
-    spark = long.sparkSession
-    dv = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
-    dv = prefix_scan(dv, ["feature"], [F.col("value")], sums={"cum": F.col("c")}, position=None)
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c"))
+    return _quantiles(prefix_scan(counts, ["feature"], [F.col("value")], sums={"cum": F.col("c")}, position=None), probs)
+
+
+def _quantiles(dv: DataFrame, probs: list[float]) -> DataFrame:
+    """The same from counts c of distinct values and their running sums cum."""
+    spark = dv.sparkSession
     n = dv.groupBy("feature").agg(F.sum("c").alias("n"))
     p = spark.createDataFrame([(i, float(q)) for i, q in enumerate(probs)], "i int, p double")
     pos = n.crossJoin(F.broadcast(p)).select(
@@ -83,32 +87,89 @@ def bin_edges(reference_long: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return q.select("feature", F.slice("qs", 2, buckets - 1).alias("inner"))
 
 
+def _tagged(reference: DataFrame, current: DataFrame) -> DataFrame:
+    """Rows of both samples in one table, with _e for those of the reference."""
+    return reference.withColumn("_e", F.lit(True)).unionByName(current.withColumn("_e", F.lit(False)))
+
+
 def psi_by_feature(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
                    buckets: int = BUCKETS) -> DataFrame:
-    """(feature, psi) for the features present in both inputs."""
+    """(feature, psi) for the features present in both inputs.
+
+    Both samples are read once, into counts of distinct values; one prefix scan
+    over these gives the reference's quantiles, and the stored counts the bins.
+    """
     feats = [f for f in (features or MONITORED) if f in reference.columns and f in current.columns]
-    lf = long_form(reference, feats).withColumn("sample", F.lit("e")).unionByName(
-        long_form(current, feats).withColumn("sample", F.lit("a")))
-    # narrow (feature, value, sample) table, read twice below: materialise once
-    lf = cut_lineage(lf)
-    edges = bin_edges(lf.filter(F.col("sample") == "e"), buckets)   # one row per feature: broadcast-safe
-    both = lf.join(F.broadcast(edges), "feature").select(
-        "feature", "sample", F.size(F.filter("inner", lambda e: e <= F.col("value"))).alias("bin"))
-    cnt = both.groupBy("feature", "sample", "bin").agg(F.count(F.lit(1)).alias("c"))
-    # at most 2 * buckets counts per feature: finish the formula in one grouped pass
-    per = cnt.groupBy("feature").agg(
-        F.map_from_entries(F.collect_list(F.struct(F.concat("sample", F.col("bin").cast("string")), "c")))
-        .alias("m"),
-        F.sum(F.when(F.col("sample") == "e", F.col("c"))).alias("ne"),
-        F.sum(F.when(F.col("sample") == "a", F.col("c"))).alias("na"))
-
-    def share(sample: str, b, n):
-        c = F.coalesce(F.element_at("m", F.concat(F.lit(sample), b.cast("string"))), F.lit(0))
+    both = _tagged(reference.select(*[F.col(f).cast("double").alias(f) for f in feats]), current.select(*[F.col(f).cast("double").alias(f) for f in feats]))
+    long = both.unpivot(["_e"], feats, "feature", "value").filter(F.col("value").isNotNull() & ~F.isnan("value"))
+    counts = long.groupBy("feature", "value").agg(F.count_if("_e").alias("c"), F.count_if(~F.col("_e")).alias("a"))
+    dv = prefix_scan(counts, ["feature"], [F.col("value")], sums={"cum": F.col("c")}, position=None)
+    edges = _quantiles(dv, quantile_probs(buckets)).select("feature", F.slice("qs", 2, buckets - 1).alias("inner"))   # one row per feature
+    binned = dv.join(F.broadcast(edges), "feature").withColumn("bin", F.size(F.filter("inner", lambda e: e <= F.col("value"))))
+    cnt = binned.groupBy("feature", "bin").agg(F.sum("c").alias("c"), F.sum("a").alias("a"))
+    # at most `buckets` counts per feature: finish the formula in one grouped pass
+    per = cnt.groupBy("feature").agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct("c", "a")))).alias("m"),
+                                     F.sum("c").alias("ne"), F.sum("a").alias("na"))
+    return per.select("feature", _psi(lambda b: F.element_at("m", b)["c"], lambda b: F.element_at("m", b)["a"], buckets).alias("psi"))
+
+
+def _psi(expected, actual, buckets: int) -> Column:
+    """PSI over the counts of ``buckets`` bins, of ne and na rows in all; an empty bin counts as EMPTY_SHARE."""
+    def share(c, n):
+        c = F.coalesce(c, F.lit(0))
         return F.when(c == 0, F.lit(EMPTY_SHARE)).otherwise(c / n)
-    terms = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)),
-                        lambda b: (share("a", b, F.col("na")) - share("e", b, F.col("ne")))
-                        * F.log(share("a", b, F.col("na")) / share("e", b, F.col("ne"))))
-    return per.select("feature", F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x).alias("psi"))
+
+    def term(b):
+        e, a = share(expected(b), F.col("ne")), share(actual(b), F.col("na"))
+        return (a - e) * F.log(a / e)
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), term), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def sketch_psi(reference: DataFrame, current: DataFrame, features: list[str] | None = None, buckets: int = BUCKETS, k: int = 800) -> DataFrame:
+    """A8/A9 in a single aggregate: (feature, psi) from mergeable quantile sketches of both samples.
+
+    For columns of so many distinct values that their counts are as large as
+    the data; a sketch's size depends on k only, its rank error at k = 800 is
+    about half a percent.
+    """
+    feats = [f for f in (features or MONITORED) if f in reference.columns and f in current.columns]
+    both = _tagged(reference.select(*feats), current.select(*feats))
+
+    def sketch(f: str, e: Column) -> Column:
+        v = F.col(f).cast("double")
+        return F.kll_sketch_agg_double(F.when(e & ~F.isnan(v), v), F.lit(k))
+    e = F.col("_e")
+    one = both.agg(*[x for f in feats for x in (sketch(f, e).alias(f"e_{f}"), sketch(f, ~e).alias(f"a_{f}"))])
+    rows = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"e_{f}").alias("es"), F.col(f"a_{f}").alias("as")) for f in feats])).alias("r")).select("r.*")
+    inner = F.array(*[F.kll_sketch_get_quantile_double("es", F.lit(q)) for q in quantile_probs(buckets)[1:-1]])
+
+    def counts(sketch: str) -> Column:
+        """Rows of a sketch in each bin; its rank counts values up to and with the edge, the bins begin with it."""
+        n = F.kll_sketch_get_n_double(sketch)
+        at = [F.lit(0.0), *[F.kll_sketch_get_rank_double(sketch, F.get("inner", F.lit(i))) for i in range(buckets - 1)], F.lit(1.0)]
+        return F.array(*[(y - x) * n for x, y in zip(at, at[1:])])
+    d = rows.withColumn("inner", inner).withColumns({"ec": counts("es"), "ac": counts("as"), "ne": F.kll_sketch_get_n_double("es"), "na": F.kll_sketch_get_n_double("as")})
+    return d.select("feature", _psi(lambda b: F.get("ec", b), lambda b: F.get("ac", b), buckets).alias("psi"))
+
+
+def drift_check(reference: DataFrame, current: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(feature, kind, psi, color, status) of every column that both samples have.
+
+    Numeric columns by quantile bins of the reference (booleans and all others
+    by their values, null as a value of its own); P12 leaves out the rest.
+    """
+    shared = [c for c in (columns or reference.columns) if c in reference.columns and c in current.columns]
+    numeric = [c for c in shared if isinstance(reference.schema[c].dataType, T.NumericType) and isinstance(current.schema[c].dataType, T.NumericType)]
+    parts = []
+    if numeric:
+        parts.append(psi_by_feature(reference, current, numeric).withColumn("kind", F.lit("numeric")))
+    if other := [c for c in shared if c not in numeric]:
+        parts.append(category_psi(reference, current, other).withColumn("kind", F.lit("categorical")))
+    if not parts:
+        raise ValueError("the samples share no column")
+    d = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    r = F.round("psi", 6)
+    return d.select("feature", "kind", r.alias("psi"), *psi_status(r))
 
 
 def drift_status(psi: DataFrame) -> DataFrame:
@@ -128,21 +189,22 @@ def drift_decision(psi: DataFrame, threshold: float = PSI_THRESHOLD) -> DataFram
 
 
 def quality_profile(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column and sample: nulls, min, max, mean, stddev; current rows outside reference range."""
-    def prof(df: DataFrame, sample: str) -> DataFrame:
-        lf = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-        return lf.groupBy("column").agg(
-            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"),
-            F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
-            F.stddev_samp("v").alias("stddev"), F.approx_count_distinct("v").alias("approx_distinct"),
-        ).withColumn("sample", F.lit(sample))
-    ref, cur = prof(reference, "reference"), prof(current, "current")
-    rng = ref.select("column", F.col("min").alias("_lo"), F.col("max").alias("_hi"))
-    lc = current.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "column", "v")
-    oor = lc.join(F.broadcast(rng), "column").groupBy("column").agg(
+    """Per column and sample: nulls, min, max, mean, stddev; current rows outside reference range.
+
+    Both samples are read once; the narrow long form is stored for the second look, at the ranges.
+    """
+    both = _tagged(*(df.select(*[F.col(c).cast("double").alias(c) for c in columns]) for df in (reference, current)))
+    lf = store(both.unpivot(["_e"], columns, "column", "v"), "profile")
+    prof = lf.groupBy("column", "_e").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("v").isNull()).alias("nulls"),
+        F.min("v").alias("min"), F.max("v").alias("max"), F.avg("v").alias("mean"),
+        F.stddev_samp("v").alias("stddev"), F.approx_count_distinct("v").alias("approx_distinct"))
+    rng = prof.filter("_e").select("column", F.col("min").alias("_lo"), F.col("max").alias("_hi"))   # one row per column
+    oor = lf.filter(~F.col("_e")).join(F.broadcast(rng), "column").groupBy("column").agg(
         F.count_if((F.col("v") < F.col("_lo")) | (F.col("v") > F.col("_hi"))).alias("out_of_range"))
-    return ref.unionByName(cur).join(oor, "column", "left").withColumn(
-        "out_of_range", F.when(F.col("sample") == "current", F.col("out_of_range")).otherwise(F.lit(0)))
+    return prof.join(oor, "column", "left").withColumns({
+        "out_of_range": F.when(F.col("_e"), F.lit(0)).otherwise(F.col("out_of_range")),
+        "sample": F.when(F.col("_e"), "reference").otherwise("current")}).drop("_e")
 
 
 def target_drift(reference: DataFrame, current: DataFrame, label: str = "isFraud") -> DataFrame:
@@ -160,14 +222,16 @@ def target_drift(reference: DataFrame, current: DataFrame, label: str = "isFraud
     return d.select("rate_reference", "rate_current", (a1 - e1).alias("rate_change"), psi.alias("target_psi"))
 
 
-def category_psi(reference: DataFrame, current: DataFrame, column: str) -> DataFrame:
-    """A21 (categorical): PSI over category shares (categories of either sample)."""
-    def shares(df: DataFrame, tag: str) -> DataFrame:
-        n = df.agg(F.count(F.lit(1)).alias("_n"))
-        c = df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("<null>")).alias("cat")).agg(
-            F.count(F.lit(1)).alias("_c"))
-        return c.crossJoin(F.broadcast(n)).select("cat", (F.col("_c") / F.col("_n")).alias(tag))
-    j = shares(reference, "e").join(shares(current, "a"), "cat", "full")
-    e = F.coalesce(F.col("e"), F.lit(EMPTY_SHARE))
-    a = F.coalesce(F.col("a"), F.lit(EMPTY_SHARE))
-    return j.agg(F.sum((a - e) * F.log(a / e)).alias("psi")).select(F.lit(column).alias("feature"), "psi")
+def category_psi(reference: DataFrame, current: DataFrame, columns: str | list[str]) -> DataFrame:
+    """A21 (categorical): (feature, psi) over category shares (categories of either sample), all columns in one aggregate."""
+    columns = [columns] if isinstance(columns, str) else columns
+    both = _tagged(*(df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("<null>")).alias(c) for c in columns]) for df in (reference, current)))
+    counts = both.unpivot(["_e"], columns, "feature", "cat").groupBy("feature", "cat") \
+        .agg(F.count_if("_e").alias("c"), F.count_if(~F.col("_e")).alias("a"))
+    total = both.agg(F.count_if("_e").alias("ne"), F.count_if(~F.col("_e")).alias("na"))
+    d = counts.crossJoin(F.broadcast(total))
+
+    def share(c: str, n: str) -> Column:
+        return F.when(F.col(c) == 0, F.lit(EMPTY_SHARE)).otherwise(F.col(c) / F.col(n))
+    e, a = share("c", "ne"), share("a", "na")
+    return d.groupBy("feature").agg(F.sum((a - e) * F.log(a / e)).alias("psi"))

@@ -105,7 +105,7 @@ def _status(drifting: bool):
 
 
 query("A8_psi_single_column", sql=psi_sql(STATUS_SQL + " WHERE feature = 'amount'"))(
-    lambda spark, sf: _status(False)(spark, sf).filter(F.col("feature") == "amount"))
+    lambda spark, sf: DR.drift_status(DR.psi_by_feature(*drift_frames(spark, sf, False, with_features=False), ["amount"])))
 query("A9_psi_monitored_features", sql=psi_sql(STATUS_SQL))(_status(False))
 query("A9_psi_drifting_amount", sql=psi_sql(STATUS_SQL, drifting=True))(_status(True))
 query("F23_psi_status", sql=psi_sql(STATUS_SQL, drifting=True))(_status(True))
@@ -160,6 +160,25 @@ def q_a20(spark, sf):
     return t.select(*[F.round(c, 6).alias(c) for c in t.columns])
 
 
+#: the shared columns of both samples: numeric ones, and the category
+NUMERIC_COLUMNS = ["amount", "velocity", "merchant_risk", "isFraud", "step", "oldbalanceOrg", "newbalanceOrig"]
+ALL_LONG = "long AS (SELECT sample, feature, value FROM (" + " UNION ALL ".join(
+    f"SELECT sample, '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM feat" for c in NUMERIC_COLUMNS) + ") WHERE value IS NOT NULL)"
+TYPE_PSI = """
+sh AS (SELECT type AS cat, count(*) FILTER (WHERE sample = 'e') / (SELECT count(*) FROM feat WHERE sample = 'e') AS e,
+              count(*) FILTER (WHERE sample = 'a') / (SELECT count(*) FROM feat WHERE sample = 'a') AS a FROM feat GROUP BY type)""", """
+every AS (SELECT feature, 'numeric' AS kind, round(psi, 6) AS psi FROM psi UNION ALL
+          SELECT 'type', 'categorical', round(sum((CASE WHEN a = 0 THEN 1e-8 ELSE a END - CASE WHEN e = 0 THEN 1e-8 ELSE e END)
+                 * ln(CASE WHEN a = 0 THEN 1e-8 ELSE a END / CASE WHEN e = 0 THEN 1e-8 ELSE e END)), 6) FROM sh)"""
+
+
+@query("A21_drift_all_columns", sql=with_sql(LEDGER_SQL, feat_sql(True), ALL_LONG, *PSI_CTES[1:], *TYPE_PSI,
+                                             body=STATUS_SQL.replace("FROM psi", "FROM every").replace("SELECT feature,", "SELECT feature, kind,")))
+def q_a21_all(spark, sf):
+    ref, cur = drift_frames(spark, sf, True)
+    return DR.drift_check(ref, cur, [*NUMERIC_COLUMNS, "type"])
+
+
 @query("A21_column_drift_categorical", sql=with_sql(LEDGER_SQL, feat_sql(False), """
 sh AS (
   SELECT type AS cat, count(*) FILTER (WHERE sample = 'e') / (SELECT count(*) FROM feat WHERE sample = 'e') AS e,

@@ -100,3 +100,35 @@ def test_model_vector_has_the_night_and_no_missing_names(spark):
     assert all(r["night"] == (r["step"] % 24 <= 5) for r in got) and {r["night"] for r in got} == {0.0, 1.0}
     with pytest.raises(ValueError, match="p_seq"):
         ml.assemble(spark.range(1).selectExpr("0.5 as p_tab"), ["p_tab", "p_seq"])
+
+
+def test_drift_check_over_all_shared_columns(spark):
+    import random
+    from riskflow.operators import drift as DR
+    rng = random.Random(2)
+    ref = spark.createDataFrame([(rng.gauss(0, 1), rng.randrange(5), rng.choice("xyz"), True, 1.0) for _ in range(2000)], "v double, n int, c string, b boolean, only_here double")
+    cur = spark.createDataFrame([(rng.gauss(1, 1) if i % 9 else float("nan"), rng.randrange(5), rng.choice(["x", "new", None]), i % 2 == 0, "1") for i in range(2000)],
+                                "v double, n int, c string, b boolean, elsewhere string")
+    got = {r.feature: r for r in DR.drift_check(ref, cur).collect()}
+    assert {f: r.kind for f, r in got.items()} == {"v": "numeric", "n": "numeric", "c": "categorical", "b": "categorical"}
+    assert got["v"].status == got["c"].status == got["b"].status == "DRIFT DETECTED" and got["n"].status == "STABLE"
+    exact = {r.feature: r.psi for r in DR.psi_by_feature(ref, cur, ["v"]).collect()}
+    near = {r.feature: r.psi for r in DR.sketch_psi(ref, cur, ["v"]).collect()}
+    assert abs(exact["v"] - got["v"].psi) < 1e-6 and abs(exact["v"] - near["v"]) < 0.1 * exact["v"]
+
+
+def test_psi_reads_its_input_once(spark, scratch):
+    from pyspark.sql import functions as F
+    from riskflow.operators import drift as DR
+    from riskflow.operators import ordered
+    spark.range(1000).select((F.col("id") % 97).cast("double").alias("v")).write.parquet(f"{scratch}/in")
+    d = spark.read.parquet(f"{scratch}/in")
+    plans, keep = [], ordered.store
+    ordered.store = lambda x, name: (plans.append(x._jdf.queryExecution().executedPlan().toString()), keep(x, name))[1]
+    try:
+        out = DR.psi_by_feature(d, d, ["v"])
+    finally:
+        ordered.store = keep
+    assert len(plans) == 1 and plans[0].count("FileScan") == 2          # one for each sample
+    assert f"{scratch}/in" not in out._jdf.queryExecution().executedPlan().toString()
+    assert abs(out.collect()[0].psi) < 1e-12
