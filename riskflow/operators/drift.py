@@ -12,6 +12,7 @@ count range covers it (a broadcast of the few wanted ranks).
 """
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,15 +141,16 @@ def sketch_psi(reference: DataFrame, current: DataFrame, features: list[str] | N
         return F.kll_sketch_agg_double(F.when(e & ~F.isnan(v), v), F.lit(k))
     e = F.col("_e")
     one = both.agg(*[x for f in feats for x in (sketch(f, e).alias(f"e_{f}"), sketch(f, ~e).alias(f"a_{f}"))])
-    rows = one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"e_{f}").alias("es"), F.col(f"a_{f}").alias("as")) for f in feats])).alias("r")).select("r.*")
-    inner = F.array(*[F.kll_sketch_get_quantile_double("es", F.lit(q)) for q in quantile_probs(buckets)[1:-1]])
-
-    def counts(sketch: str) -> Column:
-        """Rows of a sketch in each bin; its rank counts values up to and with the edge, the bins begin with it."""
-        n = F.kll_sketch_get_n_double(sketch)
-        at = [F.lit(0.0), *[F.kll_sketch_get_rank_double(sketch, F.get("inner", F.lit(i))) for i in range(buckets - 1)], F.lit(1.0)]
-        return F.array(*[(y - x) * n for x, y in zip(at, at[1:])])
-    d = rows.withColumn("inner", inner).withColumns({"ec": counts("es"), "ac": counts("as"), "ne": F.kll_sketch_get_n_double("es"), "na": F.kll_sketch_get_n_double("as")})
+    one = store(one, "sketches")   # one row
+    inner = one.select(*[F.array(*[F.kll_sketch_get_quantile_double(f"e_{f}", F.lit(q)) for q in quantile_probs(buckets)[1:-1]]).alias(f) for f in feats]).first()
+
+    def counts(f: str, side: str) -> Column:
+        """Rows of a sketch in each bin; a bin begins with its edge, which the rank exclusive of it leaves to the next."""
+        at = [F.lit(0.0), *[F.kll_sketch_get_rank_double(f"{side}_{f}", F.lit(float(np.nextafter(x, -np.inf)))) for x in inner[f]], F.lit(1.0)]
+        return F.array(*[(y - x) * F.kll_sketch_get_n_double(f"{side}_{f}") for x, y in zip(at, at[1:])])
+    rows = [F.struct(F.lit(f).alias("feature"), counts(f, "e").alias("ec"), counts(f, "a").alias("ac"), F.kll_sketch_get_n_double(f"e_{f}").alias("ne"),
+                     F.kll_sketch_get_n_double(f"a_{f}").alias("na")) for f in feats if inner[f] is not None and None not in inner[f]]
+    d = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
     return d.select("feature", _psi(lambda b: F.get("ec", b), lambda b: F.get("ac", b), buckets).alias("psi"))
 
 
