@@ -79,10 +79,20 @@ def carry_batch(schema: pa.Schema, **values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values[f.name]], f.type) if f.name in values else pa.nulls(1, f.type) for f in schema], schema=schema)
 
 
-def _scan(keys: list[str], kept: list[str], sums: list[str], lag: bool, recent: dict[str, int]):
+def _earlier(values: np.ndarray, pos: np.ndarray, h: int) -> pa.Array:
+    """For every row the values (rows of numbers) of the min(pos - 1, h) rows before it; values begins with h rows from before."""
+    many = np.minimum(pos - 1, h)
+    ends = np.cumsum(many)
+    at = np.repeat(np.arange(len(pos)) + h - many - (ends - many), many) + np.arange(ends[-1] if len(ends) else 0)
+    flat = values[at]
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype="i4") * values.shape[1]), pa.array(flat.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype("i4")), inner)
+
+
+def _scan(keys: list[str], kept: list[str], sums: list[str], lag: bool, recent: dict[str, int], rows_before: tuple[str, int] | None):
     def scan(batches):
         runs, pid, schema = Runs(keys), TaskContext.get().partitionId(), None
-        n, totals, lags, tails = 0, {}, None, {k: np.empty(0) for k in recent}
+        n, totals, lags, tails, seen = 0, {}, None, {k: np.empty(0) for k in recent}, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -116,6 +126,14 @@ def _scan(keys: list[str], kept: list[str], sums: list[str], lag: bool, recent:
                 out[f"_w_{r}"] = pa.array(total[at + h] - total[at + h - many])
                 keep = min(int(pos[-1]), h)
                 tails[r] = every[len(every) - keep:]
+            if rows_before:
+                name, h = rows_before
+                v = column("_row")
+                wide = v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                seen = np.zeros((h, wide.shape[1])) if seen is None else seen
+                every = np.r_[seen, wide]
+                out[f"_b_{name}"] = _earlier(every, pos, h)
+                seen = every[-h:]
             n = int(pos[-1])
             made = pa.RecordBatch.from_pydict(out | {"_carry": pa.nulls(b.num_rows, pa.string())})
             schema = made.schema
@@ -123,11 +141,12 @@ def _scan(keys: list[str], kept: list[str], sums: list[str], lag: bool, recent:
         if schema is not None:
             yield carry_batch(schema, _pid=pid, _carry=text({
                 "one": runs.begun == 1, "first": runs.first, "last": runs.last, "n": n, "sums": [totals[s] for s in sums],
-                "lags": lags.to_pylist()[::-1][:min(n, 2)] if lag else [], "recent": {r: t.tolist() for r, t in tails.items()}}))
+                "lags": lags.to_pylist()[::-1][:min(n, 2)] if lag else [], "recent": {r: t.tolist() for r, t in tails.items()},
+                "rows": seen[-min(n, rows_before[1]):].tolist() if rows_before else []}))
     return scan
 
 
-def _incoming(carries: list[tuple[int, dict]], recent: dict[str, int]) -> list[tuple[int, dict]]:
+def _incoming(carries: list[tuple[int, dict]], recent: dict[str, int], width: int = 0) -> list[tuple[int, dict]]:
     """What each partition's first key brings along from earlier partitions."""
     out, state = [], None
     for pid, c in carries:
@@ -138,50 +157,60 @@ def _incoming(carries: list[tuple[int, dict]], recent: dict[str, int]) -> list[t
         if before and c["one"]:
             state = c | {"n": before["n"] + c["n"], "sums": [a + b for a, b in zip(before["sums"], c["sums"])],
                          "lags": (c["lags"] + before["lags"])[:2],
-                         "recent": {r: (before["recent"][r] + c["recent"][r])[-h:] for r, h in recent.items()}}
+                         "recent": {r: (before["recent"][r] + c["recent"][r])[-h:] for r, h in recent.items()},
+                         "rows": (before["rows"] + c["rows"])[-width:] if width else []}
     return out
 
 
 def prefix_scan(df: DataFrame, keys: list[str], order: list[Column], sums: dict[str, Column] | None = None,
                 position: str | None = "_pos", lag_of: Column | None = None, lag_names: tuple[str, str] = ("_lag1", "_lag2"),
-                recent: dict[str, tuple[Column, int]] | None = None) -> DataFrame:
+                recent: dict[str, tuple[Column, int]] | None = None,
+                rows_before: tuple[str, list[Column], int] | None = None) -> DataFrame:
     """df with, per key in the given order, the position, inclusive running sums, lags 1 and 2, and recent sums.
 
     sums: nulls add nothing; integers add up as long, all else as double.
     recent: name -> (column, h), the sum over the h rows before (fewer at the
-    beginning, 0 without any).  Rows of a null key are one key; no keys: all
+    beginning, 0 without any).
+    rows_before: (name, columns, h), the columns as doubles (null is 0.0) of the h
+    rows before, oldest first, as an array of arrays; only the last h rows of a
+    key go on to the next partition.  Rows of a null key are one key; no keys: all
     rows are one.  Rows that tie in order keep an order of their own, the same in all results.
     """
     sums, recent = sums or {}, recent or {}
+    back = None if rows_before is None else (rows_before[0], rows_before[2])
     width = {r: h for r, (_, h) in recent.items()}
     work = df.withColumns({f"_s_{s}": c for s, c in sums.items()} | {f"_r_{r}": F.coalesce(c.cast("double"), F.lit(0.0)) for r, (c, _) in recent.items()}
-                          | ({} if lag_of is None else {"_lagsrc": lag_of})) if sums or recent or lag_of is not None else df
+                          | ({} if lag_of is None else {"_lagsrc": lag_of})
+                          | ({} if back is None else {"_row": F.array(*[F.coalesce(c.cast("double"), F.lit(0.0)) for c in rows_before[1]])}))
     kind = {s: "long" if isinstance(work.schema[f"_s_{s}"].dataType, _INTEGERS) else "double" for s in sums}
     work = work.withColumns({f"_s_{s}": F.coalesce(F.col(f"_s_{s}").cast(k), F.lit(0).cast(k)) for s, k in kind.items()}) if sums else work
     fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
     fields += [T.StructField("_pid", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_lpos", T.LongType())]
     fields += [T.StructField(f"_t_{s}", T.LongType() if k == "long" else T.DoubleType()) for s, k in kind.items()]
     fields += [] if lag_of is None else [T.StructField(c, work.schema["_lagsrc"].dataType) for c in ("_l1", "_l2")]
-    fields += [T.StructField(f"_w_{r}", T.DoubleType()) for r in recent] + [T.StructField("_carry", T.StringType())]
-    scan = _scan(keys, df.columns, list(sums), lag_of is not None, width)
+    matrix = T.ArrayType(T.ArrayType(T.DoubleType()))
+    fields += [T.StructField(f"_w_{r}", T.DoubleType()) for r in recent] + ([] if back is None else [T.StructField(f"_b_{back[0]}", matrix)])
+    fields += [T.StructField("_carry", T.StringType())]
+    scan = _scan(keys, df.columns, list(sums), lag_of is not None, width, back)
     rows = store(spread(work, keys, order).mapInArrow(scan, T.StructType(fields)), "scan")
 
     carries = sorted((r["_pid"], json.loads(r["_carry"])) for r in rows.filter("_carry IS NOT NULL").select("_pid", "_carry").collect())
-    came = _incoming(carries, width)   # at most one row for each partition
+    came = _incoming(carries, width, 0 if back is None else back[1])   # at most one row for each partition
     rows = rows.filter("_carry IS NULL").drop("_carry")
     made = {} if position is None else {position: F.col("_lpos")}
     made |= {s: F.col(f"_t_{s}") for s in sums} | ({} if lag_of is None else {lag_names[0]: F.col("_l1"), lag_names[1]: F.col("_l2")})
-    made |= {r: F.col(f"_w_{r}") for r in recent}
+    made |= {r: F.col(f"_w_{r}") for r in recent} | ({} if back is None else {back[0]: F.col(f"_b_{back[0]}")})
     if came:
         shape = [T.StructField("_pid", T.IntegerType()), T.StructField("_cn", T.LongType())]
         shape += [T.StructField(f"_c_{s}", T.LongType() if k == "long" else T.DoubleType()) for s, k in kind.items()]
         shape += [] if lag_of is None else [T.StructField(c, work.schema["_lagsrc"].dataType) for c in ("_c1", "_c2")]
-        shape += [T.StructField(f"_cr_{r}", T.ArrayType(T.DoubleType())) for r in recent]
+        shape += [T.StructField(f"_cr_{r}", T.ArrayType(T.DoubleType())) for r in recent] + ([] if back is None else [T.StructField("_cb", matrix)])
         table = []
         for pid, c in came:
             row = [pid, c["n"], *(float(v) if kind[s] == "double" else v for s, v in zip(sums, c["sums"]))]
             row += [] if lag_of is None else (c["lags"] + [None, None])[:2]
             row += [np.r_[0.0, np.cumsum(c["recent"][r][::-1])].tolist() for r in recent]  # sums of the last 0, 1, ... rows
+            row += [] if back is None else [c["rows"]]
             table.append(tuple(row))
         rows = rows.join(F.broadcast(df.sparkSession.createDataFrame(table, T.StructType(shape))), "_pid", "left")
         here = F.col("_head") & F.col("_cn").isNotNull()
@@ -195,4 +224,8 @@ def prefix_scan(df: DataFrame, keys: list[str], order: list[Column], sums: dict[
         for r, h in width.items():
             room = F.least(F.lit(h) + 1 - F.col("_lpos"), F.size(f"_cr_{r}") - 1).cast("int")
             made[r] = F.col(f"_w_{r}") + F.when(here & (F.col("_lpos") <= h), F.get(f"_cr_{r}", room)).otherwise(F.lit(0.0))
+        if back is not None:
+            name, h = back
+            room = F.least(F.lit(h) + 1 - F.col("_lpos"), F.size("_cb")).cast("int")
+            made[name] = F.when(here & (F.col("_lpos") <= h), F.concat(F.slice("_cb", F.size("_cb") - room + 1, room), F.col(f"_b_{name}"))).otherwise(F.col(f"_b_{name}"))
     return rows.withColumns(made).select(*df.columns, *made)

@@ -4,10 +4,9 @@ For each row of a key with at least ``min_rows`` rows: the previous
 ``window`` rows of the same key (current row excluded), oldest first,
 left-padded with zero vectors, plus a 0/1 mask.
 
-Skew-safe form: each row gets its position in the key (blocked running count),
-then is emitted once per later position it belongs to (``target = pos + j``,
-j = 1..window) and once for itself (j = 0).  Grouping by (key, target) gives
-groups of at most ``window + 1`` rows however large the key is.
+A prefix scan gives each row the rows before it: the rows are shuffled once, and
+only the last ``window`` rows of a key go on from one partition to the next,
+however large the key is.
 """
 from __future__ import annotations
 
@@ -22,31 +21,19 @@ MIN_ROWS = 3
 
 
 def build_sequences(df: DataFrame, feature_cols: list[str], key: str = "nameDest", window: int = WINDOW,
-                    min_rows: int = MIN_ROWS, label: str = "isFraud", block_steps: int = 24 * 30) -> DataFrame:
+                    min_rows: int = MIN_ROWS, label: str = "isFraud") -> DataFrame:
     """(row_id, key, step, label, seq array<array<double>>, mask array<double>, seq_len int)."""
     d = eligible_keys(df, key, min_rows)
-    d = prefix_scan(d, [key], [F.col("step"), F.col("row_id")], position="_pos")
-    feats = F.array(*[F.col(c).cast("double") for c in feature_cols])
-    d = d.select(key, "_pos", "row_id", "step", F.col(label).alias("_label"), feats.alias("_f"),
-                 F.explode(F.sequence(F.lit(0), F.lit(window))).alias("_j"))
-    d = d.withColumn("_target", F.col("_pos") + F.col("_j"))
-    g = d.groupBy(key, "_target").agg(
-        F.max(F.when(F.col("_j") == 0, F.struct("row_id", "step", "_label"))).alias("_self"),
-        F.collect_list(F.when(F.col("_j") > 0, F.struct((-F.col("_j")).alias("o"), F.col("_f").alias("f"))))
-        .alias("_hist"))
-    g = g.filter(F.col("_self").isNotNull())
-    hist = F.transform(F.array_sort("_hist"), lambda s: s["f"])
+    d = prefix_scan(d, [key], [F.col("step"), F.col("row_id")], position="_pos", rows_before=("_hist", [F.col(c) for c in feature_cols], window))
     n = F.size("_hist")
     zero = F.array_repeat(F.lit(0.0), len(feature_cols))
-    seq = F.concat(F.array_repeat(zero, F.lit(window) - n), hist)
+    seq = F.concat(F.array_repeat(zero, F.lit(window) - n), F.col("_hist"))
     mask = F.concat(F.array_repeat(F.lit(0.0), F.lit(window) - n), F.array_repeat(F.lit(1.0), n))
-    return g.select(F.col("_self.row_id").alias("row_id"), key, F.col("_self.step").alias("step"),
-                    F.col("_self._label").alias(label), seq.alias("seq"), mask.alias("mask"),
-                    n.cast("int").alias("seq_len"))
+    return d.select("row_id", key, "step", label, seq.alias("seq"), mask.alias("mask"), n.cast("int").alias("seq_len"))
 
 
-def split_summary(seqs: DataFrame, cutoff_step: int, label: str = "isFraud") -> DataFrame:
-    """Rows and label rate of the train (step <= cutoff) and test parts."""
+def split_summary(df: DataFrame, cutoff_step: int, key: str = "nameDest", min_rows: int = MIN_ROWS, label: str = "isFraud") -> DataFrame:
+    """Sequences and label rate of the train (step <= cutoff) and test parts: each row of an eligible key makes one sequence."""
     part = F.when(F.col("step") <= cutoff_step, "train").otherwise("test")
-    return seqs.groupBy(part.alias("split")).agg(F.count(F.lit(1)).alias("sequences"),
+    return eligible_keys(df, key, min_rows).groupBy(part.alias("split")).agg(F.count(F.lit(1)).alias("sequences"),
                                                  F.avg(F.col(label).cast("double")).alias("fraud_rate"))

@@ -73,5 +73,5 @@ SELECT CASE WHEN step <= {SPLIT_STEP} THEN 'train' ELSE 'test' END AS split, cou
        round(avg(isFraud), 6) AS fraud_rate
 FROM el GROUP BY 1"""))
 def q_a23(spark, sf):
-    s = SQ.split_summary(SQ.build_sequences(txn_ledger(spark, sf), SEQ_FEATURES), SPLIT_STEP)
+    s = SQ.split_summary(txn_ledger(spark, sf), SPLIT_STEP)
     return s.select("split", "sequences", F.round("fraud_rate", 6).alias("fraud_rate"))

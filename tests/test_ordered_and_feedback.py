@@ -51,11 +51,11 @@ def test_scan_carries_over_partitions(spark):
     for keys in (["k"], []):
         def run(keys=keys):
             got = prefix_scan(df, keys, [F.col("step"), F.col("row_id")], sums={"s": F.col("v"), "n": F.lit(1)}, lag_of=F.col("step"),
-                              recent={"r": (F.col("v"), 100), "q": (F.col("v"), 3)})
+                              recent={"r": (F.col("v"), 100), "q": (F.col("v"), 3)}, rows_before=("b", [F.col("v"), F.col("row_id")], 5))
             return got.collect(), got.columns
         for n in (1, 7, 40):
             got, names = partitioned(spark, n, run)
-            assert names == ["row_id", "k", "step", "v", "_pos", "s", "n", "_lag1", "_lag2", "r", "q"]
+            assert names == ["row_id", "k", "step", "v", "_pos", "s", "n", "_lag1", "_lag2", "r", "q", "b"]
             by = {}
             for r in sorted(rows, key=lambda r: ("" if not keys else str(r[1]), r[2] is not None, r[2] or 0, r[0])):
                 by.setdefault(r[1] if keys else 0, []).append(r)
@@ -66,6 +66,7 @@ def test_scan_carries_over_partitions(spark):
                 for i, r in enumerate(of):
                     g = seen[r[0]]
                     assert (g._pos, g.n, g._lag1, g._lag2) == (i + 1, i + 1, of[i - 1][2] if i else None, of[i - 2][2] if i > 1 else None)
+                    assert g.b == [[v[j], float(of[j][0])] for j in range(max(0, i - 5), i)]
                     for a, b in ((g.s, sum(v[:i + 1])), (g.r, sum(v[max(0, i - 100):i])), (g.q, sum(v[max(0, i - 3):i]))):
                         assert abs(a - b) < 1e-6 * max(1, abs(b))
 
