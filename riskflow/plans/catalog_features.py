@@ -9,7 +9,7 @@ from riskflow.functions.scoring import iso_utc
 from riskflow.operators import features as FE
 from riskflow.operators import validate as V
 from riskflow.plans.registry import query
-from riskflow.sources.views import (EVENT_SQL, LEDGER_SQL, MESSAGES_SQL, ML_PROB_SQL, messages,
+from riskflow.sources.views import (EVENT_SQL, FAULTY_SQL, LEDGER_SQL, MESSAGES_SQL, ML_PROB_SQL, faulty_events, messages,
                                     ml_prob_standin, txn_event, txn_ledger, with_sql)
 
 TRAIN_CUTOFF_STEP = 28000
@@ -285,6 +285,25 @@ def q_p2d(spark, sf):
     return dead.select("error")
 
 
+FAULT_ERROR_SQL = """CASE WHEN card_id IS NULL OR amount IS NULL OR merchant_id IS NULL THEN 'Missing fields: ' || concat_ws(', ', CASE WHEN card_id IS NULL THEN 'card_id' END,
+         CASE WHEN amount IS NULL THEN 'amount' END, CASE WHEN merchant_id IS NULL THEN 'merchant_id' END)
+       WHEN amount < 0 THEN 'Invalid amount: ' || CAST(amount AS VARCHAR) END"""
+
+
+@query("P2_dead_letter_faults", sql=with_sql(EVENT_SQL, FAULTY_SQL, body=f"""
+SELECT txn_id, error FROM (SELECT txn_id, {FAULT_ERROR_SQL} AS error FROM faulty) WHERE error IS NOT NULL"""))
+def q_p2_faults(spark, sf):
+    _, dead = V.split_valid(faulty_events(spark, sf).select("txn_id", "card_id", "amount", "merchant_id"))
+    return dead.select(F.get_json_object("original", "$.txn_id").alias("txn_id"), "error")
+
+
+@query("A24_replay_summary_faults", sql=with_sql(EVENT_SQL, FAULTY_SQL, body=f"""
+SELECT count(*) FILTER (WHERE error IS NULL) AS accepted, count(*) FILTER (WHERE error IS NOT NULL) AS dead_letter
+FROM (SELECT {FAULT_ERROR_SQL} AS error FROM faulty)"""))
+def q_a24_faults(spark, sf):
+    return V.replay_summary(faulty_events(spark, sf))
+
+
 @query("A24_replay_summary", sql=with_sql(LEDGER_SQL, body="""
 SELECT count(*) FILTER (WHERE nameOrig IS NOT NULL AND amount IS NOT NULL AND nameDest IS NOT NULL AND amount >= 0) AS accepted,
        count(*) FILTER (WHERE NOT (nameOrig IS NOT NULL AND amount IS NOT NULL AND nameDest IS NOT NULL AND amount >= 0)) AS dead_letter

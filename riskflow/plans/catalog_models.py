@@ -9,6 +9,7 @@ from riskflow.operators import explain as EX
 from riskflow.operators import features as FE
 from riskflow.operators import metrics as ME
 from riskflow.operators import ml as ML
+from riskflow.operators import registry as RG
 from riskflow.operators import sequences as SQ
 from riskflow.plans.registry import query
 from riskflow.session import scratch_path
@@ -303,3 +304,44 @@ def q_m812(spark, sf):
     ap = ME.average_precision(ME.curve(p))
     return ap.select(F.round("pr_auc", 6).alias("pr_auc"),
                      (F.col("pr_auc") >= ML.SEQ_GATE_PR_AUC).alias("kept"))
+
+
+# ------------------------------------------------------------ registry: a run for every merchant, measured on its rows
+RUNS_CTES = [LEDGER_SQL, """
+runs AS (SELECT nameDest AS run_id, 'pr_auc' AS metric, round(avg(isFraud), 9) AS value FROM txn_ledger GROUP BY 1
+         UNION ALL SELECT nameDest, 'rows', count(*)::DOUBLE FROM txn_ledger GROUP BY 1)""", """
+versions AS (SELECT 'risk' AS name, row_number() OVER (ORDER BY run_id)::INTEGER AS version, run_id,
+                    CASE WHEN row_number() OVER (ORDER BY run_id) = 3 THEN 'Production' ELSE 'Archived' END AS stage
+             FROM (SELECT DISTINCT nameDest AS run_id FROM txn_ledger WHERE nameDest IN ('M1', 'M2', 'M3', 'M4', 'M5')))""", """
+best AS (SELECT run_id, value FROM runs WHERE metric = 'pr_auc' ORDER BY value DESC, run_id LIMIT 1)""", """
+prod AS (SELECT version, v.run_id, coalesce(value, 0) AS prod_value FROM versions v LEFT JOIN runs r ON r.run_id = v.run_id AND metric = 'pr_auc'
+         WHERE stage = 'Production')"""]
+
+
+def registry_tables(spark, sf):
+    led = txn_ledger(spark, sf)
+    per = led.groupBy(F.col("nameDest").alias("run_id")).agg(F.round(F.avg("isFraud"), 9).alias("pr_auc"), F.count(F.lit(1)).cast("double").alias("rows"))
+    runs = per.unpivot(["run_id"], ["pr_auc", "rows"], "metric", "value")
+    first = ["M1", "M2", "M3", "M4", "M5"]
+    at = F.array_position(F.array(*map(F.lit, first)), F.col("run_id")).cast("int")
+    versions = per.filter(F.col("run_id").isin(first)).select(F.lit("risk").alias("name"), at.alias("version"), "run_id",
+                                                            F.when(at == 3, "Production").otherwise("Archived").alias("stage"))
+    return versions, runs
+
+
+@query("A18_best_run", sql=with_sql(*RUNS_CTES, body="SELECT run_id, value FROM best"))
+def q_a18(spark, sf):
+    return RG.best_run(registry_tables(spark, sf)[1])
+
+
+@query("J6_production_metric", sql=with_sql(*RUNS_CTES, body="SELECT version, run_id, prod_value FROM prod"))
+def q_j6(spark, sf):
+    return RG.production_metric(*registry_tables(spark, sf), "risk")
+
+
+@query("M9_promotion", sql=with_sql(*RUNS_CTES, body="""
+SELECT name, version, run_id, CASE WHEN stage = 'Production' AND (SELECT value FROM best) > (SELECT prod_value FROM prod) THEN 'Archived' ELSE stage END AS stage FROM versions
+UNION ALL SELECT 'risk', (SELECT max(version) + 1 FROM versions)::INTEGER, run_id,
+       CASE WHEN value > (SELECT prod_value FROM prod) THEN 'Production' ELSE 'Staging' END FROM best"""))
+def q_m9(spark, sf):
+    return RG.promote(*registry_tables(spark, sf), "risk")

@@ -12,12 +12,12 @@ from riskflow.functions import parse as P
 from riskflow.functions import scoring as S
 from riskflow.functions.scoring import iso_utc
 from riskflow.operators import audit as AU
-from riskflow.plans.catalog_features import parser_columns
+from riskflow.plans.catalog_features import FAULT_ERROR_SQL, parser_columns
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import scored_ledger_ctes
 from riskflow.schemas import KAFKA_LIKE
 from riskflow.session import scratch_path
-from riskflow.sources.views import EVENT_SQL, LEDGER_SQL, MESSAGES_SQL, ML_PROB_SQL, messages, ml_prob_standin, txn_event, txn_ledger, with_sql
+from riskflow.sources.views import EVENT_SQL, FAULTY_SQL, LEDGER_SQL, MESSAGES_SQL, ML_PROB_SQL, faulty_events, messages, ml_prob_standin, txn_event, txn_ledger, with_sql
 from riskflow.streaming import scoring as SS
 from riskflow.streaming import velocity as SV
 
@@ -104,6 +104,19 @@ def q_t10(spark, sf):
     return spark.read.schema("original string, error string, ts timestamp").parquet(out).select("error")
 
 
+@query("T10_stream_dead_letter_faults", sql=with_sql(EVENT_SQL, FAULTY_SQL, body=f"""
+SELECT error FROM (SELECT CASE WHEN CAST(txn_id AS BIGINT) % 59 = 0 THEN 'Malformed JSON' ELSE {FAULT_ERROR_SQL} END AS error FROM faulty) WHERE error IS NOT NULL"""))
+def q_t10_faults(spark, sf):
+    """Missing fields, negative amounts and text that is no JSON."""
+    ev = faulty_events(spark, sf).select("txn_id", "card_id", "amount", "merchant_id", "timestamp")
+    broken = F.col("txn_id").cast("long") % 59 == 0
+    src, out = scratch_path(spark, "t10f-in"), scratch_path(spark, "t10f-out")
+    value = F.when(broken, F.lit("{not json")).otherwise(F.to_json(F.struct(*ev.columns)))
+    ev.select(F.col("card_id").cast("binary").alias("key"), value.cast("binary").alias("value"), F.current_timestamp().alias("timestamp")).write.parquet(src)
+    SV.write_stream(SV.dead_letters(SV.decode(SV.file_source(spark, src, KAFKA_LIKE))), out, scratch_path(spark, "t10f-ck"), available_now=True).awaitTermination()
+    return spark.read.schema("original string, error string, ts timestamp").parquet(out).select("error")
+
+
 @query("T7_stream_parsed_passthrough", sql=with_sql(EVENT_SQL, body="""
 SELECT txn_id, card_id, round(amount, 6) AS amount, merchant_id, timestamp FROM txn_event"""))
 def q_t7(spark, sf):

@@ -110,6 +110,23 @@ txn_event AS (
 )"""
 
 
+def faulty_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """txn_event with faults: missing fields and negative amounts by id."""
+    e, i = txn_event(spark, sf_dir), F.col("txn_id").cast("long")
+    return e.withColumns({
+        "card_id": F.when(i % 41 != 0, F.col("card_id")), "merchant_id": F.when(i % 47 != 0, F.col("merchant_id")),
+        "amount": F.when(i % 53 == 0, F.lit(None)).when(i % 43 == 0, -1 - F.floor("amount").cast("double")).otherwise(F.col("amount"))})
+
+
+FAULTY_SQL = """
+faulty AS (
+  SELECT txn_id, timestamp, CASE WHEN CAST(txn_id AS BIGINT) % 41 <> 0 THEN card_id END AS card_id,
+         CASE WHEN CAST(txn_id AS BIGINT) % 47 <> 0 THEN merchant_id END AS merchant_id,
+         CASE WHEN CAST(txn_id AS BIGINT) % 53 = 0 THEN NULL WHEN CAST(txn_id AS BIGINT) % 43 = 0 THEN -1 - floor(amount) ELSE amount END AS amount
+  FROM txn_event
+)"""
+
+
 # ------------------------------------------------------------------ messages
 BASE_TIME = "1995-01-01 00:00:00"
 
