@@ -129,6 +129,20 @@ def q_t7(spark, sf):
                                           "merchant_id", "timestamp")
 
 
+@query("T11_enriched_and_alert_topics", sql=with_sql(EVENT_SQL, body="""
+SELECT 'enriched' AS topic, card_id AS key, txn_id, CAST(hour(event_time) BETWEEN 0 AND 5 AS INT) AS is_night FROM txn_event
+UNION ALL SELECT 'alerts', card_id, txn_id, NULL FROM txn_event WHERE is_fraud"""))
+def q_t11(spark, sf):
+    """Both topics written from one parse of every micro-batch, to folders in the place of topics."""
+    src, out = _replay_events(spark, sf), scratch_path(spark, "t11-out")
+    parsed = SV.parsed_events(SV.decode(SV.file_source(spark, src, KAFKA_LIKE)), None)
+    body = SV.fan_out(SV.enriched_and_alerts(), SV.to_topic(out, fmt="parquet"))
+    parsed.writeStream.foreachBatch(body).option("checkpointLocation", scratch_path(spark, "t11-ck")).trigger(availableNow=True).start().awaitTermination()
+    topics = [spark.read.parquet(f"{out}/{t}").select(F.lit(t).alias("topic"), "key", F.get_json_object("value", "$.txn_id").alias("txn_id"),
+                                                    F.get_json_object("value", "$.is_night").cast("int").alias("is_night")) for t in (SV.ENRICHED_TOPIC, SV.ALERT_TOPIC)]
+    return topics[0].unionByName(topics[1])
+
+
 def _deliver(spark, parts, name: str, files: int = 4):
     """A stream that delivers the parts one after the other, a micro-batch each."""
     path = scratch_path(spark, name)

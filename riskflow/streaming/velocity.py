@@ -7,10 +7,13 @@ merchants - accepted in append mode.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from riskflow.functions.rowfeatures import is_night
 from riskflow.operators.velocity import WIDTHS
 from riskflow.operators.validate import REQUIRED
 from riskflow.schemas import TXN_EVENT
@@ -18,6 +21,7 @@ from riskflow.schemas import TXN_EVENT
 WATERMARK = "2 minutes"
 TRIGGER = "30 seconds"
 MAX_OFFSETS_PER_TRIGGER = 50_000
+ENRICHED_TOPIC, ALERT_TOPIC = "enriched", "alerts"
 
 
 def kafka_source(spark: SparkSession, servers: str, topic: str, max_offsets: int = MAX_OFFSETS_PER_TRIGGER,
@@ -43,14 +47,15 @@ def decode(raw: DataFrame) -> DataFrame:
             .select("json_str", "kafka_ts", F.from_json("json_str", TXN_EVENT).alias("data")))
 
 
-def parsed_events(decoded: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Valid decoded rows with event time and a watermark."""
+def parsed_events(decoded: DataFrame, watermark: str | None = WATERMARK) -> DataFrame:
+    """Valid decoded rows with event time and, if given, a watermark."""
     ok = F.col("data").isNotNull() & F.col("data.timestamp").isNotNull()
     for c in REQUIRED:
         ok = ok & F.col(f"data.{c}").isNotNull()
     ok = ok & (F.col("data.amount") >= 0)
     d = decoded.filter(ok).select("data.*", "kafka_ts")
-    return d.withColumn("event_time", F.timestamp_millis("timestamp")).withWatermark("event_time", watermark)
+    d = d.withColumn("event_time", F.timestamp_millis("timestamp"))
+    return d.withWatermark("event_time", watermark) if watermark else d
 
 
 def dead_letters(decoded: DataFrame) -> DataFrame:
@@ -109,15 +114,71 @@ def write_stream(df: DataFrame, path: str, checkpoint: str, fmt: str = "parquet"
     return w.start(path)
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    """Whether a write to this folder was completed."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def to_folder(out_dir: str) -> Callable[[DataFrame, str, int], None]:
+    """Writes a sink's part of an epoch to a folder of its own, once: a repeated epoch skips what is complete."""
+    def write(df: DataFrame, name: str, epoch: int) -> None:
+        path = f"{out_dir}/{name}/epoch={epoch}"
+        if not _written(df.sparkSession, path):
+            df.write.mode("overwrite").parquet(path)
+    return write
+
+
+def to_topic(servers: str, fmt: str = "kafka", **options) -> Callable[[DataFrame, str, int], None]:
+    """Writes a sink's (key, value) rows to the topic of its name (needs the Kafka connector on the classpath).
+
+    The producer delivers at least once; consumers tell repeats by key and value.
+    """
+    def write(df: DataFrame, name: str, epoch: int) -> None:
+        settings = {**KAFKA_PRODUCER_OPTIONS, "kafka.bootstrap.servers": servers, "topic": name, **options}
+        w = df.write.format(fmt).options(**settings)
+        w.save() if fmt == "kafka" else w.mode("overwrite").save(f"{servers}/{name}/epoch={epoch}")
+    return write
+
+
+def fan_out(sinks: dict[str, Callable[[DataFrame], DataFrame]], write: Callable[[DataFrame, str, int], None]):
+    """A foreachBatch body that reads and parses a micro-batch once and feeds several sinks, in order."""
+    def body(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            for name, part in sinks.items():
+                write(part(batch), name, epoch)
+        finally:
+            batch.unpersist()
+    return body
+
+
+def enriched_and_alerts() -> dict[str, Callable[[DataFrame], DataFrame]]:
+    """(key, value) rows of the enriched and the alert topic, from parsed events."""
+    def enriched(parsed: DataFrame) -> DataFrame:
+        return kafka_sink_frame(parsed.withColumn("is_night", is_night(F.col("event_time"))).drop("kafka_ts", "event_time"))
+
+    def alerts(parsed: DataFrame) -> DataFrame:
+        return kafka_sink_frame(parsed.filter("is_fraud").select("txn_id", "card_id", "merchant_id", "amount", "timestamp"))
+    return {ENRICHED_TOPIC: enriched, ALERT_TOPIC: alerts}
+
+
 def run_velocity_job(raw: DataFrame, out_dir: str, checkpoint_dir: str, fmt: str = "parquet",
                      available_now: bool = False) -> list[StreamingQuery]:
-    """Parsed passthrough, three velocity tables and dead letters, one checkpoint each."""
+    """The source is read and parsed once, into the parsed table and the dead letters; the three
+    velocity tables read the parsed table.  One checkpoint each.
+    """
     dec = decode(raw)
-    parsed = parsed_events(dec)
-    sinks = {"raw_parsed": parsed, "velocity_1m": velocity_1m(parsed), "velocity_5m": velocity_5m(parsed),
-             "velocity_1h": velocity_1h(parsed), "dead_letter": dead_letters(dec)}
-    return [write_stream(df, f"{out_dir}/{name}", f"{checkpoint_dir}/{name}", fmt, available_now=available_now)
-            for name, df in sinks.items()]
+    sinks = {"raw_parsed": lambda d: parsed_events(d, None), "dead_letter": dead_letters}
+    w = dec.writeStream.option("checkpointLocation", f"{checkpoint_dir}/raw_parsed").foreachBatch(fan_out(sinks, to_folder(out_dir)))
+    first = (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=TRIGGER)).start()
+    if available_now:
+        first.awaitTermination()
+    shape = parsed_events(dec, None).schema
+    parsed = raw.sparkSession.readStream.schema(shape).parquet(f"{out_dir}/raw_parsed/*").select(*shape.names).withWatermark("event_time", WATERMARK)
+    tables = {"velocity_1m": velocity_1m(parsed), "velocity_5m": velocity_5m(parsed), "velocity_1h": velocity_1h(parsed)}
+    return [first] + [write_stream(df, f"{out_dir}/{name}", f"{checkpoint_dir}/{name}", fmt, available_now=available_now)
+                      for name, df in tables.items()]
 
 
 def await_all(queries: list[StreamingQuery], timeout: float | None = None) -> None:

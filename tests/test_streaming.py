@@ -129,3 +129,26 @@ def test_audit_sink_is_idempotent_and_reads_no_store(spark, scratch):
     assert kept.count() == 200 and kept.select(AU.KEY).distinct().count() == 200
     assert spark.read.parquet(f"{scratch}/al").count() == rec.filter("risk_level = 'High'").count()
     assert spark.read.parquet(f"{scratch}/log").count() == 200
+
+
+def test_a_failure_between_two_sinks_loses_and_repeats_nothing(spark, scratch):
+    d = spark.createDataFrame([(i, i % 2 == 0) for i in range(40)], "id long, even boolean")
+    sinks = {"all": lambda b: b, "even": lambda b: b.filter("even")}
+    write, calls = SV.to_folder(f"{scratch}/out"), []
+
+    def failing(df, name, epoch):
+        calls.append(name)
+        if calls == ["all", "even"]:
+            raise RuntimeError("lost between two sinks")
+        write(df, name, epoch)
+    for attempt in range(2):
+        src = _deliveries(spark, scratch, [d]) if attempt == 0 else spark.readStream.schema(d.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in/*")
+        q = src.writeStream.foreachBatch(SV.fan_out(sinks, failing)).option("checkpointLocation", f"{scratch}/ck").trigger(availableNow=True).start()
+        try:
+            q.awaitTermination()
+            assert attempt == 1
+        except Exception:  # noqa: BLE001 - the first run is meant to fail
+            assert attempt == 0
+    assert calls == ["all", "even", "all", "even"]
+    assert sorted(r.id for r in spark.read.parquet(f"{scratch}/out/all").collect()) == list(range(40))
+    assert sorted(r.id for r in spark.read.parquet(f"{scratch}/out/even").collect()) == list(range(0, 40, 2))
