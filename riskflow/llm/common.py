@@ -56,6 +56,18 @@ def read_split(path: str, split: int):
     return concat_tables([pq.read_table(f, filesystem=store, partitioning=None) for f in files]) if files else None
 
 
+def give_back() -> None:
+    """In a task: memory that earlier work of this Python worker has freed goes back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import partitions, read_split, settle_splits
+from riskflow.llm.common import give_back, partitions, read_split, settle_splits
 
 SPACE = "▁"
 #: longest word that the lattice takes (its cuts fit a positive long)
@@ -281,6 +281,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
     schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep] + made)
 
     def words_of(batches):
+        give_back()
         m, seen, sent, split = pieces(path), set(), set(), None
 
         def fresh():
@@ -298,6 +299,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
                     yield fresh()
         if seen:
             yield fresh()
+        sent.clear()
+        give_back()
 
     # one shuffle by word serves the distinct words and the way back to the splits
     pairs = src.mapInArrow(words_of, "word string, split int").filter("word is not null").repartition(partitions(spark), "word")
@@ -326,6 +329,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
         return out
 
     def run(batches):
+        give_back()
         m, atoms, known, split = pieces(path), {}, {}, None
 
         def encoded(w: str) -> bytes:
@@ -347,6 +351,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
                 split, atoms = b["_split"][0].as_py(), {}
                 known.clear()
                 atoms = dictionary(split)
+                give_back()
             out = []
             for t in b["_text"]:  # text by text: a batch is never turned into Python objects as a whole
                 t = t.as_py()
@@ -359,5 +364,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
                     out.append((ids,))
             columns = [b[c] for c in keep] + [pa.array([x[k] for x in out], types[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
+        atoms = known = {}
+        give_back()
 
     return src.mapInArrow(run, schema)
