@@ -12,6 +12,7 @@ from riskflow.functions import parse as P
 from riskflow.functions import scoring as S
 from riskflow.functions.scoring import iso_utc
 from riskflow.operators import audit as AU
+from riskflow.operators.ordered import store as written
 from riskflow.plans.catalog_features import FAULT_ERROR_SQL, parser_columns
 from riskflow.plans.registry import query
 from riskflow.plans.sqlparts import scored_ledger_ctes
@@ -144,8 +145,13 @@ def q_t11(spark, sf):
 
 
 def _deliver(spark, parts, name: str, files: int = 4):
-    """A stream that delivers the parts one after the other, a micro-batch each."""
+    """A stream that delivers the parts one after the other, a micro-batch each.
+
+    A part has a file for every core where there are rows enough, else ``files``.
+    """
     path = scratch_path(spark, name)
+    rows = min(p.count() for p in parts)
+    files = max(files, min(spark.sparkContext.defaultParallelism, rows // 1000))
     for i, part in enumerate(parts):
         part.repartition(files).write.parquet(f"{path}/p{i}")
     return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", files).parquet(f"{path}/*")
@@ -218,7 +224,7 @@ def q_t9(spark, sf):
 SELECT row_id, round(amount, 6) AS amount, CASE WHEN step < {DELIVERIES[0]} THEN 0 WHEN step < {DELIVERIES[1]} THEN 1 ELSE 2 END AS delivery FROM txn_ledger"""))
 def q_s7_stream(spark, sf):
     """Every record comes again in each later delivery, with another amount; the store keeps the first."""
-    led = txn_ledger(spark, sf).select("row_id", "step", "amount")
+    led = written(txn_ledger(spark, sf).select("row_id", "step", "amount"), "s7-ledger")
     low, high = DELIVERIES
     later = led.withColumn("amount", F.col("amount") + 1)
     parts = _by_step(led, (None, later.filter(F.col("step") < low), later.filter(F.col("step") < high)))
