@@ -174,7 +174,7 @@ SELECT row_id, nameOrig, nameDest, burst, round(merchant_risk, 6) AS merchant_ri
 FROM scored""", recursive=True))
 def q_t8(spark, sf):
     """User and merchant state over three micro-batches."""
-    led = txn_ledger(spark, sf).withColumn("ml_prob", ml_prob_standin(F.col("row_id")))
+    led = written(txn_ledger(spark, sf).withColumn("ml_prob", ml_prob_standin(F.col("row_id"))), "t8-ledger")
     out = scratch_path(spark, "t8-out")
     states = SS.merchant_state(SS.verdict_inputs(SS.user_state(_deliver(spark, _by_step(led), "t8-in"), "ml_prob"), "ml_prob"))
     SS.start(states, scratch_path(spark, "t8-ck"), out_path=out, available_now=True)
