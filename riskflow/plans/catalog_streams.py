@@ -196,10 +196,11 @@ SELECT upper(sha256(CAST(row_id AS VARCHAR))) AS record_key, round(amount, 6) AS
 FROM scored""", recursive=True))
 def q_t9(spark, sf):
     """Messages, some delivered twice: parse, keyed state, hybrid score; then records, alerts and logs as stored."""
-    led = txn_ledger(spark, sf)
+    led = written(txn_ledger(spark, sf), "t9-ledger")
     said = messages(spark, sf, led).join(led.select(F.col("row_id").alias("msg_id"), "step"), "msg_id")
     value = said.select("step", F.to_json(F.struct("msg_id", "message", ml_prob_standin(F.col("msg_id")).alias("ml_prob"),
                                                    F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss").alias("event_time"))).alias("value"))
+    value = written(value, "t9-said")
     again = value.filter(F.col("step") % 10 == 0)
     low, high = DELIVERIES
     parts = _by_step(value, (None, again.filter(F.col("step") < low), again.filter(F.col("step") < high)))
