@@ -33,13 +33,12 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskflow.llm.common import partitions, settle
+from riskflow.llm.common import give_back, partitions, settle
 from riskflow.llm.terms import WORDS, split_texts
 
 SCALE = 1_000_000_000
@@ -49,6 +48,8 @@ LEAST, RANKS = 3, 200
 HELD = 1_000_000
 #: index entries in a bucket of terms, on average; accumulator cells of a task
 ENTRIES, CELLS = 1_000_000, 4_000_000
+#: index entries of a group's terms that are scattered at once
+STEP = 250_000
 
 
 def groups_of(docs: DataFrame) -> DataFrame:
@@ -90,6 +91,9 @@ def _count(batches):
                 df.clear()
                 held = 0
     yield from hand_on()
+    counts.clear()
+    df.clear()
+    give_back()
 
 
 def _added(t: pa.Table, least: int) -> pa.Table:
@@ -171,49 +175,65 @@ def _p(count, total):
     return 1 + SCALE * (count + 1) // total
 
 
-def _scatter(index: pd.DataFrame, peers: pd.DataFrame) -> pd.DataFrame:
+def _whole(column: pa.ChunkedArray) -> pa.Array:
+    """A column of combined chunks as one array."""
+    return column.chunk(0) if column.num_chunks else pa.array([], column.type)
+
+
+def _found(lang: str, gid: int, peer: np.ndarray, term: pa.Array | None, value: np.ndarray) -> pa.Table:
+    m = len(value)
+    return pa.table({"lang": pa.array([lang] * m, pa.string()), "gid": pa.array(np.full(m, gid, "i4")), "peer": pa.array(peer.astype("i4")),
+                     "term": pa.nulls(m, pa.string()) if term is None else term.cast(pa.string()), "value": pa.array(value)})
+
+
+def _scatter(index: pa.Table, peers: pa.Table) -> pa.Table:
     """Partial pair values and leading terms of a block of groups, over one bucket of a language's terms."""
-    peers = peers.sort_values("gid", ignore_index=True)
-    total = (peers["n"] + peers["v"]).clip(lower=1).to_numpy()  # no kept term: nothing is divided
-    base, lang_total, bucket = _p(0, total), int(peers["lang_n"][0] + peers["v"][0]), peers["bucket"][0]
+    give_back()
+    peers, index = peers.sort_by("gid").combine_chunks(), index.combine_chunks()
+    lang, bucket, v, lang_n = (peers[c][0].as_py() for c in ("lang", "bucket", "v", "lang_n"))
+    total = np.maximum(peers["n"].to_numpy() + v, 1)  # no kept term: nothing is divided
+    base, lang_total, here = _p(0, total), lang_n + v, peers["gid"].to_numpy()
     mine = np.flatnonzero(peers["mine"].to_numpy())
-    g = np.concatenate(index["gs"].to_list()) if len(index) else np.empty(0, np.int32)
-    n = np.concatenate(index["ns"].to_list()) if len(index) else np.empty(0, np.int64)
-    sizes = np.array([len(x) for x in index["gs"]], dtype=np.int64)
+    terms_of, gs, ns = (_whole(index[c]) for c in ("term", "gs", "ns"))
+    g, n = gs.flatten().to_numpy(), ns.flatten().to_numpy()
+    sizes = np.diff(gs.offsets.to_numpy()).astype("i8")
     ends = np.cumsum(sizes)
-    starts, term = ends - sizes, np.repeat(np.arange(len(sizes)), sizes)
+    starts, term = ends - sizes, np.repeat(np.arange(len(sizes), dtype="i4"), sizes)
     p = _p(n, total[g])
     whole = _p(np.add.reduceat(n, starts), lang_total) if len(sizes) else np.empty(0, np.int64)
-    rank = pc.rank(pa.array(index["term"], pa.string())).to_numpy()  # in UTF-8 order
+    rank = pc.rank(terms_of).to_numpy()  # in UTF-8 order
     of_group = np.argsort(g, kind="stable")
     bounds = np.searchsorted(g[of_group], np.arange(len(peers) + 1))
-    first = bucket == 0 and peers["v"][0] > 0  # the baseline of every pair is added once
+    first = bucket == 0 and v > 0  # the baseline of every pair is added once
     if first:
-        many = [np.array(t, dtype=np.int64) for t in peers["ts"]]
-        at_count = [_p(np.array(c, dtype=np.int64), t) for c, t in zip(peers["cs"], total)]
+        many, at_count = ([np.array(x.as_py(), dtype=np.int64) for x in peers[c]] for c in ("ts", "cs"))
+        at_count = [_p(c, t) for c, t in zip(at_count, total)]
         terms, flat = np.array([t.sum() for t in many]), np.repeat(np.arange(len(peers)), [len(t) for t in many])
         flat_p, flat_many = np.concatenate(at_count), np.concatenate(many)
-    out = []
+    out = [_found(lang, 0, here[:0], None, base[:0])]
     for i in mine:
         acc = np.zeros(len(peers), dtype=np.int64)
         own = of_group[bounds[i]:bounds[i + 1]]
         if len(own):
-            t = term[own]
-            each = sizes[t]
-            at = np.repeat(starts[t] - (np.cumsum(each) - each), each) + np.arange(each.sum())  # the index rows of the group's terms
-            h, pg, ph = g[at], np.repeat(p[own], each), p[at]
-            np.add.at(acc, h, _f(pg, ph) - _f(pg, base[h]) - _f(base[i], ph) + _f(base[i], base[h]))
-            value, q = _f(p[own], whole[t]), whole[t]
-            more = np.flatnonzero(p[own] > q)
+            t, pi = term[own], p[own]
+            step = np.cumsum(sizes[t]) // STEP
+            cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1), len(t)]
+            for x, y in zip(cuts, cuts[1:]):
+                each = sizes[t[x:y]]
+                at = np.repeat(starts[t[x:y]] - (np.cumsum(each) - each), each) + np.arange(each.sum())  # the index rows of the group's terms
+                h, pg, ph = g[at], np.repeat(pi[x:y], each), p[at]
+                np.add.at(acc, h, _f(pg, ph) - _f(pg, base[h]) - _f(base[i], ph) + _f(base[i], base[h]))
+            value, q = _f(pi, whole[t]), whole[t]
+            more = np.flatnonzero(pi > q)
             lead = more[np.lexsort((rank[t[more]], -value[more]))[:RANKS]]
-            out.append(pd.DataFrame({"gid": i, "peer": -1, "term": index["term"].to_numpy()[t[lead]], "value": value[lead]}))
+            out.append(_found(lang, i, np.full(len(lead), -1), terms_of.take(pa.array(t[lead])), value[lead]))
         if first:
             for k in range(0, len(many[i]), 64):
                 acc += (_f(at_count[i][k:k + 64, None], base) * many[i][k:k + 64, None]).sum(axis=0)
             np.add.at(acc, flat, _f(base[i], flat_p) * flat_many)
-            acc += (int(peers["v"][0]) - terms[i] - terms) * _f(base[i], base)
-        out.append(pd.DataFrame({"gid": i, "peer": np.arange(len(peers)), "term": None, "value": acc})[np.arange(len(peers)) != i])
-    return pd.concat(out).assign(lang=peers["lang"][0])[["lang", "gid", "peer", "term", "value"]]
+            acc += (v - terms[i] - terms) * _f(base[i], base)
+        out.append(_found(lang, i, here[here != i], None, acc[here != i]))
+    return pa.concat_tables(out)
 
 
 def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -248,7 +268,7 @@ def audit(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
                 *(F.when(F.col("bucket") == 0, F.col(c)).alias(c) for c in ("cs", "ts")))
     key = ["lang", "bucket", "block"]
     found = settle(rows.groupBy(*key).cogroup(seats.groupBy(*key))
-                   .applyInPandas(_scatter, "lang string, gid int, peer int, term string, value long"), "divergence")
+                   .applyInArrow(_scatter, "lang string, gid int, peer int, term string, value long"), "divergence")
 
     pairs = found.filter("peer >= 0").groupBy("lang", "gid", "peer").agg(F.sum("value").alias("value"))
     names = groups.select("lang", F.col("gid").alias("peer"), F.col("source").alias("item"))

@@ -68,6 +68,32 @@ def test_against_brute_force(spark, folder, monkeypatch, entries, cells):
     assert {tuple(r) for r in out} == brute(rows)
 
 
+def test_dense_terms_are_scattered_in_steps(spark, folder, monkeypatch):
+    rows = some_rows(300, seed=9)
+    monkeypatch.setattr(divergence, "STEP", 5)
+    assert {tuple(r) for r in divergence.audit(spark.createDataFrame(rows, DOC)).collect()} == brute(rows)
+
+
+def test_memory_of_a_bucket():
+    """A group whose terms all sources have holds no row for each of its (term, source) entries."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    terms, sources = 10_000, 100
+    ends = pa.array(np.arange(terms + 1, dtype="i4") * sources)
+    index = pa.table({"term": pa.array([f"t{i}" for i in range(terms)]), "gs": pa.ListArray.from_arrays(ends, pa.array(np.tile(np.arange(sources, dtype="i4"), terms))),
+                      "ns": pa.ListArray.from_arrays(ends, pa.array(np.arange(terms * sources) % 7 + 1))})
+    peers = pa.table({"lang": ["en"] * sources, "bucket": pa.array([1] * sources, pa.int32()), "gid": pa.array(range(sources), pa.int32()),
+                      "mine": [i < 2 for i in range(sources)], "n": [4 * terms] * sources, "v": [terms] * sources, "lang_n": [4 * terms * sources] * sources,
+                      "cs": pa.nulls(sources, pa.list_(pa.int64())), "ts": pa.nulls(sources, pa.list_(pa.int64()))})
+    tracemalloc.start()
+    out = divergence._scatter(index, peers)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows >= 2 * (sources - 1) and peak < 70e6
+
+
 def test_hot_terms_merge_across_batches(spark, folder):
     rows = some_rows(120, seed=4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
