@@ -40,10 +40,12 @@ LONG = 62
 NO_ID = (1 << 24) - 1
 #: marks cuts that another pass must look at
 PENDING = -(1 << 63)
-#: words whose parts a worker remembers; emptied when full
+#: stretches that a worker remembers, with their ids or to look for words; emptied when full
 REMEMBERED = 100_000
 #: score of a character outside the piece table
 UNKNOWN = -1e6
+#: a stretch of text without spaces and the spaces before it
+STRETCH = re.compile(" *[^ ]+| +")
 
 
 class Pieces:
@@ -73,8 +75,12 @@ class Pieces:
         self.split = re.compile(f" *[^ {alone}]+| +" + (f"|[{alone}]" if alone else ""))
         # where no piece joins letters with others, words part there without changing the encoding
         self.part = regex.compile(r" *\p{L}+| *[^\p{L} ]+| +")
+        # the parts of all words of an ASCII stretch in one pass, where no letter stands alone
+        self.plain = None if re.search("[A-Za-z]", alone.replace("\\", "")) else re.compile(
+            f" *[A-Za-z]+| *[^A-Za-z {alone}]+| +" + (f"|[{alone}]" if alone else ""))
         if any(self.part.match(p.replace(SPACE, " ")).end() != len(p) for p, _, _ in self.table):
             self.part = regex.compile(".+", regex.S)
+            self.plain = None
 
     def ranked(self) -> pd.DataFrame:
         """The table with rank (0 for the best score) and early: the piece is part of a two-part split of a better one."""
@@ -87,13 +93,22 @@ class Pieces:
         d = pd.DataFrame(self.table, columns=["piece", "id", "score"])
         return d.assign(rank=d["score"].rank(method="dense", ascending=False).astype(int) - 1, early=d["piece"].isin(early))
 
-    def words(self, text: str) -> list[str]:
-        """Words with the spaces before them; the first one gets the leading space."""
-        return self.split.findall(" " + text.replace(SPACE, " ")) if text else []
+    def stretches(self, text: str) -> list[str]:
+        """The text at its spaces; " " before each of them gives whole words, the first one gets the leading space."""
+        text = text.replace(SPACE, " ")
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return [s[1:] for s in STRETCH.findall(" " + text)]
+        return text.split(" ") if text else []
 
-    def atoms(self, word: str) -> list[str]:
-        """The parts of a word that are encoded on their own."""
-        return self.part.findall(word)
+    def words(self, stretch: str) -> list[str]:
+        """Words of a stretch with the spaces before them."""
+        return self.split.findall(" " + stretch)
+
+    def atoms(self, stretch: str) -> list[str]:
+        """The parts of a stretch's words that are encoded on their own."""
+        if self.plain and stretch.isascii():
+            return self.plain.findall(" " + stretch)
+        return [a for w in self.words(stretch) for a in self.part.findall(w)]
 
     def fold(self, word: str) -> list[int]:
         """The merge fold in plain Python, for words too long for the lattice."""
@@ -154,10 +169,27 @@ class Pieces:
 
     def decode(self, ids: bytes) -> str:
         surface = self.surface
-        text = b"".join([surface[i] for i in np.frombuffer(ids, dtype="<i4").tolist()]).decode(errors="replace")
+        text = b"".join(map(surface.__getitem__, np.frombuffer(ids, dtype="<i4").tolist())).decode(errors="replace")
         return text[1:] if text.startswith(" ") else text
 
 
+class Remembered(dict):
+    """Ids of stretches; of those that are missing, what ``make`` gives, forgotten when they are many."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.made = make, []
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self.made) >= REMEMBERED:
+            for old in self.made:
+                del self[old]
+            self.made.clear()
+        hit = self[key] = self.make(key)
+        self.made.append(key)
+        return hit
+
+
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
@@ -285,8 +317,8 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
         m, seen, sent, split = pieces(path), set(), set(), None
 
         def fresh():
-            """Parts of the words seen since the last call that this task has not sent yet."""
-            words = {a for w in seen - sent for a in m.atoms(w)} - sent
+            """Parts of the words in the stretches seen since the last call that this task has not sent yet."""
+            words = {a for s in seen if " " + s not in sent for a in m.atoms(s)} - sent
             seen.clear()
             sent.update(words)
             return pa.RecordBatch.from_pydict({"word": pa.array([a.replace(" ", SPACE) for a in words], pa.string()), "split": pa.array([split] * len(words), pa.int32())})
@@ -294,7 +326,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
         for b in batches:
             split = b["_split"][0].as_py() if len(b) else split
             for t in b["_text"]:
-                seen.update(m.words(t.as_py()))
+                seen.update(m.stretches(t.as_py()))
                 if len(seen) > REMEMBERED:
                     yield fresh()
         if seen:
@@ -307,9 +339,9 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
     solved = encode_words(pairs.groupBy("word").agg(F.min("split").alias("s")).filter("s >= 0"), spark, model, fold)
     known_path = settle_splits(pairs.join(solved, "word"), src.rdd.getNumPartitions(), "word-pieces")
 
-    def dictionary(split: int) -> dict[str, bytes]:
-        """The ids of the words of one split, four bytes each."""
-        m, out, rows = pieces(path), {}, read_split(known_path, split)
+    def dictionary(split: int, known: dict[str, bytes]) -> dict[str, bytes]:
+        """The ids of the parts of one split's words, four bytes each; those of parts with a space in front go to known, by their stretch."""
+        m, inner, rows = pieces(path), {}, read_split(known_path, split)
         for batch in rows.to_batches(20_000) if rows is not None else ():
             lists, marked = batch["ids"], batch["word"]
             words = pc.replace_substring(marked, SPACE, " ").to_pylist()
@@ -318,44 +350,48 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
             at = at - at[0]
             flat = pc.fill_null(ids, -1).to_numpy().astype("<i4").tobytes()
             cuts = (at * 4).tolist()
-            out.update(zip(words, [flat[x:y] for x, y in zip(cuts, cuts[1:])], strict=True))
+            for word, x, y in zip(words, cuts, cuts[1:], strict=False):
+                if word[0] == " ":
+                    known[word[1:]] = flat[x:y]
+                else:
+                    inner[word] = flat[x:y]
             holes = np.flatnonzero(pc.is_null(ids).to_numpy(zero_copy_only=False))
             for j in set((np.searchsorted(at, holes, side="right") - 1).tolist()):
                 word, whole, pos = marked[j].as_py(), [], 0  # the byte pieces of characters outside the table
                 for i in lists[j].as_py():
                     whole += [i] if i is not None else m.fallback(word[pos])
                     pos += m.size[i] if i is not None else 1
-                out[words[j]] = np.array(whole, dtype="<i4").tobytes()
-        return out
+                whole = np.array(whole, dtype="<i4").tobytes()
+                if words[j][0] == " ":
+                    known[words[j][1:]] = whole
+                else:
+                    inner[words[j]] = whole
+        return inner
 
     def run(batches):
         give_back()
-        m, atoms, known, split = pieces(path), {}, {}, None
-
-        def encoded(w: str) -> bytes:
-            hit = b""
-            for a in m.atoms(w):
-                if len(a) > LONG:
-                    hit += np.array(m.viterbi(a) if fold == "viterbi" else m.fold(a), dtype="<i4").tobytes()
-                elif a in atoms:
-                    hit += atoms[a]
-                else:
-                    raise ValueError("the splits of the input changed between two reads")
-            if len(known) > REMEMBERED:
-                known.clear()
-            known[w] = hit
+        m, known, inner, split = pieces(path), {}, {}, None
+
+        def part(a: str) -> bytes:
+            hit = known.get(a[1:]) if a[0] == " " else inner.get(a)
+            if hit is None and len(a) > LONG:
+                hit = np.array(m.viterbi(a) if fold == "viterbi" else m.fold(a), dtype="<i4").tobytes()
+            if hit is None:
+                raise ValueError("the splits of the input changed between two reads")
             return hit
 
+        def encoded(stretch: str) -> bytes:
+            return b"".join([part(a) for a in m.atoms(stretch)])
+
         for b in batches:
             if len(b) and b["_split"][0].as_py() != split:
-                split, atoms = b["_split"][0].as_py(), {}
-                known.clear()
-                atoms = dictionary(split)
+                split, inner, known = b["_split"][0].as_py(), {}, Remembered(encoded)
+                inner = dictionary(split, known)
                 give_back()
             out = []
             for t in b["_text"]:  # text by text: a batch is never turned into Python objects as a whole
                 t = t.as_py()
-                ids = b"".join([atoms.get(w) or known.get(w) or encoded(w) for w in m.words(t)])
+                ids = b"".join(map(known.__getitem__, m.stretches(t)))
                 if proof:
                     back = m.decode(ids)
                     out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(),
@@ -364,7 +400,7 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
                     out.append((ids,))
             columns = [b[c] for c in keep] + [pa.array([x[k] for x in out], types[k]) for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=[*keep, *names])
-        atoms = known = {}
+        known = inner = {}
         give_back()
 
     return src.mapInArrow(run, schema)

@@ -62,3 +62,18 @@ def test_viterbi_takes_the_highest_sum_in_long_words(spark, folder):
         scores = {i: s for _, i, s in model.table}
         assert abs(sum(scores[i] for i in rows["viterbi"][k]) - best[-1]) < 1e-6 and model.decode(np.array(rows["viterbi"][k], "<i4").tobytes()) == t
         assert rows["merges"][k] == library.encode(t)
+
+
+def test_texts_are_looked_up_by_stretch(spark, folder, monkeypatch):
+    """Stretches give the words of a whole text, at any spaces; a stretch that occurs again is not parted again."""
+    model, rng = sentence_pieces.pieces(PATH), random.Random(3)
+    texts = ["".join(rng.choices(" ▁\n,.aé漢b-'1x\t", k=rng.randint(0, 14))) for _ in range(20_000)] + ["", " ", "  ", sentence_pieces.SPACE, " a", "a ", "a  b"]
+    for t in texts:
+        whole = model.split.findall(" " + t.replace(sentence_pieces.SPACE, " ")) if t else []
+        assert [w for s in model.stretches(t) for w in model.words(s)] == whole, t
+        assert [a for s in model.stretches(t) for a in model.atoms(s)] == [a for w in whole for a in model.part.findall(w)], t
+    made = []
+    known = sentence_pieces.Remembered(lambda s: made.append(s) or s.encode())
+    monkeypatch.setattr(sentence_pieces, "REMEMBERED", 3)
+    assert b"".join(map(known.__getitem__, "a b a b a c a d a".split())) == b"ababacada" and made == ["a", "b", "c", "d", "a"]
+    assert len(known) <= 3
