@@ -97,7 +97,8 @@ def test_bad_host_is_judged_harder_and_clean_documents_stay(spark):
 
 def test_empty_tables(spark, folder):
     d = folder(documents=([], DOC), pages=([], "page_id long, url string, html string"),
-               labels=([], "doc_id long, quality int, toxic int"), conversations=([], "conv_id long, turn long, role string, text string"))
+               labels=([], "doc_id long, quality int, toxic int"), conversations=([], "conv_id long, turn long, role string, text string"),
+               benchmark=([], "item_id long, text string"))
     for name, f in queries.QUERIES.items():
         assert f(spark, d).count() == (1 if name.startswith("op6_") else 0), name
 
@@ -246,7 +247,7 @@ def test_sql(spark):
     import duckdb
     d = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for t in ("documents", "pages", "labels", "conversations"):
+    for t in ("documents", "pages", "labels", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         df = queries.QUERIES[name](spark, d)
