@@ -2,11 +2,11 @@
 
 The distinct words of the corpus are found once.  Their substrings up to the
 longest piece are exploded and equi-joined to the piece table, the matching
-edges are grouped by word, and a higher-order fold picks the pieces: Viterbi
-(highest sum of scores) for unigram models; for BPE models, whose scores are
-merge ranks and whose encoding is not the highest sum, the fold merges the best
-adjacent pair of lattice nodes, which is the library's encoding exactly.  Every
-input split then gets the encodings of its own words, so texts are never
+edges are grouped by word, and a fold picks the pieces: Viterbi (highest sum of
+scores) for unigram models, a higher-order function; for BPE models, whose scores
+are merge ranks and whose encoding is not the highest sum, the fold merges the
+best adjacent pair of lattice nodes, which is the library's encoding exactly, in
+all words of an Arrow batch at once.  Every input split then gets the encodings of its own words, so texts are never
 shuffled.
 
 Defined cases: null and empty texts have no pieces; characters outside the
@@ -38,8 +38,6 @@ SPACE = "▁"
 LONG = 62
 #: id of a character outside the table in a packed edge
 NO_ID = (1 << 24) - 1
-#: marks cuts that another pass must look at
-PENDING = -(1 << 63)
 #: stretches that a worker remembers, with their ids or to look for words; emptied when full
 REMEMBERED = 100_000
 #: score of a character outside the piece table
@@ -68,6 +66,12 @@ class Pieces:
         self.surface = [bytes([int(p.piece[1:-1], 16)]) if p.type == kind.BYTE else
                         p.piece.replace(SPACE, " ").encode() if p.type == kind.NORMAL else b"" for p in model.pieces]
         self.size = {i: len(p) for p, i, _ in self.table}
+        self.path = path
+        # ids of the pieces of one character by code point, -1 for none
+        self.singles = np.full(0x110000, -1, np.int32)
+        for p, i, _ in self.table:
+            if len(p) == 1:
+                self.singles[ord(p)] = i
         # ASCII characters that no longer piece contains stand alone, and a piece has spaces only in front
         joined = {c for p, _, _ in self.table if len(p) > 1 for c in p}
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
@@ -83,15 +87,9 @@ class Pieces:
             self.plain = None
 
     def ranked(self) -> pd.DataFrame:
-        """The table with rank (0 for the best score) and early: the piece is part of a two-part split of a better one."""
-        early = set()
-        for p, _, score in self.table:
-            for cut in range(1, len(p)):
-                for part, other in ((p[:cut], p[cut:]), (p[cut:], p[:cut])):
-                    if len(part) > 1 and part in self.ids and self.ids[part][1] <= score and (len(other) == 1 or other in self.ids):
-                        early.add(part)
+        """The table with rank (0 for the best score)."""
         d = pd.DataFrame(self.table, columns=["piece", "id", "score"])
-        return d.assign(rank=d["score"].rank(method="dense", ascending=False).astype(int) - 1, early=d["piece"].isin(early))
+        return d.assign(rank=d["score"].rank(method="dense", ascending=False).astype(int) - 1)
 
     def stretches(self, text: str) -> list[str]:
         """The text at its spaces; " " before each of them gives whole words, the first one gets the leading space."""
@@ -196,12 +194,12 @@ def pieces(path: str) -> Pieces:
 
 
 def lattice(words: DataFrame, spark: SparkSession, model: Pieces) -> DataFrame:
-    """words: word (distinct) -> word, i, k, id, score, rank, early; one row per substring [i, i + k) in the table.
+    """words: word (distinct) -> word, i, k, id, score, rank; one row per substring [i, i + k) in the table.
 
     Keeps the partitioning by word; a character outside the table has a row with
     null id.  The piece table is bounded by the model and broadcast.
     """
-    table = F.broadcast(spark.createDataFrame(model.ranked(), "piece string, id int, score double, rank int, early boolean"))
+    table = F.broadcast(spark.createDataFrame(model.ranked(), "piece string, id int, score double, rank int"))
     # a substring is no longer than the longest piece that starts with its first three characters
     reach = pd.DataFrame([(p[:3], len(p)) for p, _, _ in model.table if len(p) > 2], columns=["begin", "reach"])
     reach = F.broadcast(spark.createDataFrame(reach.groupby("begin", as_index=False).max(), "begin string, reach int"))
@@ -213,58 +211,60 @@ def lattice(words: DataFrame, spark: SparkSession, model: Pieces) -> DataFrame:
     return d.join(table, "piece", "left").filter("id is not null or k = 1")
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), at)
-
-
-def _low(x: Column, bits: int) -> Column:
-    return x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
-
-
 def merge_edges(rows: DataFrame) -> DataFrame:
-    """Lattice rows -> word, joins (the longer pieces), singles (the characters); an edge is one long.
+    """Lattice rows -> word, joins (the pieces of several characters); an edge is one long.
 
-    Its bits are rank, start (6), end (6), early (1) and id (24), so edges sort by
-    rank, then start.
+    Its bits are rank, start (6), end (6) and id (24), so edges sort by rank, then
+    start.  Characters need no edges: merge_fold finds them by code point.
     """
     i, k = F.col("i").cast("long"), F.col("k")
-    at = F.shiftleft(i, 31) + F.shiftleft(i + k, 25) + F.coalesce("id", F.lit(NO_ID))
-    join = F.shiftleft(F.col("rank").cast("long"), 37) + F.when(F.col("early"), F.lit(1 << 24)).otherwise(F.lit(0)) + at
-    return rows.groupBy("word").agg(F.collect_list(F.when(k > 1, join)).alias("joins"), F.collect_list(F.when(k == 1, at)).alias("singles"))
+    join = F.shiftleft(F.col("rank").cast("long"), 36) + F.shiftleft(i, 30) + F.shiftleft(i + k, 24) + F.col("id")
+    # a row of each word stays, also of one without joins
+    return rows.filter("k > 1 or i = 0").groupBy("word").agg(F.collect_list(F.when(k > 1, join)).alias("joins"))
 
 
-def merge_fold(joins: Column, singles: Column, n: Column) -> Column:
-    """Ids after merging the best adjacent pair again and again, the left one of equals.
+def merge_fold(words: pa.Array, joins: pa.Array, singles: np.ndarray) -> pa.Array:
+    """Ids after merging the best adjacent pair again and again, the left one of equals; null for a character without id.
 
     The cuts of a word are the bits of a long.  An edge joins an adjacent pair
-    when both its ends are cuts and one cut lies inside.  One pass over the edges
-    in the order of preference merges what can be merged; it stops after a merge
-    that may have made an earlier edge possible, and the next pass starts anew.
+    when both its ends are cuts and one cut lies inside.  Each round takes the
+    best such edge of every word.  Cuts only vanish, so an edge with an end that
+    is no cut, or with no cut inside, is done with.
     """
-    def edge(e: Column) -> Column:
-        """ends: the bits of both ends, inner: those between them, again: PENDING for an early piece."""
-        a, b = _bit(_low(F.shiftright(e, 31), 6).cast("int")), _bit(_low(F.shiftright(e, 25), 6).cast("int"))
-        return F.struct(e.alias("order"), (a + b).alias("ends"), (b - a - a).alias("inner"),
-                        F.when(e.bitwiseAND(F.lit(1 << 24)) != 0, F.lit(PENDING)).otherwise(F.lit(0).cast("long")).alias("again"))
-
-    def one_pass(cuts: Column, edges: Column) -> Column:
-        def visit(cuts: Column, x: Column) -> Column:
-            fits = (cuts.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(cuts.bitwiseAND(x["inner"])) == 1)
-            return F.when((cuts >= 0) & fits, cuts.bitwiseAND(F.bitwise_not(x["inner"])).bitwiseOR(x["again"])).otherwise(cuts)
-        return F.aggregate(edges, cuts, visit)
-
-    start = F.struct((_bit(n) - 1).bitwiseOR(_bit(n)).bitwiseOR(F.lit(PENDING)).alias("cuts"), F.transform(F.sort_array(joins), edge).alias("joins"))
-
-    def step(acc: Column, _: Column) -> Column:
-        return F.when(acc["cuts"] >= 0, acc).otherwise(F.struct(one_pass(_low(acc["cuts"], 63), acc["joins"]).alias("cuts"), acc["joins"].alias("joins")))
-
-    def ids(acc: Column) -> Column:
-        whole = F.filter(acc["joins"], lambda x: acc["cuts"].bitwiseAND(x["ends"].bitwiseOR(x["inner"])) == x["ends"])
-        kept = F.filter(singles, lambda e: _low(F.call_function("shiftright", acc["cuts"], F.shiftright(e, 31).cast("int")), 2) == 3)
-        path = F.sort_array(F.concat(F.transform(whole, lambda x: _low(x["order"], 37)), kept))
-        return F.transform(path, lambda e: F.nullif(_low(e, 24).cast("int"), F.lit(NO_ID)))
-
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, ids)
+    n = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.uint64)
+    rows, one = np.arange(len(n)), np.uint64(1)
+    order = joins.flatten().to_numpy(zero_copy_only=False).astype(np.uint64)
+    at = np.repeat(rows, pc.list_value_length(joins).to_numpy(zero_copy_only=False))
+    a, b = order >> 30 & 63, order >> 24 & 63
+    ends, inner = (one << a) + (one << b), (one << b) - (one << a + 1)
+    cuts = (one << n) - 1 + (one << n)
+    live = (at, order, ends, inner)
+    while len(live[0]):
+        here = cuts[live[0]]
+        inside = here & live[3]
+        keep = (here & live[2] == live[2]) & (inside != 0)
+        live, inside = [x[keep] for x in live], inside[keep]
+        word, rank, _, gone = (x[inside & (inside - 1) == 0] for x in live)
+        if not len(word):
+            break
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        best = np.minimum.reduceat(rank, first)
+        taken = rank == np.repeat(best, np.diff(np.r_[first, len(word)]))
+        cuts[word[taken]] &= ~gone[taken]
+        # where nothing was merged, nothing can be from now on
+        merged = np.zeros(len(n), bool)
+        merged[word[first]] = True
+        live = [x[merged[live[0]]] for x in live]
+    ids = np.full((len(n), 64), -1, np.int32)
+    chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4")
+    n = n.astype(np.int64)
+    ids[np.repeat(rows, n), np.arange(len(chars)) - np.repeat(np.cumsum(n) - n, n)] = singles[chars]
+    whole = cuts[at] & (ends + inner) == ends
+    ids[at[whole], a[whole].astype(np.int64)] = order[whole] & NO_ID
+    starts = np.unpackbits(cuts.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    starts[rows, n] = 0
+    path = ids[starts.view(bool)]
+    return pa.ListArray.from_arrays(np.r_[0, np.cumsum(starts.sum(axis=1, dtype=np.int64))].astype(np.int32), pa.array(path, mask=path < 0))
 
 
 def viterbi_fold(edges: Column) -> Column:
@@ -280,18 +280,28 @@ def viterbi_fold(edges: Column) -> Column:
     return F.aggregate(F.sort_array(edges), start, step, lambda best: F.element_at(best, -1)["ids"])
 
 
-def encode_words(words: DataFrame, spark: SparkSession, model: Pieces, fold: str) -> DataFrame:
-    """word -> ids (null for a character outside the table)."""
+def encode_words(words: DataFrame, spark: SparkSession, model: Pieces, fold: str, beside: DataFrame | None = None) -> DataFrame:
+    """word -> ids (null for a character outside the table) and the columns of beside, which has a row for each word.
+
+    beside is joined to the edges, which are partitioned by word; what an Arrow
+    function returns no longer is.
+    """
     rows = lattice(words, spark, model)
     if fold == "merges":
-        d = merge_edges(rows)
-        ids = merge_fold(F.col("joins"), F.col("singles"), F.length("word"))
+        path = model.path
+
+        @F.arrow_udf("array<int>")
+        def folded(word: pa.Array, joins: pa.Array) -> pa.Array:
+            return merge_fold(word, joins, pieces(path).singles)
+
+        d, ids = merge_edges(rows), folded("word", "joins")
     else:
         end = F.col("i") + F.col("k")
         value = F.struct(F.coalesce("score", F.lit(UNKNOWN)).alias("score"), "id")
         d = rows.groupBy("word").agg(F.collect_list(F.struct((end * (LONG + 1) + F.col("i")).alias("key"), value.alias("value"))).alias("edges"))
         ids = viterbi_fold(F.col("edges"))
-    return d.select("word", ids.alias("ids"))
+    more = [c for c in beside.columns if c != "word"] if beside is not None else []
+    return (d.join(beside, "word") if more else d).select("word", ids.alias("ids"), *more)
 
 
 def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold: str | None = None,
@@ -334,10 +344,11 @@ def encode(docs: DataFrame, path: str, keep: list[str], text: str = "text", fold
         sent.clear()
         give_back()
 
-    # one shuffle by word serves the distinct words and the way back to the splits
+    # one shuffle by word serves the distinct words and, as a list, the splits they go back to
     pairs = src.mapInArrow(words_of, "word string, split int").filter("word is not null").repartition(partitions(spark), "word")
-    solved = encode_words(pairs.groupBy("word").agg(F.min("split").alias("s")).filter("s >= 0"), spark, model, fold)
-    known_path = settle_splits(pairs.join(solved, "word"), src.rdd.getNumPartitions(), "word-pieces")
+    solved = encode_words(pairs.groupBy("word").agg(F.min("split").alias("s")).filter("s >= 0"), spark, model, fold,
+                          pairs.groupBy("word").agg(F.collect_list("split").alias("splits")))
+    known_path = settle_splits(solved.select("word", "ids", F.explode("splits").alias("split")), src.rdd.getNumPartitions(), "word-pieces")
 
     def dictionary(split: int, known: dict[str, bytes]) -> dict[str, bytes]:
         """The ids of the parts of one split's words, four bytes each; those of parts with a space in front go to known, by their stretch."""

@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import sentencepiece
 from llm_tables import documents
+from pyspark.sql import functions as F
 
 from riskflow.llm import queries, sentence_pieces
 
@@ -77,3 +78,36 @@ def test_texts_are_looked_up_by_stretch(spark, folder, monkeypatch):
     monkeypatch.setattr(sentence_pieces, "REMEMBERED", 3)
     assert b"".join(map(known.__getitem__, "a b a b a c a d a".split())) == b"ababacada" and made == ["a", "b", "c", "d", "a"]
     assert len(known) <= 3
+
+
+def test_merges_take_a_batch_of_words_at_once(spark):
+    """The fold of a whole Arrow batch is the fold of each word; only pieces of several characters are grouped."""
+    model, rng = sentence_pieces.pieces(PATH), random.Random(4)
+    words = ["".join(rng.choices("▁abtheinosréß中😀\x01", k=rng.choice([1, 2, 3, 7, 12, 30, sentence_pieces.LONG]))) for _ in range(400)]
+    words = sorted({*words, "e", "中", "😀", "\x01", "e" * sentence_pieces.LONG, "▁" + "the" * 20})
+    want = {w: model.fold(w.replace(sentence_pieces.SPACE, " ")) for w in words}
+    rows = sentence_pieces.lattice(spark.createDataFrame([(w,) for w in words], "word string"), spark, model)
+    edges = sentence_pieces.merge_edges(rows).toArrow().combine_chunks()
+    assert edges.column_names == ["word", "joins"] and sorted(edges["word"].to_pylist()) == words
+    assert sum(map(len, edges["joins"].to_pylist())) == rows.filter("k > 1").count()
+    for part in (edges, edges.slice(3, 100), edges.slice(0, 0)):
+        word, joins = (part[c].combine_chunks() for c in ("word", "joins"))
+        got = sentence_pieces.merge_fold(word, joins, model.singles)
+        for w, ids in zip(word.to_pylist(), got.to_pylist(), strict=True):
+            whole, pos = [], 0
+            for i in ids:
+                whole += [i] if i is not None else model.fallback(w[pos])
+                pos += model.size[i] if i is not None else 1
+            assert whole == want[w], w
+
+
+def test_words_are_shuffled_once(spark, folder, capsys):
+    """The splits of a word go along with its edges: what the fold returns is not shuffled or joined again."""
+    model = sentence_pieces.pieces(PATH)
+    pairs = spark.createDataFrame([("▁the", 0), ("▁the", 1), ("▁of", 1)], "word string, split int").repartition(3, "word")
+    solved = sentence_pieces.encode_words(pairs.select("word").distinct(), spark, model, "merges", pairs.groupBy("word").agg(F.collect_list("split").alias("splits")))
+    solved.explain()
+    plan = capsys.readouterr().out
+    assert plan.index("SortMergeJoin") > plan.index("ArrowEvalPython") and plan.count("Exchange hashpartitioning(word") == 2
+    assert {r["word"]: (r["ids"], sorted(r["splits"])) for r in solved.collect()} == \
+        {w: (model.fold(w), s) for w, s in (("▁the", [0, 1]), ("▁of", [1]))}
